@@ -5,11 +5,12 @@ in a row form one word. A word is described by its subsequences of three charact
 DECAY to the number of characters skipped, so gapped and inserted-character forms share most subsequences with the plain word. The
 kernel of two words is the product of these descriptions, divided by a norm for their lengths.
 
-Landmarks are words that occur in many toxic and few other training documents, and the words of clean ones most like them. On their Nystrom features a
-linear support vector machine is trained by multiple-instance rounds: a sentence scores as its highest word; all sentences of
-clean documents are labelled clean, and of toxic documents the sentences whose word scores above 0 and half the document's highest are
-labelled toxic; the first round takes the words' log odds for a score. As the kernel is linear in the description, landmarks and machine fold into one weight for each subsequence. A document scores as its highest word, put
-through a logistic curve that is fitted to the training documents.
+Landmarks are words that occur in many toxic and few other training documents, and the words of clean ones most like them. On
+their Nystrom features a linear support vector machine is trained by multiple-instance rounds: a sentence scores as its highest
+word; all sentences of clean documents are labelled clean, and of toxic documents the sentences whose word scores above 0 and
+half the document's highest are labelled toxic; the first round takes the words' log odds for a score. As the kernel is linear in
+the description, landmarks and machine fold into one weight for each subsequence. A document's score is a logistic curve, fitted
+to the training documents, of its highest word, the sum of its words above 0 and its number of words.
 
 Fitted on about SAMPLE documents of each label, of at most SAMPLE_BYTES each, outside the held-out fold. Null, empty and
 wordless texts get the score of a text without any matching word; if nothing could be learned, all scores are 0. Repeated rows get
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, held_out
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
 
-SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 48, 96, 3
-SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, REGULAR, SEEN = 1500, 32_768, 2, 30, 1e-5, 0.3
+SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 96, 96, 3
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, REGULAR, SEEN, NEAR = 1500, 32_768, 2, 30, 1e-5, 0.15, 0.2
 #: Six bits for a character: digits, letters, and the bytes of other scripts in 26 groups.
 _KIND = np.array([36 + b % 26 if b >= 128 else (b - 48) % 10 for b in range(256)], np.int32)
 _KIND[97:123] = np.arange(10, 36)
@@ -90,32 +91,36 @@ def word_scores(chars: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> n
     return np.add.reduceat(value, starts) / _norms(int(length.max()))[length]
 
 
-def _describe(words: list[bytes]) -> np.ndarray:
-    """Words x 2^18 descriptions as a dense matrix, for few words."""
-    out = np.zeros((len(words), 1 << 18), np.float32)
-    for i, w in enumerate(words):
-        chars = np.frombuffer(w, np.uint8)
-        for _, code, weight in _triples(chars, np.zeros(1, np.int64)):
-            np.add.at(out[i], code, weight)
-    return out / _norms(max(map(len, words)))[[len(w) for w in words]][:, None]
-
-
-def _features(words: list[bytes], columns: np.ndarray) -> np.ndarray:
-    """Nystrom features of words: their descriptions times columns (2^18 x features)."""
-    out = []
-    for lo in range(0, len(words), 10_000):
-        part = words[lo : lo + 10_000]
+def _describe(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of a few words, and words x subsequences with their normed weights."""
+    length = np.array([len(w) for w in words])
+    chars, starts = np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum(length)[:-1])
+    of = np.repeat(np.arange(len(words)), length)
+    parts = [(of[at], code, np.full(len(at), weight)) for at, code, weight in _triples(chars, starts)]
+    row, code, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    used, column = np.unique(code, return_inverse=True)
+    out = np.zeros((len(words), len(used)))
+    np.add.at(out, (row, column), weight)
+    return used, out / _norms(int(length.max()))[length][:, None]
+
+
+def _features(words: list[bytes], used: np.ndarray, columns: np.ndarray) -> Iterator[np.ndarray]:
+    """Descriptions of words, part by part, times columns (subsequences used x features)."""
+    slot = np.full(1 << 18, len(used), np.int32)
+    slot[used] = np.arange(len(used))
+    columns = np.concatenate([columns, np.zeros((1, columns.shape[1]))]).astype(np.float32)
+    for lo in range(0, len(words), 5000):
+        part = words[lo : lo + 5000]
         length = np.array([len(w) for w in part])
         chars, starts = np.frombuffer(b"".join(part), np.uint8), np.append(0, np.cumsum(length)[:-1])
         value = np.zeros((len(chars), columns.shape[1]), np.float32)
         for at, code, weight in _triples(chars, starts):
-            value[at] += np.float32(weight) * columns[code]
-        out.append(np.add.reduceat(value, starts, axis=0) / _norms(int(length.max()))[length][:, None])
-    return np.concatenate(out).astype(np.float64)
+            value[at] += np.float32(weight) * columns[slot[code]]
+        yield np.add.reduceat(value, starts, axis=0) / _norms(int(length.max()))[length][:, None]
 
 
-def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None:
-    """Weight of each subsequence, slope and intercept of the logistic curve; None without documents of both labels."""
+def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """Weight of each subsequence, bias, and the coefficients of the logistic curve; None without documents of both labels."""
     sample = [(t, int(y)) for t, y in dict.fromkeys(sample) if t]  # copies count once
     texts, label = [t for t, _ in sample], np.array([y for _, y in sample])
     if len(set(label.tolist())) < 2:
@@ -139,14 +144,15 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None
     top = [i for i in np.argsort(-strength, kind="stable")[:LANDMARKS] if strength[i] > SEEN * strength.max() > 0]
     if not top:
         return None
-    alike = _features(names, _describe([names[i] for i in top]).T).max(axis=1)
+    used, described = _describe([names[i] for i in top])
+    alike = np.concatenate([f.max(axis=1) for f in _features(names, used, described.T)])
     plain = np.argsort(np.where(usable & (toxic * n0 <= clean * n1), -alike, 1), kind="stable")[:PLAIN_LANDMARKS]
-    marks = [names[i] for i in dict.fromkeys([*top, *plain]) if usable[i]]
-    described = _describe(marks)
-    value, vector = np.linalg.eigh((described @ described.T).astype(np.float64))
+    used, described = _describe([names[i] for i in dict.fromkeys([*top, *plain]) if usable[i]])
+    value, vector = np.linalg.eigh(described @ described.T)
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    z = _features(names, described.T.astype(np.float32) @ root.astype(np.float32))
+    near = np.flatnonzero(alike >= NEAR)  # the machine learns from these words; all others are far from every toxic landmark
+    z = np.concatenate(list(_features([names[i] for i in near], used, described.T @ root)))
 
     guess = np.where(np.isfinite(strength), strength / strength.max() - SEEN, -1.0)
     by_doc, by_sentence = np.argsort(doc, kind="stable"), np.argsort(sentence, kind="stable")
@@ -161,15 +167,23 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, float] | None
         top = np.maximum.reduceat(guess[word[by_sentence]], sentence_starts)
         highest = guess[word[by_sentence]] >= np.repeat(top, np.diff(np.append(sentence_starts, len(word))))
         negative = np.bincount(word[by_sentence[highest & (label[doc[by_sentence]] == 0)]], minlength=len(names))
-        if not witness.any() or not negative.any():
+        if not witness[near].any() or not negative.any():
             return None
-        w, bias = _machine(z, witness / witness.sum(), negative / negative.sum() + (clean > 0) / (clean > 0).sum())
-        guess = z @ w + bias
-    weights = (described.T @ (root @ w)).astype(np.float32)
-    best = np.full(len(texts), 0.0)
-    np.maximum.at(best, doc, word_scores(chars, starts, weights))
-    slope, intercept = _logistic(best, label.astype(float))
-    return weights, slope, intercept
+        w, bias = _machine(z, (witness / witness.sum())[near], (negative / negative.sum() + (clean > 0) / (clean > 0).sum())[near])
+        guess = np.full(len(names), -1.0)
+        guess[near] = z @ w + bias
+    weights = np.zeros(1 << 18, np.float32)
+    weights[used] = described.T @ (root @ w)
+    features = _document_features(doc, word_scores(chars, starts, weights) + bias, len(texts))
+    return weights, bias, _logistic(features, label.astype(float))
+
+
+def _document_features(doc: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Highest word, sum of words above 0 (each counts up to 2), number of words, and a constant, for each of n documents."""
+    best = np.full(n, -2.0)
+    np.maximum.at(best, doc, score)
+    above = np.bincount(doc, np.clip(score, 0, 2), minlength=n)
+    return np.stack([np.clip(best, -2, 2), np.log1p(above), np.log1p(np.bincount(doc, minlength=n)), np.ones(n)], axis=1)
 
 
 def _machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
@@ -194,32 +208,32 @@ def _machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.nd
     return w[:-1], float(w[-1])
 
 
-def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a lightly regularised logistic curve, by Newton's method; classes count alike."""
-    x = np.stack([f, np.ones(len(f))], axis=1)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients of a lightly regularised logistic regression, by Newton's method; labels count alike."""
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    b = np.zeros(2)
+    b = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (weight * (y - p)) - 1e-3 * b
-        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (weight * (y - p)) - 0.1 * b
+        hess = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(b))
         step = np.linalg.solve(hess, grad)
         b = b + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0]), float(b[1])
+    return b
 
 
-def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, float] | None) -> np.ndarray:
+def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, np.ndarray] | None) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
-    weights, slope, intercept = model
+    weights, bias, curve = model
     data, offsets = text_buffer(pc.utf8_lower(pc.fill_null(texts, "")))
-    best = np.zeros(len(texts))
+    out = np.zeros(len(texts))
     for a, b in chunks(offsets):
         chars, starts, doc, _ = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        np.maximum.at(best[a:b], doc, word_scores(chars, starts, weights))
-    return 1 / (1 + np.exp(-np.clip(slope * best + intercept, -30, 30)))
+        features = _document_features(doc, word_scores(chars, starts, weights) + bias, b - a)
+        out[a:b] = 1 / (1 + np.exp(-np.clip(features @ curve, -30, 30)))
+    return out
 
 
 def score_documents(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
