@@ -57,8 +57,10 @@ def held_out(doc_id: F.Column) -> F.Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, object]]:
-    """(text, label) of about per_class rows of each label, drawn by a hash of doc_id, for fitting a model on the driver.
+def bounded_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()
+) -> list[tuple]:
+    """(text, label, *more) of about per_class rows of each label, drawn by a hash of doc_id, for fitting a model on the driver.
 
     labels: doc_id and label. Rows of the held-out fold, null labels and texts over most_bytes are not drawn, so that the driver
     gets at most (number of labels) x per_class x most_bytes bytes, up to the sampling error.
@@ -70,7 +72,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byte
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == F.lit(label), F.lit(min(1.0, per_class / n))).otherwise(share)
-    drawn = usable.where(cumulative_hash_fraction(F.lit(29), "doc_id") < share).select(F.col("doc_id").alias("__id"), "label")
-    rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).where(F.octet_length("__text") <= most_bytes)
-    got = rows.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__doc", "__text", "label").collect()
-    return [(r["__text"], r["label"]) for r in sorted(got, key=lambda r: (r["__doc"], str(r["label"]), r["__text"]))]
+    drawn = usable.where(cumulative_hash_fraction(F.lit(29), "doc_id") < share).select(F.col("doc_id").alias("__id"), F.col("label").alias("__label"))
+    rows = docs.where(F.octet_length(text) <= most_bytes).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"), *more)
+    got = rows.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__doc", "__text", "__label", *more).collect()
+    return [tuple(r)[1:] for r in sorted(got, key=lambda r: (r[0], str(r[2]), r[1]))]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, sharding, topk, warc
+from . import bpe, decontaminate, html_text, jaccard, langid, quality, sharding, topk, toxicity, warc
 from .common import table
 
 
@@ -24,20 +25,43 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, docs.select("doc_id", F.col("lang").alias("label")))
+
+
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_documents(docs, quality.learn(docs, labelled, ("n_chars",)), 0.3, ("n_chars",))
+    return scored.select("doc_id", F.col("qual_held_out").alias("held_out"), F.col("qual_score").alias("score"), F.col("qual_predicted").alias("predicted"))
+
+
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labelled))
+    return scored.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sampled_splitters, op3_bpe_automaton, op5_warc_dictionary, op8_ngram_jaccard, op10_top_k)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sampled_splitters, op3_bpe_automaton, op4_language_id, op5_warc_dictionary, op6_quality_fm, op7_html_layout, op8_ngram_jaccard, op9_toxicity, op10_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:

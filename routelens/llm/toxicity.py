@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, held_out
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
@@ -236,9 +237,14 @@ def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, np.ndarray] | N
     return out
 
 
-def score_documents(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with held_out, score and predicted in columns of their own (tox_held_out, tox_score, tox_predicted). labelled: doc_id, label."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(bounded_sample(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text)))
+def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, float, np.ndarray] | None:
+    """labelled: doc_id and label (1: toxic) of documents in docs."""
+    return fit(bounded_sample(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text))
+
+
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray] | None, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with held_out, score and predicted in columns of their own (tox_held_out, tox_score, tox_predicted)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,5 +254,11 @@ def score_documents(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "tox_score"])
 
     docs = docs.drop("tox_held_out", "tox_score", "tox_predicted")
-    scored = docs.mapInArrow(run, docs.schema.add("tox_score", "double"))
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType())]))
     return scored.withColumn("tox_held_out", held_out(F.col(doc_id))).withColumn("tox_predicted", (F.col("tox_score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs without those predicted toxic; all of them if nothing could be learned."""
+    model = learn(docs, labelled)
+    return docs if model is None else score_documents(docs, model, threshold).where("tox_predicted = 0").select(*docs.columns)
