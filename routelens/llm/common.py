@@ -47,6 +47,15 @@ def heavy_keys(df: DataFrame, key: str) -> list:
     return keys
 
 
+#: A table of ids of up to so many rows is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 250_000
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """ids (a saved table with narrow rows), with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def cumulative_hash_fraction(*cols) -> F.Column:
     """A deterministic number in [0, 1) from the given columns, for sampling."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, saved
 from .words import ALNUM, Words, mix, shingles, words
 
 SEED_WORDS, RARE_FACTOR, RARE_FLOOR, ITEM_WORDS = 3, 8, 2, 1_000_000
@@ -222,5 +223,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4) -> DataFrame:
     """docs without those that hold a copy of a test item."""
-    leaks = find_leaks(docs, items, min_score).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    leaks = saved(find_leaks(docs, items, min_score).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")

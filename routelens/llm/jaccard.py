@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import broadcast_if_small, saved
 from .graph import components
 from .words import mix, shingles, words
 
@@ -78,7 +78,7 @@ def _range_keys(s: np.ndarray, edges: np.ndarray, salt: np.uint64) -> tuple[np.n
 
 
 def class_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the set's tiles, the lowest bit telling a weak key, and the keys of the second cut, as (band, key) rows."""
+    """Keys of the set's tiles, the lowest bit telling a weak key, and the keys of the second cut of bands with weak keys."""
     first, second, turned = [], [], None
     for band in bands.emitted(len(s)):
         edges = bands.ranges(band)
@@ -90,8 +90,7 @@ def class_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         first.append(((keys >> np.uint64(1)) << np.uint64(1)) | weak.astype(np.uint64))
         if weak.any():
             turned = np.sort(mix(s ^ _SECOND)) if turned is None else turned
-            second.append(np.stack([np.full(len(edges) + 1, tag), _range_keys(turned, edges, tag)[0]], axis=1).ravel())
-            # a weak key names its band by position: the second cut of that band follows in the same order
+            second.append(mix(_range_keys(turned, edges, tag)[0] ^ tag))
     none = np.zeros(0, np.uint64)
     return (np.concatenate(first) if first else none), (np.concatenate(second) if second else none)
 
@@ -162,13 +161,12 @@ def _tile_rows(classes: DataFrame) -> DataFrame:
 
 
 def _finer_rows(dense: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, cls) of dense tiles with weak keys, divided by the second cut. Classes of one tile share a band, so its tag too."""
+    """Rows (key, cls) of dense tiles with weak keys, divided by the second cut; classes of a tile share its band's keys too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, cls, second in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), strict=True):
-                pairs = np.frombuffer(second, np.uint64).reshape(-1, 2)
-                finer = np.unique(mix(pairs[:, 1] ^ mix(key.astype(np.uint64) ^ pairs[:, 0])).view(np.int64))
+                finer = np.unique(mix(np.frombuffer(second, np.uint64) ^ mix(key.astype(np.uint64))).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(np.full(len(finer), cls))], names=["key", "cls"])
 
     return dense.join(classes.select("cls", "second"), "cls").select("key", "cls", "second").mapInArrow(run, "key long, cls long")
@@ -272,7 +270,7 @@ def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     sized = saved(sized.withColumn("blocks", F.greatest(F.ceil(F.col("m") / UNIT_CLASSES), F.ceil(F.col("total") / UNIT_SHINGLES)).cast("int")), "jaccard-units")
     members = saved(members.join(sized.select("unit", "blocks", "hub"), "unit"), "jaccard-members")
     texts = docs.select(F.col("doc_id").alias("__d"), "text")
-    rows = members.join(texts, members["doc_id"].eqNullSafe(texts["__d"])).select("cls", "unit", "blocks", "hub", "text")
+    rows = texts.join(broadcast_if_small(members), F.col("doc_id").eqNullSafe(F.col("__d"))).select("cls", "unit", "blocks", "hub", "text")
     zero = F.lit(0)
     found = _compare_units(rows.where("blocks = 1").select("unit", "cls", zero.alias("role"), "text"), size, percent)
     if sized.where("blocks > 1").isEmpty():
@@ -302,12 +300,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, tex
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = saved(classes_of(docs, shingle, percent), "jaccard-sets")
-    classes = saved(
-        every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("second").alias("second")), "jaccard-classes"
-    )
-    stars = saved(_stars(_tile_rows(classes)).where(F.expr(f"cls <> hub OR (m > {DENSE} AND key % 2 <> 0)")), "jaccard-tiles")
+    classes = saved(every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n")), "jaccard-classes")
+    first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
+    with_keys = every.join(broadcast_if_small(first), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    stars = saved(_stars(_tile_rows(with_keys)).where(F.expr(f"cls <> hub OR (m > {DENSE} AND key % 2 <> 0)")), "jaccard-tiles")
     weak = F.expr(f"m > {DENSE} AND key % 2 <> 0")
-    finer = _stars(_finer_rows(stars.where(weak), classes))
+    finer = _stars(_finer_rows(stars.where(weak), with_keys))
     edges = stars.where(~weak).select("cls", "hub").unionByName(finer.select("cls", "hub")).where("cls <> hub")
     units = components(edges.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
     members = classes.select("cls", "doc_id", "n").join(units.select(F.col("node").alias("cls"), F.col("label").alias("unit")), "cls")
@@ -321,5 +319,5 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, tex
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id (a null doc_id: all its rows stay)."""
     found = jaccard_components(docs, shingle, percent)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = saved(found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "jaccard-kept")
+    return docs.join(broadcast_if_small(kept), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
