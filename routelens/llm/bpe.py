@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .words import chunks, text_buffer
 
-CACHE_WORDS, CACHE_ARCS, LONG_WORD = 400_000, 400_000, 64
+CACHE_WORDS, CACHE_ARCS, LONG_WORD = 250_000, 250_000, 64
 #: Pre-splitting pattern of byte-level BPE. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -7,8 +7,9 @@ Tiles. Two sets with similarity p % or more differ in at most (100 - p) / (100 +
 bands; for a band the hash space is cut into one range more than the largest difference of a pair whose smaller set lies in it.
 Then some range holds the same shingles of both. The hash of each range's shingles, with band and range, is a key, and the
 classes with a key are a tile. A class has keys for its own band and for a smaller one that it can still match. Keys of ranges
-with few shingles say little; a tile of more than DENSE classes with such a key is divided again by the ranges of a second,
-independent cut, of which the pair must share one too. So no pair is lost and no tile or candidate is capped.
+with few shingles say little: in a tile with such a key, bit counts of bitmap signatures decide which classes can be similar at
+all, and only those hang together. So no pair is lost and no tile or candidate is capped; a tile of more
+than UNIT_CLASSES classes is compared in pairs of blocks.
 
 Comparison. Tiles that share classes are compared together, each class shipped once: within such a unit rows are ordered by
 size, bit counts of 1024-bit signatures bound the overlap from above, and sorted arrays of what is left are intersected
@@ -35,9 +36,9 @@ from .common import broadcast_if_small, saved
 from .graph import components
 from .words import mix, shingles, words
 
-BAND_RATIO, DENSE, WEAK = 1.3, 64, 2
+BAND_RATIO, WEAK, LEAST_BITS, UNIT_BITS = 1.3, 2, 512, 1024
 UNIT_CLASSES, UNIT_SHINGLES = 4096, 4_000_000
-_SET, _PART, _SECOND = np.uint64(0xA24BAED4963EE407), np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)
+_SET, _PART = np.uint64(0xA24BAED4963EE407), np.uint64(0x8EBC6AF09C88C6E3)
 
 
 class Bands:
@@ -77,22 +78,34 @@ def _range_keys(s: np.ndarray, edges: np.ndarray, salt: np.uint64) -> tuple[np.n
     return mix((total[at[1:]] - total[at[:-1]]) ^ mix(number + salt)), np.diff(at)
 
 
-def class_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the set's tiles, the lowest bit telling a weak key, and the keys of the second cut of bands with weak keys."""
-    first, second, turned = [], [], None
+def class_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys of the set's tiles, the lowest bit telling a weak key."""
+    out = [np.zeros(0, np.uint64)]
     for band in bands.emitted(len(s)):
         edges = bands.ranges(band)
-        if not len(edges):
-            continue
-        tag = mix(np.uint64(band) ^ _PART)
-        keys, count = _range_keys(s, edges, tag)
-        weak = count <= WEAK
-        first.append(((keys >> np.uint64(1)) << np.uint64(1)) | weak.astype(np.uint64))
-        if weak.any():
-            turned = np.sort(mix(s ^ _SECOND)) if turned is None else turned
-            second.append(mix(_range_keys(turned, edges, tag)[0] ^ tag))
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(first) if first else none), (np.concatenate(second) if second else none)
+        if len(edges):
+            keys, count = _range_keys(s, edges, mix(np.uint64(band) ^ _PART))
+            out.append(((keys >> np.uint64(1)) << np.uint64(1)) | (count <= WEAK).astype(np.uint64))
+    return np.concatenate(out)
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Signature of a set: the bit of each shingle's leading bits. bits: a power of two."""
+    on = np.zeros(bits, np.uint8)
+    on[(s >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = 1
+    return np.packbits(on).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same signature with fewer bits: neighbours fall together."""
+    on = np.unpackbits(bits.view(np.uint8)).reshape(words * 64, -1)
+    return np.packbits(on.any(axis=1)).view(np.uint64)
+
+
+def most_common(bits: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of a set of n with others: a bit that one lacks stands for a shingle at least."""
+    mine = n - np.bitwise_count(bits & ~others).sum(axis=1, dtype=np.int64)
+    return np.minimum(mine, sizes - np.bitwise_count(others & ~bits).sum(axis=1, dtype=np.int64))
 
 
 def document_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -130,7 +143,7 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
 
 
 def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, cls, keys and second of every document."""
+    """doc_id, n, cls, keys and bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -138,12 +151,13 @@ def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for doc_id, s in zip(b.column(0).to_pylist(), document_sets(b.column(1), size), strict=True):
-                    first, second = class_keys(s, bands) if len(s) else (s, s)
-                    yield doc_id, len(s), _set_hash(s), first.tobytes(), second.tobytes()
+                    keys = class_keys(s, bands) if len(s) else s
+                    bits = bitmap(s, max(LEAST_BITS, 1 << (2 * len(s)).bit_length())).tobytes() if (keys & np.uint64(1)).any() else b""
+                    yield doc_id, len(s), _set_hash(s), keys.tobytes(), bits
 
-        yield from _batches(rows(), ["doc_id", "n", "cls", "keys", "second"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        yield from _batches(rows(), ["doc_id", "n", "cls", "keys", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, keys binary, second binary")
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, keys binary, bits binary")
 
 
 def _tile_rows(classes: DataFrame) -> DataFrame:
@@ -160,16 +174,48 @@ def _tile_rows(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "keys").mapInArrow(run, "key long, cls long")
 
 
-def _finer_rows(dense: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (key, cls) of dense tiles with weak keys, divided by the second cut; classes of a tile share its band's keys too."""
+def _possible(weak_rows: DataFrame, with_keys: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that hang together what the signatures leave possible in each tile. weak_rows: key, cls, m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tile, out = {}, None, []
+
+        def compare() -> None:
+            cls = sorted(held, key=lambda c: held[c][0])
+            n = np.array([held[c][0] for c in cls], np.int64)
+            raw = [np.frombuffer(held[c][1], np.uint64) for c in cls]
+            least = min(map(len, raw))
+            bits = np.stack([x if len(x) == least else folded(x, least) for x in raw])
+            label = np.arange(len(cls))
+            for i in range(len(cls) - 1):
+                end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+                others = np.arange(i + 1, end)[label[i + 1 : end] != label[i]]
+                if len(others):
+                    near = others[(100 + percent) * most_common(bits[i], n[i], bits[others], n[others]) >= percent * (n[i] + n[others])]
+                    for j in near[np.unique(label[near], return_index=True)[1]]:
+                        out.append((cls[i], cls[j]))
+                        label[label == label[j]] = label[i]
+
         for b in batches:
-            for key, cls, second in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), strict=True):
-                finer = np.unique(mix(np.frombuffer(second, np.uint64) ^ mix(key.astype(np.uint64))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(np.full(len(finer), cls))], names=["key", "cls"])
+            for t, c, n, bits in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if t != tile:
+                    if len(held) > 1:
+                        compare()
+                    held, tile = {}, t
+                held[c] = n, bits
+                if len(out) > 100_000:
+                    yield _link_rows(out)
+                    out = []
+        if len(held) > 1:
+            compare()
+        if out:
+            yield _link_rows(out)
 
-    return dense.join(classes.select("cls", "second"), "cls").select("key", "cls", "second").mapInArrow(run, "key long, cls long")
+    blocks = F.ceil(F.col("m") / UNIT_CLASSES).cast("int")
+    cut = weak_rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(F.lit(6), "cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("cls", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    rows = with_keys.select("cls", "n", "bits").join(cut, "cls").select("tile", "cls", "n", "bits")
+    return rows.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(run, "a long, b long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -178,6 +224,25 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.select("key", "cls", F.min("cls").over(w).alias("hub"), F.count("*").over(w).alias("m")).where("m > 1")
 
 
+def _units_of(stars: DataFrame, with_keys: DataFrame, percent: int) -> DataFrame:
+    """cls and unit of the classes that share a tile, tiles with weak keys counting only where signatures leave it possible.
+
+    Such a tile is looked at only if it spans several units of the other tiles: within a unit all is compared anyway.
+    """
+    weak = F.expr("key % 2 <> 0")
+    edges = stars.where(~weak).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    first = components(edges).select(F.col("node").alias("cls"), F.col("label").alias("unit"))
+    weak_rows = saved(stars.where(weak).select("key", "cls", "m").join(first, "cls", "left").select("key", "cls", "m", F.coalesce("unit", "cls").alias("unit")), "jaccard-weak")
+    spans = saved(weak_rows.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "jaccard-spans")
+    if spans.isEmpty():
+        return first
+    more = saved(_possible(weak_rows.join(broadcast_if_small(spans), "key").select("key", "cls", "m"), with_keys, percent).distinct(), "jaccard-possible")
+    unit = saved(first.unionByName(weak_rows.select("cls", "unit")).distinct(), "jaccard-first-units")
+    of = lambda c, n: unit.select(F.col("cls").alias(c), F.col("unit").alias(n))
+    joined = components(more.join(of("a", "ua"), "a").join(of("b", "ub"), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")).where("a <> b").distinct())
+    return unit.join(joined, F.col("unit") == F.col("node"), "left").select("cls", F.coalesce("label", "unit").alias("unit"))
+
+
 class Unit:
     """The sets that are compared together, ordered by size."""
 
@@ -186,12 +251,7 @@ class Unit:
         self.cls, self.sets, self.percent = [r[0] for r in rows], [r[1] for r in rows], percent
         self.n = np.array([len(s) for s in self.sets], np.int64)
         self.label = np.arange(len(rows))
-        self.bits = np.zeros((len(rows), 16), np.uint64)
-        for i, s in enumerate(self.sets):
-            bit = (s >> np.uint64(54)).astype(np.int64)
-            on = np.zeros(1024, np.uint8)
-            on[bit] = 1
-            self.bits[i] = np.packbits(on).view(np.uint64)
+        self.bits = np.stack([bitmap(s, UNIT_BITS) for s in self.sets])
         self.links: list[tuple[int, int]] = []
 
     def compare(self, i: int, others: np.ndarray) -> None:
@@ -200,10 +260,7 @@ class Unit:
         others = others[(self.label[others] != self.label[i]) & (p * np.maximum(self.n[others], self.n[i]) <= 100 * np.minimum(self.n[others], self.n[i]))]
         if not len(others):
             return
-        mine, theirs = self.bits[i], self.bits[others]
-        most = np.minimum(
-            self.n[i] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), self.n[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
-        )
+        most = most_common(self.bits[i], self.n[i], self.bits[others], self.n[others])
         for j in others[(100 + p) * most >= p * (self.n[i] + self.n[others])]:
             if self.label[j] == self.label[i]:
                 continue
@@ -303,12 +360,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, tex
     classes = saved(every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n")), "jaccard-classes")
     first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
     with_keys = every.join(broadcast_if_small(first), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    stars = saved(_stars(_tile_rows(with_keys)).where(F.expr(f"cls <> hub OR (m > {DENSE} AND key % 2 <> 0)")), "jaccard-tiles")
-    weak = F.expr(f"m > {DENSE} AND key % 2 <> 0")
-    finer = _stars(_finer_rows(stars.where(weak), with_keys))
-    edges = stars.where(~weak).select("cls", "hub").unionByName(finer.select("cls", "hub")).where("cls <> hub")
-    units = components(edges.select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
-    members = classes.select("cls", "doc_id", "n").join(units.select(F.col("node").alias("cls"), F.col("label").alias("unit")), "cls")
+    stars = saved(_stars(_tile_rows(with_keys)).where(F.expr("cls <> hub OR key % 2 <> 0")), "jaccard-tiles")
+    units = _units_of(stars, with_keys, percent)
+    members = classes.select("cls", "doc_id", "n").join(units, "cls")
     linked = components(_links(docs, members, shingle, percent))
     ids = saved(classes.select("cls", "doc_id").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "jaccard-labels")
     least = saved(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")

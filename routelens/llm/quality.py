@@ -27,7 +27,7 @@ from .common import bounded_sample, held_out
 from .words import NON_SPACE, text_buffer, words
 
 SPACE, FACTORS, BINS = 8192, 8, 8
-SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH, RATE, DECAY = 2500, 32_768, 12, 256, 0.02, 1e-4
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEPS, BATCH, RATE, DECAY = 1500, 16_384, 15, 180, 256, 0.02, 1e-4
 _NOT_NEWLINE = np.ones(256, bool)
 _NOT_NEWLINE[10] = False
 #: Kinds of bytes whose shares are statistics.
@@ -49,7 +49,13 @@ class Machine(NamedTuple):
 
 
 def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics of each text, and its distinct word columns as flat values with bounds."""
+    """Statistics of each text, and its distinct word columns as flat values with bounds; some texts at a time."""
+    parts = [_describe(texts[lo : lo + 300]) for lo in range(0, len(texts), 300)] or [_describe(texts)]
+    sizes = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(texts)
     data, offsets = text_buffer(texts)
     stats = np.zeros((n, len(STATISTICS)))
@@ -129,9 +135,9 @@ def fit(sample: list[tuple[str, np.ndarray, int]], prior: float) -> Machine | No
     rng = np.random.default_rng(3)
     bias, w, v = np.log(prior / (1 - prior)), np.zeros(size, np.float32), rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v)]
-    t = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    t, epochs = 0, max(EPOCHS, -(-STEPS * BATCH // len(label)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for part in np.array_split(rng.permutation(len(label)), -(-len(label) // BATCH)):
             x = np.zeros((len(part), size), np.float32)
             for i, d in enumerate(part):

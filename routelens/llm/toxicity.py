@@ -32,7 +32,7 @@ from .common import bounded_sample, held_out
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
 
 SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 96, 96, 3
-SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, REGULAR, SEEN, NEAR = 1500, 32_768, 2, 30, 1e-5, 0.15, 0.2
+SAMPLE, SAMPLE_BYTES, ROUNDS, STEPS, REGULAR, SEEN, NEAR = 1000, 16_384, 2, 30, 1e-5, 0.15, 0.25
 #: Six bits for a character: digits, letters, and the bytes of other scripts in 26 groups.
 _KIND = np.array([36 + b % 26 if b >= 128 else (b - 48) % 10 for b in range(256)], np.int32)
 _KIND[97:123] = np.arange(10, 36)
@@ -110,14 +110,14 @@ def _features(words: list[bytes], used: np.ndarray, columns: np.ndarray) -> Iter
     slot = np.full(1 << 18, len(used), np.int32)
     slot[used] = np.arange(len(used))
     columns = np.concatenate([columns, np.zeros((1, columns.shape[1]))]).astype(np.float32)
-    for lo in range(0, len(words), 5000):
-        part = words[lo : lo + 5000]
+    for lo in range(0, len(words), 2000):
+        part = words[lo : lo + 2000]
         length = np.array([len(w) for w in part])
         chars, starts = np.frombuffer(b"".join(part), np.uint8), np.append(0, np.cumsum(length)[:-1])
         value = np.zeros((len(chars), columns.shape[1]), np.float32)
         for at, code, weight in _triples(chars, starts):
             value[at] += np.float32(weight) * columns[slot[code]]
-        yield np.add.reduceat(value, starts, axis=0) / _norms(int(length.max()))[length][:, None]
+        yield np.add.reduceat(value, starts, axis=0) / _norms(int(length.max()))[length][:, None].astype(np.float32)
 
 
 def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] | None:
@@ -152,7 +152,7 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] |
     value, vector = np.linalg.eigh(described @ described.T)
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    near = np.flatnonzero(alike >= NEAR)  # the machine learns from these words; all others are far from every toxic landmark
+    near = np.union1d(np.flatnonzero(alike >= NEAR), plain)  # the machine learns from these words; all others are far from every toxic landmark
     z = np.concatenate(list(_features([names[i] for i in near], used, described.T @ root)))
 
     guess = np.where(np.isfinite(strength), strength / strength.max() - SEEN, -1.0)
@@ -192,20 +192,19 @@ def _machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.nd
 
     toxic, clean: how much each row counts as an example of either label.
     """
-    x = np.concatenate([z[toxic > 0], z[clean > 0]])
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    y = np.append(np.ones(int((toxic > 0).sum())), -np.ones(int((clean > 0).sum())))
-    share = np.append(toxic[toxic > 0], clean[clean > 0])
+    x = np.concatenate([z, np.ones((len(z), 1), np.float32)], axis=1)
     ridge = np.full(x.shape[1], REGULAR)
     ridge[-1] = 1e-9
-    w, active = np.zeros(x.shape[1]), np.ones(len(y), bool)
+    w, below, above = np.zeros(x.shape[1]), np.ones(len(z), bool), np.ones(len(z), bool)
     for _ in range(STEPS):
-        xa = x[active] * share[active][:, None]
-        w = np.linalg.solve(xa.T @ x[active] + np.diag(ridge), xa.T @ y[active])
-        now = y * (x @ w) < 1
-        if (now == active).all():
+        t, c = toxic * below, clean * above
+        used = np.flatnonzero(t + c)
+        rows = x[used].astype(np.float64)
+        w = np.linalg.solve((rows * (t + c)[used][:, None]).T @ rows + np.diag(ridge), rows.T @ (t - c)[used])
+        f = x @ w
+        if ((f < 1) == below).all() and ((f > -1) == above).all():
             break
-        active = now
+        below, above = f < 1, f > -1
     return w[:-1], float(w[-1])
 
 

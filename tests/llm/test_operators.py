@@ -1,0 +1,253 @@
+"""The ten operators on small fixtures: nulls, empty and odd texts, ties, repeated rows, empty tables, and brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from routelens.llm import bpe, decontaminate, html_text, jaccard, langid, quality, sharding, topk, toxicity, warc
+
+DOCS = "doc_id long, text string"
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, "one two"), (6, "é" * 3000), (7, "<|endoftext|> a  b\t\n"), (None, "lost id here now"), (9, "A b C d E f G"), (10, "a B c D e F g")]
+
+
+def odd(spark):
+    return spark.createDataFrame([(i, t, "x", 1.0) for i, t in ODD], "doc_id long, text string, label string, score double")
+
+
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, label string, score double")
+
+
+def brute_components(rows, size, percent):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((i, {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())))
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= percent * len(x | y) and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    return sorted((str(i), len(s), str(least.get(root[k]) if s else i)) for k, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_jaccard_equals_brute_force(spark, size, percent):
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choice(words, 40))
+    rows = list(ODD)
+    for k in range(60):
+        base = list(rng.choice(words, rng.integers(3, 120)))
+        rows.append((100 + 10 * k, " ".join(base) + " " + passage * (k % 2)))
+        for c in range(k % 5):
+            edited = list(base)
+            for _ in range(c):
+                edited[rng.integers(len(edited))] = str(rng.choice(words))
+            rows.append((101 + 10 * k + c, " ".join(edited) + " " + passage * (k % 2)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), size, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, size, percent)
+
+
+def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_CLASSES", 6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 3, 80).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 80)
+
+
+def test_jaccard_empty(spark):
+    assert jaccard.jaccard_components(none(spark)).count() == 0
+
+
+def test_leaks(spark):
+    item = "the quick brown fox jumps over a very lazy dog while seven wizards quietly count their golden coins"
+    edited = item.replace("brown", "red").replace("lazy", "idle").replace("seven ", "")
+    rows = [(1, "before " + item + " after"), (2, "say: " + edited.upper() + "!"), (3, "nothing of the kind over a very long road"), (4, None), (5, ""), (1, "before " + item)]
+    items = spark.createDataFrame([(7, item, 0), (8, None, 0), (9, "", 0)], "item_id long, text string, doc_id int")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, DOCS), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 7), (1, 7), (2, 7)]
+    exact = next(r for r in got if r.doc_id == 1)
+    assert exact.score == 1.0 and (exact.first_word, exact.last_word) == (1, 1 + len(item.split()))
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(spark.createDataFrame(rows, DOCS), items).collect()) == [3, 4, 5]
+    assert decontaminate.find_leaks(none(spark), items).count() == 0
+    assert decontaminate.find_leaks(odd(spark), items.limit(0)).count() == 0
+
+
+def brute_smith_waterman(a, b):
+    h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+            best = max(best, h[i, j])
+    return best
+
+
+def test_alignment_equals_brute_force():
+    rng = np.random.default_rng(1)
+    windows = [rng.integers(1, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(50)]
+    items = [rng.integers(1, 6, rng.integers(1, 20)).astype(np.uint64) for _ in range(50)]
+    assert decontaminate.align(windows, items)[0].tolist() == [brute_smith_waterman(a, b) for a, b in zip(windows, items)]
+
+
+def test_shards(spark):
+    rows = ODD + [(1000 + i, "copy" * 50) for i in range(300)] + [(2000 + i, "x" * i) for i in range(300)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, DOCS), 5).collect()
+    assert len(got) == len(rows)
+    total = sum(r["size"] for r in got)
+    for s in range(5):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 5) <= 6200
+    want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
+    assert sorted((r["size"], r.text_crc32) for r in got) == want
+    assert sharding.assign_shards(none(spark), 5).count() == 0
+
+
+def test_bpe_equals_library(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = {i: t for i, t in ODD if i not in (4, None)}
+    got = bpe.digest(bpe.encode_documents(odd(spark), path)).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        if r.doc_id in texts:
+            ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.encode_documents(none(spark), path).count() == 0
+
+
+def test_automaton_on_random_words():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, automaton = Tokenizer.from_file(path), bpe.Automaton(open(path).read())
+    rng = np.random.default_rng(2)
+    for alphabet in ("etaoinshrdlu", "aab", "é中😀 \n'sx1"):
+        for _ in range(300):
+            text = "".join(rng.choice(list(alphabet), rng.integers(0, 40)))
+            assert np.frombuffer(automaton.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big, other = "<p>é</p>" * 300, "x" * 1500
+    rows = [(1, "u1", big), (2, None, big), (5, "u\r\n5", big), (3, "u3", None), (4, "u4", ""), (6, "u6", "small"), (7, "u7", "small"), (8, "u8", other)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, bytes string")
+    folder = f"file://{tmp_path}/warc"
+    got = {r.page_id: r for r in warc.read_archives(spark, warc.write_archives(pages, folder), folder).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        body = (h or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(body), hashlib.sha1(body).hexdigest())
+        assert got[i].payload is None if got[i].record_type == "revisit" else bytes(got[i].payload) == body
+    assert {i: got[i].refers_to for i in got if got[i].record_type == "revisit"} == {1: 5, 2: 5}
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_top_k_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (400, 8)).astype(np.float32)
+    v[50:120] = v[50]
+    rows = [(i, [float(x) for x in v[i]], 0) for i in range(400)] + [(900, None, 0), (1000, [float("nan")] * 8, 0), (1100, [1.0, None] + [0.0] * 6, 0)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), 10, 50).collect()
+    q = np.floor(v.astype(float) * 1024).astype(np.int64)
+    want = []
+    for i in range(0, 400, 50):
+        s = q @ q[i]
+        best = sorted((-s[j], j) for j in range(400) if j != i)[:10]
+        want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    few = topk.top_k(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, score int"), 10, 2).collect()
+    assert len(few) == 4
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_language(spark):
+    de, en = "der die und nicht schön ", "the and of not nice "
+    rows = [(i, (de if i % 2 else en) * (1 + i % 3), "de" if i % 2 else "en") for i in range(60)] + [(100, None, None), (101, "12 34 !", "en"), (102, "", None), (103, en * 1000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = {r.doc_id: r for r in langid.identify(docs, docs.select("doc_id", "label")).collect()}
+    assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(60)) and got[103].lang_pred == "en"
+    assert {got[i].lang_pred for i in (100, 101, 102)} == {"und"}
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
+    assert langid.identify(none(spark), none(spark).select("doc_id", "label")).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd(spark), none(spark).select("doc_id", "label")).collect()} == {"und"}
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(4)
+    plain = ["river", "stone", "gently", "window", "carry", "morning", "paper", "bottle", "garden", "yellow", "summer", "walking"]
+    rows = []
+    for i in range(200):
+        w = list(rng.choice(plain, 30))
+        if i % 4 == 0:
+            w[5], w[20] = "blockhead", "nitwit"
+        rows.append((i, " ".join(w) + ".", int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tox int")
+    model = toxicity.learn(docs, docs.select("doc_id", docs.tox.alias("label")))
+    more = spark.createDataFrame([(500, "you block-head and n i t w i t"), (501, "gently walking by the river"), (502, None), (503, ""), (504, "blockheed blockhead niitwit")], DOCS)
+    got = {r.doc_id: r.tox_predicted for r in toxicity.score_documents(docs.select("doc_id", "text").unionByName(more), model).collect()}
+    assert all(got[i] == int(i % 4 == 0) for i in range(200))
+    assert (got[500], got[501], got[502], got[503], got[504]) == (1, 0, 0, 0, 1)
+    assert toxicity.drop_toxic(odd(spark), none(spark).select("doc_id", "label").limit(0)).count() == len(ODD)
+    assert toxicity.score_documents(none(spark), model).count() == 0
+
+
+def test_quality(spark):
+    rng = np.random.default_rng(5)
+    plain = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(plain, 60)) if i % 3 else " ".join([str(rng.choice(plain)) + "$$$"] * 60), int(i % 3 > 0), i if i % 7 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, q int, n_chars long")
+    model = quality.learn(docs, docs.select("doc_id", docs.q.alias("label")), ("n_chars",))
+    got = quality.score_documents(docs, model, 0.3, ("n_chars",)).collect()
+    assert np.mean([r.qual_predicted == r.q for r in got]) > 0.98
+    few = quality.score_documents(spark.createDataFrame([(i, t, None) for i, t in ODD], "doc_id long, text string, n_chars long"), model, 0.3, ("n_chars",)).collect()
+    assert len(few) == len(ODD) and all(0 <= r.qual_score <= 1 for r in few)
+    assert quality.drop_poor(odd(spark), none(spark).select("doc_id", "label")).count() == len(ODD)
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(6)
+    v, x = rng.normal(size=(7, 3)), rng.normal(size=7)
+    pairs = sum(v[i] @ v[j] * x[i] * x[j] for i in range(7) for j in range(i))
+    sums = x @ v
+    assert np.isclose(pairs, 0.5 * ((sums**2).sum() - ((v * x[:, None]) ** 2).sum()))
+
+
+PAGES = {
+    "<p>a<p>b<div>c</div>d": "a\n\nb\n\nc\nd",
+    "<ul><li>a<li>b<ul><li>c</ul></ul>x": "- a\n- b\n  - c\n\nx",
+    "<ol start=3><li>q<li>r</ol>": "3. q\n4. r",
+    "<table><tr><td>a<td>bbb<tr><td colspan=2>long cell<tr><td rowspan=2>x<td>y<tr><td>z</table>t": "a  bbb\nlong cell\nx  y\n   z\n\nt",
+    "<pre>  a\n  b</pre>c": "  a\n  b\n\nc",
+    "<div hidden>no</div>yes<style>.h{display:none}</style><p class='a h'>no<p>ok": "yes\n\nok",
+    "<details><summary>s</summary>no</details><script>no</script>": "s",
+    "<blockquote>q<p>r</blockquote>s": "> q\n>\n> r\n\ns",
+    "<table>oops<tr><td>a</table>": "oops\n\na",
+    "x < y &amp; z": "x < y & z",
+    "": "",
+    "<div>" * 3000 + "x": "x",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_page_text(page):
+    assert html_text.page_text(page)[0] == PAGES[page]
+
+
+def test_extract(spark):
+    rows = [(1, "u", "<title>T</title><p>a"), (2, None, None), (2, None, None), (3, "v", "")]
+    got = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id, str(r.title), str(r.text)) for r in got) == [(1, "T", "a"), (2, "None", "None"), (2, "None", "None"), (3, "None", "")]
