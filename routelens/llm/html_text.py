@@ -231,6 +231,7 @@ class Renderer:
             self.parts.append(first)
             for line in rest:
                 self.flush(True)
+                self.as_is = True
                 self.parts.append(line)
             return
         value = _SPACE.sub(" ", value)
