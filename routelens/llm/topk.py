@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-CANDIDATES, QUERIES = 8192, 2048
+CANDIDATES, QUERIES, BATCH = 8192, 2048, 64
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -37,44 +37,44 @@ def quantised(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", emb
 
 
 def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, and the ids and scores of its k best candidates of this cell."""
+    """For each query: its id, and the ids and scores of its k best candidates of this cell.
+
+    What the lists' first entries add to each candidate is summed for BATCH queries at once, by products with the matrices of
+    the components read so far from either end. All numbers are whole and below 2^53, so the bounds are exact.
+    """
     n, dims = c.shape
-    order = np.argsort(c, axis=0, kind="stable").T.astype(np.int32)  # of each dimension, candidates by component
-    lists = np.take_along_axis(c.T, order, axis=1).astype(np.float64)
-    low, high = lists[:, 0], lists[:, -1]
-    for query_id, row in zip(q_ids, q, strict=True):
-        weight = row.astype(np.float64)
-        up = weight > 0
-        best = np.maximum(weight * low, weight * high)
-        worst = np.minimum(weight * low, weight * high)
-        used = np.flatnonzero(best > worst)  # a list of equal components is read by its first entry
-        base = best.sum() - best[used].sum()
-        partial, gain, loss = np.full(n, base), np.zeros(n), np.zeros(n)
-        depth, alive = 0, np.arange(n)
-        step = max(k + 1, n // 8)
-        while depth < n and len(used):
-            to = min(n, depth + step)
-            for d in used:
-                part = slice(n - to, n - depth) if up[d] else slice(depth, to)
-                ids = order[d, part]
-                partial[ids] += weight[d] * lists[d, part]
-                loss[ids] += worst[d]
-            depth = to
-            at = np.where(up, n - depth, depth - 1)[used]
-            frontier = weight[used] * lists[used, at]
-            gain[:] = 0
-            for d, f in zip(used, frontier, strict=True):
-                gain[order[d, n - depth :] if up[d] else order[d, :depth]] += f
-            lower = partial + (worst[used].sum() - loss)
-            upper = partial + (frontier.sum() - gain)
-            k_th = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-            alive = np.flatnonzero(upper >= k_th)
-            if len(alive) <= max(4 * k, n // 4):
-                break
-            step = depth
-        score = c[alive] @ row
-        own = c_ids[alive] != query_id
-        ids, score = c_ids[alive][own], score[own]
+    values = c.astype(np.float64)
+    order = np.argsort(values, axis=0, kind="stable")
+    lists = np.take_along_axis(values, order, axis=0)  # of each dimension, components in order
+    rank = np.empty((n, dims), np.int32)
+    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+    depths = sorted({min(n, max(k + 1, -(-n // part))) for part in (8, 4, 2, 1)})
+    found: dict[int, np.ndarray] = {}
+    waiting = np.arange(len(q_ids))
+    for depth in depths:
+        top, bottom = rank >= n - depth, rank < depth
+        read = np.concatenate([values * top, values * bottom, top, bottom], axis=1).T
+        left = []
+        for part in np.array_split(waiting, max(1, -(-len(waiting) // BATCH))):
+            w = q[part].astype(np.float64)
+            up = w > 0
+            worst = np.where(up, w * lists[0], w * lists[-1])
+            frontier = np.where(up, w * lists[n - depth], w * lists[depth - 1])
+            by_end = lambda x, up=up: np.concatenate([x * up, x * ~up], axis=1)
+            lower = np.concatenate([by_end(w), by_end(-worst)], axis=1) @ read + worst.sum(axis=1, keepdims=True)
+            upper = np.concatenate([by_end(w), by_end(-frontier)], axis=1) @ read + frontier.sum(axis=1, keepdims=True)
+            k_th = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
+            may = upper >= k_th[:, None]
+            done = (may.sum(axis=1) <= max(4 * k, n // 4)) | (depth == n)
+            for i in np.flatnonzero(done):
+                found[part[i]] = np.flatnonzero(may[i])
+            left.append(part[~done])
+        waiting = np.concatenate(left)
+        if not len(waiting):
+            break
+    for i, query_id in enumerate(q_ids):
+        alive = found[i][c_ids[found[i]] != query_id]
+        score, ids = c[alive] @ q[i], c_ids[alive]
         if len(ids) > k:
             cut = np.partition(score, len(score) - k)[len(score) - k]
             ids, score = ids[score >= cut], score[score >= cut]
