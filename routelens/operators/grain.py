@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 def call_grain(rows: DataFrame, key: str, variants: list[str], order: list[Column]) -> DataFrame:
     """One row per key: rows, n_<variant> (distinct values, null being one), conflict, and the first row in the given order.
+    Rows equal in that order are taken by their other columns from left to right, least and null first.
 
     The first row is taken by an aggregate, so that hot keys are combined before the shuffle.
     """
@@ -16,7 +17,7 @@ def call_grain(rows: DataFrame, key: str, variants: list[str], order: list[Colum
     first = F.min(F.struct(*[o.alias(f"__o{i}") for i, o in enumerate(order)], *rest)).alias("__first")
     counts = [F.count_distinct(F.coalesce(F.col(v).cast("string"), F.lit("<NULL>"))).alias(f"n_{v}") for v in variants]
     out = rows.groupBy(key).agg(F.count("*").alias("n_rows"), *counts, first)
-    conflict = F.greatest(*(F.col(f"n_{v}") for v in variants), F.lit(1)) > 1
+    conflict = F.array_max(F.array(F.lit(1).cast("long"), *(F.col(f"n_{v}") for v in variants))) > 1
     return out.select(key, "n_rows", *(f"n_{v}" for v in variants), conflict.alias("conflict"), *(F.col(f"__first.{c}").alias(c) for c in rest))
 
 
@@ -68,3 +69,35 @@ def best_exact_key(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str
         if share >= least and (best is None or share > best[2]):
             best = (lk, rk, share)
     return best
+
+
+def complete_grain(rows: DataFrame, key: str, fields: list[str], variants: list[str], order: list[Column]) -> DataFrame:
+    """The most complete row of each key (most non-null fields, then the order); keys whose variants conflict are dropped (A2)."""
+    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
+    out = call_grain(rows.withColumn("completeness", filled), key, variants, [-filled, *order])
+    return out.where("NOT conflict").drop("conflict", *(f"n_{v}" for v in variants))
+
+
+def key_coverage(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], least: float = 0.5) -> DataFrame:
+    """left_key, right_key, coverage of left rows by right keys that occur once, and whether it is the one to take.
+
+    One row per candidate; the candidates are a short list of the caller's.
+    """
+    out = None
+    for lk, rk in pairs:
+        once = right.where(F.col(rk).isNotNull()).groupBy(F.col(rk).cast("string").alias("__k")).count().where("count = 1").select("__k")
+        part = left.select(F.col(lk).cast("string").alias("__l")).join(once, F.col("__l") == F.col("__k"), "left").agg(F.avg(F.col("__k").isNotNull().cast("double")).alias("coverage")).select(F.lit(lk).alias("left_key"), F.lit(rk).alias("right_key"), "coverage")
+        out = part if out is None else out.unionByName(part)
+    best = F.max_by(F.struct("left_key", "right_key"), F.struct("coverage", "left_key", "right_key"))
+    top = out.agg(best.alias("b"))
+    return out.crossJoin(F.broadcast(top)).withColumn("accepted", (F.struct("left_key", "right_key") == F.col("b")) & (F.col("coverage") >= least)).drop("b")  # one row
+
+
+def stage_diagnostics(events: DataFrame, event: str, stages: dict[str, str], bridges: DataFrame) -> DataFrame:
+    """One row per stage: eligible events, matched ones, coverage, safe and quarantined keys, quarantined events."""
+    long = events.select(event, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key")) for k, c in stages.items()))).alias("x")).select(event, "x.kind", "x.key").where("key IS NOT NULL")
+    per_key = long.groupBy("kind", "key").agg(F.count("*").alias("n")).join(bridges.select("kind", "key", "safe"), ["kind", "key"], "left")
+    safe, unsafe = F.coalesce("safe", F.lit(False)), ~F.coalesce("safe", F.lit(True))
+    n = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    g = per_key.groupBy(F.col("kind").alias("stage")).agg(F.sum("n").alias("eligible"), n(safe, F.col("n")).alias("matched"), n(safe, 1).alias("safe_keys"), n(unsafe, 1).alias("quarantined_keys"), n(unsafe, F.col("n")).alias("quarantined_events"))
+    return g.withColumn("coverage", F.col("matched") / F.col("eligible"))

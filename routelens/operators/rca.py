@@ -96,3 +96,84 @@ def conclusion(controls: Column, score: Column, ims: Column, raw: Column) -> Col
         F.when(controls < 20, "INSUFFICIENT_MATCHED_CORRECT_CONTROL").when(score >= 50, "STRONG").when(score >= 25, "MODERATE").when(score > 0, "WEAK_OR_MIXED")
         .when((ims < 0.25) & (raw < 0.25), "INSUFFICIENT_IMS_CCDR_ENRICHMENT").otherwise("GEOMETRY_ONLY_NO_NETWORK_DIFFERENTIAL")
     )
+
+
+EVIDENCE = ("route", "fallback", "lbr", "sip", "ims", "raw_reg", "raw_ecscf")
+
+
+def cohort_profile(rows: DataFrame, keys: list[str], flags: tuple[str, ...] = EVIDENCE, categories: tuple[str, ...] = ()) -> DataFrame:
+    """Per cohort: calls, first and last time, mean of each flag, and mode, its count and share of each category.
+
+    Categories are counted by value before the mode is taken, so that a hot cohort is combined before the shuffle; missing counts as a value.
+    """
+    out = rows.groupBy(*keys).agg(F.count("*").alias("calls"), F.min("call_time").alias("first_seen"), F.max("call_time").alias("last_seen"), *(F.avg(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"{f}_rate") for f in flags))
+    if categories:
+        best = (lambda c: F.min(F.when(F.col("feature") == c, F.struct((-F.col("n")).alias("k"), "value"))))
+        counts = long_form(rows, list(categories), keys).withColumn("value", F.coalesce("value", F.lit("<MISSING>"))).groupBy(*keys, "feature", "value").agg(F.count("*").alias("n"))
+        modes = counts.groupBy(*keys).agg(*(best(c).alias(f"__{c}") for c in categories))
+        modes = modes.select(*keys, *(x for c in categories for x in (F.col(f"__{c}.value").alias(f"{c}_mode"), (-F.col(f"__{c}.k")).alias(f"{c}_mode_count"))))
+        out = out.join(modes, keys)
+        out = out.withColumns({f"{c}_share": F.col(f"{c}_mode_count") / F.col("calls") for c in categories})
+    return out
+
+
+def matched_evidence(cases: DataFrame, controls: DataFrame, keys: list[str], categories: tuple[str, ...]) -> DataFrame:
+    """Case profiles beside the control profile of the same keys, with the difference of each rate (J12, C5). No control gives nulls."""
+    control = controls.select(*keys, *(F.col(c).alias(f"control_{c}") for c in controls.columns if c not in keys))
+    out = cases.join(control, keys, "left").withColumn("control_calls", F.coalesce("control_calls", F.lit(0)))
+    deltas = {f"{f}_delta": F.col(f"{f}_rate") - F.col(f"control_{f}_rate") for f in EVIDENCE}
+    differs = {f"{c}_differs": F.coalesce((F.col(f"{c}_mode") != F.col(f"control_{c}_mode")) & (F.col(f"{c}_share") >= 0.5), F.lit(False)) for c in categories}
+    return out.withColumns(deltas | differs)
+
+
+def probable_cause(controls: Column, d: dict[str, Column], route_differs: Column, ims: Column, raw: Column) -> Column:
+    """The first cause whose evidence holds (C7). d as for corroboration; ims and raw are the shares of calls with attachments."""
+    p = {k: F.coalesce(v, F.lit(0.0)) for k, v in d.items()}
+    raw_delta = F.greatest(p["raw_reg"], p["raw_ecscf"])
+    return (
+        F.when(controls < 20, "INSUFFICIENT_CONTROL").when((p["route"] >= 0.15) | route_differs, "ROUTING_MAPPING_OR_CROSSWALK").when(p["fallback"] >= 0.15, "FALLBACK_OR_DEFAULT_ROUTING")
+        .when(p["lbr"] >= 0.20, "LBR_DIFFERENCE").when((p["ims"] >= 0.15) & (raw_delta >= 0.15), "MIXED").when((p["ims"] >= 0.15) | (p["sip"] >= 0.15), "IMS_OR_SIP_SIGNALING")
+        .when(raw_delta >= 0.15, "RAW_REGISTRATION_OR_ECSCF").when((ims < 0.25) & (raw < 0.25), "INSUFFICIENT_ENRICHMENT").otherwise("GEOMETRY_ONLY_NETWORK_NORMAL_OR_MIXED")
+    )
+
+
+def pair_summary(rows: DataFrame, level: list[str]) -> DataFrame:
+    """Misrouted pairs of each level: calls, active days, distance quantiles, median ratio, and shares of the level's misroutes and of the pair's."""
+    wrong = rows.where("label = 1")
+    ratio = F.try_divide(F.col("d_routed"), F.col("uncert"))
+    g = wrong.groupBy(*level, "routed", "expected").agg(F.count_distinct("call_id").alias("misroutes"), F.count_distinct(F.to_date("call_time")).alias("active_days"), F.percentile("d_routed", F.lit(0.5)).alias("median_d"), F.percentile("d_routed", F.lit(0.95)).alias("p95_d"), F.percentile(ratio, F.lit(0.5)).alias("median_ratio"))
+    of_level = g.groupBy(*level).agg(F.sum("misroutes").alias("__l"))
+    of_pair = g.groupBy("routed", "expected").agg(F.sum("misroutes").alias("__p"))
+    out = g.join(of_level, level).join(of_pair, ["routed", "expected"])
+    return out.withColumn("level_share", F.col("misroutes") / F.col("__l")).withColumn("pair_share", F.col("misroutes") / F.col("__p")).drop("__l", "__p")
+
+
+def entity_hypothesis(rows: DataFrame, level: str, key: str) -> DataFrame:
+    """Strong calls, misroutes, top pair's share, separation and hypothesis of each entity."""
+    strong = rows.where(has_label())
+    g = strong.groupBy(key).agg(F.count("*").alias("strong"), F.sum("label").alias("misroutes"), F.percentile(F.when(F.col("label") == 1, F.try_divide(F.col("d_routed"), F.col("uncert"))), F.lit(0.5)).alias("separation"))
+    pairs = strong.where("label = 1").groupBy(key, "routed", "expected").agg(F.count("*").alias("n"))
+    top = pairs.groupBy(key).agg(F.max("n").alias("top"), F.count_distinct("expected").alias("n_expected"))
+    out = g.join(top, key, "left").withColumn("pair_share", F.try_divide(F.col("top").cast("double"), F.col("misroutes")))
+    return out.withColumn("hypothesis", hypothesis(level)).drop("top")
+
+
+def strong_pairs(rows: DataFrame, flags: list[str], ids: str, most_ids: int = 15) -> DataFrame:
+    """Report of misrouted pairs: calls, times, distances, flag sums, distinct ids joined (15 and how many more), and rank by calls.
+
+    Distinct ids are few per pair (markets, regions); the rank runs over pairs, which are bounded by the square of the jurisdictions.
+    """
+    from pyspark.sql import Window as W
+
+    unique = F.array_sort(F.collect_set(ids))
+    more = F.when(F.size("__u") > most_ids, F.concat(F.lit(", +"), (F.size("__u") - most_ids).cast("string"), F.lit(" more"))).otherwise("")
+    g = rows.where("label = 1").groupBy("routed", "expected").agg(F.count("*").alias("calls"), F.min("call_time").alias("first_seen"), F.max("call_time").alias("last_seen"), F.min("d_routed").alias("min_d"), F.avg("d_routed").alias("avg_d"), F.max("d_routed").alias("max_d"), F.min(F.col("d_routed") - F.col("uncert")).alias("min_clearance"), *(F.sum(F.col(f).cast("long")).alias(f"{f}_calls") for f in flags), unique.alias("__u"))
+    out = g.withColumn(f"{ids}_ids", F.concat(F.array_join(F.slice("__u", 1, most_ids), ", "), more)).drop("__u")
+    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("calls"), "routed", "expected")))
+
+
+def drill_down(rows: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of the ranked patterns with their rank; the keys meet as normalized text and the first rank wins."""
+    norm = lambda c: F.coalesce(F.upper(F.trim(F.col(c).cast("string"))), F.lit("<MISSING>"))
+    first = patterns.groupBy(*(norm(k).alias(f"__{k}") for k in keys)).agg(F.min("rank").alias("pattern_rank"))
+    return rows.withColumns({f"__{k}": norm(k) for k in keys}).join(first, [f"__{k}" for k in keys]).drop(*(f"__{k}" for k in keys))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import association, evaluation, location, monitoring
+from . import association, evaluation, evidence, location, monitoring
 
-_ALL = location.QUERIES | monitoring.QUERIES | association.QUERIES | evaluation.QUERIES
+_ALL = location.QUERIES | monitoring.QUERIES | association.QUERIES | evaluation.QUERIES | evidence.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
