@@ -89,3 +89,64 @@ def terms(docs: DataFrame, text: str, least_docs: int = 20, alpha: float = 0.5)
     c, d = F.col("n1") - a, F.col("n") - F.col("n1") - b
     chi2 = F.col("n") * (a * d - b * c) * (a * d - b * c) / (F.col("df").cast("double") * (F.col("n") - F.col("df")) * F.col("n1") * (F.col("n") - F.col("n1")))
     return g.select("term", F.col("a").alias("case_docs"), "df", chi2.alias("chi2"), (F.log((a + alpha) / (c + alpha)) - F.log((b + alpha) / (d + alpha))).alias("log_odds"))
+
+
+def quantile_bins(long: DataFrame, bins: int = 10) -> DataFrame:
+    """feature, value (number of the quantile bin), target of each non-null x; equal edges collapse."""
+    known = long.where("x IS NOT NULL")
+    edges = known.groupBy("feature").agg(F.array_distinct(F.percentile("x", F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias("__e"))
+    binned = known.join(F.broadcast(edges), "feature")  # one row of at most bins - 1 numbers per feature
+    return binned.select("feature", F.size(F.filter("__e", lambda e: e < F.col("x"))).cast("string").alias("value"), "target")
+
+
+def mutual_information(long: DataFrame) -> DataFrame:
+    """Mutual information in nats of value and target per feature, and its share of the mean entropy (T9, T10). Null values count as a level; a constant gives nmi 0."""
+    cells = long.groupBy("feature", F.coalesce("value", F.lit("<MISSING>")).alias("v"), "target").agg(F.count("*").cast("double").alias("n"))
+    of = lambda *by: F.sum("n").over(W.partitionBy("feature", *by))
+    cells = cells.withColumns({"t": of(), "nv": of("v"), "nt": of("target")})
+    # a level's or class's -p ln p is spread over its cells, so that one grouping sums all three
+    h = lambda m: -F.col("n") / F.col("t") * F.log(F.col(m) / F.col("t"))
+    mi = F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nv") * F.col("nt"))))
+    g = cells.groupBy("feature").agg(F.max("t").cast("long").alias("n"), mi.alias("mi"), F.sum(h("nv")).alias("__hv"), F.sum(h("nt")).alias("__ht"))
+    total = F.col("__hv") + F.col("__ht")
+    return g.select("feature", "n", "mi", F.when(total > 0, 2 * F.col("mi") / total).otherwise(0.0).alias("nmi"))
+
+
+def weighted_levels(long: DataFrame, prior_weight: float = 20.0) -> DataFrame:
+    """Weighted rate, rate smoothed towards the prevalence, lift and Wilson bound of each level (A27). long: feature, value, target, weight."""
+    w, k = F.sum("weight"), F.sum(F.col("weight") * F.col("target"))
+    g = long.groupBy("feature", F.coalesce("value", F.lit("<MISSING>")).alias("value")).agg(F.count("*").alias("n"), F.sum("target").alias("cases"), w.alias("w"), k.alias("k"))
+    prior = g.groupBy("feature").agg((F.sum("k") / F.sum("w")).alias("prior"))
+    out = g.join(F.broadcast(prior), "feature")  # one row per feature
+    rate = F.col("k") / F.col("w")
+    return out.select("feature", "value", "n", "cases", rate.alias("rate"), ((F.col("k") + prior_weight * F.col("prior")) / (F.col("w") + prior_weight)).alias("smoothed"), F.try_divide(rate, F.col("prior")).alias("lift"), wilson_lower(F.col("cases").cast("double"), F.col("n").cast("double")).alias("wilson"))
+
+
+def weighted_missingness(long: DataFrame) -> DataFrame:
+    """Weighted share of missing values among cases and controls, and the difference."""
+    gone = (F.col("value").isNull() | (F.trim("value") == "")).cast("double")
+    share = lambda t: F.try_divide(F.sum(F.when(F.col("target") == t, F.col("weight") * gone)), F.sum(F.when(F.col("target") == t, F.col("weight"))))
+    return long.groupBy("feature").agg(share(1).alias("case_missing"), share(0).alias("control_missing")).withColumn("difference", F.col("case_missing") - F.col("control_missing"))
+
+
+def association_master(parts: dict[str, DataFrame], strength: str, shortlist: int = 2) -> DataFrame:
+    """kind, feature, strength, rank within the kind and whether it is on the shortlist (T13). One row per feature, so the windows are small."""
+    out = None
+    for kind, df in parts.items():
+        part = df.select(F.lit(kind).alias("kind"), "feature", F.col(strength).alias("strength"))
+        out = part if out is None else out.unionByName(part)
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc(F.round("strength", 9)), "feature")))
+    return out.withColumn("shortlisted", F.col("rank") <= shortlist)
+
+
+def case_control_sample(rows: DataFrame, key: str, most_cases: int = 20_000, most_controls: int = 40_000, ratio: int = 3, seed: str = "42") -> DataFrame:
+    """Cases and controls least by hash of key and seed, capped, at most ratio controls a case, with inverse-rate weights.
+
+    The caps are the operator's purpose. Each class is a distributed top-k, so no class is sorted in one task; rows of one key tie by the key.
+    """
+    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
+    n = {r.target: r.n for r in rows.where("target IN (0, 1)").groupBy("target").agg(F.count("*").alias("n")).collect()}  # two numbers
+    cases = min(n.get(1, 0), most_cases)
+    take = {1: cases, 0: min(n.get(0, 0), most_controls, ratio * cases)}
+    part = lambda t: rows.where(F.col("target") == t).withColumn("__h", h).orderBy("__h", key).limit(take[t]).drop("__h").withColumn("weight", F.lit(n.get(t, 0) / max(take[t], 1)))
+    return part(1).unionByName(part(0))

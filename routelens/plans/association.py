@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assoc
+from ..operators import assoc, screen
 from ..operators.rca import long_form
 from ..sources.tables import table
 from .common import tidy
@@ -79,10 +79,59 @@ def t15_chronological_split(spark, d):
     return tidy(rows.groupBy("part").agg(F.sum("n").alias("rows_"), F.sum("cases").alias("cases"), F.min("l_shipdate").alias("first_day"), F.max("l_shipdate").alias("last_day")))
 
 
+def _weighted(spark, d):
+    """Cases weigh 1 and controls 3; a seventh of the return flags is missing."""
+    rows = lines(spark, d).withColumn("l_returnflag", F.when(F.col("l_partkey") % 7 != 0, F.col("l_returnflag"))).withColumn("weight", F.when(F.col("target") == 1, 1.0).otherwise(3.0))
+    return long_form(rows, CATEGORIES, ["target", "weight"])
+
+
+def t9_mutual_information(spark, d):
+    return tidy(assoc.mutual_information(assoc.quantile_bins(numeric(spark, d))).drop("nmi"))
+
+
+def t10_normalized_information(spark, d):
+    return tidy(assoc.mutual_information(categorical(spark, d)))
+
+
+def t11_weighted_missingness(spark, d):
+    return tidy(assoc.weighted_missingness(_weighted(spark, d)))
+
+
+def a27_weighted_levels(spark, d):
+    return tidy(assoc.weighted_levels(_weighted(spark, d)))
+
+
+def t13_association_master(spark, d):
+    parts = {"categorical": assoc.mutual_information(categorical(spark, d)), "numeric": assoc.mutual_information(assoc.quantile_bins(numeric(spark, d)))}
+    return tidy(assoc.association_master(parts, "mi"))
+
+
+def _sampled(spark, d):
+    rows = lines(spark, d).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return assoc.case_control_sample(rows, "key")
+
+
+def t14_case_control_sample(spark, d):
+    return tidy(_sampled(spark, d).select("key", "target", "weight"))
+
+
+def t16_screening_models(spark, d):
+    """Models of heavily discounted lines, on the sample of T14, with a fifth of the keys held out."""
+    s = _sampled(spark, d).select("key", "target", "weight", "l_returnflag", "l_linestatus", *NUMBERS)
+    held = F.crc32("key") % 5 == 0
+    return tidy(screen.screen(s.where(~held), s.where(held), NUMBERS, ["l_returnflag", "l_linestatus"]))
+
+
 def _q(select: str, ctes: str) -> str:
     return f"WITH {ctes} {select}"
 
 
+_BIN = "nb AS (SELECT feature, len(list_filter(e, lambda z: z < x))::VARCHAR AS value, target FROM x JOIN (SELECT feature, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM x GROUP BY 1) USING (feature) WHERE x IS NOT NULL)"
+_INF = """{c} AS (SELECT feature, value, target, count(*)::DOUBLE AS k FROM {t} GROUP BY 1, 2, 3),
+  {i} AS (SELECT feature, n, mi, CASE WHEN hv + ht > 0 THEN 2 * mi / (hv + ht) ELSE 0 END AS nmi FROM (SELECT feature, max(t)::BIGINT AS n, sum(k / t * ln(k * t / (nv * nt))) AS mi, -sum(k / t * ln(nv / t)) AS hv, -sum(k / t * ln(nt / t)) AS ht FROM
+    (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS t, sum(k) OVER (PARTITION BY feature, value) AS nv, sum(k) OVER (PARTITION BY feature, target) AS nt FROM {c}) GROUP BY 1))"""
+_WT = BASE + ", wt AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {'CASE WHEN l_partkey % 7 <> 0 THEN l_returnflag END' if f == 'l_returnflag' else f + '::VARCHAR'} AS value, target, CASE WHEN target = 1 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS weight FROM b" for f in CATEGORIES) + ")"
+
 QUERIES = {
     "t1_mann_whitney": (t1_mann_whitney, _q("""SELECT feature, a::BIGINT AS cases, b::BIGINT AS controls, u, round(u / a / b, 6) AS auc, round(2 * u / a / b - 1, 6) AS cliffs_delta, round((u - a * b / 2) / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))), 6) AS z FROM
         (SELECT feature, sum(n1)::DOUBLE AS a, sum(n - n1)::DOUBLE AS b, sum(mid * n1)::DOUBLE - sum(n1)::DOUBLE * (sum(n1)::DOUBLE + 1) / 2 AS u, sum(n::DOUBLE * n * n - n) AS ties FROM
@@ -101,4 +150,13 @@ QUERIES = {
         (SELECT l_quantity AS score, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS p FROM b GROUP BY 1) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))""", BASE)),
     "p13_feature_profile": (p13_feature_profile, _q("SELECT feature, count(*) AS n, count(value) AS non_null, count(DISTINCT value) AS levels, round(avg(CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS numeric_rate FROM (SELECT feature, value FROM c UNION ALL SELECT feature, x::VARCHAR FROM x) GROUP BY 1", BOTH)),
     "t15_chronological_split": (t15_chronological_split, _q("SELECT part, sum(n)::BIGINT AS rows_, sum(cases)::BIGINT AS cases, min(day) AS first_day, max(day) AS last_day FROM (SELECT *, CASE WHEN f < 0.70 THEN 'train' WHEN f < 0.85 THEN 'validation' ELSE 'test' END AS part FROM (SELECT l_shipdate AS day, count(*) AS n, sum(target) AS cases, coalesce(sum(count(*)) OVER (ORDER BY l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (SELECT count(*) FROM b) AS f FROM b GROUP BY 1)) GROUP BY 1", BASE)),
+    "t9_mutual_information": (t9_mutual_information, _q("SELECT feature, n, round(mi, 6) AS mi FROM inf", f"{NUM}, {_BIN}, {_INF.format(t='nb', c='ce', i='inf')}")),
+    "t10_normalized_information": (t10_normalized_information, _q("SELECT feature, n, round(mi, 6) AS mi, round(nmi, 6) AS nmi FROM inf", f"{CAT}, {_INF.format(t='c', c='ce', i='inf')}")),
+    "t11_weighted_missingness": (t11_weighted_missingness, _q("SELECT feature, round(a, 6) AS case_missing, round(b, 6) AS control_missing, round(a - b, 6) AS difference FROM (SELECT feature, avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER (target = 1) AS a, avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER (target = 0) AS b FROM wt GROUP BY 1)", _WT)),
+    "a27_weighted_levels": (a27_weighted_levels, _q(f"""SELECT feature, value, n::BIGINT AS n, k::BIGINT AS cases, round(wk / w, 6) AS rate, round((wk + 20 * prior) / (w + 20), 6) AS smoothed, round(wk / w / prior, 6) AS lift, round((k / n + 3.8416 / (2 * n) - 1.96 * sqrt((k / n * (1 - k / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n), 6) AS wilson FROM
+        (SELECT *, sum(wk) OVER (PARTITION BY feature) / sum(w) OVER (PARTITION BY feature) AS prior FROM (SELECT feature, coalesce(value, '<MISSING>') AS value, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS k, sum(weight)::DOUBLE AS w, sum(weight * target)::DOUBLE AS wk FROM wt GROUP BY 1, 2))""", _WT)),
+    "t13_association_master": (t13_association_master, _q("SELECT *, rank <= 2 AS shortlisted FROM (SELECT kind, feature, round(mi, 6) AS strength, row_number() OVER (PARTITION BY kind ORDER BY round(mi, 9) DESC, feature) AS rank FROM (SELECT 'categorical' AS kind, feature, mi FROM inf UNION ALL SELECT 'numeric', feature, mi FROM inn))", f"{BOTH}, {_BIN}, {_INF.format(t='c', c='ce', i='inf')}, {_INF.format(t='nb', c='cn', i='inn')}")),
+    "t14_case_control_sample": (t14_case_control_sample, _q("""SELECT key, target::BIGINT AS target, round(pop::DOUBLE / CASE target WHEN 1 THEN nc ELSE least(pop, 40000, 3 * nc) END, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY target) AS pop FROM
+        (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, target FROM b)), (SELECT least(20000, sum(target)) AS nc FROM b) WHERE r <= CASE target WHEN 1 THEN nc ELSE least(40000, 3 * nc) END""", BASE)),
+    "t16_screening_models": (t16_screening_models, None),
 }
