@@ -160,8 +160,8 @@ QUERIES = {
         (SELECT cell, max(n) AS top, count(DISTINCT expected) AS n_expected FROM (SELECT cell, routed, expected, count(*) AS n FROM l WHERE label = 1 GROUP BY 1, 2, 3) GROUP BY 1) USING (cell))""", L.LABELS)),
     "j13_drill_down": (j13_drill_down, _q("SELECT call_id, rank AS pattern_rank FROM l JOIN rk USING (routed, expected) WHERE label = 1 AND rank <= 10", f"{L.LABELS}, {_PAIR}")),
     "c19_top_calls": (c19_top_calls, _q("SELECT * FROM (SELECT routed, expected, row_number() OVER (PARTITION BY routed, expected ORDER BY round(d_routed, 2) DESC, call_id) AS rank, call_id, lon, lat FROM l WHERE label = 1) WHERE rank <= 10", L.LABELS)),
-    "a2_complete_grain": (a2_complete_grain, _q("SELECT * FROM (SELECT call_id, count(*) OVER (PARTITION BY call_id) AS n_rows, l_linenumber, l_linestatus, l_quantity, l_tax, ((l_quantity IS NOT NULL)::BIGINT + (l_tax IS NOT NULL)::BIGINT) AS completeness FROM ln QUALIFY min(l_linestatus) OVER (PARTITION BY call_id) = max(l_linestatus) OVER (PARTITION BY call_id) AND row_number() OVER (PARTITION BY call_id ORDER BY (l_quantity IS NOT NULL)::INT + (l_tax IS NOT NULL)::INT DESC, l_linenumber, l_linestatus, l_quantity NULLS FIRST, l_tax NULLS FIRST) = 1)", _LN)),
-    "j9_representative_rows": (j9_representative_rows, _q("SELECT call_id, count(*) OVER (PARTITION BY call_id) AS n_rows, l_linenumber, l_quantity FROM ln QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY l_linenumber, l_linestatus, l_quantity NULLS FIRST, l_tax NULLS FIRST) = 1", _LN)),
+    "a2_complete_grain": (a2_complete_grain, _q("SELECT * FROM (SELECT call_id, count(*) OVER (PARTITION BY call_id) AS n_rows, l_linenumber::BIGINT AS l_linenumber, l_linestatus, l_quantity, l_tax, ((l_quantity IS NOT NULL)::BIGINT + (l_tax IS NOT NULL)::BIGINT) AS completeness FROM ln QUALIFY min(l_linestatus) OVER (PARTITION BY call_id) = max(l_linestatus) OVER (PARTITION BY call_id) AND row_number() OVER (PARTITION BY call_id ORDER BY (l_quantity IS NOT NULL)::INT + (l_tax IS NOT NULL)::INT DESC, l_linenumber, l_linestatus, l_quantity NULLS FIRST, l_tax NULLS FIRST) = 1)", _LN)),
+    "j9_representative_rows": (j9_representative_rows, _q("SELECT call_id, count(*) OVER (PARTITION BY call_id) AS n_rows, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM ln QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY l_linenumber, l_linestatus, l_quantity NULLS FIRST, l_tax NULLS FIRST) = 1", _LN)),
     "j5_key_coverage": (j5_key_coverage, _q("SELECT left_key, right_key, round(coverage, 6) AS coverage, coverage >= 0.5 AND row_number() OVER (ORDER BY coverage DESC, left_key DESC, right_key DESC) = 1 AS accepted FROM cv", f"cv AS ({_COV})")),
     "a54_join_diagnostics": (a54_join_diagnostics, _q("SELECT kind AS stage, sum(n)::BIGINT AS eligible, coalesce(sum(n) FILTER (c = 1), 0)::BIGINT AS matched, count(*) FILTER (c = 1) AS safe_keys, count(*) FILTER (c > 1) AS quarantined_keys, coalesce(sum(n) FILTER (c > 1), 0)::BIGINT AS quarantined_events, round((coalesce(sum(n) FILTER (c = 1), 0))::DOUBLE / sum(n), 6) AS coverage FROM bk GROUP BY 1", "bk AS (SELECT kind, key, count(*) AS n, count(DISTINCT call_id) AS c FROM (SELECT 'ICID' AS kind, l_partkey::VARCHAR AS key, l_orderkey AS call_id FROM lineitem UNION ALL SELECT 'LINE', l_suppkey || '-' || l_partkey, l_orderkey FROM lineitem) GROUP BY 1, 2)")),
     "a8_source_counts": (a8_source_counts, "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_custkey) AS json_customers FROM orders"),
