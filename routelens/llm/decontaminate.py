@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Every n-gram of a test item is a seed. A first pass counts the documents that each seed occurs in; a seed is rare if it is in at
-most RARE_FACTOR times as many as the lower quartile of its item's seeds (and RARE_FLOOR). So each item keeps a quarter of its
-seeds at least, however often it was copied. A second pass joins documents and items by rare seeds; around the seeds found, the
-words of document and item are aligned by Smith-Waterman (match 2, mismatch and gap -1). The score is the best local alignment
-divided by that of a perfect copy; a pair with min_score or more is a leak.
+Every n-gram of a test item is a seed, however many documents hold it. A pass over the documents joins them with items by seeds;
+around the seeds found, the words of document and item are aligned by Smith-Waterman (match 2, mismatch and gap -1). The score is
+the best local alignment divided by that of a perfect copy; a pair with min_score or more is a leak. A place where too few of the
+item's words occur to reach min_score, were they all matched, is not aligned; so frequent seeds cost little and no pair is lost.
 
 Items are read in blocks of at most ITEM_WORDS words; a block is broadcast, and a larger benchmark takes more passes. Words are
 runs of letters and digits, lower-cased. An item with fewer words than an n-gram has its whole sequence as seed.
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 from .words import ALNUM, Words, mix, shingles, words
 
-SEED_WORDS, RARE_FACTOR, RARE_FLOOR, ITEM_WORDS = 3, 8, 2, 1_000_000
+SEED_WORDS, ITEM_WORDS, PLACES = 3, 1_000_000, 1_000_000
 _FILTER_BITS = 22
 
 
@@ -51,26 +50,8 @@ class Items:
         self.seeds, self.first = np.unique(keys[order].astype(np.uint64), return_index=True)
         self.first = np.append(self.first, len(order))
         self.short = sorted({len(x) for x in self.words if 0 < len(x) < SEED_WORDS})
-        self.rare = np.ones(len(self.seeds), bool)
-        self._filter()
-
-    def _filter(self) -> None:
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[(self.seeds[self.rare] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Forgets seeds that are frequent compared with the others of each of their items."""
-        per_seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        order = np.argsort(self.items, kind="stable")
-        bounds = np.searchsorted(self.items[order], np.arange(len(self.words) + 1))
-        self.rare[:] = False
-        for i in range(len(self.words)):
-            self._mark(np.unique(per_seed[order[bounds[i] : bounds[i + 1]]]), df)
-        self._filter()
-
-    def _mark(self, own: np.ndarray, df: np.ndarray) -> None:
-        if len(own):
-            self.rare[own[df[own] <= max(RARE_FLOOR, RARE_FACTOR * np.quantile(df[own], 0.25, method="lower"))]] = True
+        self.maybe[(self.seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of a chunk where a seed starts, and which seed."""
@@ -81,7 +62,7 @@ class Items:
             found = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] & inside)
             where = np.searchsorted(self.seeds, h[found])
             where[where == len(self.seeds)] = 0
-            ok = (self.seeds[where] == h[found]) & self.rare[where] if len(self.seeds) else np.zeros(len(found), bool)
+            ok = self.seeds[where] == h[found] if len(self.seeds) else np.zeros(len(found), bool)
             at.append(found[ok])
             seed.append(where[ok])
         at, seed = np.concatenate(at), np.concatenate(seed)
@@ -139,21 +120,35 @@ def _places(at: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: np.nda
         yield int(item[a]), int(start[a]) - slack, int(start[b]) + int(reach[a]) + slack
 
 
-def find_in_chunk(w: Words, items: Items, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """document, item, score, first and last (exclusive) word of each leak in a chunk."""
+def _hit_parts(w: Words, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Document, word position, item and place in the item of each seed found: whole documents, about PLACES rows at a time."""
     at, seed = items.hits(w)
     if not len(at):
         return
-    count = items.first[seed + 1] - items.first[seed]
-    flat = np.repeat(items.first[seed] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    at, item, place = np.repeat(at, count), items.items[flat], items.places[flat]
     doc = np.searchsorted(w.bounds, at, side="right") - 1
+    count = items.first[seed + 1] - items.first[seed]
+    before = np.cumsum(count) - count
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    cuts = new[np.flatnonzero(np.diff(before[new] // PLACES, prepend=-1))]
+    for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        n = count[lo:hi]
+        flat = np.repeat(items.first[seed[lo:hi]] - (before[lo:hi] - before[lo]), n) + np.arange(n.sum())
+        yield np.repeat(doc[lo:hi], n), np.repeat(at[lo:hi], n), items.items[flat], items.places[flat]
+
+
+def find_in_chunk(w: Words, items: Items, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """document, item, score, first and last (exclusive) word of each leak in a chunk."""
     lengths = np.array([len(x) for x in items.words])
-    todo = []
-    for d in np.unique(doc):
-        own = doc == d if len(doc) < 1000 else slice(*np.searchsorted(doc, [d, d + 1]))
-        low, high = w.bounds[d], w.bounds[d + 1]
-        todo += [(int(d), i, max(low, a), min(high, b)) for i, a, b in _places(at[own], item[own], place[own], lengths)]
+    for doc, at, item, place in _hit_parts(w, items):
+        todo = []
+        for d in np.unique(doc):
+            own = slice(*np.searchsorted(doc, [d, d + 1]))
+            low, high = w.bounds[d], w.bounds[d + 1]
+            todo += [(int(d), i, max(low, a), min(high, b)) for i, a, b in _places(at[own], item[own], place[own], lengths)]
+        yield from _leaks_among([t for t in todo if np.isin(items.words[t[1]], w.hashes[t[2] : t[3]]).mean() >= min_score], w, items, lengths, min_score)
+
+
+def _leaks_among(todo: list[tuple[int, int, int, int]], w: Words, items: Items, lengths: np.ndarray, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
     todo.sort(key=lambda t: (lengths[t[1]], t[3] - t[2]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for k in range(0, len(todo), 256):
@@ -189,25 +184,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text:
     for block in _blocks(items, item_id, item_text):
         shared = sc.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            df = np.zeros(len(block.seeds), np.int64)
-            for b in batches:
-                for w in words(pc.utf8_lower(b.column(0)), ALNUM):
-                    at, seed = block.hits(w)
-                    pair = np.unique(np.stack([np.searchsorted(w.bounds, at, side="right"), seed]), axis=1)[1] if len(at) else seed
-                    df += np.bincount(pair, minlength=len(df))
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(df[some])], names=["seed", "n"])
-
-        df = np.zeros(len(block.seeds), np.int64)
-        for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # at most ITEM_WORDS rows
-            df[r.seed] = r.n
-        block.keep_rare(df)
-        rare = sc.broadcast(block)
-
-        def find(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            block = rare.value
             for b in batches:
                 ids = b.column(0).to_pylist()
                 for w in words(pc.utf8_lower(b.column(1)), ALNUM):

@@ -103,6 +103,35 @@ def test_alignment_equals_brute_force():
     assert decontaminate.align(windows, items)[0].tolist() == [brute_smith_waterman(a, b) for a, b in zip(windows, items)]
 
 
+@pytest.mark.parametrize("copies", [3, 9, 100])
+def test_leaks_of_a_passage_in_many_documents(spark, copies):
+    item = [f"q{k}" for k in range(24)]
+    edited = [{4: "x", 14: "y"}.get(k, v) for k, v in enumerate(item)]
+    half = [f"z{k}" for k in range(15)] + item[15:]
+    rng = np.random.default_rng(5)
+    noise = lambda: [f"n{k}" for k in rng.integers(0, 50, 40)]
+    texts = [noise() + passage + noise() for passage in [edited] * copies + [half] * copies + [[]] * copies]
+    number = {}
+    coded = lambda words: [number.setdefault(x, len(number) + 1) for x in words]
+    want = {i: brute_smith_waterman(coded(t), coded(item)) / (2 * len(item)) for i, t in enumerate(texts)}
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS), items, 0.4).collect()
+    assert {r.doc_id: r.score for r in got} == {i: round(x, 6) for i, x in want.items() if x >= 0.4}
+    assert sorted(r.doc_id for r in got) == list(range(copies))
+    less = decontaminate.find_leaks(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS), items, 0.3).collect()
+    assert sorted(r.doc_id for r in less) == list(range(2 * copies))
+
+
+def test_leaks_in_parts(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PLACES", 5)
+    texts = ["a b c d e f g", "none of it", "x a b c d e f g y", "", "f g a b c d"]
+    items = decontaminate.Items([1, 2], ["a b c d e f g", "b c d e f g h"])
+    got = [x for w in decontaminate.words(pa.array(texts), decontaminate.ALNUM) for x in decontaminate.find_in_chunk(w, items, 0.4)]
+    monkeypatch.undo()
+    assert got == [x for w in decontaminate.words(pa.array(texts), decontaminate.ALNUM) for x in decontaminate.find_in_chunk(w, items, 0.4)]
+    assert sorted((d, i) for d, i, *_ in got) == [(0, 0), (0, 1), (2, 0), (2, 1), (4, 0), (4, 1)]
+
+
 def test_shards(spark):
     rows = ODD + [(1000 + i, "copy" * 50) for i in range(300)] + [(2000 + i, "x" * i) for i in range(300)]
     got = sharding.assign_shards(spark.createDataFrame(rows, DOCS), 5).collect()
