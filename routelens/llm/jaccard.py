@@ -371,7 +371,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, tex
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (a null doc_id: all its rows stay)."""
-    found = jaccard_components(docs, shingle, percent)
-    kept = saved(found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept")).distinct(), "jaccard-kept")
-    return docs.join(broadcast_if_small(kept), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs with one row of each component: of those with the smallest doc_id (a null one comes last) the first by a hash of the text.
+
+    Rows are numbered, so repeated rows and those with a null doc_id are told apart. A row without words is a component of its own.
+    """
+    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(numbered, shingle, percent, doc_id="__row").select(F.col("doc_id").alias("__found"), "component_id")
+    ids = numbered.select("__row", "doc_id", F.xxhash64("text").alias("hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "__row")).alias("first")
+    kept = saved(ids.join(found, F.col("__row") == F.col("__found")).groupBy("component_id").agg(first).select(F.col("first.__row").alias("__kept")), "jaccard-kept")
+    return numbered.join(broadcast_if_small(kept), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

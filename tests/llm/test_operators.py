@@ -103,6 +103,17 @@ def test_alignment_equals_brute_force():
     assert decontaminate.align(windows, items)[0].tolist() == [brute_smith_waterman(a, b) for a, b in zip(windows, items)]
 
 
+def test_one_row_of_each_component_stays(spark):
+    copy, other, alone, lost = ("a b c d e f g", "t u v w x y z", "one two three four five six", "k l m n o p q r")
+    rows = [(5, copy)] * 3 + [(3, copy + " ")] * 2 + [(None, copy)] * 2 + [(3, other)] * 2 + [(8, other), (None, other)] + [(None, lost)] * 3 + [(9, alone), (None, ""), (None, ""), (6, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", more string").repartition(3)
+    got = jaccard.drop_near_copies(docs)
+    assert got.columns == ["doc_id", "text", "more"]
+    want = [(3, copy + " "), (3, other), (None, lost), (9, alone), (None, ""), (None, ""), (6, None), (6, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    assert jaccard.drop_near_copies(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("copies", [3, 9, 100])
 def test_leaks_of_a_passage_in_many_documents(spark, copies):
     item = [f"q{k}" for k in range(24)]
