@@ -3,7 +3,7 @@
 A tree builder reads tags as browsers do: void elements, raw text, and implied tags (a paragraph ends before a block, a list item
 before the next, cells imply rows and rows imply table bodies, text out of place in a table moves before it). Visibility rules drop
 what is not shown: head, script, style, template, noscript, closed details and dialogs, hidden attributes, inline styles, and simple
-selectors (tag, class, id) of style sheets that set display:none or visibility:hidden. The rest is rendered: blank lines around
+selectors (tag, class, id) of style sheets that set display:none or visibility:hidden. The rest, texts of math and svg among it, is rendered: blank lines around
 paragraphs, headings, lists and tables, line breaks between other blocks, markers and indents of lists, `> ` before quotations,
 preformatted text as it is, and table cells aligned in columns, spans included.
 
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 WIDEST, MOST_SPAN, DEEPEST, MOST_OPEN = 60, 50, 12, 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object video audio canvas svg math map".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object video audio canvas map".split())
+#: Not shown within svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 HEAD_ONLY = frozenset("base link meta title script style template noscript head".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure hr menu xmp".split())
 BLOCK = SPACED | frozenset(
@@ -38,7 +40,7 @@ CLOSES_P = frozenset(
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+    **{t: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot", "caption")},
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -85,15 +87,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "text", "<", {}
             at = lt + 1
             continue
-        name, at, attrs = m[0].lower(), m.end(), {}
+        name, at, attrs, closed = m[0].lower(), m.end(), {}, False
         while at < n and page[at] != ">":
             a = _ATTR.match(page, at)
             if a is None or a.end() == at:
+                closed = page[at] == "/"
                 at += 1
                 continue
+            closed = False
             attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
             at = a.end()
         at = min(n, at + 1)
+        if closed:
+            attrs["/"] = ""
         yield ("end" if closing else "start"), name, attrs
         if not closing and name in RAW:
             lower = page.lower() if lower is None else lower
@@ -191,6 +197,8 @@ def build(page: str) -> tuple[Node, list[str], str | None]:
                     continue  # a row or cell outside any table
         node = Node(name, attrs)
         add(node)
+        if "/" in attrs and name not in RAW and any(o.tag in ("svg", "math") for o in open_):
+            continue
         if name not in VOID and (len(open_) < MOST_OPEN or name in RAW):
             open_.append(node)
     return root, styles, title
@@ -276,7 +284,7 @@ class Renderer:
             if isinstance(child, str):
                 self.text(child, pre)
                 continue
-            if not self.visible(child):
+            if not self.visible(child) or (child.tag in UNDRAWN and any(s[0].tag in ("svg", "math") for s in stack)):
                 continue
             tag = child.tag
             if tag == "br":

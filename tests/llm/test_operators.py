@@ -287,6 +287,15 @@ def test_page_text(page):
     assert html_text.page_text(page)[0] == PAGES[page]
 
 
+def test_late_captions_and_texts_of_math_and_svg():
+    assert html_text.page_text("<table><tr><td>x</td></tr><caption>C</caption></table>")[0] == "C\nx"
+    assert html_text.page_text("<table><tr><td>x<caption>C</caption><tr><td>y</table>")[0] == "C\nx\ny"
+    assert html_text.page_text("<table><tr><td><p>a</p><table><tr><td>x</td></tr><caption>C</caption></table></table>z")[0].split() == ["a", "C", "x", "z"]
+    assert html_text.page_text("<p>a <math><mi>b</mi><mo>+</mo></math> c <svg><text>d</text><style>e{}</style><script>f</script></svg></p>")[0] == "a b+ c d"
+    assert html_text.page_text("<p><svg><defs/><path d='x'/><text>d</text></svg><desc>e</desc></p>")[0] == "de"
+    assert html_text.page_text("<svg><title>t</title><desc>u</desc><defs><text>v</text></defs><metadata>w</metadata><text>d</text></svg><math><semantics><mi>x</mi><annotation>y</annotation></semantics></math>")[0] == "dx"
+
+
 def test_extract(spark):
     rows = [(1, "u", "<title>T</title><p>a"), (2, None, None), (2, None, None), (3, "v", "")]
     got = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
