@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, saved
-from .graph import components
+from .graph import components, thinned
 from .words import mix, shingles, words
 
 BAND_RATIO, WEAK, LEAST_BITS, UNIT_BITS = 1.3, 2, 512, 1024
@@ -230,8 +230,7 @@ def _units_of(stars: DataFrame, with_keys: DataFrame, percent: int) -> DataFrame
     Such a tile is looked at only if it spans several units of the other tiles: within a unit all is compared anyway.
     """
     weak = F.expr("key % 2 <> 0")
-    edges = stars.where(~weak).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    first = components(edges).select(F.col("node").alias("cls"), F.col("label").alias("unit"))
+    first = components(thinned(stars.where(~weak).where("cls <> hub"))).select(F.col("node").alias("cls"), F.col("label").alias("unit"))
     weak_rows = saved(stars.where(weak).select("key", "cls", "m").join(first, "cls", "left").select("key", "cls", "m", F.coalesce("unit", "cls").alias("unit")), "jaccard-weak")
     spans = saved(weak_rows.groupBy("key").agg(F.min("unit").alias("lo"), F.max("unit").alias("hi")).where("lo <> hi").select("key"), "jaccard-spans")
     if spans.isEmpty():
