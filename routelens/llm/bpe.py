@@ -3,15 +3,20 @@
 The merges are compiled, in order, into a deterministic automaton over tokens. At first one state reads every byte and stays.
 The gadget of a merge (u, v) copies the state that u leads to, removes the copy's arc v (u may no longer be followed by v), and
 lets the arc u lead to the copy and a new arc uv lead where v led. After the last merge the automaton accepts exactly the
-token sequences that the merges, applied one by one, leave behind. States are kept persistently: a copy differs from its
-original in one removed arc, so a gadget is one entry (u, v) -> rank of a table, and the chain of copies behind a token is
-read off its right-hand parts, the arcs that were copied along off its left-hand parts.
-
-A word is encoded by running the automaton along its bytes, longest arcs first; one path only is accepted. Transitions come from
-the table and are kept once looked up. Decoding emits the arc labels, which are the tokens' bytes.
-
-Null text counts as empty: no ids, decoded to the empty string. Repeated rows are encoded again; an empty table gives no rows;
-extra columns are ignored. Words are cached up to CACHE_WORDS for each worker; words over LONG_WORD characters are not.
+token sequences that the merges, applied one by one, leave behind. Its states are numbered by the arc that leads to them. A row of
+the state table holds the arcs that gadgets removed from the state, with their ranks, and the state that it was copied from, with
+the rank until which it shares that state's row; so the table has an entry for each merge, not one for each pair of tokens.
+
+Texts are pre-split by classes of characters, a chunk of texts at a time, and each distinct word of the chunk is encoded once. The
+bytes of all these words drive a second table, the byte transitions over the arc labels, which gives the labels that start at each
+byte. Then all words run through the automaton in step, byte by byte: of the labels that start at a byte, those that are arcs of
+the state reached there lead to the states at their ends. Every prefix of a word has one accepted path, so just one arc arrives at
+each byte, and nothing is tried and taken back. The ids are the arcs on the way back from the last state. Both tables are arrays
+with hashed keys; arcs enter theirs when first asked for. Decoding emits the arc labels, which are the tokens' bytes.
+
+Null text counts as empty: no ids, decoded to the empty string. Very long texts are split into pieces at word starts, so that the
+tables of a chunk stay small; words over LONG_WORD bytes run through the automaton alone. Repeated rows are encoded again; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,17 +24,22 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, text_buffer
+from .words import chunks, prefix_hashes, text_buffer
 
-CACHE_WORDS, CACHE_ARCS, LONG_WORD = 250_000, 250_000, 64
-#: Pre-splitting pattern of byte-level BPE. Fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ARC_BITS, LONG_WORD = 21, 256
+#: Characters of a text that are split at a time.
+PIECE = 1 << 18
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: What the pre-splitting of byte-level BPE parts from a word after an apostrophe. Fixed value.
+CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
+_KINDS: list[np.ndarray] = []
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,6 +49,111 @@ def byte_letters() -> dict[str, int]:
     return {chr(b if b in shown else next(hidden)): b for b in range(256)}
 
 
+def character_kinds() -> np.ndarray:
+    """LETTER, NUMBER, SPACE or OTHER of every code point."""
+    if not _KINDS:
+        kinds = np.full(0x110000, OTHER, np.uint8)
+        for first, last in ((0, 0xD800), (0xE000, 0x110000)):
+            every = "".join(map(chr, range(first, last)))
+            for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+                for m in regex.finditer(pattern, every):
+                    kinds[first + m.start() : first + m.end()] = kind
+        _KINDS.append(kinds)
+    return _KINDS[0]
+
+
+def word_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where words start among code points. first: whether a text starts there; one entry more than points.
+
+    Words are runs of letters, of digits or of other characters, each with one blank before it if there is one; contractions
+    after an apostrophe; and the white space between, of which the last character stands alone unless it is that blank.
+    """
+    n, kind = len(points), character_kinds()[points]
+    same = np.zeros(n, bool)
+    same[1:] = (kind[1:] == kind[:-1]) & ~first[1:n]
+    begins = ~same
+    space, blank = kind == SPACE, points == 32
+    after_space, after_blank = np.zeros(n, bool), np.zeros(n, bool)
+    after_space[1:], after_blank[1:] = space[:-1] & ~first[1:n], blank[:-1] & ~first[1:n]
+    start = begins & (space | ~after_blank)
+    start[np.flatnonzero(begins & ~space & after_space) - 1] = True
+    quote = np.flatnonzero(begins & (points == 39) & ~after_blank)
+    quote = quote[quote + 1 < n]
+    quote = quote[(kind[quote + 1] == LETTER) & ~first[quote + 1]]
+    todo = quote
+    for letters in CONTRACTIONS:
+        fits = todo + len(letters) < n
+        for k, c in enumerate(letters, 1):
+            at = np.minimum(todo + k, n - 1)
+            fits &= (points[at] == ord(c)) & ~first[at]
+        start[todo[fits] + 1] = False
+        end = todo[fits] + 1 + len(letters)
+        start[end[end < n]] = True
+        todo = todo[~fits]
+    return start
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def pieces(text: str) -> Iterator[str]:
+    """text in pieces of about PIECE characters that start where words do."""
+    at = 0
+    while len(text) - at > 2 * PIECE:
+        size = PIECE
+        while True:
+            points = code_points(text[at : at + size])
+            kind = character_kinds()[points]
+            first = np.zeros(len(points) + 1, bool)
+            first[0] = True
+            # starts behind white space aside, neither what follows a start nor what stands before it matters to the other
+            sure = 1 + np.flatnonzero(word_starts(points, first)[1:-8] & (kind[:-9] != SPACE))
+            if len(sure) or at + size >= len(text):
+                break
+            size *= 2
+        if not len(sure):
+            break
+        yield text[at : at + int(sure[-1])]
+        at += int(sure[-1])
+    yield text[at:]
+
+
+class HashedTable:
+    """Values of 64-bit keys from 0 on, in arrays with open addressing."""
+
+    def __init__(self, bits: int, kind: type):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, kind)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that are not there."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[todo]]
+            hit = todo[there == keys[todo]]
+            out[hit] = self.values[slot[hit]]
+            todo = todo[(there != keys[todo]) & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct ones that are not there."""
+        slot, self.used = self._slot(keys), self.used + len(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[free]  # of several with one slot the last gets it
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+
 class Automaton:
     """Compiled from the text of a tokenizer file with a byte-level BPE model."""
 
@@ -46,136 +161,217 @@ class Automaton:
         spec = json.loads(tokenizer_json)
         model, letters = spec["model"], byte_letters()
         vocab: dict[str, int] = model["vocab"]
-        self.labels: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
+        labels = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.labels |= {i: t.encode() for t, i in self.special.items()}
+        labels |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.labels = [labels.get(i, b"") for i in range(max(labels, default=-1) + 1)]
+        self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
+        self.label_size = np.array([len(x) for x in self.labels], np.int64)
+        self.label_start = np.cumsum(self.label_size) - self.label_size
 
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.born: dict[int, int] = {vocab[c]: 0 for c in letters if c in vocab}
+        #: The state table: arcs removed from a state, the state it was copied from, and the rank at which it was.
         self.removed: dict[tuple[int, int], int] = {}
+        self.copied: dict[int, int] = {}
+        self.born: dict[int, int] = {vocab[c]: 0 for c in letters if c in vocab}
+        #: The arc along which each arc was added.
+        self.along: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(vocab[a], vocab[b], vocab[a + b], rank)
-
-        #: Byte-wise tree of the tokens that some accepted path uses: (node, byte) -> node, node -> token.
-        self.step: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        nodes = 1
-        for token in self.born:
-            node = 0
-            for byte in self.labels[token]:
-                key = node << 8 | byte
-                if key not in self.step:
-                    self.step[key] = nodes
-                    nodes += 1
-                node = self.step[key]
-            self.token_at[node] = token
-        self.arcs: dict[int, bool] = {}
-        self.cache = _Words(self)
+        self._compile_bytes()
+        self.arcs = HashedTable(ARC_BITS, np.int8)
 
     def _gadget(self, u: int, v: int, uv: int, rank: int) -> None:
         if u in self.born and v in self.born and uv not in self.born and self._arc(u, v, rank):
             self.removed[u, v] = rank
-            self.left[uv], self.right[uv], self.born[uv] = u, v, rank
+            self.along[uv], self.copied[uv], self.born[uv] = u, v, rank
 
-    def _arc(self, last: int, token: int, now: int) -> bool:
-        """Whether the state behind the arc `last` has an arc `token`, once the gadgets before `now` are in place.
+    def _arc(self, state: int, token: int, now: int) -> bool:
+        """Whether a state has an arc, once the gadgets before `now` are in place.
 
-        It lacks the arc if, in the chain of copies behind `last`, the arc itself was removed, or a left-hand part of it
-        was before the arc was copied from that part.
+        It lacks the arc if, in its row or those it was copied from, the arc itself was removed, or one along which the arc was
+        added was removed before that.
         """
         removed, born = self.removed, self.born
         part, until = token, now
         while True:
-            state, limit = last, until
+            at, limit = state, until
             while True:
-                rank = removed.get((state, part))
+                rank = removed.get((at, part))
                 if rank is not None and rank < limit:
                     return False
-                limit = min(limit, born[state])
-                if state not in self.right:
+                limit = min(limit, born[at])
+                if at not in self.copied:
                     break
-                state = self.right[state]
-            if part not in self.left:
+                at = self.copied[at]
+            if part not in self.along:
                 return True
             until = min(until, born[part] + 1)  # a merge (u, u) takes the arc u from the copy before uv is added
-            part = self.left[part]
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """The token sequence of the one accepted path, longest arcs first; a position that no path leaves is not tried again."""
-        n, ids, ends, waiting, dead = len(word), [], [0], [], set()
-        step, token_at, arcs = self.step, self.token_at, self.arcs
-        if len(arcs) > CACHE_ARCS:
-            arcs.clear()
-        at, last, found = 0, None, None
-        while at < n:
-            if found is None:
-                found, node = [], 0
-                for j in range(at, n):
-                    node = step.get(node << 8 | word[j])
-                    if node is None:
-                        break
-                    token = token_at.get(node)
-                    if token is not None:
-                        found.append((token, j + 1))
-            while found:
-                token, end = found.pop()
-                if end in dead:
-                    continue
-                if last is not None:
-                    key = last << 32 | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        ok = arcs[key] = self._arc(last, token, 1 << 60)
-                    if not ok:
-                        continue
-                ids.append(token)
-                ends.append(end)
-                waiting.append(found)
-                at, last, found = end, token, None
-                break
-            else:
-                dead.add(at)
-                ids.pop()
-                ends.pop()
-                found, at = waiting.pop(), ends[-1]
-                last = ids[-1] if ids else None
-        return ids
+            part = self.along[part]
+
+    def _compile_bytes(self) -> None:
+        """Byte transitions over the labels of all arcs, and the arc whose label ends at each node (-1: none)."""
+        self.step: dict[int, int] = {}
+        token_at = [-1]
+        for token in self.born:
+            node = 0
+            for byte in self.labels[token]:
+                key = node << 8 | byte
+                after = self.step.get(key)
+                if after is None:
+                    after = self.step[key] = len(token_at)
+                    token_at.append(-1)
+                node = after
+            token_at[node] = token
+        self.token_at = np.array(token_at, np.int32)
+        self.steps = HashedTable(2 + len(self.step).bit_length(), np.int32)
+        self.steps.put(np.fromiter(self.step, np.int64, len(self.step)), np.fromiter(self.step.values(), np.int32, len(self.step)))
+
+    def has_arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) << 32 | token
+        found = self.arcs.get(key)
+        if len(new := np.unique(key[found < 0])):
+            if self.arcs.used + len(new) > 1 << (ARC_BITS - 1):
+                self.arcs = HashedTable(max(ARC_BITS, 1 + len(new).bit_length()), np.int8)
+            self.arcs.put(new, np.array([self._arc(k >> 32, k & 0xFFFFFFFF, 1 << 60) for k in new.tolist()], np.int8))
+            missing = np.flatnonzero(found < 0)
+            found[missing] = self.arcs.get(key[missing])
+        return found > 0
+
+    def encode_words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie end to end in data, one word after another, and the number of each word's."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(size), np.int64)
+        first = (np.cumsum(size) - size).astype(np.int32)
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        end = (first + size.astype(np.int32))[word]
+        at, node, length = np.arange(len(data), dtype=np.int32), self.steps.get(data.astype(np.int64)), 1
+        starts, lengths, tokens = [], [], []
+        while len(at):
+            at, node = at[node >= 0], node[node >= 0]
+            token = self.token_at[node]
+            some = token >= 0
+            starts.append(at[some])
+            lengths.append(np.full(len(starts[-1]), length, np.int32))
+            tokens.append(token[some])
+            more = at + length < end[at]
+            at = at[more]
+            node = self.steps.get(node[more].astype(np.int64) << 8 | data[at + length])
+            length += 1
+        start, length, token = np.concatenate(starts), np.concatenate(lengths), np.concatenate(tokens)
+        into = (start - first[word[start]]).astype(np.uint16)
+        order = np.argsort(into, kind="stable")
+        slot = (start + word[start])[order]  # a word of n bytes has n + 1 places
+        after, token, length = slot + length[order], token[order], length[order]
+        borders = np.searchsorted(into[order], np.arange(int(size.max(initial=0)) + 1))
+        state, back = np.full(len(data) + len(size), -2, np.int32), np.zeros(len(data) + len(size), np.int32)
+        begin = first + np.arange(len(size), dtype=np.int32)
+        state[begin] = -1  # the first state has every arc
+        for lo, hi in zip(borders, borders[1:]):
+            before = state[slot[lo:hi]]
+            ok = before == -1 if lo == 0 else self.has_arcs(before, token[lo:hi])
+            to = after[lo:hi][ok]
+            state[to], back[to] = token[lo:hi][ok], length[lo:hi][ok]
+        place = begin + size
+        if (state[place] == -2).any():
+            raise ValueError("the vocabulary lacks a byte")
+        passed = np.zeros(len(state), bool)
+        while len(place := place[state[place] >= 0]):
+            passed[place] = True
+            place = place - back[place]
+        here = np.flatnonzero(passed)
+        return state[here].astype(np.uint32), np.bincount(np.repeat(np.arange(len(size)), size + 1)[here], minlength=len(size))
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """The same for one word of any length."""
+        n, step, token_at = len(word), self.step, self.token_at
+        state, back, known = [-2] * (n + 1), [0] * (n + 1), {}
+        state[0] = -1
+        for i in range(n):
+            node, before = 0, state[i]
+            for j in range(i, n):
+                node = step.get(node << 8 | word[j])
+                if node is None:
+                    break
+                token = int(token_at[node])
+                if token >= 0:
+                    there = before == -1 or known.get((before, token))
+                    if there is None:
+                        there = known[before, token] = self._arc(before, token, 1 << 60)
+                    if there:
+                        state[j + 1], back[j + 1] = token, j + 1 - i
+        ids, i = [], n
+        while i:
+            ids.append(state[i])
+            i -= back[i]
+        return ids[::-1]
+
+    def _parts(self, text: str) -> Iterator[tuple[str, int]]:
+        """Pieces of a text, and special tokens with their ids (-1 for others)."""
+        at = 0
+        for m in self.special_pattern.finditer(text) if self.special_pattern is not None else ():
+            yield from ((p, -1) for p in pieces(text[at : m.start()]))
+            yield m[0], self.special[m[0]]
+            at = m.end()
+        yield from ((p, -1) for p in pieces(text[at:]))
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a chunk, one after another, and the bounds of each text's."""
+        data, offsets = text_buffer(texts)
+        whole = data.tobytes()
+        if any(s.encode() in whole for s in self.special) or len(whole) > 4 * PIECE:
+            parts = [list(self._parts(t)) for t in texts.to_pylist()]
+            own = [part for p in parts for part in p]
+            found = [self._encode_flat([t.encode()], np.array([0, len(t.encode())])) if i < 0 else (np.array([i], np.uint32), np.array([0, 1])) for t, i in own]
+            ids = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint32)
+            total = np.concatenate(([0], np.cumsum([len(f[0]) for f in found], dtype=np.int64)))
+            return ids, total[np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))]
+        return self._encode_flat([whole], offsets)
+
+    def _encode_flat(self, data: list[bytes], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data[0]
+        if not raw:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        points = code_points(raw.decode())
+        at = np.zeros(len(points) + 1, np.int64)  # byte of each code point
+        np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+        first = np.zeros(len(points) + 1, bool)
+        first[np.searchsorted(at, offsets)] = True
+        lo = at[np.flatnonzero(word_starts(points, first))]
+        hi = np.append(lo[1:], len(raw))
+        _, one, word = np.unique(prefix_hashes(np.frombuffer(raw, np.uint8), lo, hi), return_index=True, return_inverse=True)
+        size = (hi - lo)[one]
+        short = size <= LONG_WORD
+        bytes_at, _ = _gathered(lo[one], hi[one] - lo[one], np.flatnonzero(short))
+        ids, count = self.encode_words(np.frombuffer(raw, np.uint8)[bytes_at], size[short])
+        long = [np.array(self.encode_long(raw[lo[k] : hi[k]]), np.uint32) for k in one[~short]]
+        size = np.zeros(len(one), np.int64)
+        size[short], size[~short] = count, [len(x) for x in long]
+        begin = np.zeros(len(one), np.int64)
+        begin[short], begin[~short] = np.cumsum(count) - count, len(ids) + np.cumsum(size[~short]) - size[~short]
+        ids = np.concatenate([ids, *long])
+        flat, total = _gathered(begin, size, word)
+        return ids[flat], total[np.searchsorted(lo, offsets)]
+
+    def decode_ids(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The labels of the arcs, one after another, and the byte where each starts (one more entry)."""
+        flat, total = _gathered(self.label_start, self.label_size, ids)
+        return self.label_bytes[flat], total
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        if self.special_pattern is None or not self.special_pattern.search(text):
-            return b"".join(map(cache.__getitem__, self.words.findall(text)))
-        out, at = [], 0
-        for m in self.special_pattern.finditer(text):
-            out += map(cache.__getitem__, self.words.findall(text[at : m.start()]))
-            out.append(self.special[m[0]].to_bytes(4, "little"))
-            at = m.end()
-        out += map(cache.__getitem__, self.words.findall(text[at:]))
-        return b"".join(out)
+        return self.encode_texts(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
-
+        return self.decode_ids(np.frombuffer(ids, "<u4"))[0].tobytes().decode("utf-8", "replace")
 
-class _Words(dict):
-    """Word -> packed ids."""
 
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        out = b"".join(i.to_bytes(4, "little") for i in self.automaton.encode_word(word.encode()))
-        if len(word) <= LONG_WORD:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
+def _gathered(start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the values of the ragged rows `of`, one row after another, and where each begins (one more entry)."""
+    own = size[of]
+    total = np.concatenate(([0], np.cumsum(own)))
+    return np.repeat(start[of] - total[:-1], own) + np.arange(total[-1]), total
 
 
 _COMPILED: dict[int, Automaton] = {}
@@ -190,6 +386,16 @@ def _compiled(tokenizer_json: str) -> Automaton:
     return _COMPILED[key]
 
 
+def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Texts from bytes; those that are not UTF-8 get replacement characters."""
+    raw = data.tobytes()
+    try:
+        raw.decode()
+        return pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
+    except UnicodeDecodeError:
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])], pa.string())
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids (packed little-endian unsigned 32-bit) and decoded text of every document.
 
@@ -203,9 +409,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", d
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             for lo, hi in chunks(text_buffer(texts)[1]):
-                ids = [automaton.encode(t) for t in texts[lo:hi].to_pylist()]
-                decoded = [automaton.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                ids, bounds = automaton.encode_texts(texts[lo:hi])
+                packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((bounds * 4).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+                decoded, at = automaton.decode_ids(ids)
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], packed.cast(pa.binary()), _strings(decoded, at[bounds])], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary, decoded string")
 

@@ -51,6 +51,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, from one prefix sum."""
+    n = len(data)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words(NamedTuple):
     first: int  #: index of the first text of the chunk in its batch
     n: int  #: texts in the chunk
@@ -74,6 +83,12 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def lettered(texts: pa.Array) -> pa.Array:
+    """texts in lower case, with a space for each character beyond ASCII that is no letter, digit or combining mark."""
+    texts = pc.utf8_lower(texts)
+    return pc.replace_substring_regex(texts, r"[^\x00-\x7F\pL\pN\pM]+", " ") if (text_buffer(texts)[0] >= 0x80).any() else texts
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of at most limit bytes together, or of one text."""
     lo, n = 0, len(offsets) - 1
@@ -102,10 +117,7 @@ def words(texts: pa.Array, word_bytes: np.ndarray = NON_SPACE) -> Iterator[Words
         after[:-1] = inside[1:]
         after[off[1:][off[1:] > 0] - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        hashes = prefix_hashes(part, starts, ends)
         yield Words(lo, hi - lo, part, off, hashes, starts, ends, np.searchsorted(starts, off))
 
 
