@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a local one in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -38,13 +40,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, key: str) -> list:
-    """Keys that hold HEAVY_SHARE of the rows or more (at most 1 / HEAVY_SHARE of them, by definition)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("__n")).persist(StorageLevel.MEMORY_AND_DISK)
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    keys = [r[0] for r in counts.where(F.col("__n") >= F.lit(max(2.0, total * HEAVY_SHARE))).select(key).collect()]
-    counts.unpersist()
-    return keys
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind as it takes to be no column of df."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 #: A table of ids of up to so many rows is broadcast; a larger one is joined by shuffling.

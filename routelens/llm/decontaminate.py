@@ -6,9 +6,10 @@ the best local alignment divided by that of a perfect copy; a pair with min_scor
 item's words occur to reach min_score, were they all matched, is not aligned; so frequent seeds cost little and no pair is lost.
 
 Items are read in blocks of at most ITEM_WORDS words; a block is broadcast, and a larger benchmark takes more passes. Words are
-runs of letters and digits, lower-cased. An item with fewer words than an n-gram has its whole sequence as seed.
+runs of letters and digits of any script, lower-cased; all other characters part words. An item with fewer words than an n-gram has its whole sequence as seed.
 Null or empty texts and items match nothing. Repeated rows of documents give repeated pairs; repeated items likewise. Empty tables
-give no rows; extra columns are ignored. Of several places in a document the best counts, the first of equals.
+give no rows; extra columns are ignored. Of several places in a document the best counts, the first of equals. Very long texts are
+searched whole, by stretches around their seeds; stretches are aligned together only as far as their tables stay small.
 """
 
 from __future__ import annotations
@@ -17,14 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, saved
-from .words import ALNUM, Words, mix, shingles, words
+from .words import ALNUM, Words, lettered, mix, shingles, words
 
-SEED_WORDS, ITEM_WORDS, PLACES = 3, 1_000_000, 1_000_000
+SEED_WORDS, ITEM_WORDS, PLACES, CELLS = 3, 1_000_000, 1_000_000, 1 << 20
 _FILTER_BITS = 22
 
 
@@ -33,7 +33,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.words, keys, items, places = ids, [], [], [], []
-        for w in words(pc.utf8_lower(pa.array(texts, pa.string())), ALNUM):
+        for w in words(lettered(pa.array(texts, pa.string())), ALNUM):
             h, inside = shingles(w, SEED_WORDS)
             for i in range(w.n):
                 lo, hi = w.bounds[i], w.bounds[i + 1]
@@ -149,22 +149,31 @@ def find_in_chunk(w: Words, items: Items, min_score: float) -> Iterator[tuple[in
 
 
 def _leaks_among(todo: list[tuple[int, int, int, int]], w: Words, items: Items, lengths: np.ndarray, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    todo.sort(key=lambda t: (lengths[t[1]], t[3] - t[2]))
+    todo.sort(key=lambda t: (t[3] - t[2], lengths[t[1]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for k in range(0, len(todo), 256):
-        part = todo[k : k + 256]
+    for part in _together(todo, [t[3] - t[2] for t in todo]):
         score, end = align([w.hashes[a:b] for _, _, a, b in part], [items.words[i] for _, i, _, _ in part])
         for (d, i, a, _), s, e in zip(part, score, end, strict=True):
             share = float(s) / (2 * lengths[i])
             old = best.get((d, i))
             if share >= min_score and (old is None or (share, -a) > (old[0], -old[1])):
                 best[d, i] = share, int(a), int(a + e)
-    found = sorted(best.items())
-    for k in range(0, len(found), 256):
-        part = found[k : k + 256]
+    found = sorted(best.items(), key=lambda x: x[1][2] - x[1][1])
+    out = []
+    for part in _together(found, [e - a for _, (_, a, e) in found]):
         _, back = align([w.hashes[a:e][::-1] for _, (_, a, e) in part], [items.words[i][::-1] for (_, i), _ in part])
         for ((d, i), (share, _, e)), b in zip(part, back, strict=True):
-            yield d, i, share, int(e - b - w.bounds[d]), int(e - w.bounds[d])
+            out.append((d, i, share, int(e - b - w.bounds[d]), int(e - w.bounds[d])))
+    yield from sorted(out)
+
+
+def _together(rows: list, rising: list[int]) -> Iterator[list]:
+    """Runs of rows that are aligned at once: at most 256, and CELLS words with what fills them up to the longest."""
+    lo = 0
+    for hi in range(1, len(rows) + 1):
+        if hi == len(rows) or hi - lo == 256 or (hi + 1 - lo) * rising[hi] > CELLS:
+            yield rows[lo:hi]
+            lo = hi
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
@@ -179,7 +188,11 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, first_word and last_word (exclusive) of every document that holds a copy of a test item."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _leaks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("mark")), items, min_score, item_id, item_text).drop("mark")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, min_score: float, item_id: str, item_text: str) -> DataFrame:
+    """The same for docs (doc_id, text, mark), with the mark of each document."""
     sc, out = docs.sparkSession.sparkContext, None
     for block in _blocks(items, item_id, item_text):
         shared = sc.broadcast(block)
@@ -187,19 +200,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4, text:
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for b in batches:
-                ids = b.column(0).to_pylist()
-                for w in words(pc.utf8_lower(b.column(1)), ALNUM):
-                    rows = [(ids[w.first + d], block.ids[i], round(s, 6), a, e) for d, i, s, a, e in find_in_chunk(w, block, min_score)]
+                ids, marks = b.column(0).to_pylist(), b.column(2).to_pylist()
+                for w in words(lettered(b.column(1)), ALNUM):
+                    rows = [(ids[w.first + d], block.ids[i], round(s, 6), a, e, marks[w.first + d]) for d, i, s, a, e in find_in_chunk(w, block, min_score)]
                     if rows:
-                        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+                        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word", "mark"])
 
-        part = docs.mapInArrow(find, "doc_id long, item_id long, score double, first_word long, last_word long")
+        part = docs.mapInArrow(find, "doc_id long, item_id long, score double, first_word long, last_word long, mark long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4) -> DataFrame:
-    """docs without those that hold a copy of a test item."""
-    leaks = saved(find_leaks(docs, items, min_score).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    """docs without those that hold a copy of a test item. A row goes by its doc_id and a hash of its text, so that of rows with one
+    doc_id, or none, only those with such a text go."""
+    mark = F.xxhash64("text")
+    found = _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark")), items, min_score, "item_id", "text")
+    leaks = saved(found.select(F.col("doc_id").alias("__leak"), F.col("mark").alias("__mark")).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks), F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")) & (mark == F.col("__mark")), "left_anti")

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
-from .words import NON_SPACE, text_buffer, words
+from .common import bounded_sample, free_name, held_out
+from .words import NON_SPACE, chunks, text_buffer, words
 
 SPACE, FACTORS, BINS = 8192, 8, 8
 SAMPLE, SAMPLE_BYTES, EPOCHS, STEPS, BATCH, RATE, DECAY = 1500, 16_384, 15, 180, 256, 0.02, 1e-4
@@ -49,8 +49,8 @@ class Machine(NamedTuple):
 
 
 def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics of each text, and its distinct word columns as flat values with bounds; some texts at a time."""
-    parts = [_describe(texts[lo : lo + 300]) for lo in range(0, len(texts), 300)] or [_describe(texts)]
+    """Statistics of each text, and its distinct word columns as flat values with bounds; texts of some bytes at a time."""
+    parts = [_describe(texts[lo:hi]) for lo, hi in chunks(text_buffer(texts)[1])] or [_describe(texts)]
     sizes = np.concatenate([np.diff(p[2]) for p in parts])
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(([0], np.cumsum(sizes)))
 
@@ -177,24 +177,25 @@ def learn(docs: DataFrame, labelled: DataFrame, metadata: tuple[str, ...] = (),
 
 
 def score_documents(docs: DataFrame, model: Machine | None, threshold: float = 0.3, metadata: tuple[str, ...] = (), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with qual_held_out, qual_score and qual_predicted."""
+    """docs with qual_held_out, qual_score and qual_predicted behind its columns, or those names with underscores behind if docs
+    has them already."""
+    held, named, predicted = (free_name(docs, f"qual_{x}") for x in ("held_out", "score", "predicted"))
+    at, more_at = docs.columns.index(text), [docs.columns.index(m) for m in metadata]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                at = part.schema.get_field_index
-                more = [pc.cast(part.column(at(m)), pa.float64()).to_numpy(zero_copy_only=False) for m in metadata]
-                score = score_texts(part.column(at(text)), np.stack(more, axis=1) if more else np.zeros((part.num_rows, 0)), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "qual_score"])
+            for lo, hi in chunks(text_buffer(b.column(at))[1]):
+                part = b.slice(lo, hi - lo)
+                more = [pc.cast(part.column(m), pa.float64()).to_numpy(zero_copy_only=False) for m in more_at]
+                score = score_texts(part.column(at), np.stack(more, axis=1) if more else np.zeros((part.num_rows, 0)), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, named])
 
-    docs = docs.drop("qual_held_out", "qual_score", "qual_predicted")
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("qual_score", T.DoubleType())]))
-    return scored.withColumn("qual_held_out", held_out(F.col(doc_id))).withColumn("qual_predicted", (F.col("qual_score") >= threshold).cast("int"))
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
+    return scored.withColumn(held, held_out(F.col(doc_id))).withColumn(predicted, (F.col(named) >= threshold).cast("int"))
 
 
 def drop_poor(docs: DataFrame, labelled: DataFrame, metadata: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
     """docs without those predicted to have label 0; all of them if nothing could be learned."""
     model = learn(docs, labelled, metadata)
-    return docs if model is None else score_documents(docs, model, threshold, metadata).where("qual_predicted = 1").select(*docs.columns)
+    return docs if model is None else score_documents(docs, model, threshold, metadata).where(F.col(free_name(docs, "qual_predicted")) == 1).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, free_name, held_out
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
 
 SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 96, 96, 3
@@ -242,22 +242,24 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray] | None, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with held_out, score and predicted in columns of their own (tox_held_out, tox_score, tox_predicted)."""
+    """docs with held_out, score and predicted behind its columns: tox_held_out, tox_score and tox_predicted, or those names with
+    underscores behind if docs has them already."""
+    held, named, predicted = (free_name(docs, f"tox_{x}") for x in ("held_out", "score", "predicted"))
+    at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                score = score_texts(part.column(part.schema.get_field_index(text)), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "tox_score"])
+            for lo, hi in chunks(text_buffer(b.column(at))[1]):
+                part = b.slice(lo, hi - lo)
+                score = score_texts(part.column(at), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, named])
 
-    docs = docs.drop("tox_held_out", "tox_score", "tox_predicted")
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType())]))
-    return scored.withColumn("tox_held_out", held_out(F.col(doc_id))).withColumn("tox_predicted", (F.col("tox_score") >= threshold).cast("int"))
+    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
+    return scored.withColumn(held, held_out(F.col(doc_id))).withColumn(predicted, (F.col(named) >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those predicted toxic; all of them if nothing could be learned."""
     model = learn(docs, labelled)
-    return docs if model is None else score_documents(docs, model, threshold).where("tox_predicted = 0").select(*docs.columns)
+    return docs if model is None else score_documents(docs, model, threshold).where(F.col(free_name(docs, "tox_predicted")) == 0).select(*docs.columns)
