@@ -1,15 +1,17 @@
 """Exact top-k inner products without random access.
 
 The grid of query blocks and candidate blocks is dealt out by cell. Within a cell each dimension is a sorted list of the
-candidates' components. For a query the lists are read from the end that its component favours, all to the same depth. What
-has been read gives each candidate a partial score; unread components lie between the list's other end and its frontier, which
-gives a lower and an upper bound. Reading goes on in growing steps until candidates whose upper bound is below the k-th best
-lower bound (or a k-th best score already known to the query in this cell) are so many that few are left; these outsiders
-cannot qualify, and the final scores of the rest are resolved. Every score is an exact integer.
-
-Vectors that are null, or hold null or non-finite components, take no part; nor do vectors whose length differs from the
-commonest one. Ties go to the smaller vec_id; of repeated rows each is a candidate, and a query's own vec_id never is. A query
-with fewer than k candidates gets them all; an empty table gives no rows.
+candidates' components. For a query the lists are read from the end that its component favours, in blocks, all to the same depth.
+What has been read gives each candidate a partial score. Its unread components lie beyond the frontier of the reading; and as the
+entries of a list carry the norm of their candidate, that of the unread rest is known, which bounds its product with the query's
+(Cauchy and Schwarz). So each candidate has a lower and an upper bound. After each block, outsiders, whose upper bound is below the k-th best lower
+bound, are dropped: they cannot qualify, and what later blocks hold of them is passed over. Reading goes on for the rest until their
+bounds meet, which resolves their scores. No component is looked up out of its list's order. Every score is an exact integer.
+
+Vectors that are null, or hold null or non-finite components, take no part. Vectors of different lengths: missing components count
+as 0. Ties go to the smaller vec_id; of repeated rows each is a candidate, and a query's own vec_id never is. A query with fewer than
+k candidates gets them all; an empty table gives no rows; extra columns are ignored. Components beyond 64 bits are clipped to them
+when quantised, and so are scores; cells whose scores could pass 2^53 are computed with Python's integers, exact but slow.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,69 +26,113 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-CANDIDATES, QUERIES, BATCH = 8192, 2048, 64
+CANDIDATES, QUERIES, GROUP, BATCH = 8192, 2048, 256, 32
+#: Eighths of the lists' length after which bounds are compared.
+DEPTHS = (2, 4, 5, 6, 7, 8)
 SCHEMA = "query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id and v, the components as floor(scale * x); vectors that take no part are left out."""
     x = F.col(embedding)
-    fits = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
+    fits = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
     return vectors.where(fits).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
-def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class Lists:
+    """The sorted lists of a cell's candidates, one for each dimension."""
+
+    def __init__(self, c: np.ndarray):
+        self.n, self.dims = c.shape
+        self.values = c.astype(np.float64)
+        order = np.argsort(self.values, axis=0, kind="stable")
+        self.lists = np.take_along_axis(self.values, order, axis=0)
+        self.rank = np.empty((self.n, self.dims), np.int32)
+        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
+
+    def block(self, before: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each candidate: the components that stand between two depths, from the top and from the bottom of their lists (0
+        where not); whether they are still unread from either end; and the squares of those that are."""
+        up, down = self.n - 1 - self.rank, self.rank
+        new = [self.values * ((end >= before) & (end < depth)) for end in (up, down)]
+        unread = np.concatenate([up >= depth, down >= depth], axis=1).astype(np.float64)
+        return np.concatenate(new, axis=1), unread, unread * np.tile(self.values * self.values, 2)
+
+
+class Reading:
+    """A few queries' way through the lists: the candidates that are left to any of them, and what has been read of those."""
+
+    def __init__(self, q: np.ndarray, lists: Lists, k: int):
+        self.w, self.up, self.lists, self.k = q.astype(np.float64), q > 0, lists, k
+        self.rows, self.partial = np.arange(lists.n), np.zeros((len(q), lists.n))
+        self.alive, self.reads = np.ones((len(q), lists.n), bool), 0
+
+    def _by_end(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x * self.up, x * ~self.up], axis=1)
+
+    def read(self, before: int, depth: int, block: np.ndarray, unread: np.ndarray, squares: np.ndarray) -> None:
+        if len(self.rows) < self.lists.n:
+            block, unread, squares = block[self.rows], unread[self.rows], squares[self.rows]
+        self.reads += int(self.alive.sum()) * self.lists.dims * (depth - before) // self.lists.n
+        self.partial += self._by_end(self.w) @ block.T
+        if depth == self.lists.n:
+            return
+        frontier = np.where(self.up, self.w * self.lists.lists[self.lists.n - depth], self.w * self.lists.lists[depth - 1])
+        rest = np.concatenate([self._by_end(frontier), self._by_end(self.w * self.w)]) @ unread.T
+        norm = np.sqrt(rest[len(self.w) :] * (self._by_end(np.ones_like(self.w)) @ squares.T)) * (1 + 1e-9) + 1
+        lower, upper = self.partial - norm, self.partial + np.minimum(norm, rest[: len(self.w)])
+        if len(self.rows) > self.k:
+            at = len(self.rows) - self.k
+            self.alive &= upper >= np.partition(np.where(self.alive, lower, -np.inf), at, axis=1)[:, at : at + 1]
+        left = self.alive.any(axis=0)
+        self.rows, self.partial, self.alive = self.rows[left], self.partial[:, left], self.alive[:, left]
+
+
+def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, count: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its id, and the ids and scores of its k best candidates of this cell.
 
-    What the lists' first entries add to each candidate is summed for BATCH queries at once, by products with the matrices of
-    the components read so far from either end. All numbers are whole and below 2^53, so the bounds are exact.
+    count: gets the components read for the queries. All numbers are whole and below 2^53, so sums in floating point are exact.
     """
-    n, dims = c.shape
-    values = c.astype(np.float64)
-    order = np.argsort(values, axis=0, kind="stable")
-    lists = np.take_along_axis(values, order, axis=0)  # of each dimension, components in order
-    rank = np.empty((n, dims), np.int32)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
-    depths = sorted({min(n, max(k + 1, -(-n // part))) for part in (8, 4, 2, 1)})
-    found: dict[int, np.ndarray] = {}
-    waiting = np.arange(len(q_ids))
-    for depth in depths:
-        top, bottom = rank >= n - depth, rank < depth
-        read = np.concatenate([values * top, values * bottom, top, bottom], axis=1).T
-        left = []
-        for part in np.array_split(waiting, max(1, -(-len(waiting) // BATCH))):
-            w = q[part].astype(np.float64)
-            up = w > 0
-            worst = np.where(up, w * lists[0], w * lists[-1])
-            frontier = np.where(up, w * lists[n - depth], w * lists[depth - 1])
-            by_end = lambda x, up=up: np.concatenate([x * up, x * ~up], axis=1)
-            lower = np.concatenate([by_end(w), by_end(-worst)], axis=1) @ read + worst.sum(axis=1, keepdims=True)
-            upper = np.concatenate([by_end(w), by_end(-frontier)], axis=1) @ read + frontier.sum(axis=1, keepdims=True)
-            k_th = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(part), -np.inf)
-            may = upper >= k_th[:, None]
-            done = (may.sum(axis=1) <= max(4 * k, n // 4)) | (depth == n)
-            for i in np.flatnonzero(done):
-                found[part[i]] = np.flatnonzero(may[i])
-            left.append(part[~done])
-        waiting = np.concatenate(left)
-        if not len(waiting):
-            break
-    for i, query_id in enumerate(q_ids):
-        alive = found[i][c_ids[found[i]] != query_id]
-        score, ids = c[alive] @ q[i], c_ids[alive]
-        if len(ids) > k:
-            cut = np.partition(score, len(score) - k)[len(score) - k]
-            ids, score = ids[score >= cut], score[score >= cut]
-        first = np.lexsort((ids, -score))[:k]
-        yield query_id, ids[first], score[first]
+    largest = [np.abs(x.astype(object)).max(axis=0) if x.size else np.zeros(x.shape[1], object) for x in (q, c)]
+    if sum(a * b for a, b in zip(*largest, strict=True)) >= 1 << 53:
+        for query_id, w in zip(q_ids, q, strict=True):
+            score = np.clip(c.astype(object) @ w.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
+            yield query_id, *_best(score, c_ids, query_id, k)
+        return
+    lists = Lists(c)
+    depths = sorted({min(lists.n, max(k + 1, -(-lists.n * part // 8))) for part in DEPTHS})
+    for lo in range(0, len(q), GROUP):
+        group = [Reading(q[at : at + BATCH], lists, k) for at in range(lo, min(lo + GROUP, len(q)), BATCH)]
+        for before, depth in zip([0, *depths], depths):
+            parts = lists.block(before, depth)
+            for reading in group:
+                reading.read(before, depth, *parts)
+        for number, reading in enumerate(group):
+            if count is not None:
+                count.append(reading.reads)
+            for i in range(len(reading.w)):
+                query_id = q_ids[lo + number * BATCH + i]
+                left = reading.alive[i]
+                yield query_id, *_best(reading.partial[i, left].astype(np.int64), c_ids[reading.rows[left]], query_id, k)
+
+
+def _best(score: np.ndarray, ids: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best but the query's own; of equal scores the smaller ids."""
+    other = ids != query_id
+    score, ids = score[other], ids[other]
+    if len(ids) > k:
+        cut = np.partition(score, len(score) - k)[len(score) - k]
+        score, ids = score[score >= cut], ids[score >= cut]
+    first = np.lexsort((ids, ~score))[:k]  # ~x falls as x rises, without overflow
+    return ids[first], score[first]
 
 
 def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows for each row whose vec_id is divisible by query_every."""
-    rows = saved(quantised(vectors, scale, vec_id, embedding).withColumn("dims", F.size("v")), "topk-vectors")
-    sizes = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    dims, n = (sizes[0].dims, sizes[0].n) if sizes else (1, 0)
-    rows = rows.where(F.col("dims") == dims).drop("dims")
+    rows = saved(quantised(vectors, scale, vec_id, embedding), "topk-vectors")
+    sizes = rows.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
+    dims, n = max(1, sizes.dims or 0), sizes.n
+    rows = rows.withColumn("v", F.when(F.size("v") == dims, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0).cast("long"), dims - F.size("v")))))
     queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     c_blocks, q_blocks = -(-n // CANDIDATES) or 1, -(-queries.count() // QUERIES) or 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -100,9 +145,9 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
         if q.num_rows and c.num_rows:
             matrix = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
             for query_id, ids, score in search_cell(q["vec_id"].to_numpy(), matrix(q), c["vec_id"].to_numpy(), matrix(c), k + 1):
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": score}))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pa.table({x: pa.array(found[x].to_numpy(np.int64)) for x in found})
+                out.append((np.full(len(ids), query_id), ids, score))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table({name: pa.array(x.astype(np.int64)) for name, x in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
     found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(cell, SCHEMA)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -214,6 +214,27 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_reads_less_than_all():
+    rng = np.random.default_rng(8)
+    c = np.floor(rng.normal(0, 100, (3000, 32))).astype(np.int64)
+    ids, queries, count = np.arange(3000), np.arange(0, 3000, 100), []
+    got = list(topk.search_cell(queries, c[queries], ids, c, 11, count))
+    for i, found, score in got:
+        s = c @ c[i]
+        order = np.lexsort((ids, -s))
+        order = order[order != i][:10]
+        assert found[:10].tolist() == order.tolist() and score[:10].tolist() == s[order].tolist()
+    assert sum(count) < 0.8 * len(queries) * c.size
+
+
+def test_top_k_of_uneven_and_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (100, [1.0]), (1, [3.0, 1.0, 5.0]), (2, []), (3, [1e300, 0.0]), (4, [float("inf")])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).collect()
+    big = (1 << 63) - 1
+    want = {(0, 1, 3, big), (0, 2, 1, 5 << 20), (0, 3, 100, 1 << 20), (100, 1, 3, big), (100, 2, 1, 3 << 20), (100, 3, 0, 1 << 20)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+
+
 def test_language(spark):
     de, en = "der die und nicht schön ", "the and of not nice "
     rows = [(i, (de if i % 2 else en) * (1 + i % 3), "de" if i % 2 else "en") for i in range(60)] + [(100, None, None), (101, "12 34 !", "en"), (102, "", None), (103, en * 1000, None)]
