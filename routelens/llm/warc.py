@@ -30,7 +30,7 @@ from .common import HEAVY_SHARE, cumulative_hash_fraction, fresh_path, saved
 
 #: Skippable frame of an embedded dictionary, and of its size. Fixed value.
 DICTIONARY_MAGIC = 0x184D2A5D
-#: At most so many records of at most so many bytes each are gathered to build a dictionary of at most DICTIONARY_BYTES.
+#: The beginnings of at most so many records, of at most so many bytes each, are gathered to build a dictionary of at most DICTIONARY_BYTES.
 SAMPLE_RECORDS, SAMPLE_RECORD_BYTES, DICTIONARY_BYTES = 500, 16_384, 112_640
 ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -92,8 +92,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, date: s
     body = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("html"), F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
     total = rows.count()
-    drawn = rows.where((F.col("bytes") <= SAMPLE_RECORD_BYTES) & (cumulative_hash_fraction(F.lit(5), "page_id") * max(total, 1) < SAMPLE_RECORDS))
-    samples = [record(r.page_id, r.url, r.html.encode(), r.digest, None, date) for r in drawn.select("page_id", "url", "html", "digest").limit(SAMPLE_RECORDS).collect()]
+    drawn = rows.where(cumulative_hash_fraction(F.lit(5), "page_id", "url", "digest") * max(total, 1) < SAMPLE_RECORDS)
+    drawn = drawn.select("page_id", F.left("url", F.lit(1000)).alias("url"), F.left("html", F.lit(SAMPLE_RECORD_BYTES // 4)).alias("html"), "digest")
+    samples = [record(r.page_id, r.url, r.html.encode(), r.digest, None, date) for r in drawn.limit(SAMPLE_RECORDS).collect()]
     shared = spark.sparkContext.broadcast(build_dictionary(samples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
