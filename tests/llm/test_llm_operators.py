@@ -157,6 +157,31 @@ def test_shards(spark):
     assert sharding.assign_shards(none(spark), 5).count() == 0
 
 
+def test_shards_of_repeated_rows_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_RANGES", 64)
+    rows = [(7, "same row " * 20)] * 600 + [(None, "same row " * 20)] * 100 + [(1000 + i, "group " * 9) for i in range(12)] + [(2000 + i, f"text {i} " * 15) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = sharding.assign_shards(docs, 5).collect()
+    assert len(got) == len(rows)
+    total = sum(r["size"] for r in got)
+    for s in range(5):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - total / 5) <= 800
+    assert len({r.shard for r in got if r.doc_id == 7}) > 1
+    assert len({r.shard for r in got if r.doc_id and 1000 <= r.doc_id < 1012}) == 1
+    keys = sharding.saved(sharding.keyed(docs), "keys")
+    parts = sharding.with_range(keys, sharding.splitters(keys, 64, total)).groupBy("range").count().collect()
+    assert max(r["count"] for r in parts) < len(rows) / 8
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(100)]
+    sharding.write_shards(spark.createDataFrame(rows, DOCS), str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == rows and back.select("shard").distinct().count() == 4
+
+
 def test_bpe_equals_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -196,6 +221,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_long_records_have_a_dictionary(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i} word" * 20_000) for i in range(12)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    paths = [r.path for r in warc.write_archives(pages, folder).collect()]
+    heads = [open(p, "rb").read(8) for p in paths]
+    assert paths and all(int.from_bytes(h[:4], "little") == warc.DICTIONARY_MAGIC and int.from_bytes(h[4:], "little") > 8 for h in heads)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(0, 1, (400, 8)).astype(np.float32)
