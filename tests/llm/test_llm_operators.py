@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -350,6 +351,46 @@ def test_late_captions_and_texts_of_math_and_svg():
     assert html_text.page_text("<svg><title>t</title><desc>u</desc><defs><text>v</text></defs><metadata>w</metadata><text>d</text></svg><math><semantics><mi>x</mi><annotation>y</annotation></semantics></math>")[0] == "dx"
 
 
+VISIBLE = {
+    "<style>@media print{p{display:none}}</style><p>seen</p>": "seen",
+    "<style>@media screen{p{display:none}} @font-face{x:y} .a{color:red}</style><p>no</p>yes": "yes",
+    "<style>div.h{display:none} .h{color:red} #i.h{visibility:hidden}</style><div class=h>no</div><p class=h>yes<p id=i class=h>no": "yes",
+    "<style>.m{display:none} .m.open{display:block}</style><div class=m>no</div><div class='m open'>yes</div>": "yes",
+    "<style>p{display:none!important} #x{display:block}</style><p id=x>no</p><p style='display:block'>no": "",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>": "yes",
+    "a<!-- x --!>b<!-- y -->c": "abc",
+    "<input value=v> <input type=password value=no><input type=hidden value=no>": "v",
+    "<table><form><tr><td>a<td>b<tr><td>cc<td>d</form></table>": "a   b\ncc  d",
+    "<table><tr><td>" + "long " * 20 + "<td>x<tr><td>y<td>z</table>": "long " * 11 + "long  x\n" + "long " * 7 + "long\ny" + " " * 60 + "z",
+    "<div>" * 600 + "<p hidden>no</p>yes": "yes",
+    "<table><tr><td colspan=90>a<td>b<tr><td rowspan=70>c<td>d</table>": "a  b\nc  d",
+    "<p hidden style='display:block'>yes": "yes",
+}
+
+
+@pytest.mark.parametrize("page", VISIBLE)
+def test_visible_text(page):
+    assert html_text.page_text(page)[0] == VISIBLE[page]
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<style>" + "x" * n + "</style>", lambda n: "<style>" + "a{" * n + "</style>", lambda n: "<table><tr>" + "<td>x" * n, lambda n: "<table>" + "<tr><td>x<td>y" * n, lambda n: "<div>" * n + "<li>x" * n,
+    lambda n: "<table><tr><td>" + "<i>" * n + "</b>" * n + "</table>", lambda n: "<blockquote>x" * n, lambda n: "<a" + " " * n + ">x", lambda n: "<ul><li>" * n + "x", lambda n: "<table><td>" * n + "x", lambda n: "<!--" * n,
+    lambda n: "<table>" + "<tr><td colspan=999><td>x" * n,
+])
+def test_rendering_takes_linear_time(page):
+    def seconds(n):
+        text, best = page(n), 9e9
+        for _ in range(3):
+            began = time.process_time()
+            out = html_text.page_text(text)[0]
+            best = min(best, time.process_time() - began)
+        assert len(out) < 500 * n + 10_000
+        return best
+
+    assert seconds(8000) < 0.1 + 3.5 * seconds(4000)
+
+
 def test_extract(spark):
     rows = [(1, "u", "<title>T</title><p>a"), (2, None, None), (2, None, None), (3, "v", "")]
     got = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
