@@ -10,7 +10,7 @@ their Nystrom features a linear support vector machine is trained by multiple-in
 word; all sentences of clean documents are labelled clean, and of toxic documents the sentences whose word scores above 0 and
 half the document's highest are labelled toxic; the first round takes the words' log odds for a score. As the kernel is linear in
 the description, landmarks and machine fold into one weight for each subsequence. A document's score is a logistic curve, fitted
-to the training documents, of its highest word, the sum of its words above 0 and its number of words.
+to the training documents, of its two highest words, the sum of its words above 0 and its number of words.
 
 Fitted on about SAMPLE documents of each label, of at most SAMPLE_BYTES each, outside the held-out fold. Null, empty and
 wordless texts get the score of a text without any matching word; if nothing could be learned, all scores are 0. Repeated rows get
@@ -180,11 +180,16 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] |
 
 
 def _document_features(doc: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
-    """Highest word, sum of words above 0 (each counts up to 2), number of words, and a constant, for each of n documents."""
-    best = np.full(n, -2.0)
-    np.maximum.at(best, doc, score)
+    """Highest and second highest word, sum of words above 0 (each counts up to 2), number of words, and a constant, for each of n documents."""
+    order = np.lexsort((score, doc))
+    number = np.bincount(doc, minlength=n)
+    last = np.cumsum(number) - 1
+    top = np.full((2, n), -2.0)
+    for k in range(2):
+        has = number > k
+        top[k, has] = score[order[last[has] - k]]
     above = np.bincount(doc, np.clip(score, 0, 2), minlength=n)
-    return np.stack([np.clip(best, -2, 2), np.log1p(above), np.log1p(np.bincount(doc, minlength=n)), np.ones(n)], axis=1)
+    return np.stack([*np.clip(top, -2, 2), np.log1p(above), np.log1p(number), np.ones(n)], axis=1)
 
 
 def _machine(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
