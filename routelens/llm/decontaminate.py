@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved
+from .common import broadcast_if_small, free_name, saved
 from .words import ALNUM, Words, lettered, mix, shingles, words
 
 SEED_WORDS, ITEM_WORDS, PLACES, CELLS = 3, 1_000_000, 1_000_000, 1 << 20
@@ -217,5 +217,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame, min_score: float = 0.4) -> Dat
     doc_id, or none, only those with such a text go."""
     mark = F.xxhash64("text")
     found = _leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", mark.alias("mark")), items, min_score, "item_id", "text")
-    leaks = saved(found.select(F.col("doc_id").alias("__leak"), F.col("mark").alias("__mark")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(leaks), F.col("doc_id").cast("long").eqNullSafe(F.col("__leak")) & (mark == F.col("__mark")), "left_anti")
+    leak, marked = free_name(docs, "leak"), free_name(docs, "marked")
+    leaks = saved(found.select(F.col("doc_id").alias(leak), F.col("mark").alias(marked)).distinct(), "leaks")
+    return docs.join(broadcast_if_small(leaks), F.col("doc_id").cast("long").eqNullSafe(F.col(leak)) & (mark == F.col(marked)), "left_anti")

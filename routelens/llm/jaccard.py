@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved
+from .common import broadcast_if_small, free_name, saved
 from .graph import components, thinned
 from .words import mix, shingles, words
 
@@ -374,9 +374,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
 
     Rows are numbered, so repeated rows and those with a null doc_id are told apart. A row without words is a component of its own.
     """
-    numbered = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    found = jaccard_components(numbered, shingle, percent, doc_id="__row").select(F.col("doc_id").alias("__found"), "component_id")
-    ids = numbered.select("__row", "doc_id", F.xxhash64("text").alias("hash"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "__row")).alias("first")
-    kept = saved(ids.join(found, F.col("__row") == F.col("__found")).groupBy("component_id").agg(first).select(F.col("first.__row").alias("__kept")), "jaccard-kept")
-    return numbered.join(broadcast_if_small(kept), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
+    row, kept_row = free_name(docs, "row_number"), free_name(docs, "kept_row")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    found = jaccard_components(numbered, shingle, percent, doc_id=row).select(F.col("doc_id").alias("found"), "component_id")
+    ids = numbered.select(F.col(row).alias("n"), "doc_id", F.xxhash64("text").alias("hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")).alias("first")
+    kept = saved(ids.join(found, F.col("n") == F.col("found")).groupBy("component_id").agg(first).select(F.col("first.n").alias(kept_row)), "jaccard-kept")
+    return numbered.join(broadcast_if_small(kept), F.col(row) == F.col(kept_row), "left_semi").drop(row)
