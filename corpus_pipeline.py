@@ -1,6 +1,12 @@
 """A training corpus from raw documents: toxicity, quality, near copies, benchmark leaks, and encoding.
 
 Each stage works on the rows that the one before kept. All but the last return the columns of documents.
+
+Null, empty and wordless texts: scored like texts without any matching word, copies of nothing, no leak, no ids. Very long texts
+are read whole by every stage. Repeated rows: one stays, unless they have no words. Null doc_id: such rows are judged by their texts
+like all others, and are the last choice of a group of copies. Ties between copies: the smallest doc_id stays, then the least hash
+of the text. No labels, or labels of one kind only: nothing to learn, so that stage keeps everything. An empty benchmark: no leaks. An
+empty table gives no rows. Extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
