@@ -190,12 +190,6 @@ def a7_value_profile(spark, d):
     return tidy(g.orderBy(F.desc("n"), "v").limit(200))
 
 
-def f1_normalize_id(spark, d):
-    o = table(spark, d, "orders")
-    raw = F.concat(F.lit(' "'), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.when(F.col("o_orderkey") % 7 == 0, ".00").otherwise(""), F.lit('" '))
-    return tidy(o.select("o_orderkey", N.normalize_id(raw).alias("id"), N.text_or_missing(F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_orderstatus"))).alias("status"), N.issue_flag(F.when(F.col("o_orderkey") % 4 == 0, "E-CSCF 404").when(F.col("o_orderkey") % 4 == 1, "401").otherwise("200 OK")).alias("issue")))
-
-
 def _q(select: str, ctes: str = LABELS) -> str:
     return f"WITH {ctes} {select}"
 
@@ -232,5 +226,4 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY gap, rt, right_id) AS rl, row_number() OVER (PARTITION BY right_id ORDER BY gap, lt, left_id) AS rr FROM p) SELECT left_id, right_id, round(gap, 6) AS gap FROM r WHERE rl = 1 AND rr = 1"""),
     "a6_mapping_coverage": (a6_mapping_coverage, "SELECT count(*) AS n_rows, count(o_custkey) AS non_null, count(DISTINCT o_custkey) AS distinct_keys, count(c_custkey) AS matched, count(o_custkey) - count(c_custkey) AS unmatched, round(100.0 * count(c_custkey) / count(o_custkey), 2)::DOUBLE AS rate_pct FROM orders LEFT JOIN customer ON o_custkey = c_custkey"),
     "a7_value_profile": (a7_value_profile, "SELECT regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS v, min(p_brand) AS example, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, v LIMIT 200"),
-    "f1_normalize_id": (f1_normalize_id, "SELECT o_orderkey, o_custkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN '<MISSING>' ELSE o_orderstatus END AS status, o_orderkey % 4 = 0 AS issue FROM orders"),
 }
