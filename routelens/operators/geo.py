@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Metres per degree, the largest edge table to broadcast, and the distance up to which a point is on a border.
 M_PER_LAT, M_PER_LON, MOST_BROADCAST_EDGES, ON_BORDER = 110_574.0, 111_320.0, 500_000, 1e-6
+#: Levels of the grid; the widest cells span the whole earth. Radius of the sphere in metres.
+LEVELS, EARTH_RADIUS = 10, 6_371_008.8
 
 
 def segment_distance(lon: Column, lat: Column) -> Column:
@@ -33,23 +35,69 @@ def crossing(lon: Column, lat: Column) -> Column:
     return F.when(spans & (lon < at), 1).otherwise(0)
 
 
-def _cells(x0: Column, x1: Column, y0: Column, y1: Column, cell: float, df: DataFrame) -> DataFrame:
-    steps = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
-    return df.withColumn("cx", F.explode(steps(x0, x1))).withColumn("cy", F.explode(steps(y0, y1)))
+def _span(lo: Column, hi: Column, size: Column) -> Column:
+    return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
 def measure(calls: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
-    """call_id, psap_id, inside and d for each call and each polygon that its disk may meet, and for its routed polygon."""
+    """call_id, psap_id, uncert, routed, inside and d for each call and each polygon that its disk may meet, and its routed polygon.
+
+    The grid has LEVELS levels, each with cells twice as wide as the one before. A call lies on the level whose cells are as wide as
+    its disk, so in four cells at most however large it is; polygons lie on all levels. A pair meets in the first cell they share,
+    so it comes once. Edges may have a `part`: a point is inside if it is inside any part.
+    """
     boxes = edges.groupBy("psap_id").agg(*(f(F.least(f"{a}1", f"{a}2") if f is F.min else F.greatest(f"{a}1", f"{a}2")).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
-    grid = _cells(F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy"), cell, boxes).select("psap_id", "cx", "cy")
-    dy, dx = F.col("uncert") / M_PER_LAT, F.col("uncert") / (F.lit(M_PER_LON) * F.greatest(F.lit(0.01), F.cos(F.radians("lat"))))
-    near = _cells(F.col("lon") - dx, F.col("lon") + dx, F.col("lat") - dy, F.col("lat") + dy, cell, calls).join(grid, ["cx", "cy"])
-    pairs = near.select("call_id", "lon", "lat", "psap_id").unionByName(calls.select("call_id", "lon", "lat", F.col("routed").alias("psap_id"))).distinct()
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    grid = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cx", _span(F.col("lox"), F.col("hix"), size)).withColumn("cy", _span(F.col("loy"), F.col("hiy"), size))
+    grid = grid.select("psap_id", "level", "cx", "cy", F.floor(F.col("lox") / size).alias("px"), F.floor(F.col("loy") / size).alias("py"))
+    dy, dx = F.col("uncert") / M_PER_LAT, F.least(F.lit(360.0), F.col("uncert") / (F.lit(M_PER_LON) * F.greatest(F.lit(0.01), F.cos(F.radians("lat")))))
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(2 * F.greatest(dx, dy) / cell)))).cast("int")
+    near = calls.withColumn("level", level).withColumn("cx", _span(F.col("lon") - dx, F.col("lon") + dx, size)).withColumn("cy", _span(F.col("lat") - dy, F.col("lat") + dy, size))
+    near = near.withColumns({"qx": F.floor((F.col("lon") - dx) / size), "qy": F.floor((F.col("lat") - dy) / size)}).join(grid, ["level", "cx", "cy"])
+    first = (F.col("cx") == F.greatest("px", "qx")) & (F.col("cy") == F.greatest("py", "qy"))
+    base = ["call_id", "lon", "lat", "uncert", "routed"]
+    pairs = near.where(first & ~F.col("psap_id").eqNullSafe(F.col("routed"))).select(*base, "psap_id").unionByName(calls.select(*base, F.col("routed").alias("psap_id")))
     small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
     rows = pairs.join(F.broadcast(edges) if small else edges, "psap_id")
-    return rows.groupBy("call_id", "psap_id").agg(
-        (F.sum(crossing(F.col("lon"), F.col("lat"))) % 2 == 1).alias("inside"), F.min(segment_distance(F.col("lon"), F.col("lat"))).alias("d")
+    of_pair = [F.any_value("uncert").alias("uncert"), F.any_value("routed").alias("routed")]
+    found = rows.groupBy("call_id", "psap_id", *(["part"] if "part" in edges.columns else [])).agg(
+        *of_pair, (F.sum(crossing(F.col("lon"), F.col("lat"))) % 2 == 1).alias("inside"), F.min(segment_distance(F.col("lon"), F.col("lat"))).alias("d")
     )
+    return found.groupBy("call_id", "psap_id").agg(*of_pair, F.max("inside").alias("inside"), F.min("d").alias("d")) if "part" in edges.columns else found
+
+
+def ring(lon: Column, lat: Column, radius: Column, vertices: int = 24) -> Column:
+    """Vertices of a regular ring around a point on the sphere, as an array of (x, y), the first from the north, clockwise."""
+    arc, phi = radius / EARTH_RADIUS, F.radians(lat)
+
+    def vertex(k: Column) -> Column:
+        bearing = F.radians(k * (360.0 / vertices))
+        y = F.asin(F.sin(phi) * F.cos(arc) + F.cos(phi) * F.sin(arc) * F.cos(bearing))
+        x = F.radians(lon) + F.atan2(F.sin(bearing) * F.sin(arc) * F.cos(phi), F.cos(arc) - F.sin(phi) * F.sin(y))
+        return F.struct(F.degrees(x).alias("x"), F.degrees(y).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(vertices - 1)), vertex)
+
+
+def ring_in_polygons(calls: DataFrame, edges: DataFrame, vertices: int = 24, cell: float = 1.0) -> DataFrame:
+    """call_id, psap_id and how many of the ring's vertices lie inside, for each polygon that the call's disk may meet.
+
+    A polygon with all vertices inside covers the ring, unless its border bends into it between two of them.
+    """
+    wider = calls.withColumn("uncert", F.col("uncert") * 1.02)  # the ring lies on the sphere, the disk on a plane
+    near = measure(wider, edges, cell).select("call_id", "psap_id")
+    points = calls.select("call_id", F.posexplode(ring(F.col("lon"), F.col("lat"), F.col("uncert"), vertices)).alias("vertex", "p")).select("call_id", "vertex", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+    small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
+    rows = near.join(points, "call_id").join(F.broadcast(edges) if small else edges, "psap_id")
+    odd = rows.groupBy("call_id", "psap_id", "vertex").agg((F.sum(crossing(F.col("lon"), F.col("lat"))) % 2).alias("inside"))
+    return odd.groupBy("call_id", "psap_id").agg(F.sum("inside").alias("inside"))
+
+
+def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres between two points on the sphere."""
+    dy, dx = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
+    h = F.pow(F.sin(dy / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dx / 2), F.lit(2))
+    return 2 * EARTH_RADIUS * F.asin(F.sqrt(h))
 
 
 def validity(lat: Column, lon: Column, uncert: Column) -> Column:
@@ -62,7 +110,6 @@ def label_routes(calls: DataFrame, edges: DataFrame, policy: str = "strict", cel
     """calls (call_id, lon, lat, uncert, routed, ...) with status, expected, label, d_routed and d_expected. policy: strict or v1."""
     calls = calls.withColumn("__bad", validity(F.col("lat"), F.col("lon"), F.col("uncert")))
     found = measure(calls.where("__bad IS NULL").select("call_id", "lon", "lat", "uncert", "routed"), edges, cell)
-    found = found.join(calls.select("call_id", "uncert", "routed"), "call_id")
     inside = F.col("inside") | (F.col("d") <= ON_BORDER)
     covers, meets, own = inside & (F.col("d") >= F.col("uncert")), inside | (F.col("d") < F.col("uncert")), F.col("psap_id") == F.col("routed")
     count, pick = (lambda c: F.count(F.when(c, 1))), (lambda c, v: F.max(F.when(c, F.col(v))))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalize import safe_rate, wilson_lower
+from ..functions.normalize import joined_unique, safe_rate, wilson_lower
+
 
 def has_label() -> Column:
     return F.col("label").isNotNull()
@@ -23,10 +25,11 @@ def long_form(rows: DataFrame, features: list[str], keep: list[str]) -> DataFram
 
 def lift(rows: DataFrame, features: list[str], least_calls: int = 20, least_wrong: int = 3) -> DataFrame:
     """Misroute rate of each feature value against the overall rate (A16). rows: label 0/1 and features."""
-    strong = rows.where(has_label())
-    total = strong.agg(F.avg("label").alias("global_rate"))
-    groups = long_form(strong, features, ["label"]).withColumn("value", F.coalesce("value", F.lit("<MISSING>"))).groupBy("feature", "value").agg(F.count("*").alias("calls"), F.sum("label").alias("misroutes"))
-    out = groups.where((F.col("calls") >= least_calls) & (F.col("misroutes") >= least_wrong)).crossJoin(F.broadcast(total))  # one row
+    groups = long_form(rows.where(has_label()), features, ["label"]).withColumn("value", F.coalesce("value", F.lit("<MISSING>"))).groupBy("feature", "value").agg(F.count("*").alias("calls"), F.sum("label").alias("misroutes"))
+    # every call has one value of each feature, so each feature's groups add up to all calls
+    of_feature = W.partitionBy("feature")
+    all_calls = groups.withColumn("global_rate", F.sum("misroutes").over(of_feature) / F.sum("calls").over(of_feature))
+    out = all_calls.where((F.col("calls") >= least_calls) & (F.col("misroutes") >= least_wrong))
     rate = F.col("misroutes") / F.col("calls")
     return out.select("feature", "value", "calls", "misroutes", rate.alias("rate"), safe_rate(rate, F.col("global_rate")).alias("lift"), (F.col("calls") * F.col("global_rate")).alias("expected"), (F.col("misroutes") - F.col("calls") * F.col("global_rate")).alias("excess"))
 
@@ -47,9 +50,11 @@ def numeric_comparison(rows: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(*stats).withColumn("difference", F.col("mean_misroute") - F.col("mean_correct"))
 
 
-def risk(rows: DataFrame, level: str, key: Column) -> DataFrame:
-    """Strong and misrouted calls, rate and Wilson bound per entity of a level."""
-    g = rows.where(has_label()).groupBy(F.lit(level).alias("level"), key.cast("string").alias("entity")).agg(F.count("*").alias("calls"), F.sum("label").alias("misroutes"), F.count_distinct(F.to_date("call_time")).alias("active_days"))
+def risk(rows: DataFrame, levels: dict[str, Column]) -> DataFrame:
+    """Strong and misrouted calls, rate and Wilson bound per entity of each level, in one pass over the rows."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("level"), key.cast("string").alias("entity")) for name, key in levels.items())))
+    long = rows.where(has_label()).select("label", "call_time", pairs.alias("__x")).select("label", "call_time", "__x.*")
+    g = long.groupBy("level", "entity").agg(F.count("*").alias("calls"), F.sum("label").alias("misroutes"), F.count_distinct(F.to_date("call_time")).alias("active_days"))
     return g.withColumn("rate", F.col("misroutes") / F.col("calls")).withColumn("wilson", wilson_lower(F.col("misroutes"), F.col("calls")))
 
 
@@ -163,13 +168,8 @@ def strong_pairs(rows: DataFrame, flags: list[str], ids: str, most_ids: int = 15
 
     Distinct ids are few per pair (markets, regions); the rank runs over pairs, which are bounded by the square of the jurisdictions.
     """
-    from pyspark.sql import Window as W
-
-    unique = F.array_sort(F.collect_set(ids))
-    more = F.when(F.size("__u") > most_ids, F.concat(F.lit(", +"), (F.size("__u") - most_ids).cast("string"), F.lit(" more"))).otherwise("")
-    g = rows.where("label = 1").groupBy("routed", "expected").agg(F.count("*").alias("calls"), F.min("call_time").alias("first_seen"), F.max("call_time").alias("last_seen"), F.min("d_routed").alias("min_d"), F.avg("d_routed").alias("avg_d"), F.max("d_routed").alias("max_d"), F.min(F.col("d_routed") - F.col("uncert")).alias("min_clearance"), *(F.sum(F.col(f).cast("long")).alias(f"{f}_calls") for f in flags), unique.alias("__u"))
-    out = g.withColumn(f"{ids}_ids", F.concat(F.array_join(F.slice("__u", 1, most_ids), ", "), more)).drop("__u")
-    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("calls"), "routed", "expected")))
+    g = rows.where("label = 1").groupBy("routed", "expected").agg(F.count("*").alias("calls"), F.min("call_time").alias("first_seen"), F.max("call_time").alias("last_seen"), F.min("d_routed").alias("min_d"), F.avg("d_routed").alias("avg_d"), F.max("d_routed").alias("max_d"), F.min(F.col("d_routed") - F.col("uncert")).alias("min_clearance"), *(F.sum(F.col(f).cast("long")).alias(f"{f}_calls") for f in flags), joined_unique(F.col(ids), most_ids).alias(f"{ids}_ids"))
+    return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc("calls"), "routed", "expected")))
 
 
 def drill_down(rows: DataFrame, patterns: DataFrame, keys: list[str]) -> DataFrame:

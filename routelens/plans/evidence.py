@@ -151,7 +151,7 @@ QUERIES = {
     "a24_cohort_denominators": (a24_cohort_denominators, _q("SELECT cell, market, priority, count(label) AS strong, count(*) FILTER (label = 1) AS misroutes, count(*) FILTER (label = 0) AS correct FROM l GROUP BY 1, 2, 3", L.LABELS)),
     "a25_frequent_name": (a25_frequent_name, _q("SELECT routed, arg_min(market, (-n, market)) AS name FROM (SELECT routed, market, count(*) AS n FROM l GROUP BY 1, 2) GROUP BY 1", L.LABELS)),
     "a26_strong_pairs": (a26_strong_pairs, _q("""SELECT routed, expected, count(*) AS calls, min(call_time) AS first_seen, max(call_time) AS last_seen, round(min(d_routed), 6) AS min_d, round(avg(d_routed), 6) AS avg_d, round(max(d_routed), 6) AS max_d, round(min(d_routed - uncert), 6) AS min_clearance, sum(route)::BIGINT AS route_calls, sum(fallback)::BIGINT AS fallback_calls,
-        array_to_string(list_sort(list(DISTINCT market)), ', ') AS market_ids, row_number() OVER (ORDER BY count(*) DESC, routed, expected) AS rank FROM fl WHERE label = 1 GROUP BY 1, 2""", FL)),
+        array_to_string(list_sort(list(DISTINCT market)), ' | ') AS market_ids, row_number() OVER (ORDER BY count(*) DESC, routed, expected) AS rank FROM fl WHERE label = 1 GROUP BY 1, 2""", FL)),
     "a13_pair_summary": (a13_pair_summary, _q("""SELECT market, routed, expected, misroutes, active_days, round(median_d, 6) AS median_d, round(p95_d, 6) AS p95_d, round(median_ratio, 6) AS median_ratio, round(misroutes::DOUBLE / sum(misroutes) OVER (PARTITION BY market), 6) AS level_share, round(misroutes::DOUBLE / sum(misroutes) OVER (PARTITION BY routed, expected), 6) AS pair_share FROM
         (SELECT market, routed, expected, count(DISTINCT call_id) AS misroutes, count(DISTINCT call_time::DATE) AS active_days, quantile_cont(d_routed, 0.5) AS median_d, quantile_cont(d_routed, 0.95) AS p95_d, quantile_cont(d_routed / uncert, 0.5) AS median_ratio FROM l WHERE label = 1 GROUP BY 1, 2, 3)""", L.LABELS)),
     "a15_hypothesis": (a15_hypothesis, _q("""SELECT cell, strong, misroutes, round(separation, 6) AS separation, n_expected, round(share, 6) AS pair_share, CASE WHEN misroutes = 0 THEN 'NO_MISROUTE' WHEN misroutes >= 3 AND share >= 0.8 AND separation >= 3 THEN 'LIKELY_CELL_TO_PSAP_MAPPING' WHEN misroutes >= 3 AND n_expected > 1 THEN 'UNSTABLE_OR_MULTIPLE_EXPECTED_PSAP_PATTERN'

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import geo, grain, rca
-from ..sources.tables import table
+from ..operators import boundaries, geo, grain, rca
+from ..sources.tables import split_chunks, table
 from .common import tidy
 
 
@@ -32,6 +32,34 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_nationkey").cast("bigint").alias("psap_id"), sides.alias("e")).select("psap_id", "e.*")
 
 
+def boundary_texts(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """The squares of edges() as texts of many shapes, in chunks of 50 characters; with broken, texts that can't be read among them."""
+    x, y = (F.col("n_nationkey") % 5).cast("int"), F.lit(30) + F.floor(F.col("n_nationkey") / 5).cast("int")
+    corner = lambda a, b, sep: F.concat_ws(sep, (x + a).cast("string"), (y + b).cast("string"))
+    ring = lambda sep, pre, post: F.concat_ws(", ", *(F.concat(F.lit(pre), corner(a, b, sep), F.lit(post)) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+    points = ring(",", "[", "]")
+    text = lambda before, after: F.concat(F.lit(before), points, F.lit(after))
+    shapes = [
+        text('{"type":"Polygon","coordinates":[[', "]]}"), text('{"type":"MultiPolygon","coordinates":[[[', "]]]}"), text('{"type":"Feature","properties":{"a":1},"geometry":{"type":"Polygon","coordinates":[[', "]]}}"),
+        text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[9,9],[3,3],[4,4]]}},{"type":"Feature","geometry":{"coordinates":[[', ']],"type":"Polygon"}}]}'),
+        text('{"geometry":{"coordinates":[[', "]]}}"), text('{"payload":"{\\"type\\":\\"Polygon\\",\\"coordinates\\":[[', ']]}"}'), F.concat(F.lit("POLYGON (("), ring(" ", "", ""), F.lit("))")), F.concat(F.lit("MULTIPOLYGON ((("), ring(" ", "", ""), F.lit(")))")),
+        text('[{"type":"Polygon","coordinates":[[', "]]}]"), text('{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[ [ ', ' ] ]},{"type":"Point","coordinates":[1,2]}]}'),
+    ]
+    faults = [text('{"type":"Polygon","coordinates":[[', "]}"), F.lit(""), F.lit('{"type":"Point","coordinates":[1,2]}'), F.lit("POLYGON ((0 0, 1 1))"), text('{"type":"LineString","coordinates":[', "]}"), F.lit("rubbish")]
+    key, kind = F.col("n_nationkey"), F.col("n_nationkey") % len(shapes)
+    whole = F.element_at(F.array(*shapes), (kind + 1).cast("int"))
+    if broken:
+        whole = F.when(key % 4 == 1, F.element_at(F.array(*faults), (F.floor(key / 4) % len(faults) + 1).cast("int"))).otherwise(whole)
+    psap = F.concat(F.lit(' "'), F.when((key % 5 == 3) & F.lit(broken), "").otherwise(key.cast("string")), F.lit('.0"'))
+    psap = F.when((key % 5 == 3) & F.lit(broken), "").otherwise(psap)
+    rows = table(spark, sf_dir, "nation").select(key.alias("n"), psap.alias("psap_id"), F.concat(F.lit("N"), key.cast("string")).alias("nena_id"), whole.alias("text"))
+    return split_chunks(rows, "n", "text", 50).join(rows.select("n", "psap_id", "nena_id"), "n").select("psap_id", "nena_id", F.col("chunk_no").cast("string").alias("chunk_no"), "chunk")
+
+
+def parsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.edges(boundaries.parse(boundary_texts(spark, sf_dir))).withColumn("psap_id", F.col("psap_id").cast("bigint"))
+
+
 def labelled(spark: SparkSession, sf_dir: str, policy: str = "strict") -> DataFrame:
     return geo.label_routes(calls(spark, sf_dir), edges(spark, sf_dir), policy)
 
@@ -73,6 +101,28 @@ def c1_route_labels(spark, d):
     return tidy(labelled(spark, d).select("call_id", "status", "expected", "label", F.round("d_routed", 2).alias("d_routed"), F.round("d_expected", 2).alias("d_expected")))
 
 
+def c3_boundaries(spark, d):
+    p = boundaries.parse(boundary_texts(spark, d, broken=True))
+    area = F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2
+    sized = boundaries.edges(p).groupBy("psap_id").agg(F.count("*").alias("n_edges"), area.alias("area"), F.min("x1").alias("west"), F.min("y1").alias("south"))
+    return tidy(p.select("psap_id", "nena_id", "parse_status").join(sized, "psap_id", "left"))
+
+
+def c1_from_boundary_texts(spark, d):
+    got = geo.label_routes(calls(spark, d), parsed_edges(spark, d))
+    return tidy(got.groupBy("status", "routed", "expected").agg(F.count("*").alias("calls"), F.sum("label").alias("misroutes"), F.round(F.max("d_routed"), 2).alias("max_d_routed")))
+
+
+def f20_uncertainty_ring(spark, d):
+    c = calls(spark, d).where("lon IS NOT NULL AND uncert > 0").select("call_id", F.posexplode(geo.ring(F.col("lon"), F.col("lat"), F.col("uncert"))).alias("vertex", "p"), "lon", "lat")
+    return tidy(c.select("call_id", "vertex", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.round(geo.haversine(F.col("lon"), F.col("lat"), F.col("p.x"), F.col("p.y")), 2).alias("distance")))
+
+
+def j10_ring_in_polygons(spark, d):
+    c = calls(spark, d).where("lon IS NOT NULL AND uncert > 0")
+    return tidy(geo.ring_in_polygons(c, edges(spark, d)).where("inside > 0"))
+
+
 def c2_route_labels_v1(spark, d):
     return tidy(labelled(spark, d, "v1").groupBy("status").agg(F.count("*").alias("calls")))
 
@@ -100,13 +150,7 @@ def a12_episode_summary(spark, d):
 
 
 def a14_entity_risk(spark, d):
-    s = labelled(spark, d)
-    levels = [("psap", F.col("routed")), ("market", F.col("market")), ("priority", F.col("priority")), ("cell", F.col("cell"))]
-    out = None
-    for name, key in levels:
-        part = rca.risk(s, name, key)
-        out = part if out is None else out.unionByName(part)
-    return tidy(out)
+    return tidy(rca.risk(labelled(spark, d), {"psap": F.col("routed"), "market": F.col("market"), "priority": F.col("priority"), "cell": F.col("cell")}))
 
 
 def a16_categorical_lift(spark, d):
@@ -194,8 +238,16 @@ def _q(select: str, ctes: str = LABELS) -> str:
     return f"WITH {ctes} {select}"
 
 
+_RING_SQL = """, w AS (SELECT call_id, uncert, vertex, radians(lon) AS l, radians(lat) AS p, uncert / 6371008.8 AS r, radians(vertex * 15.0::DOUBLE) AS b FROM (SELECT *, unnest(range(0, 24)) AS vertex FROM calls WHERE lon IS NOT NULL AND uncert > 0)),
+    w2 AS (SELECT *, asin(sin(p) * cos(r) + cos(p) * sin(r) * cos(b)) AS q FROM w), v AS (SELECT call_id, uncert, vertex, degrees(q) AS y, degrees(l + atan2(sin(b) * sin(r) * cos(p), cos(r) - sin(p) * sin(q))) AS x FROM w2)"""
+
 QUERIES = {
     "c1_route_labels": (c1_route_labels, _q("SELECT call_id, status, expected, label, round(d_routed, 2) AS d_routed, round(d_expected, 2) AS d_expected FROM l")),
+    "c3_boundaries": (c3_boundaries, """SELECT CASE WHEN k % 5 = 3 THEN '' ELSE k::VARCHAR END AS psap_id, 'N' || k AS nena_id, CASE WHEN k % 5 = 3 THEN CASE WHEN k % 4 = 1 THEN 'MISSING_FCC_AND_PARSE_ERROR' ELSE 'MISSING_FCC_ID' END WHEN k % 4 = 1 THEN 'PARSE_ERROR' ELSE 'OK' END AS parse_status,
+        CASE WHEN ok THEN 4 END::BIGINT AS n_edges, CASE WHEN ok THEN 1.0 END::DOUBLE AS area, CASE WHEN ok THEN k % 5 END::DOUBLE AS west, CASE WHEN ok THEN 30 + k // 5 END::DOUBLE AS south FROM (SELECT n_nationkey AS k, n_nationkey % 5 <> 3 AND n_nationkey % 4 <> 1 AS ok FROM nation)"""),
+    "c1_from_boundary_texts": (c1_from_boundary_texts, _q("SELECT status, routed, expected, count(*) AS calls, sum(label)::BIGINT AS misroutes, round(max(d_routed), 2) AS max_d_routed FROM l GROUP BY 1, 2, 3")),
+    "f20_uncertainty_ring": (f20_uncertainty_ring, _q(_RING_SQL + " SELECT call_id, vertex, round(x, 6) AS x, round(y, 6) AS y, round(uncert, 2) AS distance FROM v", CALLS)),
+    "j10_ring_in_polygons": (j10_ring_in_polygons, _q(_RING_SQL + f", {EDGES}" + """ SELECT call_id, psap_id, count(*) AS inside FROM (SELECT call_id, vertex, psap_id, sum(CASE WHEN (y1 > v.y) <> (y2 > v.y) AND v.x < x1 + (v.y - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 AS odd FROM v, edges GROUP BY 1, 2, 3) WHERE odd = 1 GROUP BY 1, 2""", CALLS)),
     "c2_route_labels_v1": (c2_route_labels_v1, _q("""SELECT CASE WHEN lon IS NULL THEN 'INVALID_LOCATION' WHEN routed IS NULL THEN 'MISSING_ROUTED_PSAP' WHEN uncert IS NULL OR uncert <= 0 THEN 'INVALID_UNCERTAINTY' WHEN coalesce(has, 0) = 0 THEN 'ROUTED_PSAP_BOUNDARY_MISSING'
         WHEN ins = 0 THEN 'NO_BOUNDARY_AT_REPORTED_CENTER' WHEN ins > 1 THEN 'AMBIGUOUS_OVERLAPPING_BOUNDARIES' WHEN own_cov = 1 AND cov = 1 THEN 'CORRECT_UNAMBIGUOUS' WHEN own_met = 0 AND alt_cov = 1 THEN 'DEFINITE_MISROUTE'
         WHEN own_in = 1 THEN 'ROUTED_PSAP_CONSISTENT_BUT_BOUNDARY_AMBIGUOUS' ELSE 'LIKELY_MISROUTE_BOUNDARY_AMBIGUOUS' END AS status, count(*) AS calls FROM s GROUP BY 1""")),
