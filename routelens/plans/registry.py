@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import association, evaluation, evidence, location, monitoring, scalars
+from . import association, evaluation, evidence, inputs, location, monitoring, scalars
 
-_ALL = location.QUERIES | monitoring.QUERIES | association.QUERIES | evaluation.QUERIES | evidence.QUERIES | scalars.QUERIES
+_ALL = location.QUERIES | monitoring.QUERIES | association.QUERIES | evaluation.QUERIES | evidence.QUERIES | scalars.QUERIES | inputs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
