@@ -60,6 +60,12 @@ def match_episodes(episodes: DataFrame, events: DataFrame, tolerance_hours: floa
     return hits.select("event_id", "psap_id", "event_start", "event_end", "detected_at", F.when(F.col("detected_at").isNotNull(), F.greatest(F.lit(0.0), (s("detected_at") - s("event_start")) / 3600)).alias("delay_hours"))
 
 
+def unmatched_episodes(episodes: DataFrame, events: DataFrame, tolerance_hours: float = 0.0) -> DataFrame:
+    """Episodes that detect no event: false positives (J17). An event is detected by the earliest episode that overlaps it."""
+    used = match_episodes(episodes, events, tolerance_hours).where("detected_at IS NOT NULL").select("psap_id", F.col("detected_at").alias("episode_start")).distinct()
+    return episodes.join(used, ["psap_id", "episode_start"], "left_anti")
+
+
 def classification(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Accuracy and support-weighted F1 of trimmed, case-folded labels, from the confusion counts."""
     fold = lambda c: F.lower(F.trim(F.col(c).cast("string")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import evaluate as E
-from ..operators import health, kpi
+from ..operators import health, kpi, report
 from ..sources.tables import table
 from . import monitoring as M
 from .common import tidy
@@ -182,21 +182,68 @@ def t22_psi_by_hour(spark, d):
     return tidy(health.psi(ref, cur, "asr_sr", ["bucket"]))
 
 
+def after(spark, d):
+    """All hours of all entities with the injected score where there is one."""
+    p = pairs(spark, d).select(*E.KEY, "injected_ratio")
+    return untouched(spark, d).join(p, E.KEY, "left").select(*E.KEY, F.coalesce("injected_ratio", "ratio").alias("ratio"))
+
+
+def t25_severity_monotonicity(spark, d):
+    return tidy(report.monotonicity(pairs(spark, d)))
+
+
+def t22_drift_groups(spark, d):
+    ref, cur = M._halves(spark, d)
+    dims = {"cluster": F.col("psap_id") % 4, "market": F.when(F.col("psap_id") < 6, "EAST").otherwise("WEST"), "psap": F.col("psap_id"), "time_bucket": N.time_bucket(F.col("hour_start_utc"))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), v.cast("string").alias("group")) for k, v in dims.items())))
+    long = lambda df: df.select("asr_sr", each.alias("x")).select("asr_sr", "x.*")
+    return tidy(report.drift_groups(health.psi(long(ref), long(cur), "asr_sr", ["dimension", "group"])))
+
+
+def metrics(spark, d):
+    """metric and value of the health report, from one aggregate for each table."""
+    s, p, o, h, a = M.scored(spark, d), pairs(spark, d), outcomes(spark, d), heads(spark, d), after(spark, d)
+    rate = lambda k, n: F.try_divide(F.sum(F.coalesce(k, F.lit(False)).cast("double")), F.sum(F.coalesce(n, F.lit(False)).cast("double")))
+    truth_row = F.col("pattern") != "volume_drop"
+    rows = a.join(p.select(*E.KEY, "pattern"), E.KEY, "left").withColumns({"alert": F.col("ratio") > 1, "truth": F.coalesce(truth_row, F.lit(False))})
+    ep = kpi.episodes(rows.where("alert"))
+    events = o.where(truth_row).select("event_id").join(M.events_of(spark, d), "event_id")
+    matched = health.match_episodes(ep, events, 1.0)
+    found = matched.agg(F.count("*").alias("n"), F.count("detected_at").alias("tp"), F.percentile("delay_hours", F.lit(0.5)).alias("delay"))
+    used = health.unmatched_episodes(ep, events, 1.0).agg(F.count("*").alias("fp"))
+    levels = E.minimum_severity(o.where(truth_row).withColumn("severity", F.round(F.col("severity") / 0.25 + 1)), ["pattern"], 0.8)
+    episodes, flap = kpi.episodes(s.where("alert")), kpi.flapping(s.select(*E.KEY, "alert"))
+    psi = health.psi(*M._halves(spark, d), "asr_sr", [])
+    m = _mapping(spark, d)
+    early = F.dayofmonth("hour_start_utc") <= 15
+    stable = E.mapping_stability(m.where(early & (F.col("psap_id") != 1)), m.where(~early & (F.col("psap_id") != 2)))
+    parts = [
+        found.crossJoin(used).select((F.col("tp") / F.col("n")).alias("event_recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("event_precision"), F.col("delay").alias("median_delay_hours")),  # one row each
+        rows.agg(rate(F.col("alert") & F.col("truth"), F.col("truth")).alias("row_recall"), rate(F.col("alert") & F.col("truth"), F.col("alert")).alias("row_precision"), E.share(F.col("ratio").isNotNull()).alias("injected_coverage")),
+        p.where(truth_row).agg(F.percentile("lift", F.lit(0.5)).alias("median_ratio_lift")),
+        report.monotonicity(p.where(truth_row)).agg(F.percentile("spearman", F.lit(0.5)).alias("median_spearman")),
+        levels.agg(F.when(F.count("*") > F.count("minimum_severity"), 99.0).otherwise(F.max("minimum_severity")).alias("worst_minimum_severity")),
+        o.where(truth_row).agg(F.avg(F.col("alerted") / F.col("affected")).alias("mean_temporal_coverage"), rate(F.col("detected") & ~F.col("contaminated"), ~F.col("contaminated")).alias("attributable_recall")),
+        s.agg((1000 * E.share(F.col("alert"))).alias("alerts_per_1000"), E.share(F.col("call_volume").isNotNull()).alias("baseline_coverage"), F.sum((F.isnan("call_volume") | (F.col("threshold") <= 0)).cast("double")).alias("invalid_rows")),
+        h.agg(E.share(F.col("ratio").isNull()).alias("missing_head_rate")), E.head_agreement(h).select("majority_agreement", F.col("p95_spread").alias("p95_dispersion")),
+        psi.select(F.col("psi").alias("assessed_psi")), episodes.agg(E.share(F.col("alert_hours") == 1).alias("one_hour_episode_share")), flap.agg((F.sum("transitions") / F.sum("opportunities")).alias("flapping_rate")),
+        stable.select(F.col("cluster_change").alias("cluster_change_rate"), F.col("head_change").alias("mapping_change_rate"), (F.col("common") / (F.col("common") + F.col("added"))).alias("mapping_coverage")),
+        p.where(~truth_row).agg(E.share(F.col("new_alert")).alias("benign_new_alert_rate"), E.share(F.col("lift") > 1e-6).alias("benign_score_increase_rate")),
+        h.agg(F.least(F.lit(1.0), F.sum("sanity").cast("double")).alias("sanity_rows_scored")),
+    ]
+    out = None
+    for part in parts:
+        long = part.select(*(F.col(c).cast("double").alias(c) for c in part.columns)).unpivot([], part.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def c14_health_metrics(spark, d):
+    return tidy(metrics(spark, d))
+
+
 def c14_model_health(spark, d):
-    """Checks of coverage, components, agreement, recall and new alerts, graded, with the worst grade on every row."""
-    o, p, h = outcomes(spark, d), pairs(spark, d), heads(spark, d)
-    one = lambda df, name, c, grade: df.select(F.lit(name).alias("check"), c.cast("double").alias("value")).withColumn("grade", grade(F.col("value")))
-    checks = [
-        one(E.scoring_metadata(untouched(spark, d).withColumn("status", F.lit("SCORED")), truth(spark, d).select(F.lit(1).alias("g"), *E.KEY), ["g"]), "coverage", F.col("coverage"), lambda v: N.grade_high(v, 0.98, 0.90)),
-        one(h.agg(E.share(F.col("ratio").isNull()).alias("m")), "component_missing", F.col("m"), lambda v: N.grade_low(v, 0.02, 0.10)),
-        one(E.head_agreement(h), "majority_agreement", F.col("majority_agreement"), lambda v: N.grade_high(v, 0.80, 0.60)),
-        one(o.agg(E.share(F.col("detected")).alias("r")), "event_recall", F.col("r"), lambda v: N.grade_high(v, 0.90, 0.75)),
-        one(p.where("pattern = 'volume_drop'").agg(E.share(F.col("new_alert")).alias("r")), "benign_new_alerts", F.col("r"), lambda v: N.grade_low(v, 0.01, 0.05)),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return tidy(out.crossJoin(F.broadcast(health.worst_of(out.withColumn("all", F.lit(1)), ["all"]).select("overall"))))  # one row
+    return tidy(report.model_health(metrics(spark, d).withColumn("value", F.round("value", 9))))
 
 
 def _q(select: str, ctes: str = TR) -> str:
@@ -207,11 +254,45 @@ _RECALL = "count(*) AS events, count(*) FILTER (detected) AS found, " + sh("dete
 _COVER = "count(*) AS planned, count(ratio) AS scored, {e} AS errors, count(*) FILTER (ratio > 1) AS crossings, " + sh("ratio IS NOT NULL", "coverage")
 _MAP = M.H + ", mp AS (SELECT psap_id, hour_start_utc, call_volume::BIGINT % 3 AS cluster, (psap_id + day(hour_start_utc) % 2) % 12 AS head_id FROM h)"
 _LAST = "SELECT psap_id, max(x).c AS cluster, max(x).i AS head_id FROM (SELECT psap_id, {{'t': hour_start_utc, 'c': cluster, 'i': head_id}} AS x FROM mp {w}) GROUP BY 1"
-_HIGH = "CASE WHEN {v} >= {a} THEN 'PASS' WHEN {v} >= {b} THEN 'WARN' ELSE 'FAIL' END"
-_LOW = "CASE WHEN {v} <= {a} THEN 'PASS' WHEN {v} <= {b} THEN 'WARN' ELSE 'FAIL' END"
 _AGREE = "ag AS (SELECT greatest(v, 1 - v) AS m, spread FROM (SELECT psap_id, hour_start_utc, count(*) AS n, avg(CASE WHEN ratio > 1 THEN 1.0::DOUBLE ELSE 0 END) AS v, stddev_pop(ratio) AS spread FROM hd WHERE ratio IS NOT NULL GROUP BY 1, 2) WHERE n >= 2)"
-_CHECKS = [("coverage", f"SELECT {SHARE.format('ratio IS NOT NULL')} FROM tr LEFT JOIN u USING (psap_id, hour_start_utc)", _HIGH, 0.98, 0.90), ("component_missing", f"SELECT {SHARE.format('ratio IS NULL')} FROM hd", _LOW, 0.02, 0.10), ("majority_agreement", "SELECT avg(m) FROM ag", _HIGH, 0.80, 0.60), ("event_recall", f"SELECT {SHARE.format('detected')} FROM oc", _HIGH, 0.90, 0.75), ("benign_new_alerts", f"SELECT {SHARE.format('now_ AND NOT was')} FROM pr WHERE pattern = 'volume_drop'", _LOW, 0.01, 0.05)]
-_C14 = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", v AS value, {g.format(v='v', a=a, b=b)} AS grade FROM (SELECT ({q}) AS v)" for n, q, g, a, b in _CHECKS)
+AF = TR + """, af AS (SELECT u.psap_id, u.hour_start_utc, coalesce(injected_ratio, ratio) AS ratio, pattern, coalesce(injected_ratio, ratio) > 1 AS alert, coalesce(pattern <> 'volume_drop', false) AS truth FROM u LEFT JOIN pr USING (psap_id, hour_start_utc)),
+  ag0 AS (SELECT psap_id, hour_start_utc, CASE WHEN epoch(hour_start_utc) - epoch(lag(hour_start_utc) OVER (PARTITION BY psap_id ORDER BY hour_start_utc)) <= 5400 THEN 0 ELSE 1 END AS n FROM af WHERE alert),
+  ae AS (SELECT psap_id, e, min(hour_start_utc) AS a, max(hour_start_utc) AS z FROM (SELECT *, sum(n) OVER (PARTITION BY psap_id ORDER BY hour_start_utc) AS e FROM ag0) GROUP BY 1, 2),
+  te AS (SELECT event_id, psap_id, d + INTERVAL 6 HOUR AS a, d + INTERVAL 8 HOUR AS z FROM ev WHERE event_id IN (SELECT event_id FROM oc WHERE pattern <> 'volume_drop')),
+  mt AS (SELECT te.event_id, te.a, min(ae.a) AS det FROM te LEFT JOIN ae ON ae.psap_id = te.psap_id AND ae.z >= te.a AND ae.a <= te.z + INTERVAL 1 HOUR GROUP BY 1, 2),
+  fp AS (SELECT count(*) AS n FROM ae WHERE NOT EXISTS (SELECT 1 FROM te WHERE ae.psap_id = te.psap_id AND ae.z >= te.a AND ae.a <= te.z + INTERVAL 1 HOUR AND NOT EXISTS (SELECT 1 FROM ae b WHERE b.psap_id = te.psap_id AND b.z >= te.a AND b.a <= te.z + INTERVAL 1 HOUR AND b.a < ae.a))),
+  lv AS (SELECT pattern, severity, quantile_cont(lift, 0.5) AS lift FROM pr WHERE lift IS NOT NULL GROUP BY 1, 2),
+  lr AS (SELECT pattern, rank() OVER (PARTITION BY pattern ORDER BY severity) AS s, rank() OVER (PARTITION BY pattern ORDER BY lift) + (count(*) OVER (PARTITION BY pattern, lift) - 1) / 2.0::DOUBLE AS r, lift - lag(lift) OVER (PARTITION BY pattern ORDER BY severity) AS step FROM lv),
+  mo AS (SELECT pattern, count(*) AS levels, corr(s, r) AS spearman, avg(CASE WHEN step IS NOT NULL THEN (step < 0)::INT::DOUBLE END) AS inversion_rate FROM lr GROUP BY 1 HAVING count(*) >= 2),
+  ms AS (SELECT pattern, min(severity) FILTER (ok) AS least FROM (SELECT pattern, severity, min(r) OVER (PARTITION BY pattern ORDER BY severity DESC) >= 0.8 AS ok FROM (SELECT pattern, round(severity / 0.25 + 1) AS severity, avg(detected::INT) AS r FROM oc WHERE pattern <> 'volume_drop' GROUP BY 1, 2)) GROUP BY 1)"""
+_EP = M.EP.removeprefix(M.S + ", ")
+_MP = _MAP.removeprefix(M.H + ", ")
+_PS = M._PSI.format(k="1", x="asr_sr")
+_METRICS = {
+    "event_recall": "SELECT count(det)::DOUBLE / count(*) FROM mt", "event_precision": "SELECT count(det)::DOUBLE / (count(det) + (SELECT n FROM fp)) FROM mt",
+    "median_delay_hours": "SELECT quantile_cont(greatest(0.0::DOUBLE, (epoch(det) - epoch(a)) / 3600.0), 0.5) FROM mt WHERE det IS NOT NULL",
+    "row_recall": "SELECT (count(*) FILTER (alert AND truth))::DOUBLE / count(*) FILTER (truth) FROM af", "row_precision": "SELECT (count(*) FILTER (alert AND truth))::DOUBLE / count(*) FILTER (alert) FROM af",
+    "injected_coverage": f"SELECT {SHARE.format('ratio IS NOT NULL')} FROM af", "median_ratio_lift": "SELECT quantile_cont(lift, 0.5) FROM pr WHERE pattern <> 'volume_drop'", "median_spearman": "SELECT quantile_cont(spearman, 0.5) FROM mo WHERE pattern <> 'volume_drop'",
+    "worst_minimum_severity": "SELECT CASE WHEN count(*) > count(least) THEN 99 ELSE max(least) END FROM ms", "mean_temporal_coverage": "SELECT avg(alerted::DOUBLE / affected) FROM oc WHERE pattern <> 'volume_drop'",
+    "attributable_recall": "SELECT (count(*) FILTER (detected AND NOT contaminated))::DOUBLE / nullif(count(*) FILTER (NOT contaminated), 0) FROM oc WHERE pattern <> 'volume_drop'", "alerts_per_1000": f"SELECT 1000 * {SHARE.format('alert')} FROM s",
+    "baseline_coverage": "SELECT 1.0", "invalid_rows": "SELECT count(*) FILTER (threshold <= 0) FROM s", "missing_head_rate": f"SELECT {SHARE.format('ratio IS NULL')} FROM hd", "majority_agreement": "SELECT avg(m) FROM ag", "p95_dispersion": "SELECT quantile_cont(spread, 0.95) FROM ag",
+    "assessed_psi": f"WITH {_PS} SELECT sum((s - p) * ln(s / p)) FROM g", "one_hour_episode_share": f"SELECT {SHARE.format('alert_hours = 1')} FROM ep",
+    "flapping_rate": "SELECT (count(*) FILTER (gap > 0 AND gap <= 5400 AND alert <> was))::DOUBLE / count(*) FILTER (gap > 0 AND gap <= 5400) FROM (SELECT alert, lag(alert) OVER w AS was, epoch(hour_start_utc) - epoch(lag(hour_start_utc) OVER w) AS gap FROM s WINDOW w AS (PARTITION BY psap_id ORDER BY hour_start_utc))",
+    "cluster_change_rate": "SELECT avg(CASE WHEN a.psap_id IS NOT NULL AND b.psap_id IS NOT NULL THEN (a.cluster <> b.cluster)::INT END) FROM la a FULL JOIN lb b ON a.psap_id = b.psap_id",
+    "mapping_change_rate": "SELECT avg(CASE WHEN a.psap_id IS NOT NULL AND b.psap_id IS NOT NULL THEN (a.head_id <> b.head_id)::INT END) FROM la a FULL JOIN lb b ON a.psap_id = b.psap_id",
+    "mapping_coverage": "SELECT (count(*) FILTER (a.psap_id IS NOT NULL))::DOUBLE / count(*) FROM lb b LEFT JOIN la a ON a.psap_id = b.psap_id", "benign_new_alert_rate": f"SELECT {SHARE.format('now_ AND NOT was')} FROM pr WHERE pattern = 'volume_drop'",
+    "benign_score_increase_rate": f"SELECT {SHARE.format('lift > 0.000001')} FROM pr WHERE pattern = 'volume_drop'", "sanity_rows_scored": "SELECT least(1.0, sum(sanity)) FROM hd",
+}
+_RP = f"""{AF}, {HD.removeprefix(M.S + ', ')}, {_AGREE}, {_EP}, {_MP}, la AS ({_LAST.format(w='WHERE day(hour_start_utc) <= 15 AND psap_id <> 1')}), lb AS ({_LAST.format(w='WHERE day(hour_start_utc) > 15 AND psap_id <> 2')}),
+  me AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric, ({q})::DOUBLE AS value" for k, q in _METRICS.items())}),
+  li(c, metric, dir, a, b) AS (VALUES {", ".join(f"('{c}', '{m}', '{x}', {a}::DOUBLE, {b}::DOUBLE)" for c, own in report.CHECKS.items() for m, (x, a, b) in own.items())}),
+  gr AS (SELECT c, CASE WHEN v IS NULL OR isnan(v) THEN 0 WHEN dir = 'high' THEN CASE WHEN v >= a THEN 1 WHEN v >= b THEN 2 ELSE 3 END ELSE CASE WHEN v <= a THEN 1 WHEN v <= b THEN 2 ELSE 3 END END AS g FROM (SELECT li.*, round(value, 9) AS v FROM li LEFT JOIN me USING (metric)))"""
+
+_BUCKET = "CASE WHEN isodow(hour_start_utc) >= 6 THEN 'WEEKEND' ELSE 'WEEKDAY' END || '_H' || lpad((hour(hour_start_utc) // 4 * 4)::VARCHAR, 2, '0') || '_' || lpad((hour(hour_start_utc) // 4 * 4 + 3)::VARCHAR, 2, '0')"
+_DIM_SQL = {"cluster": "(psap_id % 4)::VARCHAR", "market": "CASE WHEN psap_id < 6 THEN 'EAST' ELSE 'WEST' END", "psap": "psap_id::VARCHAR", "time_bucket": _BUCKET}
+_DIMS = ", ".join(
+    f"dg_{n} AS (WITH {M._PSI.format(k=k, x='asr_sr')} SELECT '{n}' AS dimension, k, CASE WHEN max(hi) = max(lo) THEN 0 ELSE sum((s - p) * ln(s / p)) END AS psi, max(nr) AS nr, max(nc) AS nc FROM g GROUP BY k HAVING max(nr) >= 12 AND max(nc) >= 12)" for n, k in _DIM_SQL.items()
+)
 
 QUERIES = {
     "j24_paired_rows": (j24_paired_rows, _q("SELECT psap_id, hour_start_utc, event_id, pattern, severity, stratum, round(baseline_ratio, 6) AS baseline_ratio, round(injected_ratio, 6) AS injected_ratio, round(lift, 6) AS lift, was AS baseline_alert, now_ AS injected_alert, now_ AND NOT was AS new_alert, was AND NOT now_ AS lost_alert FROM pr")),
@@ -241,5 +322,9 @@ QUERIES = {
     "j20_campaign": (j20_campaign, None),
     "c16_trusted_rows": (c16_trusted_rows, "SELECT user_id, max(x).ts AS ts, max(x).e AS event_type FROM (SELECT user_id, {'ts': ts::TIMESTAMP, 'e': event_type} AS x FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 168 HOUR) GROUP BY 1"),
     "t22_psi_by_hour": (t22_psi_by_hour, _q("SELECT k AS bucket, CASE WHEN max(nr) >= 2 AND max(nc) >= 2 THEN round(CASE WHEN max(hi) = max(lo) THEN 0 ELSE sum((s - p) * ln(s / p)) END, 6) END AS psi, max(nr) AS n_reference, max(nc) AS n_current FROM g GROUP BY 1", M.H + ", " + M._PSI.format(k="hour(hour_start_utc)", x="asr_sr"))),
-    "c14_model_health": (c14_model_health, _q("SELECT \"check\", round(value, 6) AS value, grade, CASE WHEN bool_or(grade = 'FAIL') OVER () THEN 'FAIL' WHEN bool_or(grade = 'WARN') OVER () THEN 'WARN' ELSE 'PASS' END AS overall FROM ck", f"{TR}, {HD.removeprefix(M.S + ', ')}, {_AGREE}, ck AS ({_C14})")),
+    "c14_health_metrics": (c14_health_metrics, _q("SELECT metric, round(value, 6) AS value FROM me", _RP)),
+    "c14_model_health": (c14_model_health, _q("SELECT c AS \"check\", list_extract(['UNKNOWN', 'PASS', 'WARN', 'FAIL'], g + 1) AS status, list_extract(['UNKNOWN', 'PASS', 'WARN', 'FAIL'], (max(g) OVER ()) + 1) AS overall FROM (SELECT c, max(g) AS g FROM gr GROUP BY 1)", _RP)),
+    "t25_severity_monotonicity": (t25_severity_monotonicity, _q("SELECT pattern, levels, round(spearman, 6) AS spearman, round(inversion_rate, 6) AS inversion_rate FROM mo", AF)),
+    "t22_drift_groups": (t22_drift_groups, _q("SELECT dimension, k AS \"group\", round(psi, 6) AS psi, nr AS n_reference, nc AS n_current, groups, round(max_psi, 6) AS max_psi, round(p95, 6) AS p95_psi, rank FROM (SELECT *, count(*) OVER w AS groups, max(psi) OVER w AS max_psi, quantile_cont(psi, 0.95) OVER w AS p95, row_number() OVER (PARTITION BY dimension ORDER BY psi DESC, k) AS rank FROM dg WINDOW w AS (PARTITION BY dimension)) WHERE rank <= 20",
+        M.H + ", " + _DIMS + ", dg AS (" + " UNION ALL ".join(f"SELECT * FROM dg_{n}" for n in ("cluster", "market", "psap", "time_bucket")) + ")")),
 }
