@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Durations of faults in hours, and the most specs of one campaign. Fixed values.
+DURATIONS, MOST_SPECS = (1, 2, 3, 6), 10_000
 RATES = ("lsr_sr", "asr_sr", "bid_sr", "csr_sr")
 #: What each fault pattern changes, and how. Fixed values.
 PATTERNS = {
@@ -106,10 +108,12 @@ def missing_hours(hourly: DataFrame) -> DataFrame:
 
 def choose_windows(hourly: DataFrame, specs: DataFrame, seed: int) -> DataFrame:
     """For each spec (ordinal, pattern, severity, duration) the window whose SHA-256 with the seed is least (W8). One pass for all specs."""
-    out = None
-    for d in sorted(r[0] for r in specs.select("duration").distinct().collect()):  # durations are 1, 2, 3 and 6 hours
-        cand = specs.where(F.col("duration") == d).join(windows(hourly, int(d)))
-        out = cand if out is None else out.unionByName(cand)
+    if specs.limit(MOST_SPECS + 1).count() > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs")
+    w = W.partitionBy("psap_id").orderBy("hour_start_utc")
+    length = lambda n: F.lead(hour_index("hour_start_utc"), n - 1).over(w) == hour_index("hour_start_utc") + n - 1
+    free = hourly.select("psap_id", "hour_start_utc", F.array_compact(F.array(*(F.when(length(n), F.lit(n)) for n in DURATIONS))).alias("fits")).withColumn("duration", F.explode("fits")).drop("fits")
+    out = free.join(F.broadcast(specs), "duration")  # the specs are few and meet the windows of their duration
     h = F.sha2(F.concat_ws("|", F.lit(str(seed)), "ordinal", "pattern", "severity", "duration", "psap_id", F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss")), 256)
     best = out.groupBy("ordinal", "pattern", "severity", "duration").agg(F.min(F.struct(h.alias("h"), "psap_id", "hour_start_utc")).alias("b"))
     return best.select("ordinal", "pattern", "severity", "duration", "b.psap_id", "b.hour_start_utc", F.col("b.h").alias("event_id"))

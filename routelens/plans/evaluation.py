@@ -319,7 +319,10 @@ QUERIES = {
         round(avg(CASE WHEN a.psap_id IS NOT NULL AND b.psap_id IS NOT NULL THEN (a.head_id <> b.head_id)::INT END), 6) AS head_change FROM ({_LAST.format(w='WHERE day(hour_start_utc) <= 15 AND psap_id <> 1')}) a FULL JOIN ({_LAST.format(w='WHERE day(hour_start_utc) > 15 AND psap_id <> 2')}) b ON a.psap_id = b.psap_id""", _MAP)),
     "j19_latest_mapping": (j19_latest_mapping, _q(_LAST.format(w=""), _MAP)),
     "j23_mapping_conflicts": (j23_mapping_conflicts, _q("SELECT psap_id, 2::BIGINT AS clusters, least(v % 2, v % 3) AS lowest, greatest(v % 2, v % 3) AS highest FROM (SELECT psap_id, max(call_volume)::BIGINT AS v FROM h GROUP BY 1) WHERE v % 2 <> v % 3", M.H)),
-    "j20_campaign": (j20_campaign, None),
+    "j20_campaign": (j20_campaign, _q("""SELECT concat_ws('|', stratum, psap_id, pattern, severity, duration) AS cell_id, stratum, psap_id, pattern, severity, duration::BIGINT AS duration FROM
+        (SELECT stratum, psap_id FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY abs(median_volume - mid), psap_id) AS rank FROM (SELECT *, median(median_volume) OVER (PARTITION BY stratum) AS mid FROM
+         (SELECT psap_id, median_volume, CASE round_even(2.0 * pos / greatest(n - 1, 1), 0) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS stratum FROM (SELECT psap_id, median(call_volume) AS median_volume, row_number() OVER (ORDER BY median(call_volume), psap_id) - 1 AS pos, count(*) OVER () AS n FROM h GROUP BY 1)))) WHERE rank = 1),
+        (SELECT unnest([""" + ", ".join(f"'{p}'" for p in kpi.PATTERNS) + """]) AS pattern), (SELECT unnest([0.10::DOUBLE, 0.25::DOUBLE, 0.50::DOUBLE]) AS severity), (SELECT unnest([1, 2, 3, 6]) AS duration)""", M.H)),
     "c16_trusted_rows": (c16_trusted_rows, "SELECT user_id, max(x).ts AS ts, max(x).e AS event_type FROM (SELECT user_id, {'ts': ts::TIMESTAMP, 'e': event_type} AS x FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 168 HOUR) GROUP BY 1"),
     "t22_psi_by_hour": (t22_psi_by_hour, _q("SELECT k AS bucket, CASE WHEN max(nr) >= 2 AND max(nc) >= 2 THEN round(CASE WHEN max(hi) = max(lo) THEN 0 ELSE sum((s - p) * ln(s / p)) END, 6) END AS psi, max(nr) AS n_reference, max(nc) AS n_current FROM g GROUP BY 1", M.H + ", " + M._PSI.format(k="hour(hour_start_utc)", x="asr_sr"))),
     "c14_health_metrics": (c14_health_metrics, _q("SELECT metric, round(value, 6) AS value FROM me", _RP)),

@@ -199,6 +199,25 @@ _PSI = """b AS (SELECT *, hour_start_utc < (SELECT min(hour_start_utc) FROM h) +
   i AS (SELECT *, list_slice(e, 2, len(e) - 1) AS inn FROM q2), c AS (SELECT k, len(list_filter(inn, lambda z: z <= {x})) AS bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS c FROM b JOIN i ON i.k = {k} GROUP BY 1, 2),
   g AS (SELECT i.k, nr, nc, lo, hi, greatest(coalesce(r, 0)::DOUBLE / nr, 1e-6) AS p, greatest(coalesce(c, 0)::DOUBLE / nc, 1e-6) AS s FROM (SELECT k, nr, nc, lo, hi, unnest(range(0, len(inn) + 1)) AS bin FROM i) i LEFT JOIN c ON c.k = i.k AND c.bin = i.bin)"""
 
+_SPECS = [(p, s, n) for p in kpi.PATTERNS for s in (0.10, 0.25, 0.50) for n in (1, 2, 3)]
+W8 = H + ", sp(ordinal, pattern, severity, duration) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{p}', {s}::DOUBLE, {n})" for i, (p, s, n) in enumerate(_SPECS)) + """),
+  fw AS (SELECT psap_id, hour_start_utc, n AS duration FROM (SELECT psap_id, hour_start_utc, 1 AS n, hour_start_utc AS z FROM h UNION ALL SELECT psap_id, hour_start_utc, 2, lead(hour_start_utc, 1) OVER w FROM h WINDOW w AS (PARTITION BY psap_id ORDER BY hour_start_utc)
+    UNION ALL SELECT psap_id, hour_start_utc, 3, lead(hour_start_utc, 2) OVER w FROM h WINDOW w AS (PARTITION BY psap_id ORDER BY hour_start_utc)) WHERE z = hour_start_utc + to_hours(n - 1)),
+  ch AS (SELECT ordinal, pattern, severity, duration, psap_id, hour_start_utc, x AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY x, psap_id, hour_start_utc) AS r FROM
+    (SELECT sp.*, psap_id, hour_start_utc, sha256(concat_ws('|', '42', ordinal, pattern, severity, duration, psap_id, strftime(hour_start_utc, '%Y-%m-%d %H:%M:%S'))) AS x FROM sp JOIN fw USING (duration))) WHERE r = 1)"""
+_UP, _DOWN = "greatest(ceil(v * (1 + f)), v + 1)", "greatest(0.0, floor(v * (1 - f)))"
+_LOW, _BETTER = "least(100.0, greatest(0.0, v * (1 - f)))", "least(100.0, v + (100 - v) * f)"
+
+
+def _injected(name: str) -> str:
+    cases = " ".join(f"WHEN on_ AND pattern = '{p}' THEN {({'up': _UP, 'down': _DOWN if name == 'call_volume' else _LOW, 'improve': _BETTER}[how]).replace('v ', name + ' ').replace(' v)', ' ' + name + ')')}" for p, (targets, how) in kpi.PATTERNS.items() if name in targets)
+    return f"(CASE {cases} ELSE {name} END)::DOUBLE AS injected_{name}"
+
+
+_KPIS = ("call_volume", *kpi.RATES)
+C11 = W8 + ", pt AS (SELECT *, " + ", ".join(map(_injected, _KPIS)) + """ FROM (SELECT ordinal, pattern, severity, duration, event_id, c.psap_id, o AS offset_hour, h.hour_start_utc, call_volume, lsr_sr, asr_sr, bid_sr, csr_sr, pattern <> 'flapping' OR o % 2 = 0 AS on_,
+    severity * CASE WHEN pattern = 'slow_burn' THEN (o + 1)::DOUBLE / duration ELSE 1 END AS f FROM (SELECT *, unnest(range(0, duration)) AS o FROM ch) c JOIN h ON h.psap_id = c.psap_id AND h.hour_start_utc = c.hour_start_utc + to_hours(o)))"""
+
 QUERIES = {
     "c20_hourly_kpi": (c20_hourly_kpi, _q("SELECT psap_id, hour_start_utc, call_volume, round(lsr_sr, 6) AS lsr_sr, round(asr_sr, 6) AS asr_sr, round(bid_sr, 6) AS bid_sr, round(csr_sr, 6) AS csr_sr FROM h")),
     "p15_quality_issues": (p15_quality_issues, _q("SELECT concat_ws(';', CASE WHEN psap_id = 3 THEN 'INVALID_PSAP_ID' END, CASE WHEN call_volume > 4 THEN 'OUT_OF_RANGE_ASR_SR' END) AS issues, count(*) AS n FROM h GROUP BY 1")),
@@ -220,8 +239,9 @@ QUERIES = {
     "w6_isolated": (w6_isolated, _q("SELECT psap_id, count(*) FILTER (alert_hours = 1) AS isolated, count(*) AS episodes FROM ep GROUP BY 1 HAVING count(*) FILTER (alert_hours = 1) >= 2", EP)),
     "w7_windows": (w7_windows, _q("SELECT psap_id, hour_start_utc FROM (SELECT psap_id, hour_start_utc, lead(hour_start_utc, 2) OVER (PARTITION BY psap_id ORDER BY hour_start_utc) AS l FROM h) WHERE l = hour_start_utc + INTERVAL 2 HOUR")),
     "o3_missing_hours": (o3_missing_hours, _q("SELECT g.psap_id, g.hour_start_utc FROM (SELECT psap_id, unnest(generate_series(min(hour_start_utc), max(hour_start_utc), INTERVAL 1 HOUR)) AS hour_start_utc FROM h GROUP BY 1) g ANTI JOIN h USING (psap_id, hour_start_utc)")),
-    "w8_chosen_windows": (w8_chosen_windows, None),
-    "c11_perturbation": (c11_perturbation, None),
+    "w8_chosen_windows": (w8_chosen_windows, _q("SELECT ordinal, pattern, severity, duration::BIGINT AS duration, psap_id, hour_start_utc, event_id FROM ch", W8)),
+    "c11_perturbation": (c11_perturbation, _q("SELECT ordinal, pattern, severity, duration::BIGINT AS duration, event_id, psap_id, offset_hour::BIGINT AS offset_hour, hour_start_utc, on_ AS is_active, call_volume, " + ", ".join(f"round({k}, 6) AS {k}" for k in kpi.RATES) + ", "
+        + ", ".join(f"round(injected_{k}, 6) AS injected_{k}" for k in _KPIS) + ", " + " OR ".join(f"abs(injected_{k} - {k}) > 1e-12" for k in _KPIS) + " AS has_numeric_change FROM pt", C11)),
     "j17_episode_match": (j17_episode_match, _q("""SELECT event_id, e.psap_id, event_start, event_end, min(episode_start) AS detected_at, CASE WHEN min(episode_start) IS NOT NULL THEN round(greatest(0.0, (epoch(min(episode_start)) - epoch(event_start)) / 3600.0), 6)::DOUBLE END AS delay_hours FROM
         (SELECT DISTINCT psap_id || '-' || strftime(hour_start_utc, '%Y%m%d') AS event_id, psap_id, date_trunc('day', hour_start_utc)::TIMESTAMP + INTERVAL 6 HOUR AS event_start, date_trunc('day', hour_start_utc)::TIMESTAMP + INTERVAL 8 HOUR AS event_end FROM h) e
         LEFT JOIN ep ON ep.psap_id = e.psap_id AND episode_end >= event_start AND episode_start <= event_end + INTERVAL 1 HOUR GROUP BY 1, 2, 3, 4""", EP)),
