@@ -114,9 +114,37 @@ def choose_windows(hourly: DataFrame, specs: DataFrame, seed: int) -> DataFrame:
     length = lambda n: F.lead(hour_index("hour_start_utc"), n - 1).over(w) == hour_index("hour_start_utc") + n - 1
     free = hourly.select("psap_id", "hour_start_utc", F.array_compact(F.array(*(F.when(length(n), F.lit(n)) for n in DURATIONS))).alias("fits")).withColumn("duration", F.explode("fits")).drop("fits")
     out = free.join(F.broadcast(specs), "duration")  # the specs are few and meet the windows of their duration
-    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), "ordinal", "pattern", "severity", "duration", "psap_id", F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss")), 256)
-    best = out.groupBy("ordinal", "pattern", "severity", "duration").agg(F.min(F.struct(h.alias("h"), "psap_id", "hour_start_utc")).alias("b"))
-    return best.select("ordinal", "pattern", "severity", "duration", "b.psap_id", "b.hour_start_utc", F.col("b.h").alias("event_id"))
+    if "psap_id" in specs.columns:  # a campaign's cells name their entity
+        out = free.join(F.broadcast(specs), ["duration", "psap_id"])
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), *(["cell_id"] if "cell_id" in specs.columns else ["ordinal"]), "pattern", "severity", "duration", "psap_id", F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss")), 256)
+    keys = [c for c in specs.columns if c != "psap_id"]
+    best = out.groupBy(*keys).agg(F.min(F.struct(h.alias("h"), "psap_id", "hour_start_utc")).alias("b"))
+    return best.select(*keys, "b.psap_id", "b.hour_start_utc", F.col("b.h").alias("event_id"))
+
+
+def campaign(hourly: DataFrame, cells: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each cell's status and window, and the row truth of those that have one, every cell on untouched rows (C12). cells: cell_id, stratum, psap_id, pattern, severity, duration."""
+    chosen = choose_windows(hourly, cells, seed)
+    at = chosen.select("cell_id", "hour_start_utc", "event_id")
+    status = F.when(F.col("hour_start_utc").isNotNull(), "INJECTED").otherwise("SKIPPED_NO_WINDOW")
+    return cells.join(at, "cell_id", "left").withColumn("status", status), perturb(hourly, chosen)
+
+
+def replay(truth: DataFrame, thresholds: DataFrame, cutoff: str) -> DataFrame:
+    """pattern: cells, detected, contaminated, recall, attributable recall and median lift of a volume detector over a campaign.
+
+    truth: perturb() of a campaign; thresholds: psap_id and threshold, fitted before the cutoff. Rows at or before it are an error.
+    """
+    early = truth.where(F.col("hour_start_utc") <= F.lit(cutoff).cast("timestamp_ntz")).limit(1).count()
+    if early:
+        raise ValueError(f"replayed rows do not lie after {cutoff}")
+    rows = truth.join(F.broadcast(thresholds), "psap_id").withColumns({"was": F.col("call_volume") / F.col("threshold"), "now": F.col("injected_call_volume") / F.col("threshold")})  # one row an entity
+    cells = rows.groupBy("cell_id", "pattern").agg((F.max("now") > 1).alias("detected"), (F.max("was") > 1).alias("contaminated"))
+    lift = rows.groupBy("pattern").agg(F.percentile(F.col("now") - F.col("was"), F.lit(0.5)).alias("median_lift"))
+    n = lambda c: F.count(F.when(c, 1))
+    g = cells.groupBy("pattern").agg(F.count("*").alias("cells"), n(F.col("detected")).alias("detected"), n(F.col("contaminated")).alias("contaminated"), n(F.col("detected") & ~F.col("contaminated")).alias("attributable"))
+    g = g.withColumns({"recall": F.col("detected") / F.col("cells"), "attributable_recall": F.try_divide(F.col("attributable").cast("double"), F.col("cells") - F.col("contaminated"))})
+    return g.drop("attributable").join(lift, "pattern")
 
 
 def perturb(hourly: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -149,25 +177,40 @@ def fan_out(rows: DataFrame, head_map: DataFrame) -> DataFrame:
 
 
 def aggregate_heads(per_head: DataFrame) -> DataFrame:
-    """One scored row per (psap_id, hour): mean of score over threshold, votes, spread, status (A30). per_head: raw_score, raw_threshold."""
-    good = F.col("raw_score").isNotNull() & (F.col("raw_threshold") > 0) & ~F.isnan("raw_score")
+    """One scored row per (psap_id, hour): mean of score over threshold, votes, spread, status (A30). per_head: raw_score and raw_threshold;
+    input_valid and has_detector, where there are such columns, tell what could not be scored."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in per_head.columns else F.lit(True)
+    good = flag("input_valid") & flag("has_detector") & F.col("raw_score").isNotNull() & (F.col("raw_threshold") > 0) & ~F.isnan("raw_score")
     ratio = F.when(good, F.col("raw_score") / F.col("raw_threshold"))
     out = per_head.withColumn("r", ratio).groupBy("psap_id", "hour_start_utc").agg(
-        F.count("*").alias("heads"), F.count("r").alias("scored_heads"), F.avg("r").alias("anomaly_score"), F.count(F.when(F.col("r") > 1, 1)).alias("votes"), F.stddev_pop("r").alias("head_ratio_std")
+        F.count("*").alias("heads"), F.count("r").alias("scored_heads"), F.avg("r").alias("anomaly_score"), F.count(F.when(F.col("r") > 1, 1)).alias("votes"), F.stddev_pop("r").alias("head_ratio_std"), F.min(flag("input_valid")).alias("__valid"), F.max(flag("has_detector")).alias("__detector")
     )
-    status = F.when(F.col("psap_id") == -1, "SKIPPED_SPECIAL_PSAP").when(F.col("scored_heads") == 0, "SCORING_ERROR").when(F.col("scored_heads") < F.col("heads"), "SCORED_PARTIAL_HEADS").otherwise("SCORED")
-    return out.select("*", (F.col("votes") / F.col("scored_heads")).alias("vote_fraction"), F.coalesce(F.col("anomaly_score") > 1, F.lit(False)).alias("alert"), status.alias("scoring_status"))
+    status = F.when(F.col("psap_id") == -1, "SKIPPED_SPECIAL_PSAP").when(~F.col("__valid"), "SKIPPED_INVALID_INPUT").when((F.col("scored_heads") == 0) & ~F.col("__detector"), "SKIPPED_NO_DETECTOR").when(F.col("scored_heads") == 0, "SCORING_ERROR").when(F.col("scored_heads") < F.col("heads"), "SCORED_PARTIAL_HEADS").otherwise("SCORED")
+    return out.select("*", (F.col("votes") / F.col("scored_heads")).alias("vote_fraction"), F.coalesce(F.col("anomaly_score") > 1, F.lit(False)).alias("alert"), status.alias("scoring_status")).drop("__valid", "__detector")
+
+
+def eligible(alert: Column, hard: Column, third: Column) -> Column:
+    """Whether an alert is passed on: by both gates; the third one only looks at alerts."""
+    return alert & hard & F.when(alert, third).otherwise(True)
 
 
 def score_with(rows: DataFrame, head: str, detector, schema: str) -> DataFrame:
-    """A user's detector, called with each head's rows as a pandas frame ordered by hour; its failures become a status."""
+    """A user's detector, called with each head's rows as a pandas frame ordered by hour; its failures become a status.
+
+    Rows whose score is not finite or whose threshold is not above 0 are marked. A head's rows lie in one task, as a detector reads a
+    whole series: hours of one head are bounded by the length of the history, not by the number of calls.
+    """
+    import numpy as np
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour_start_utc")
         try:
-            score, threshold = detector(pdf)
-            return pdf.assign(raw_score=score, raw_threshold=threshold, head_status="SCORED")
+            pdf = pdf.assign(raw_score=np.nan, raw_threshold=np.nan, head_status="SCORED")
+            pdf["raw_score"], pdf["raw_threshold"] = detector(pdf)
+            bad = ~(np.isfinite(pdf["raw_score"].astype(float)) & np.isfinite(pdf["raw_threshold"].astype(float)) & (pdf["raw_threshold"].astype(float) > 0))
+            pdf.loc[bad, "head_status"] = "INVALID_SCORE_OR_THRESHOLD"
+            return pdf
         except Exception as e:  # noqa: BLE001  the interface promises a status for whatever a detector raises
             return pdf.assign(raw_score=float("nan"), raw_threshold=float("nan"), head_status=f"SCORING_ERROR: {type(e).__name__}")
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.normalize import joined_unique, safe_rate, wilson_lower
 
 
+#: Values of a key that no control can be chosen by. Fixed values.
+UNUSABLE = ("<MISSING>", "-1")
+
+
 def has_label() -> Column:
     return F.col("label").isNotNull()
 
@@ -59,7 +63,7 @@ def risk(rows: DataFrame, levels: dict[str, Column]) -> DataFrame:
 
 
 def hierarchical_control(cases: DataFrame, controls: DataFrame, levels: list[tuple[str, list[str], int]]) -> DataFrame:
-    """cases with the first level whose group holds enough controls, and how many (J11). levels: name, keys, least number; the last is the fallback."""
+    """cases with the first level whose keys are usable and whose group holds enough controls, and how many (J11). levels: name, keys, least number; the last is the fallback."""
     out, names, chosen, number = cases, [], F.lit(None).cast("string"), F.lit(None).cast("long")
     for name, keys, _ in levels:
         col = f"__n_{name}"
@@ -68,8 +72,11 @@ def hierarchical_control(cases: DataFrame, controls: DataFrame, levels: list[tup
         else:
             out = out.crossJoin(F.broadcast(controls.agg(F.count("*").alias(col))))  # one row
         names.append(col)
-    for (name, _, least), col in reversed(list(zip(levels, names, strict=True))):
-        enough = F.coalesce(F.col(col), F.lit(0)) >= least
+    for (name, keys, least), col in reversed(list(zip(levels, names, strict=True))):
+        usable = F.lit(True)
+        for key in keys:
+            usable = usable & F.col(key).isNotNull() & ~F.col(key).cast("string").isin(*UNUSABLE)
+        enough = usable & (F.coalesce(F.col(col), F.lit(0)) >= least)
         chosen, number = F.when(enough, F.lit(name)).otherwise(chosen), F.when(enough, F.col(col)).otherwise(number)
     return out.withColumn("control_level", chosen).withColumn("controls", number).drop(*names)
 
@@ -163,6 +170,11 @@ def entity_hypothesis(rows: DataFrame, level: str, key: str) -> DataFrame:
     return out.withColumn("hypothesis", hypothesis(level)).drop("top")
 
 
+def candidates(hypotheses: DataFrame, key: str, least_strong: int = 5, least_misroutes: int = 3) -> DataFrame:
+    """Entities with a complete key and enough strong and misrouted calls to be looked into."""
+    return hypotheses.where(F.col(key).isNotNull() & ~F.col(key).cast("string").isin(*UNUSABLE) & (F.col("strong") >= least_strong) & (F.col("misroutes") >= least_misroutes))
+
+
 def strong_pairs(rows: DataFrame, flags: list[str], ids: str, most_ids: int = 15) -> DataFrame:
     """Report of misrouted pairs: calls, times, distances, flag sums, distinct ids joined (15 and how many more), and rank by calls.
 

@@ -170,6 +170,24 @@ def j20_campaign(spark, d):
     return tidy(E.campaign(list(kpi.PATTERNS), [0.10, 0.25, 0.50], [1, 2, 3, 6], reps))
 
 
+CELLS = (("volume_spike", "volume_drop", "flapping"), (0.25, 0.50), (1, 3, 6))
+
+
+def _campaign(spark, d):
+    h = M.hourly(spark, d)
+    reps = kpi.representatives(kpi.volume_strata(h), 2).select("stratum", "psap_id")
+    return kpi.campaign(h, E.campaign(*map(list, CELLS), reps), 42)
+
+
+def c12_campaign(spark, d):
+    return tidy(_campaign(spark, d)[0])
+
+
+def c13_replay(spark, d):
+    t = M.scored(spark, d).select("psap_id", "threshold").distinct()
+    return tidy(kpi.replay(_campaign(spark, d)[1], t, "2000-01-01 00:00:00"))
+
+
 def c16_trusted_rows(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     now = e.agg(F.max("ts").alias("now"))
@@ -294,7 +312,20 @@ _DIMS = ", ".join(
     f"dg_{n} AS (WITH {M._PSI.format(k=k, x='asr_sr')} SELECT '{n}' AS dimension, k, CASE WHEN max(hi) = max(lo) THEN 0 ELSE sum((s - p) * ln(s / p)) END AS psi, max(nr) AS nr, max(nc) AS nc FROM g GROUP BY k HAVING max(nr) >= 12 AND max(nc) >= 12)" for n, k in _DIM_SQL.items()
 )
 
+_CELLS = M.H + """, ce AS (SELECT concat_ws('|', stratum, psap_id, pattern, severity, duration) AS cell_id, stratum, psap_id, pattern, severity, duration FROM
+    (SELECT stratum, psap_id FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY abs(median_volume - mid), psap_id) AS rank FROM (SELECT *, median(median_volume) OVER (PARTITION BY stratum) AS mid FROM
+     (SELECT psap_id, median_volume, CASE round_even(2.0 * pos / greatest(n - 1, 1), 0) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS stratum FROM (SELECT psap_id, median(call_volume) AS median_volume, row_number() OVER (ORDER BY median(call_volume), psap_id) - 1 AS pos, count(*) OVER () AS n FROM h GROUP BY 1)))) WHERE rank <= 2),
+    (SELECT unnest(['volume_spike', 'volume_drop', 'flapping']) AS pattern), (SELECT unnest([0.25::DOUBLE, 0.50::DOUBLE]) AS severity), (SELECT unnest([1, 3, 6]) AS duration)),
+  lw AS (SELECT *, lead(hour_start_utc, 2) OVER w AS z3, lead(hour_start_utc, 5) OVER w AS z6 FROM h WINDOW w AS (PARTITION BY psap_id ORDER BY hour_start_utc)),
+  cw AS (SELECT * FROM (SELECT ce.*, hour_start_utc, sha256(concat_ws('|', '42', cell_id, pattern, severity, duration, ce.psap_id, strftime(hour_start_utc, '%Y-%m-%d %H:%M:%S'))) AS event_id, row_number() OVER (PARTITION BY cell_id ORDER BY sha256(concat_ws('|', '42', cell_id, pattern, severity, duration, ce.psap_id, strftime(hour_start_utc, '%Y-%m-%d %H:%M:%S')))) AS r
+    FROM ce JOIN lw ON lw.psap_id = ce.psap_id AND (duration = 1 OR (duration = 3 AND z3 = hour_start_utc + INTERVAL 2 HOUR) OR (duration = 6 AND z6 = hour_start_utc + INTERVAL 5 HOUR))) WHERE r = 1),
+  cp AS (SELECT cell_id, pattern, h.call_volume / threshold AS was, CASE pattern WHEN 'volume_spike' THEN greatest(ceil(h.call_volume * (1 + severity)), h.call_volume + 1) WHEN 'volume_drop' THEN greatest(0, floor(h.call_volume * (1 - severity))) ELSE h.call_volume END / threshold AS now_
+    FROM (SELECT *, unnest(range(0, duration)) AS o FROM cw) c JOIN h ON h.psap_id = c.psap_id AND h.hour_start_utc = c.hour_start_utc + to_hours(o) JOIN (SELECT psap_id, quantile_cont(call_volume, 0.9) AS threshold FROM h GROUP BY 1) t ON t.psap_id = c.psap_id)"""
+
 QUERIES = {
+    "c12_campaign": (c12_campaign, _q("SELECT ce.cell_id, ce.stratum, ce.psap_id, ce.pattern, ce.severity, ce.duration::BIGINT AS duration, hour_start_utc, event_id, CASE WHEN event_id IS NULL THEN 'SKIPPED_NO_WINDOW' ELSE 'INJECTED' END AS status FROM ce LEFT JOIN cw USING (cell_id)", _CELLS)),
+    "c13_replay": (c13_replay, _q("""SELECT pattern, count(*) AS cells, count(*) FILTER (det) AS detected, count(*) FILTER (con) AS contaminated, round((count(*) FILTER (det))::DOUBLE / count(*), 6) AS recall, round((count(*) FILTER (det AND NOT con))::DOUBLE / nullif(count(*) FILTER (NOT con), 0), 6) AS attributable_recall, round(max(ml), 6) AS median_lift
+        FROM (SELECT cell_id, pattern, max(now_) > 1 AS det, max(was) > 1 AS con FROM cp GROUP BY 1, 2) JOIN (SELECT pattern, quantile_cont(now_ - was, 0.5) AS ml FROM cp GROUP BY 1) USING (pattern) GROUP BY 1""", _CELLS)),
     "j24_paired_rows": (j24_paired_rows, _q("SELECT psap_id, hour_start_utc, event_id, pattern, severity, stratum, round(baseline_ratio, 6) AS baseline_ratio, round(injected_ratio, 6) AS injected_ratio, round(lift, 6) AS lift, was AS baseline_alert, now_ AS injected_alert, now_ AND NOT was AS new_alert, was AND NOT now_ AS lost_alert FROM pr")),
     "j16_truth_scores": (j16_truth_scores, _q("SELECT event_id, hour_start_utc, round(injected_ratio, 6) AS ratio FROM pr")),
     "j14_injected_truth": (j14_injected_truth, _q("SELECT inj.psap_id, inj.hour_start_utc, inj.event_id, round(ratio, 6) AS ratio, pattern FROM inj JOIN tr USING (psap_id, hour_start_utc)")),

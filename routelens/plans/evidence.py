@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grain, rca
+from ..operators import grain, network, rca
 from ..sources.tables import table
 from . import location as L
 from .common import tidy
@@ -136,6 +136,39 @@ def a8_source_counts(spark, d):
     return tidy(o.agg(F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("customers"), F.count_distinct(F.get_json_object("js", "$.k")).alias("json_customers")))
 
 
+def a15_candidates(spark, d):
+    return tidy(rca.candidates(rca.entity_hypothesis(L.labelled(spark, d), "market", "market"), "market").select("market", "strong", "misroutes", "hypothesis"))
+
+
+def cohorts(spark, d):
+    """Matched cohorts with a score and what the network says about them."""
+    m = matched(spark, d)
+    first = lambda c: F.substring(c, 1, 1)
+    both = lambda c, f=lambda x: x: (f(F.col(f"{c}_mode")), f(F.col(f"control_{c}_mode")))
+    none = F.lit(None).cast("string")
+    route = F.when(F.col("routed") % 7 == 0, "ESRK_MISMATCH").when(F.col("routed") % 3 == 0, F.col("route_status_mode")), F.when(F.col("routed") % 3 == 0, F.col("control_route_status_mode"))
+    modes = {
+        "route": route, "esinet": tuple(F.when(F.col("routed") % 3 == 1, x) for x in both("priority")), "esz": (none, none), "sip": tuple(F.when(F.col("routed") % 5 == 2, x) for x in both("route_status")),
+        "ims": tuple(F.when(F.col("routed") % 5 == 3, x) for x in both("priority", first)), "ecscf": (F.when(F.col("routed") % 5 == 4, F.col("route_status_mode")), F.lit("nan")),
+    }
+    fallback = F.when(F.col("routed") % 11 == 0, "Fallback WDLS").when(F.col("routed") % 11 == 1, "<MISSING>")
+    said = network.interpretation(modes, fallback, F.when(F.col("routed") % 11 == 2, "yes"))
+    score = rca.corroboration({f: F.coalesce(f"{f}_delta", F.lit(0.0)) for f in rca.EVIDENCE}, {"route": F.col("route_status_differs"), "esinet": F.col("priority_differs"), "esz": F.lit(False)})
+    return m.select(*KEYS, said.alias("n"), score.alias("score"), F.col("calls").alias("misroutes"), F.col("control_calls").alias("controls")).select(*KEYS, "n.source", "n.sign", "n.strength", "score", "misroutes", "controls")
+
+
+def c8_network_interpretation(spark, d):
+    return tidy(cohorts(spark, d).drop("score", "misroutes", "controls"))
+
+
+def c9_top_cohorts(spark, d):
+    return tidy(network.presented(cohorts(spark, d), "score", "misroutes", "controls", KEYS, 100))
+
+
+def a17_lift_subset(spark, d):
+    return tidy(network.feature_subset(rca.lift(L.labelled(spark, d), L.FEATURES), ("STATUS", "PRIORITY")))
+
+
 def _q(select: str, ctes: str = EVID) -> str:
     return f"WITH {ctes} {select}"
 
@@ -143,7 +176,24 @@ def _q(select: str, ctes: str = EVID) -> str:
 _PAIR = "pa AS (SELECT routed, expected, count(*) AS calls FROM l WHERE label = 1 GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (ORDER BY calls DESC, routed, expected) AS rank FROM pa)"
 _LN = "ln AS (SELECT l_orderkey AS call_id, l_linenumber, l_linestatus, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS l_quantity, CASE WHEN l_suppkey % 4 <> 0 THEN l_tax END AS l_tax FROM lineitem)"
 _COV = " UNION ALL ".join(f"SELECT '{a}' AS left_key, '{b}' AS right_key, (SELECT avg(CASE WHEN k IS NULL THEN 0.0::DOUBLE ELSE 1 END) FROM orders LEFT JOIN (SELECT {b} AS k FROM customer GROUP BY 1 HAVING count(*) = 1) ON k = {a}) AS coverage" for a, b in (("o_custkey", "c_custkey"), ("o_orderkey", "c_custkey"), ("o_custkey", "c_nationkey")))
+_NET = EVID + """, nt AS (SELECT sc.routed, sc.market, sc.score, sc.calls, sc.controls, CASE WHEN sc.routed % 7 = 0 THEN 'ESRK_MISMATCH' WHEN sc.routed % 3 = 0 THEN sc.route_status_mode ELSE '' END AS r1, CASE WHEN sc.routed % 3 = 0 THEN coalesce(ct.route_status_mode, '') ELSE '' END AS r0,
+    CASE WHEN sc.routed % 3 = 1 THEN sc.priority_mode ELSE '' END AS e1, CASE WHEN sc.routed % 3 = 1 THEN coalesce(ct.priority_mode, '') ELSE '' END AS e0, CASE WHEN sc.routed % 5 = 2 THEN sc.route_status_mode ELSE '' END AS s1, CASE WHEN sc.routed % 5 = 2 THEN coalesce(ct.route_status_mode, '') ELSE '' END AS s0,
+    CASE WHEN sc.routed % 5 = 3 THEN sc.priority_mode[1:1] ELSE '' END AS i1, CASE WHEN sc.routed % 5 = 3 THEN coalesce(ct.priority_mode[1:1], '') ELSE '' END AS i0, CASE WHEN sc.routed % 11 = 0 THEN 'Fallback WDLS' ELSE '' END AS fb, CASE WHEN sc.routed % 11 = 2 THEN 'yes' ELSE '' END AS df
+    FROM sc LEFT JOIN ct USING (routed, market)),
+  nk AS (SELECT *, CASE WHEN r1 = 'ESRK_MISMATCH' THEN 1 WHEN r1 <> '' AND r0 <> '' AND r1 <> r0 THEN 2 WHEN e1 <> '' AND e0 <> '' AND e1 <> e0 THEN 3 WHEN fb <> '' OR df <> '' THEN 4 WHEN s1 <> '' AND s0 <> '' AND s1 <> s0 THEN 5 WHEN i1 <> '' AND i0 <> '' AND i1 <> i0 THEN 6 ELSE 8 END AS k FROM nt),
+  ni AS (SELECT routed, market, score, calls, controls, list_extract(['GMLC routing', 'GMLC routing', 'GMLC ESInet/ESZ', 'GMLC fallback/default routing', 'GMLC SIP signaling', 'IMS/P-CSCF', '', 'No isolated network field'], k) AS source,
+    CASE k WHEN 1 THEN 'ROUTE_STATUS_GMLC=' || r1 WHEN 2 THEN 'Misroute=' || r1 || '; correct control=' || r0 WHEN 3 THEN 'ESInet ' || e1 || ' vs ' || e0 || '; ESZ n/a vs n/a' WHEN 4 THEN 'Fallback=' || CASE fb WHEN '' THEN 'n/a' ELSE fb END || '; default=' || CASE df WHEN '' THEN 'n/a' ELSE df END
+      WHEN 5 THEN 'SIP misroute=' || s1 || '; correct control=' || s0 WHEN 6 THEN 'IMS P-CSCF misroute=' || i1 || '; correct control=' || i0 ELSE 'No single GMLC/IMS/CCDR mode clearly differs from controls' END AS sign,
+    CASE WHEN k <= 3 THEN 'STRONG ASSOCIATION' WHEN k = 8 THEN 'GEOMETRY EVIDENCE ONLY' ELSE 'SUPPORTING ASSOCIATION' END AS strength FROM nk)"""
+
 QUERIES = {
+    "a15_candidates": (a15_candidates, _q("""SELECT market, strong, misroutes, CASE WHEN misroutes >= 3 AND share >= 0.8 AND separation >= 3 THEN 'REPEATED_PSAP_ROUTING_MAPPING' WHEN misroutes >= 3 AND n_expected > 1 THEN 'UNSTABLE_OR_MULTIPLE_EXPECTED_PSAP_PATTERN' WHEN separation < 3 THEN 'NEAR_BOUNDARY_OR_LOCATION_REVIEW' WHEN misroutes >= 2 THEN 'REPEATED_PATTERN_LOW_SUPPORT' ELSE 'ISOLATED_MISROUTE' END AS hypothesis
+        FROM (SELECT market, count(*) AS strong, sum(label)::BIGINT AS misroutes, quantile_cont(d_routed / uncert, 0.5) FILTER (label = 1) AS separation FROM l WHERE label IS NOT NULL GROUP BY 1) JOIN
+        (SELECT market, max(n)::DOUBLE / sum(n) AS share, count(DISTINCT expected) AS n_expected FROM (SELECT market, routed, expected, count(*) AS n FROM l WHERE label = 1 GROUP BY 1, 2, 3) GROUP BY 1) USING (market) WHERE strong >= 5 AND misroutes >= 3""", L.LABELS)),
+    "c8_network_interpretation": (c8_network_interpretation, _q("SELECT routed, market, source, sign, strength FROM ni", _NET)),
+    "c9_top_cohorts": (c9_top_cohorts, _q("SELECT row_number() OVER (ORDER BY score DESC, calls DESC, controls DESC, routed, market) AS presentation_rank, routed, market, source, sign, strength, score::BIGINT AS score, calls AS misroutes, controls FROM ni ORDER BY 1 LIMIT 100", _NET)),
+    "a17_lift_subset": (a17_lift_subset, _q("""SELECT feature, value, calls, misroutes, round(misroutes::DOUBLE / calls, 6) AS rate, round(misroutes::DOUBLE / calls / g, 6) AS lift, round(calls * g, 6) AS expected, round(misroutes - calls * g, 6) AS excess FROM
+        (SELECT 'priority' AS feature, priority AS value, count(*) AS calls, sum(label)::BIGINT AS misroutes FROM l WHERE label IS NOT NULL GROUP BY 2 UNION ALL SELECT 'route_status', route_status, count(*), sum(label)::BIGINT FROM l WHERE label IS NOT NULL GROUP BY 2), (SELECT avg(label) AS g FROM l) WHERE calls >= 20 AND misroutes >= 3""", L.LABELS)),
     "a23_case_profiles": (a23_case_profiles, _q("SELECT routed, market, calls, first_seen, last_seen, " + _R(*(f"{f}_rate" for f in FLAGS), *(f"{c}_share" for c in CATEGORIES)) + ", " + ", ".join(f"{c}_mode, {c}_mode_count" for c in CATEGORIES) + " FROM ca")),
     "c5_matched_evidence": (c5_matched_evidence, _q("SELECT routed, market, calls, controls AS control_calls, " + _R(*(f"d_{f}" for f in FLAGS)) + ", " + ", ".join(f"{c}_differs" for c in CATEGORIES) + " FROM me")),
     "c7_conclusion_and_cause": (c7_conclusion_and_cause, _q("SELECT * FROM ju", JUDGED)),

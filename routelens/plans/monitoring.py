@@ -68,7 +68,7 @@ def a30_multi_head(spark, d):
     heads = spark.range(12).select(F.col("id").alias("member_psap_id"), F.posexplode(F.array(F.col("id"), (F.col("id") + 1) % 12, (F.col("id") + 5) % 12)).alias("r", "cluster_head_psap_id")).withColumn("cluster_head_rank", F.col("r") + 1)
     thresholds = s.select(F.col("psap_id").alias("head_id"), "threshold").distinct()
     fan = kpi.fan_out(s.drop("threshold"), heads).join(F.broadcast(thresholds), "head_id")
-    return tidy(kpi.aggregate_heads(fan.select("psap_id", "hour_start_utc", F.when((F.col("head_id") != 7) | (F.col("call_volume") != 2), F.col("call_volume")).alias("raw_score"), F.col("threshold").alias("raw_threshold"))).drop("anomaly_score", "alert"))
+    return tidy(kpi.aggregate_heads(fan.select("psap_id", "hour_start_utc", F.when((F.col("head_id") != 7) | (F.col("call_volume") != 2), F.col("call_volume")).alias("raw_score"), F.col("threshold").alias("raw_threshold"), (F.col("call_volume") != 5).alias("input_valid"), (~F.col("head_id").isin(2, 9, 10)).alias("has_detector"))).drop("anomaly_score", "alert"))
 
 
 def a33_distribution(spark, d):
@@ -226,8 +226,8 @@ QUERIES = {
     "a28_volume_strata": (a28_volume_strata, _q("SELECT psap_id, median_volume, CASE round_even(2.0 * pos / greatest(n - 1, 1), 0) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS stratum FROM (SELECT psap_id, median(call_volume) AS median_volume, row_number() OVER (ORDER BY median(call_volume), psap_id) - 1 AS pos, count(*) OVER () AS n FROM h GROUP BY 1)")),
     "a29_representatives": (a29_representatives, _q("""SELECT stratum, rank, psap_id, median_volume FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY abs(median_volume - mid), psap_id) AS rank FROM (SELECT *, median(median_volume) OVER (PARTITION BY stratum) AS mid FROM
         (SELECT psap_id, median_volume, CASE round_even(2.0 * pos / greatest(n - 1, 1), 0) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS stratum FROM (SELECT psap_id, median(call_volume) AS median_volume, row_number() OVER (ORDER BY median(call_volume), psap_id) - 1 AS pos, count(*) OVER () AS n FROM h GROUP BY 1)))) WHERE rank <= 2""")),
-    "a30_multi_head": (a30_multi_head, _q("""SELECT psap_id, hour_start_utc, heads, scored_heads, votes, round(std, 6) AS head_ratio_std, round(votes::DOUBLE / nullif(scored_heads, 0), 6) AS vote_fraction, CASE WHEN scored_heads = 0 THEN 'SCORING_ERROR' WHEN scored_heads < heads THEN 'SCORED_PARTIAL_HEADS' ELSE 'SCORED' END AS scoring_status FROM
-        (SELECT h.psap_id, hour_start_utc, count(*) AS heads, count(r) AS scored_heads, count(*) FILTER (r > 1) AS votes, stddev_pop(r) AS std FROM (SELECT h.psap_id, hour_start_utc, CASE WHEN (t.psap_id <> 7 OR call_volume <> 2) AND threshold > 0 THEN call_volume / threshold END AS r FROM h JOIN t ON t.psap_id IN (h.psap_id, (h.psap_id + 1) % 12, (h.psap_id + 5) % 12)) h GROUP BY 1, 2)""", S)),
+    "a30_multi_head": (a30_multi_head, _q("""SELECT psap_id, hour_start_utc, heads, scored_heads, votes, round(std, 6) AS head_ratio_std, round(votes::DOUBLE / nullif(scored_heads, 0), 6) AS vote_fraction, CASE WHEN NOT valid THEN 'SKIPPED_INVALID_INPUT' WHEN scored_heads = 0 AND NOT detector THEN 'SKIPPED_NO_DETECTOR' WHEN scored_heads = 0 THEN 'SCORING_ERROR' WHEN scored_heads < heads THEN 'SCORED_PARTIAL_HEADS' ELSE 'SCORED' END AS scoring_status FROM
+        (SELECT h.psap_id, hour_start_utc, count(*) AS heads, count(r) AS scored_heads, count(*) FILTER (r > 1) AS votes, stddev_pop(r) AS std, bool_and(call_volume <> 5) AS valid, bool_or(dt) AS detector FROM (SELECT h.psap_id, hour_start_utc, call_volume, t.psap_id NOT IN (2, 9, 10) AS dt, CASE WHEN (t.psap_id <> 7 OR call_volume <> 2) AND threshold > 0 AND call_volume <> 5 AND t.psap_id NOT IN (2, 9, 10) THEN call_volume / threshold END AS r FROM h JOIN t ON t.psap_id IN (h.psap_id, (h.psap_id + 1) % 12, (h.psap_id + 5) % 12)) h GROUP BY 1, 2)""", S)),
     "a33_distribution": (a33_distribution, _q("SELECT psap_id, count(*) AS n, round(avg(call_volume), 6) AS mean, round(stddev_pop(call_volume), 6) AS std, min(call_volume) AS min, max(call_volume) AS max, " + ", ".join(f"round(quantile_cont(call_volume, {int(q[1:]) / 100}), 6) AS {q}" for q in health.QUANTILES) + " FROM h GROUP BY 1")),
     "a34_confusion": (a34_confusion, _q("""SELECT psap_id, tp, fp, tn, fn, round(coverage, 6) AS coverage, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM
         (SELECT psap_id, count(*) FILTER (truth AND a) AS tp, count(*) FILTER (NOT truth AND a) AS fp, count(*) FILTER (NOT truth AND a IS NOT NULL AND NOT a) AS tn, count(*) FILTER (truth AND (a IS NULL OR NOT a)) AS fn, avg(CASE WHEN a IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS coverage
