@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normalize import wilson_lower
+from ..functions.normalize import redact, wilson_lower
 
 
 def _value_counts(long: DataFrame) -> DataFrame:
@@ -14,12 +14,29 @@ def _value_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "x").agg(F.sum("target").alias("n1"), F.sum(1 - F.col("target")).alias("n0"))
 
 
+def below(values: DataFrame, by: list[str], x: str, n: str, name: str = "below", parts: int = 64) -> DataFrame:
+    """values with the sum of n over all smaller x of the same group. values: one row for each distinct x.
+
+    Approximate quantiles cut each group into parts; sums run within a part, and each part starts from the sums of those before it.
+    So no task needs all values of a group, and the result is exact whatever the cuts.
+    """
+    keys = by or [F.lit(1).alias("__one")]
+    values = values if by else values.withColumn("__one", F.lit(1))
+    names = by or ["__one"]
+    edges = values.groupBy(*keys).agg(F.percentile_approx(x, F.array(*(F.lit(k / parts) for k in range(1, parts))), 10_000).alias("__edges"))
+    cut = values.join(F.broadcast(edges), names).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")  # parts - 1 numbers a group
+    sums = cut.groupBy(*names, "__part").agg(F.sum(n).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*names, "__part", before.alias("__start"))  # at most `parts` rows a group
+    within = F.coalesce(F.sum(n).over(W.partitionBy(*names, "__part").orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("__within", within).join(F.broadcast(starts), [*names, "__part"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__start", "__within", "__part", "__one")
+
+
 def mann_whitney(long: DataFrame, least: int = 5) -> DataFrame:
     """U, AUC, Cliff's delta and tie-corrected z per feature (T1, T8). long: feature, x, target."""
     v = _value_counts(long.where("x IS NOT NULL"))
     n = F.col("n1") + F.col("n0")
-    below = F.coalesce(F.sum(n).over(W.partitionBy("feature").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    v = v.withColumn("mid", below + (n + 1) / 2)
+    v = below(v.withColumn("n", n), ["feature"], "x", "n").withColumn("mid", F.col("below") + (n + 1) / 2)
     g = v.groupBy("feature").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b"), F.sum(F.col("mid") * F.col("n1")).alias("rank_sum"), F.sum(n.cast("double") * n * n - n).alias("ties"), F.count("*").alias("levels")).where((F.col("a") >= least) & (F.col("b") >= least) & (F.col("levels") >= 2))
     u = F.col("rank_sum") - F.col("a") * (F.col("a") + 1) / 2
     total = F.col("a") + F.col("b")
@@ -28,6 +45,14 @@ def mann_whitney(long: DataFrame, least: int = 5) -> DataFrame:
     return g.select("feature", F.col("a").alias("cases"), F.col("b").alias("controls"), "u", "auc", (2 * F.col("auc") - 1).alias("cliffs_delta"), "z")
 
 
+def weighted_auc(long: DataFrame) -> DataFrame:
+    """Weighted AUC and strength 2 x |AUC - 1/2| per feature (T8). long: feature, x, target, weight."""
+    v = long.where("x IS NOT NULL").groupBy("feature", "x").agg(F.sum(F.when(F.col("target") == 1, F.col("weight")).otherwise(0.0)).alias("w1"), F.sum(F.when(F.col("target") == 0, F.col("weight")).otherwise(0.0)).alias("w0"))
+    g = below(v, ["feature"], "x", "w0").groupBy("feature").agg(F.sum(F.col("w1") * (F.col("below") + F.col("w0") / 2)).alias("u"), F.sum("w1").alias("a"), F.sum("w0").alias("b"))
+    auc = F.try_divide("u", F.col("a") * F.col("b"))
+    return g.select("feature", auc.alias("auc"), (2 * F.abs(auc - 0.5)).alias("strength"))
+
+
 def standardized_difference(long: DataFrame) -> DataFrame:
     """Means, standardized mean difference and point-biserial correlation per feature."""
     c, k = F.when(F.col("target") == 1, F.col("x")), F.when(F.col("target") == 0, F.col("x"))
@@ -69,17 +94,16 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
 def average_precision(scored: DataFrame) -> DataFrame:
     """Average precision and ROC AUC of (score, target), equal scores as one step."""
     v = scored.groupBy("score").agg(F.sum("target").alias("p"), F.count("*").alias("n"))
-    # one row for each distinct score: round continuous scores first
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     total = scored.agg(F.sum("target").alias("all_p"), F.count("*").alias("all_n"))
-    c = v.withColumn("tp", F.sum("p").over(w)).withColumn("k", F.sum("n").over(w)).crossJoin(F.broadcast(total))
+    v = below(below(v, [], "score", "p", "__p"), [], "score", "n", "__n").crossJoin(F.broadcast(total))  # one row
+    c = v.withColumn("tp", F.col("all_p") - F.col("__p")).withColumn("k", F.col("all_n") - F.col("__n"))
     auc = F.sum(((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2)))
     return c.agg(F.sum(F.col("p") / F.col("all_p") * F.col("tp") / F.col("k")).alias("average_precision"), (auc / F.max("all_p") / F.max(F.col("all_n") - F.col("all_p"))).alias("roc_auc"))
 
 
 def terms(docs: DataFrame, text: str, least_docs: int = 20, alpha: float = 0.5) -> DataFrame:
-    """Documents with each 1- and 2-gram among cases and controls, chi-square and log odds (T12). docs: row id, text, target."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]{2,})"))
+    """Documents with each 1- and 2-gram among cases and controls, chi-square and log odds of redacted text (T12). docs: row id, text, target."""
+    tokens = F.regexp_extract_all(F.lower(redact(F.col(text))), F.lit("([a-z0-9_]{2,})"))
     t = docs.select("target", tokens.alias("t"))
     two = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat(F.element_at("t", i), F.lit(" "), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
     grams = t.select("target", F.explode(F.array_distinct(F.concat("t", two))).alias("term"))

@@ -186,7 +186,7 @@ def aggregate_heads(per_head: DataFrame) -> DataFrame:
         F.count("*").alias("heads"), F.count("r").alias("scored_heads"), F.avg("r").alias("anomaly_score"), F.count(F.when(F.col("r") > 1, 1)).alias("votes"), F.stddev_pop("r").alias("head_ratio_std"), F.min(flag("input_valid")).alias("__valid"), F.max(flag("has_detector")).alias("__detector")
     )
     status = F.when(F.col("psap_id") == -1, "SKIPPED_SPECIAL_PSAP").when(~F.col("__valid"), "SKIPPED_INVALID_INPUT").when((F.col("scored_heads") == 0) & ~F.col("__detector"), "SKIPPED_NO_DETECTOR").when(F.col("scored_heads") == 0, "SCORING_ERROR").when(F.col("scored_heads") < F.col("heads"), "SCORED_PARTIAL_HEADS").otherwise("SCORED")
-    return out.select("*", (F.col("votes") / F.col("scored_heads")).alias("vote_fraction"), F.coalesce(F.col("anomaly_score") > 1, F.lit(False)).alias("alert"), status.alias("scoring_status")).drop("__valid", "__detector")
+    return out.select("*", F.try_divide(F.col("votes").cast("double"), F.col("scored_heads")).alias("vote_fraction"), F.coalesce(F.col("anomaly_score") > 1, F.lit(False)).alias("alert"), status.alias("scoring_status")).drop("__valid", "__detector")
 
 
 def eligible(alert: Column, hard: Column, third: Column) -> Column:

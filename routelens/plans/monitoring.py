@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import health, kpi
+from ..operators import health, kpi, report
 from ..sources.tables import table
 from .common import tidy
 
@@ -184,6 +184,47 @@ def t23_text_divergence(spark, d):
     return tidy(health.divergence(side(0), side(1), "token"))
 
 
+def classifier_metrics(spark, d):
+    docs, t = table(spark, d, "documents"), tickets(spark, d)
+    half = lambda r: F.col("doc_id") % 2 == r
+    health_in = health.input_health(docs, "text", "doc_id").select(F.col("tickets").alias("ticket_count"), F.col("missing_pct").alias("missing_text_rate_pct"), F.col("short_pct").alias("short_text_rate_pct"), F.col("duplicate_pct").alias("duplicate_id_rate_pct"))
+    sure = t.agg(F.avg("confidence").alias("average_prediction_confidence"), (100 * F.avg((F.col("confidence") < 0.6).cast("double"))).alias("low_confidence_rate_pct"))
+    counts = lambda r: t.where(half(r)).groupBy("prediction").agg(F.count("*").alias("n"))
+    shift = health.divergence(counts(0), counts(1), "prediction").select(F.col("js_divergence").alias("prediction_distribution_jsd"))
+    words = lambda r: health.token_counts(docs.where(half(r)), "text", [])
+    text = health.divergence(words(0), words(1), "token").select(F.col("js_divergence").alias("token_distribution_jsd"), (100 * F.col("unseen_rate")).alias("unseen_token_rate_pct"))
+    scores = health.classification(t, "actual", "prediction").select(F.col("accuracy").alias("production_accuracy"), F.col("weighted_f1").alias("production_weighted_f1"))
+    out = None
+    for part in (health_in, sure, shift, text, scores):
+        long = part.select(*(F.col(c).cast("double").alias(c) for c in part.columns)).unpivot([], part.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def c15_classifier_health(spark, d):
+    return tidy(report.classifier_health(classifier_metrics(spark, d).withColumn("value", F.round("value", 9))))
+
+
+def t26_text_challenger(spark, d):
+    from ..operators import screen
+
+    t = tickets(spark, d).where("actual IS NOT NULL")
+    return tidy(screen.text_challenger(t.where("doc_id % 3 <> 0"), t.where("doc_id % 3 = 0"), "text", "actual", "prediction", 1 << 12))
+
+
+def c18_detector_scores(spark, d):
+    """A detector for each head: volume over its median, threshold 2; head 5 fails, and head 7 has no threshold."""
+    h = hourly(spark, d).select(F.col("psap_id").alias("head"), "hour_start_utc", "call_volume")
+
+    def detector(pdf):
+        if pdf["head"].iloc[0] == 5:
+            raise ValueError("no detector")
+        return pdf["call_volume"] / pdf["call_volume"].median(), 0.0 if pdf["head"].iloc[0] == 7 else 2.0
+
+    got = kpi.score_with(h, "head", detector, "head long, hour_start_utc timestamp_ntz, call_volume double, raw_score double, raw_threshold double, head_status string")
+    return tidy(got.select("head", "hour_start_utc", F.when(F.col("head_status") == "SCORED", F.col("raw_score")).alias("score"), "head_status"))
+
+
 def t25_mid_ranks(spark, d):
     h = hourly(spark, d)
     return tidy(h.select("psap_id", "hour_start_utc", health.mid_rank(["psap_id"], "call_volume").alias("mid_rank")))
@@ -258,5 +299,21 @@ QUERIES = {
     "a51_prediction_health": (a51_prediction_health, "SELECT count(*) AS n, 100.0::DOUBLE AS coverage_pct, round(avg((doc_id % 100) / 100.0::DOUBLE), 6) AS mean_confidence, round(100 * avg(CASE WHEN doc_id % 100 < 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS low_confidence_pct FROM documents JOIN labels USING (doc_id)"),
     "t23_text_divergence": (t23_text_divergence, """WITH k AS (SELECT token, count(*) FILTER (r = 0) AS r, count(*) FILTER (r = 1) AS c FROM (SELECT doc_id % 2 AS r, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS token FROM documents) GROUP BY 1),
         s AS (SELECT r::DOUBLE / (SELECT sum(r) FROM k) AS p, c::DOUBLE / (SELECT sum(c) FROM k) AS q FROM k) SELECT round(sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 6) AS js_divergence, round(sum(CASE WHEN p = 0 THEN q ELSE 0 END), 6) AS unseen_rate FROM s"""),
+    "c15_classifier_health": (c15_classifier_health, """WITH t AS (SELECT doc_id, quality::VARCHAR AS a, CASE WHEN n_chars > 400 THEN '1' ELSE '0' END AS p, (doc_id % 100) / 100.0::DOUBLE AS c FROM documents JOIN labels USING (doc_id)),
+        k AS (SELECT DISTINCT a AS k FROM t), f AS (SELECT (SELECT count(*) FROM t WHERE a = k) AS support, (SELECT count(*) FROM t WHERE p = k) AS predicted, (SELECT count(*) FROM t WHERE a = k AND p = k) AS tp FROM k),
+        w AS (SELECT token AS k, count(*) FILTER (r = 0) AS r, count(*) FILTER (r = 1) AS c FROM (SELECT doc_id % 2 AS r, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS token FROM documents) GROUP BY 1), q AS (SELECT p AS k, count(*) FILTER (doc_id % 2 = 0) AS r, count(*) FILTER (doc_id % 2 = 1) AS c FROM t GROUP BY 1),
+        ws AS (SELECT r::DOUBLE / (SELECT sum(r) FROM w) AS x, c::DOUBLE / (SELECT sum(c) FROM w) AS y FROM w), qs AS (SELECT r::DOUBLE / (SELECT sum(r) FROM q) AS x, c::DOUBLE / (SELECT sum(c) FROM q) AS y FROM q),
+        m AS (SELECT 'ticket_count' AS metric, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'missing_text_rate_pct', 100 * avg(CASE WHEN trim(coalesce(text, '')) = '' THEN 1.0::DOUBLE ELSE 0 END) FROM documents
+          UNION ALL SELECT 'short_text_rate_pct', 100 * avg(CASE WHEN trim(coalesce(text, '')) <> '' AND length(trim(text)) < 20 THEN 1.0::DOUBLE ELSE 0 END) FROM documents UNION ALL SELECT 'duplicate_id_rate_pct', 100 * (1 - count(DISTINCT doc_id)::DOUBLE / count(*)) FROM documents
+          UNION ALL SELECT 'average_prediction_confidence', avg(c) FROM t UNION ALL SELECT 'low_confidence_rate_pct', 100 * avg(CASE WHEN doc_id % 100 < 60 THEN 1.0::DOUBLE ELSE 0 END) FROM t
+          UNION ALL SELECT 'prediction_distribution_jsd', sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2) FROM qs
+          UNION ALL SELECT 'token_distribution_jsd', sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2) FROM ws UNION ALL SELECT 'unseen_token_rate_pct', 100 * sum(CASE WHEN x = 0 THEN y ELSE 0 END) FROM ws
+          UNION ALL SELECT 'production_accuracy', sum(tp)::DOUBLE / sum(support) FROM f UNION ALL SELECT 'production_weighted_f1', sum(support * 2.0::DOUBLE * tp / (support + predicted)) / sum(support) FROM f),
+        l(section, metric, dir, warn, fail) AS (VALUES """ + ", ".join(f"('{s}', '{m}', '{x}', {a}::DOUBLE, {b}::DOUBLE)" for s, own in report.SECTIONS.items() for m, (x, a, b) in own.items()) + """),
+        g AS (SELECT section, metric, value, CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN dir = 'high' THEN CASE WHEN round(value, 9) >= fail THEN 'FAIL' WHEN round(value, 9) >= warn THEN 'WARN' ELSE 'PASS' END ELSE CASE WHEN round(value, 9) <= fail THEN 'FAIL' WHEN round(value, 9) <= warn THEN 'WARN' ELSE 'PASS' END END AS status FROM l LEFT JOIN m USING (metric)),
+        o AS (SELECT count(DISTINCT section) FILTER (status = 'FAIL') AS failed, bool_or(status = 'WARN') AS warned FROM g)
+        SELECT section, metric, round(value, 6) AS value, status, status IN ('WARN', 'FAIL') AS signal, CASE WHEN failed >= 3 THEN 'CRITICAL' WHEN failed >= 1 THEN 'DEGRADED' WHEN warned THEN 'WARNING' ELSE 'HEALTHY' END AS overall, 'PARTIAL' AS collection_status FROM g, o"""),
+    "t26_text_challenger": (t26_text_challenger, None),
+    "c18_detector_scores": (c18_detector_scores, _q("SELECT psap_id AS head, hour_start_utc, CASE WHEN psap_id NOT IN (5, 7) THEN round(call_volume / m, 6) END AS score, CASE psap_id WHEN 5 THEN 'SCORING_ERROR: ValueError' WHEN 7 THEN 'INVALID_SCORE_OR_THRESHOLD' ELSE 'SCORED' END AS head_status FROM h JOIN (SELECT psap_id, median(call_volume) AS m FROM h GROUP BY 1) USING (psap_id)")),
     "t25_mid_ranks": (t25_mid_ranks, _q("SELECT psap_id, hour_start_utc, rank() OVER (PARTITION BY psap_id ORDER BY call_volume) + (count(*) OVER (PARTITION BY psap_id, call_volume) - 1) / 2.0::DOUBLE AS mid_rank FROM h")),
 }
