@@ -74,7 +74,7 @@ def test_key_coverage_takes_keys_that_occur_once(spark):
 def test_strong_pairs_name_how_many_more_ids(spark):
     rows = spark.createDataFrame([(1, 2, 1, f"m{i:02d}", HOUR, 5.0, 1.0) for i in range(17)], "routed long, expected long, label long, m string, call_time timestamp, d_routed double, uncert double")
     r = rca.strong_pairs(rows, [], "m").first()
-    assert r.calls == 17 and r.min_clearance == 4.0 and r.m_ids.endswith("m14, +2 more")
+    assert r.calls == 17 and r.min_clearance == 4.0 and r.m_ids.endswith("m14 | +2 more")
 
 
 def test_information_of_a_copy_and_of_a_constant(spark):
