@@ -134,6 +134,36 @@ def test_leaks_of_a_passage_in_many_documents(spark, copies):
     assert sorted(r.doc_id for r in less) == list(range(2 * copies))
 
 
+def test_recall_against_full_alignment(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = {k: [str(x) for x in rng.choice(vocabulary, rng.integers(12, 40))] for k in range(40)}
+    docs = {}
+    for k, item in items.items():
+        edited = [str(rng.choice(vocabulary)) if rng.random() < (k % 10) / 20 else w for w in item if rng.random() > 0.05]
+        docs[k] = [str(x) for x in rng.choice(vocabulary, 20)] + edited + [str(x) for x in rng.choice(vocabulary, 20)]
+    number = {w: i for i, w in enumerate(vocabulary)}
+    code = lambda words: [number[w] for w in words]
+    want = {(d, d) for d in docs if brute_smith_waterman(code(docs[d]), code(items[d])) >= 0.4 * 2 * len(items[d])}
+    table = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS), table).collect()}
+    assert len(want) > 25 and len(want & got) >= 0.9 * len(want) and all(d == i for d, i in got)
+
+
+def test_long_and_repetitive_documents(spark):
+    """Very long texts for each operator that reads whole texts."""
+    item = " ".join(f"q{k}" for k in range(20))
+    long = "a b c d e f " * 40_000 + item + " x y z" * 20_000
+    docs = spark.createDataFrame([(1, long), (2, item), (3, long + "!")], DOCS)
+    assert {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item), (2, "a b c d e f")], "item_id long, text string")).collect()} == {1, 2, 3}
+    assert {r.component_id for r in jaccard.jaccard_components(docs, 3, 90).collect()} == {1, 2}
+    assert sharding.assign_shards(docs, 3).count() == 3
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    row = next(r for r in bpe.digest(bpe.encode_documents(docs, path)).collect() if r.doc_id == 1)
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_leaks_in_parts(monkeypatch):
     monkeypatch.setattr(decontaminate, "PLACES", 5)
     texts = ["a b c d e f g", "none of it", "x a b c d e f g y", "", "f g a b c d"]
