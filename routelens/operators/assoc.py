@@ -23,7 +23,7 @@ def below(values: DataFrame, by: list[str], x: str, n: str, name: str = "below",
     keys = by or [F.lit(1).alias("__one")]
     values = values if by else values.withColumn("__one", F.lit(1))
     names = by or ["__one"]
-    edges = values.groupBy(*keys).agg(F.percentile_approx(x, F.array(*(F.lit(k / parts) for k in range(1, parts))), 10_000).alias("__edges"))
+    edges = values.groupBy(*keys).agg(F.percentile_approx(x, F.array(*(F.lit(k / parts) for k in range(1, parts))), 1000).alias("__edges"))
     cut = values.join(F.broadcast(edges), names).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")  # parts - 1 numbers a group
     sums = cut.groupBy(*names, "__part").agg(F.sum(n).alias("__sum"))
     before = F.coalesce(F.sum("__sum").over(W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

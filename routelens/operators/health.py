@@ -51,11 +51,16 @@ def confusion(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def match_episodes(episodes: DataFrame, events: DataFrame, tolerance_hours: float = 0.0) -> DataFrame:
-    """The earliest episode that overlaps each event of the same entity, and the delay in hours."""
-    a, b = episodes.alias("a"), events.alias("b")
-    late = F.unix_seconds(F.col("b.event_end").cast("timestamp")) + tolerance_hours * 3600
+    """The earliest episode that overlaps each event of the same entity, and the delay in hours.
+
+    Episodes and events meet by entity and day, each in the days it touches, so an entity's whole history is never paired with itself.
+    """
     s = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    on = (F.col("a.psap_id") == F.col("b.psap_id")) & (s("a.episode_end") >= s("b.event_start")) & (s("a.episode_start") <= late)
+    days = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 86_400), F.floor(hi / 86_400)))
+    a = episodes.withColumn("day", days(s("episode_start"), s("episode_end"))).alias("a")
+    b = events.withColumn("day", days(s("event_start"), F.greatest(s("event_start"), s("event_end") + tolerance_hours * 3600))).alias("b")
+    late = s("b.event_end") + tolerance_hours * 3600
+    on = (F.col("a.psap_id") == F.col("b.psap_id")) & (F.col("a.day") == F.col("b.day")) & (s("a.episode_end") >= s("b.event_start")) & (s("a.episode_start") <= late)
     hits = b.join(a, on, "left").groupBy("b.event_id", "b.psap_id", "b.event_start", "b.event_end").agg(F.min("a.episode_start").alias("detected_at"))
     return hits.select("event_id", "psap_id", "event_start", "event_end", "detected_at", F.when(F.col("detected_at").isNotNull(), F.greatest(F.lit(0.0), (s("detected_at") - s("event_start")) / 3600)).alias("delay_hours"))
 
