@@ -100,6 +100,19 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.sqrt(h))
 
 
+def nearest_points(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (with call_id, lon, lat, psap_id) with the point of the polygon's border that lies nearest, and its distance (C19). Of equally near points the westernmost, then southernmost."""
+    lon, lat = F.col("lon"), F.col("lat")
+    kx = F.lit(M_PER_LON) * F.cos(F.radians(lat))
+    dx, dy = (F.col("x2") - F.col("x1")) * kx, (F.col("y2") - F.col("y1")) * M_PER_LAT
+    along = F.try_divide((lon - F.col("x1")) * kx * dx + (lat - F.col("y1")) * M_PER_LAT * dy, dx * dx + dy * dy)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    place = F.struct(F.round(segment_distance(lon, lat), 3).alias("d"), F.round(F.col("x1") + t * (F.col("x2") - F.col("x1")), 9).alias("x"), F.round(F.col("y1") + t * (F.col("y2") - F.col("y1")), 9).alias("y"))
+    small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
+    rows = pairs.join(F.broadcast(edges) if small else edges, "psap_id").groupBy(*pairs.columns).agg(F.min(place).alias("p"))
+    return rows.select(*pairs.columns, F.col("p.x").alias("near_x"), F.col("p.y").alias("near_y"), F.col("p.d").alias("distance"))
+
+
 def validity(lat: Column, lon: Column, uncert: Column) -> Column:
     """The first thing wrong with a location, or null."""
     in_range = lat.between(-90, 90) & lon.between(-180, 180)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grain, network, rca
+from ..operators import geo, grain, network, rca
 from ..sources.tables import table
 from . import location as L
 from .common import tidy
@@ -108,6 +108,15 @@ def c19_top_calls(spark, d):
     return tidy(s.where("rank <= 10").select("routed", "expected", "rank", "call_id", "lon", "lat"))
 
 
+def c19_nearest_points(spark, d):
+    """Of the ten farthest calls of each misrouted pair: the nearest points of the routed and of the expected border."""
+    from pyspark.sql import Window as W
+
+    s = L.labelled(spark, d).where("label = 1").withColumn("rank", F.row_number().over(W.partitionBy("routed", "expected").orderBy(F.desc(F.round("d_routed", 2)), "call_id"))).where("rank <= 10")
+    side = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("psap_id")) for k in ("routed", "expected"))))
+    return tidy(geo.nearest_points(s.select("call_id", "lon", "lat", side.alias("s")).select("call_id", "lon", "lat", "s.side", "s.psap_id"), L.edges(spark, d)).drop("lon", "lat"))
+
+
 def _lines(spark, d):
     keep = lambda c, cond: F.when(F.expr(cond), F.col(c)).alias(c)
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("call_id"), "l_linenumber", "l_linestatus", keep("l_quantity", "l_partkey % 3 <> 0"), keep("l_tax", "l_suppkey % 4 <> 0"))
@@ -187,6 +196,8 @@ _NET = EVID + """, nt AS (SELECT sc.routed, sc.market, sc.score, sc.calls, sc.co
     CASE WHEN k <= 3 THEN 'STRONG ASSOCIATION' WHEN k = 8 THEN 'GEOMETRY EVIDENCE ONLY' ELSE 'SUPPORTING ASSOCIATION' END AS strength FROM nk)"""
 
 QUERIES = {
+    "c19_nearest_points": (c19_nearest_points, _q("""SELECT call_id, side, psap_id, round(p.x, 6) AS near_x, round(p.y, 6) AS near_y, p.d AS distance FROM (SELECT c.call_id, side, c.psap_id, min({'d': round(sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay))), 3), 'x': round(x1 + t * (x2 - x1), 9), 'y': round(y1 + t * (y2 - y1), 9)}) AS p
+        FROM (SELECT call_id, unnest(['routed', 'expected']) AS side, unnest([routed, expected]) AS psap_id FROM (SELECT *, row_number() OVER (PARTITION BY routed, expected ORDER BY round(d_routed, 2) DESC, call_id) AS r FROM l WHERE label = 1) WHERE r <= 10) c JOIN e2 ON e2.call_id = c.call_id AND e2.psap_id = c.psap_id GROUP BY 1, 2, 3)""", L.LABELS)),
     "a15_candidates": (a15_candidates, _q("""SELECT market, strong, misroutes, CASE WHEN misroutes >= 3 AND share >= 0.8 AND separation >= 3 THEN 'REPEATED_PSAP_ROUTING_MAPPING' WHEN misroutes >= 3 AND n_expected > 1 THEN 'UNSTABLE_OR_MULTIPLE_EXPECTED_PSAP_PATTERN' WHEN separation < 3 THEN 'NEAR_BOUNDARY_OR_LOCATION_REVIEW' WHEN misroutes >= 2 THEN 'REPEATED_PATTERN_LOW_SUPPORT' ELSE 'ISOLATED_MISROUTE' END AS hypothesis
         FROM (SELECT market, count(*) AS strong, sum(label)::BIGINT AS misroutes, quantile_cont(d_routed / uncert, 0.5) FILTER (label = 1) AS separation FROM l WHERE label IS NOT NULL GROUP BY 1) JOIN
         (SELECT market, max(n)::DOUBLE / sum(n) AS share, count(DISTINCT expected) AS n_expected FROM (SELECT market, routed, expected, count(*) AS n FROM l WHERE label = 1 GROUP BY 1, 2, 3) GROUP BY 1) USING (market) WHERE strong >= 5 AND misroutes >= 3""", L.LABELS)),
