@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +57,11 @@ def file_report(spark: SparkSession, folder: str, expected: list[str]) -> DataFr
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder among those that driver and executors share, by spark.checkpoint.dir."""
+    """A new folder among those that driver and executors share, by spark.checkpoint.dir. Where that is unset, a local one in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
