@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, jaccard, langid, quality, sharding, topk, toxicity, warc
+from . import bpe, decontaminate, html_text, jaccard, langid, packing, phrases, quality, sharding, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -60,8 +60,22 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(whitening.whiten(table(spark, sf_dir, "embeddings"), "one", 16))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), 30, 2000, 80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sampled_splitters, op3_bpe_automaton, op4_language_id, op5_warc_dictionary, op6_quality_fm, op7_html_layout, op8_ngram_jaccard, op9_toxicity, op10_top_k)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sampled_splitters, op3_bpe_automaton, op4_language_id, op5_warc_dictionary, op6_quality_fm, op7_html_layout, op8_ngram_jaccard, op9_toxicity, op10_top_k, op11_best_two_fit, op12_whitening, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -90,4 +104,18 @@ def oracle_sql() -> dict[str, str]:
                   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
             r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op13_phrases": r"""
+            WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+            p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+            w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+            n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1 HAVING sum(len(w)) > 0),
+            g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k),
+            f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+            c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+            cut AS (SELECT c.lang, c.k, c.phrase, c.a, i.i, array_to_string(w[1:i.i], ' ') AS x, array_to_string(w[i.i + 1:], ' ') AS y FROM c, (VALUES (1), (2), (3)) i(i) WHERE i.i < c.k),
+            s AS (SELECT cut.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y),
+            b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+            h AS (SELECT c.lang, array_to_string(w[o.o:o.o + z.z - 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (1), (2), (3)) o(o), (VALUES (2), (3)) z(z) WHERE z.z < c.k AND o.o + z.z - 1 <= c.k GROUP BY ALL),
+            r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE most IS NULL OR 100 * most < 80 * a)
+            SELECT r.lang, rank::INTEGER AS rank, phrase, a, l, r.r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
     }
