@@ -132,7 +132,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    at = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
