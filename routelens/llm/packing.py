@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
-from .words import NON_SPACE, chunks, text_buffer
+from .words import LOWER, NON_SPACE, chunks, text_buffer
 
 #: Distinct words, and bytes of them, that a worker remembers the ids of; beyond that it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 1 << 18, 1 << 24
-CHUNK = 1 << 21
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 1 << 24
+CHUNK = 1 << 22
+SIGN, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+SIGN[33:48] = SIGN[58:65] = SIGN[91:97] = SIGN[123:127] = True
+PLAIN[48:58] = PLAIN[65:91] = PLAIN[97:123] = True
 
 
 class WordEncoder:
-    """The tokenizers library on distinct words. Exact for tokenizers whose normaliser and pre-tokenizer part at ASCII white space and drop it."""
+    """The tokenizers library on distinct words.
+
+    Exact for tokenizers that drop white space, compare in lower case, and part a word before a sign that follows an ASCII letter or digit. Signs that stand
+    within special tokens don't part words, and letters keep their case where one of those may stand.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -42,6 +50,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = SIGN.copy()
+        self.signs[list(b"".join(t[1:] for t in special))] = False
+        self.openings = {t[:2].lower() for t in special}
         self.forget()
 
     def forget(self) -> None:
@@ -53,18 +65,24 @@ class WordEncoder:
         """Where each word's ids are; unknown words are encoded first."""
         if len(self.number) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
-        new = [w for w in words if w not in self.number]
-        if new:
-            first, encoded = len(self.number), self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        known = self.number
+        if new := [w for w in words if w not in known]:
+            # words of ASCII letters are one pre-token as they are, so the model takes them without normalising
+            tokenize = self.tokenizer.model.tokenize
+            plain = [w for w in new if w.isalpha()]
+            ids = [[t.id for t in tokenize(w.lower().decode())] for w in plain]
+            other = [w for w in new if not w.isalpha()]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+            first = len(known)
+            known.update(zip(plain + other, range(first, first + len(new)), strict=True))
             self.bytes += sum(map(len, new))
-            size = np.fromiter((len(e) for e in encoded), np.int64, len(new))
-            flat = np.fromiter((i for e in encoded for i in e.ids), np.uint32, int(size.sum()))
+            size = np.fromiter(map(len, ids), np.int64, len(new))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
             self.start = self._put(self.start, first, self.used + np.cumsum(size) - size)
             self.size = self._put(self.size, first, size)
             self.ids = self._put(self.ids, self.used, flat)
             self.used += len(flat)
-        return np.fromiter((self.number[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
     def _put(into: np.ndarray, at: int, what: np.ndarray) -> np.ndarray:
@@ -75,16 +93,20 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in data, each with end_id behind, and where each text's begin (one more entry)."""
+        low = LOWER[data]
+        raw = low.tobytes()
+        if not any(o in raw for o in self.openings):
+            data = low
         inside = NON_SPACE[data]
         before = np.zeros(len(data), bool)
-        before[1:] = inside[:-1]
+        before[1:] = inside[:-1] & ~(self.signs[data[1:]] & PLAIN[data[:-1]])
         before[offsets[:-1][offsets[:-1] < len(data)]] = False
         starts = np.flatnonzero(inside & ~before)
         words_before = np.searchsorted(starts, offsets)
         # bytes of words end to end: a word runs to the start of the next one
-        packed = np.cumsum(inside)
-        at = np.concatenate([packed[starts] - 1, packed[-1:]]) if len(starts) else np.zeros(1, np.int64)
-        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data[inside].tobytes())])
+        packed = np.cumsum(inside, dtype=np.int32)
+        at = np.append(packed[starts] - 1, packed[-1:]) if len(starts) else np.zeros(1, np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[inside].tobytes())])
         distinct = column.dictionary_encode()
         word = self.numbers(distinct.dictionary.to_pylist())[distinct.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
         size = self.size[word]

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from routelens.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " \n\t ", "one", "one", "Don't  STOP'll 12345 *** é É é  x y", "<|endoftext|> a<|startoftext|>b", "中文 文字,没有空格 İstanbul ΣΑΣ ß", "a\x0bb\x0cc\x1cd\x85e", "́ ́a", "x" * 5000, "word " * 4000, "\x00 � 🙂🙂"]
+ODD = [None, "", " \n\t ", "one", "one", "Don't  STOP'll 12345 *** é É é  x y", "<|endoftext|> a<|startoftext|>b", "中文 文字,没有空格 İstanbul ΣΑΣ ß", "a\x0bb\x0cc\x1cd\x85e", "́ ́a", "x" * 5000, "word " * 4000, "enenat$$$ A.B a,b= x≠ y≠z e,́ don'T,I'LL 1,2.3 <|EndOfText|> a<|startoftext|>,B |> é,è—,— ²½", "\x00 � 🙂🙂"]
 
 
 def ids_of(text):
