@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 from .words import LOWER, chunks, mix, prefix_hashes, text_buffer
 
-BLOCK = 1 << 22
+#: Bytes of text in a block, and pairs that a task sorts together.
+BLOCK, SORTED = 1 << 20, 1 << 21
 #: Bits of a bitmap of hashes, and of one row of it (as Spark's bitmap functions have it).
-BITS, ROW = 26, 1 << 15
+BITS, ROW = 25, 1 << 15
 SCALE = 2_000_000
 #: Scores are counted in steps of so many to choose thresholds; results don't depend on it.
 STEP = 100
@@ -78,10 +79,10 @@ def _block(data: np.ndarray, firsts: np.ndarray) -> tuple[list[str], np.ndarray]
     starts = np.flatnonzero(inside & (~before | begins))
     if not len(starts):
         return [], np.zeros(0, np.int32)
-    packed = np.cumsum(inside)
+    packed = np.cumsum(inside, dtype=np.int32)
     at = np.append(packed[starts] - 1, packed[-1])
-    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data[inside].tobytes())]).dictionary_encode()
-    piece = np.cumsum(cut)[starts]
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[inside].tobytes())]).dictionary_encode()
+    piece = np.cumsum(cut, dtype=np.int32)[starts]
     return words.dictionary.to_pylist(), np.insert(words.indices.to_numpy(), np.flatnonzero(np.diff(piece)) + 1, -1).astype(np.int32)
 
 
@@ -185,10 +186,19 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
         return at, ids, _joined(h[ids[at]], h[ids[at + 1]])
 
     def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block in _opened(b):
-                h, times = np.unique(pairs(*block, shared.value)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "f"])
+        held, n = [], 0
+        for block in (x for b in batches for x in _opened(b)):
+            held.append(pairs(*block, shared.value)[2])
+            n += len(held[-1])
+            if n >= SORTED:
+                yield summed(held)
+                held, n = [], 0
+        if held:
+            yield summed(held)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "f"])
 
     maybe = bitmap(texts.mapInArrow(by_hash, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     often = texts.sparkSession.sparkContext.broadcast(maybe)
