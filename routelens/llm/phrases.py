@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 from .words import LOWER, chunks, mix, prefix_hashes, text_buffer
 
-#: Bytes of text in a block, and pairs that a task sorts together.
-BLOCK, SORTED = 1 << 20, 1 << 21
+#: Bytes of text in a block, pairs that a task sorts together, and rows that it sends at a time.
+BLOCK, SORTED, SENT = 1 << 20, 1 << 21, 1 << 16
 #: Bits of a bitmap of hashes, and of one row of it (as Spark's bitmap functions have it).
 BITS, ROW = 25, 1 << 15
 SCALE = 2_000_000
@@ -48,7 +48,7 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     """lang, vocabulary, ids (packed 32-bit numbers of words in the vocabulary, -1 between pieces) and the number of words, for a few MB of texts each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
             langs = b.column(0).dictionary_encode()
             of = langs.indices.to_numpy()
             for k, name in enumerate(langs.dictionary.to_pylist()):
@@ -191,16 +191,18 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
             held.append(pairs(*block, shared.value)[2])
             n += len(held[-1])
             if n >= SORTED:
-                yield summed(held)
+                yield from summed(held)
                 held, n = [], 0
         if held:
-            yield summed(held)
+            yield from summed(held)
 
-    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+    def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, times = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "f"])
+        for k in range(0, len(h), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + SENT].view(np.int64)), pa.array(times[k : k + SENT])], names=["h", "f"])
 
-    maybe = bitmap(texts.mapInArrow(by_hash, "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    # tasks have summed what they could; repartition() keeps Spark from trying again before the shuffle, which would take a large table in each task
+    maybe = bitmap(texts.mapInArrow(by_hash, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     often = texts.sparkSession.sparkContext.broadcast(maybe)
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
