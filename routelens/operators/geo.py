@@ -1,9 +1,8 @@
-"""Point- and disk-in-polygon join and route-integrity labels.
+"""Point- and area-in-polygon join and route-integrity labels.
 
-Polygons come as edges (psap_id, x1, y1, x2, y2); holes and parts are ordinary edges. Candidates are found by a grid-cell equi
-join; the exact predicate is an aggregate over the candidate's edges: crossing parity for inside, least distance for the border.
-A disk of radius r is covered by a polygon if its center is inside and the border is at least r away, and meets it if the center is
-inside or the border nearer than r.
+Polygons come as edges (psap_id, x1, y1, x2, y2); holes and parts are ordinary edges. They are put into a grid once (edge_index), and a call
+meets the edges of its own cells only. The area of a call is the 24-gon around its position. A polygon covers it if the position is inside and no
+edge runs through the area, and meets it if the position is inside or an edge does.
 """
 
 from __future__ import annotations
@@ -11,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Metres per degree, the largest edge table to broadcast, and the distance up to which a point is on a border.
-M_PER_LAT, M_PER_LON, MOST_BROADCAST_EDGES, ON_BORDER = 110_574.0, 111_320.0, 500_000, 1e-6
-#: Levels of the grid; the widest cells span the whole earth. Radius of the sphere in metres.
-LEVELS, EARTH_RADIUS = 10, 6_371_008.8
+from .edge_index import M_PER_LAT, M_PER_LON, EdgeIndex, build, containing, near_edges, nearest_edges
+
+#: The distance up to which a point is on a border. Radius of the sphere in metres. Vertices of a call's area.
+ON_BORDER, EARTH_RADIUS, VERTICES = 1e-6, 6_371_008.8, 24
+#: Of the radius: an edge nearer than the first runs through the area, one farther than the second doesn't; between them its sides decide. The
+#: plane of distances departs from the sphere of rings as areas grow, and so do the bounds; areas of more than so many metres are disks.
+SURELY_IN, SURELY_OUT, LARGEST_RING = 0.97, 1.02, 500_000.0
 
 
 def segment_distance(lon: Column, lat: Column) -> Column:
@@ -28,45 +30,46 @@ def segment_distance(lon: Column, lat: Column) -> Column:
     return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
 
 
-def crossing(lon: Column, lat: Column) -> Column:
-    """1 if a ray to the east from the point crosses the edge."""
-    spans = (F.col("y1") > lat) != (F.col("y2") > lat)
-    at = F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(spans, F.col("y2") - F.col("y1"))
-    return F.when(spans & (lon < at), 1).otherwise(0)
-
-
-def _span(lo: Column, hi: Column, size: Column) -> Column:
-    return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
-
-
-def measure(calls: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
-    """call_id, psap_id, uncert, routed, inside and d for each call and each polygon that its disk may meet, and its routed polygon.
-
-    The grid has LEVELS levels, each with cells twice as wide as the one before. A call lies on the level whose cells are as wide as
-    its disk, so in four cells at most however large it is; polygons lie on all levels. A pair meets in the first cell they share,
-    so it comes once. Edges may have a `part`: a point is inside if it is inside any part.
-    """
-    boxes = edges.groupBy("psap_id").agg(*(f(F.least(f"{a}1", f"{a}2") if f is F.min else F.greatest(f"{a}1", f"{a}2")).alias(f"{n}{a}") for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
-    grid = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("cx", _span(F.col("lox"), F.col("hix"), size)).withColumn("cy", _span(F.col("loy"), F.col("hiy"), size))
-    grid = grid.select("psap_id", "level", "cx", "cy", F.floor(F.col("lox") / size).alias("px"), F.floor(F.col("loy") / size).alias("py"))
-    dy, dx = F.col("uncert") / M_PER_LAT, F.least(F.lit(360.0), F.col("uncert") / (F.lit(M_PER_LON) * F.greatest(F.lit(0.01), F.cos(F.radians("lat")))))
-    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log2(2 * F.greatest(dx, dy) / cell)))).cast("int")
-    near = calls.withColumn("level", level).withColumn("cx", _span(F.col("lon") - dx, F.col("lon") + dx, size)).withColumn("cy", _span(F.col("lat") - dy, F.col("lat") + dy, size))
-    near = near.withColumns({"qx": F.floor((F.col("lon") - dx) / size), "qy": F.floor((F.col("lat") - dy) / size)}).join(grid, ["level", "cx", "cy"])
-    first = (F.col("cx") == F.greatest("px", "qx")) & (F.col("cy") == F.greatest("py", "qy"))
-    base = ["call_id", "lon", "lat", "uncert", "routed"]
-    pairs = near.where(first & ~F.col("psap_id").eqNullSafe(F.col("routed"))).select(*base, "psap_id").unionByName(calls.select(*base, F.col("routed").alias("psap_id")))
-    small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
-    rows = pairs.join(F.broadcast(edges) if small else edges, "psap_id")
-    of_pair = [F.any_value("uncert").alias("uncert"), F.any_value("routed").alias("routed")]
-    found = rows.groupBy("call_id", "psap_id", *(["part"] if "part" in edges.columns else [])).agg(
-        *of_pair, (F.sum(crossing(F.col("lon"), F.col("lat"))) % 2 == 1).alias("inside"), F.min(segment_distance(F.col("lon"), F.col("lat"))).alias("d")
-    )
-    return found.groupBy("call_id", "psap_id").agg(*of_pair, F.max("inside").alias("inside"), F.min("d").alias("d")) if "part" in edges.columns else found
-
-
-def ring(lon: Column, lat: Column, radius: Column, vertices: int = 24) -> Column:
+def measure(calls: DataFrame, index: EdgeIndex) -> DataFrame:
+    """call_id, psap_id, inside, touched (an edge runs through the call's area) and own (its routed polygon) for each call (call_id, lon, lat, uncert, routed) and each polygon that its area meets, and its routed polygon."""
+    lon, lat = F.col("lon"), F.col("lat")
+    spread = F.when(F.col("uncert") <= LARGEST_RING, F.col("uncert") / EARTH_RADIUS * (1 + F.tan(F.radians(F.least(F.abs(lat), F.lit(85.0)))))).otherwise(0.0)
+    near = near_edges(calls.withColumn("reach", F.col("uncert") * (SURELY_OUT + spread)), index).withColumn("d", segment_distance(lon, lat)).where("d <= reach")
+    sides = F.when(F.col("uncert") > LARGEST_RING, F.col("d") < F.col("uncert")).when(F.col("d") < F.col("uncert") * (SURELY_IN - spread), True)
+    # the ring is made for edges in the band between the bounds alone, and once for each of them
+    near = near.withColumn("sure", sides).withColumn("ring", F.when(F.col("sure").isNull(), ring(lon, lat, F.col("uncert"))))
+    no = F.lit(False)
+    near = near.select("call_id", "psap_id", (F.col("d") <= ON_BORDER).alias("inside"), F.coalesce("sure", runs_through(F.col("ring"))).alias("touched"), no.alias("own"))
+    held = containing(calls, index, ["call_id"]).select("call_id", "psap_id", F.lit(True).alias("inside"), no.alias("touched"), no.alias("own"))
+    own = calls.select("call_id", F.col("routed").alias("psap_id")).join(index.ids, "psap_id").select("call_id", "psap_id", no.alias("inside"), no.alias("touched"), F.lit(True).alias("own"))
+    found = near.unionByName(held).unionByName(own).groupBy("call_id", "psap_id").agg(*(F.max(x).alias(x) for x in ("inside", "touched", "own")))
+    return found.where("inside OR touched OR own")
+
+
+def distances(pairs: DataFrame, index: EdgeIndex) -> DataFrame:
+    """pairs (lon, lat, psap_id and what else makes a row unique) with d, the metres to the polygon's border."""
+    return nearest_edges(pairs, index).groupBy(*pairs.columns).agg(F.min(segment_distance(F.col("lon"), F.col("lat"))).alias("d"))
+
+
+def runs_through(polygon: Column) -> Column:
+    """Whether the edge x1..y2 runs through a convex polygon (an array of (x, y), clockwise): what its sides leave of the edge has a length."""
+    n = F.size(polygon)
+
+    def clip(left: Column, k: Column) -> Column:
+        v, w = F.get(polygon, k), F.get(polygon, (k + 1) % n)
+        ex, ey = w["x"] - v["x"], w["y"] - v["y"]
+        a = ex * (F.col("y1") - v["y"]) - ey * (F.col("x1") - v["x"])
+        b = ex * (F.col("y2") - F.col("y1")) - ey * (F.col("x2") - F.col("x1"))
+        cut = F.try_divide(-a, b)
+        lo = F.when(b < 0, F.greatest(left["lo"], cut)).otherwise(left["lo"])
+        hi = F.when(b > 0, F.least(left["hi"], cut)).when((b == 0) & (a >= 0), F.lit(-1.0)).otherwise(left["hi"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    whole = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), n - 1), whole, clip, lambda left: left["lo"] < left["hi"])
+
+
+def ring(lon: Column, lat: Column, radius: Column, vertices: int = VERTICES) -> Column:
     """Vertices of a regular ring around a point on the sphere, as an array of (x, y), the first from the north, clockwise."""
     arc, phi = radius / EARTH_RADIUS, F.radians(lat)
 
@@ -79,18 +82,10 @@ def ring(lon: Column, lat: Column, radius: Column, vertices: int = 24) -> Column
     return F.transform(F.sequence(F.lit(0), F.lit(vertices - 1)), vertex)
 
 
-def ring_in_polygons(calls: DataFrame, edges: DataFrame, vertices: int = 24, cell: float = 1.0) -> DataFrame:
-    """call_id, psap_id and how many of the ring's vertices lie inside, for each polygon that the call's disk may meet.
-
-    A polygon with all vertices inside covers the ring, unless its border bends into it between two of them.
-    """
-    wider = calls.withColumn("uncert", F.col("uncert") * 1.02)  # the ring lies on the sphere, the disk on a plane
-    near = measure(wider, edges, cell).select("call_id", "psap_id")
+def ring_in_polygons(calls: DataFrame, index: EdgeIndex, vertices: int = VERTICES) -> DataFrame:
+    """call_id, psap_id and how many of the ring's vertices lie inside, for each polygon that holds any."""
     points = calls.select("call_id", F.posexplode(ring(F.col("lon"), F.col("lat"), F.col("uncert"), vertices)).alias("vertex", "p")).select("call_id", "vertex", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
-    small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
-    rows = near.join(points, "call_id").join(F.broadcast(edges) if small else edges, "psap_id")
-    odd = rows.groupBy("call_id", "psap_id", "vertex").agg((F.sum(crossing(F.col("lon"), F.col("lat"))) % 2).alias("inside"))
-    return odd.groupBy("call_id", "psap_id").agg(F.sum("inside").alias("inside"))
+    return containing(points, index, ["call_id", "vertex"]).groupBy("call_id", "psap_id").agg(F.count("*").alias("inside"))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -100,7 +95,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.sqrt(h))
 
 
-def nearest_points(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def nearest_points(pairs: DataFrame, index: EdgeIndex) -> DataFrame:
     """pairs (with call_id, lon, lat, psap_id) with the point of the polygon's border that lies nearest, and its distance (C19). Of equally near points the westernmost, then southernmost."""
     lon, lat = F.col("lon"), F.col("lat")
     kx = F.lit(M_PER_LON) * F.cos(F.radians(lat))
@@ -108,8 +103,7 @@ def nearest_points(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     along = F.try_divide((lon - F.col("x1")) * kx * dx + (lat - F.col("y1")) * M_PER_LAT * dy, dx * dx + dy * dy)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
     place = F.struct(F.round(segment_distance(lon, lat), 3).alias("d"), F.round(F.col("x1") + t * (F.col("x2") - F.col("x1")), 9).alias("x"), F.round(F.col("y1") + t * (F.col("y2") - F.col("y1")), 9).alias("y"))
-    small = edges.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
-    rows = pairs.join(F.broadcast(edges) if small else edges, "psap_id").groupBy(*pairs.columns).agg(F.min(place).alias("p"))
+    rows = nearest_edges(pairs, index).groupBy(*pairs.columns).agg(F.min(place).alias("p"))
     return rows.select(*pairs.columns, F.col("p.x").alias("near_x"), F.col("p.y").alias("near_y"), F.col("p.d").alias("distance"))
 
 
@@ -119,18 +113,18 @@ def validity(lat: Column, lon: Column, uncert: Column) -> Column:
     return F.when(lat.isNull() | lon.isNull(), "MISSING_LOCATION").when(~in_range, "INVALID_LOCATION").when(uncert.isNull() | (uncert <= 0), "INVALID_UNCERTAINTY")
 
 
-def label_routes(calls: DataFrame, edges: DataFrame, policy: str = "strict", cell: float = 1.0) -> DataFrame:
+def label_routes(calls: DataFrame, edges: DataFrame | EdgeIndex, policy: str = "strict") -> DataFrame:
     """calls (call_id, lon, lat, uncert, routed, ...) with status, expected, label, d_routed and d_expected. policy: strict or v1."""
+    index = edges if isinstance(edges, EdgeIndex) else build(edges)
     calls = calls.withColumn("__bad", validity(F.col("lat"), F.col("lon"), F.col("uncert")))
-    found = measure(calls.where("__bad IS NULL").select("call_id", "lon", "lat", "uncert", "routed"), edges, cell)
-    inside = F.col("inside") | (F.col("d") <= ON_BORDER)
-    covers, meets, own = inside & (F.col("d") >= F.col("uncert")), inside | (F.col("d") < F.col("uncert")), F.col("psap_id") == F.col("routed")
+    usable = calls.where("__bad IS NULL").select("call_id", "lon", "lat", "uncert", "routed")
+    found = measure(usable, index)
+    covers, meets, own = F.col("inside") & ~F.col("touched"), F.col("inside") | F.col("touched"), F.col("own")
     count, pick = (lambda c: F.count(F.when(c, 1))), (lambda c, v: F.max(F.when(c, F.col(v))))
     per_call = found.groupBy("call_id").agg(
-        count(own).alias("has"), count(own & covers).alias("own_cov"), count(own & meets).alias("own_met"), count(meets).alias("met"), count(covers).alias("cov"), count(inside).alias("ins"),
-        count(~own & covers).alias("alt_cov"), count(~own & meets).alias("alt_met"), count(~own & inside).alias("alt_in"), count(own & inside).alias("own_in"),
-        pick(~own & covers, "psap_id").alias("cov_id"), pick(~own & inside, "psap_id").alias("in_id"), pick(own, "d").alias("d_routed"),
-        pick(~own & covers, "d").alias("cov_d"), pick(~own & inside, "d").alias("in_d"),
+        count(own).alias("has"), count(own & covers).alias("own_cov"), count(own & meets).alias("own_met"), count(meets).alias("met"), count(covers).alias("cov"), count(F.col("inside")).alias("ins"),
+        count(~own & covers).alias("alt_cov"), count(~own & meets).alias("alt_met"), count(~own & F.col("inside")).alias("alt_in"), count(own & F.col("inside")).alias("own_in"),
+        pick(~own & covers, "psap_id").alias("cov_id"), pick(~own & F.col("inside"), "psap_id").alias("in_id"),
     )
     c = F.col
     right = (c("own_cov") == 1) & (c("met") == 1)
@@ -152,9 +146,10 @@ def label_routes(calls: DataFrame, edges: DataFrame, policy: str = "strict", cel
         )
         good = "DEFINITE_CORRECT"
     by_cover = (c("status") == "BOUNDARY_AMBIGUOUS") & (c("alt_cov") == 1) | (c("status") == "DEFINITE_MISROUTE")
-    choose = lambda own, cov, point: F.when(c("status") == good, own).when(by_cover, cov).when(c("status").isin("POINT_MISMATCH_LOW_CONFIDENCE", "LIKELY_MISROUTE_BOUNDARY_AMBIGUOUS"), point)
-    out = calls.join(per_call, "call_id", "left").withColumn("status", status)
-    return out.select(
-        *[x for x in calls.columns if x != "__bad"], "status", choose(c("routed"), c("cov_id"), c("in_id")).alias("expected"),
-        F.when(c("status") == "DEFINITE_MISROUTE", 1).when(c("status") == good, 0).alias("label"), "d_routed", choose(c("d_routed"), c("cov_d"), c("in_d")).alias("d_expected"),
-    )
+    chosen = F.when(c("status") == good, c("routed")).when(by_cover, c("cov_id")).when(c("status").isin("POINT_MISMATCH_LOW_CONFIDENCE", "LIKELY_MISROUTE_BOUNDARY_AMBIGUOUS"), c("in_id"))
+    out = calls.join(per_call, "call_id", "left").withColumn("status", status).withColumn("expected", chosen)
+    kept = [x for x in calls.columns if x != "__bad"]
+    out = out.select(*kept, "status", "expected", F.when(c("status") == "DEFINITE_MISROUTE", 1).when(c("status") == good, 0).alias("label"), "__bad")
+    pairs = out.where("__bad IS NULL").select("call_id", "lon", "lat", F.explode(F.array_distinct(F.array("routed", "expected"))).alias("psap_id")).where("psap_id IS NOT NULL")
+    d = distances(pairs, index).groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct("psap_id", "d"))).alias("d"))  # two at most
+    return out.join(d, "call_id", "left").select(*kept, "status", "expected", "label", F.try_element_at("d", c("routed")).alias("d_routed"), F.try_element_at("d", c("expected")).alias("d_expected"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geo, grain, network, rca
+from ..operators import edge_index, geo, grain, network, rca
 from ..sources.tables import table
 from . import location as L
 from .common import tidy
@@ -114,7 +114,7 @@ def c19_nearest_points(spark, d):
 
     s = L.labelled(spark, d).where("label = 1").withColumn("rank", F.row_number().over(W.partitionBy("routed", "expected").orderBy(F.desc(F.round("d_routed", 2)), "call_id"))).where("rank <= 10")
     side = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("psap_id")) for k in ("routed", "expected"))))
-    return tidy(geo.nearest_points(s.select("call_id", "lon", "lat", side.alias("s")).select("call_id", "lon", "lat", "s.side", "s.psap_id"), L.edges(spark, d)).drop("lon", "lat"))
+    return tidy(geo.nearest_points(s.select("call_id", "lon", "lat", side.alias("s")).select("call_id", "lon", "lat", "s.side", "s.psap_id"), edge_index.build(L.edges(spark, d))).drop("lon", "lat"))
 
 
 def _lines(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import boundaries, geo, grain, rca
+from ..operators import boundaries, edge_index, geo, grain, rca
 from ..sources.tables import split_chunks, table
 from .common import tidy
 
@@ -74,12 +74,20 @@ CALLS = """calls AS (
 EDGES = """sq AS (SELECT n_nationkey::BIGINT AS psap_id, (n_nationkey % 5)::DOUBLE AS x, 30.0::DOUBLE + floor(n_nationkey / 5)::DOUBLE AS y FROM nation),
 edges AS (SELECT psap_id, x AS x1, y AS y1, x + 1 AS x2, y AS y2 FROM sq UNION ALL SELECT psap_id, x + 1, y, x + 1, y + 1 FROM sq
   UNION ALL SELECT psap_id, x + 1, y + 1, x, y + 1 FROM sq UNION ALL SELECT psap_id, x, y + 1, x, y FROM sq)"""
-MEASURE = """e1 AS (SELECT call_id, lon, lat, uncert, routed, psap_id, x1, y1, x2, y2, (x1 - lon) * 111320 * cos(radians(lat)) AS ax, (y1 - lat) * 110574 AS ay,
+RING = """w AS (SELECT call_id, uncert, vertex, radians(lon) AS l, radians(lat) AS p, uncert / 6371008.8 AS r, radians(vertex * 15.0::DOUBLE) AS b FROM (SELECT *, unnest(range(0, 24)) AS vertex FROM calls WHERE lon IS NOT NULL AND uncert > 0)),
+    w2 AS (SELECT *, asin(sin(p) * cos(r) + cos(p) * sin(r) * cos(b)) AS q FROM w), v AS (SELECT call_id, uncert, vertex, degrees(q) AS y, degrees(l + atan2(sin(b) * sin(r) * cos(p), cos(r) - sin(p) * sin(q))) AS x FROM w2)"""
+#: An edge runs through the area of a call if it crosses a side of the 24-gon or begins inside all of them.
+MEASURE = f"""{RING}, side AS (SELECT a.call_id, a.x AS vx, a.y AS vy, b.x - a.x AS ex, b.y - a.y AS ey FROM v a JOIN v b ON a.call_id = b.call_id AND b.vertex = (a.vertex + 1) % 24),
+e1 AS (SELECT call_id, lon, lat, uncert, routed, psap_id, x1, y1, x2, y2, (x1 - lon) * 111320 * cos(radians(lat)) AS ax, (y1 - lat) * 110574 AS ay,
     (x2 - lon) * 111320 * cos(radians(lat)) AS bx, (y2 - lat) * 110574 AS by_ FROM calls, edges WHERE lon IS NOT NULL AND uncert > 0),
 e2 AS (SELECT *, greatest(0.0, least(1.0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM e1),
-m AS (SELECT call_id, psap_id, uncert, routed, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS parity,
-    min(sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay)))) AS d FROM e2 GROUP BY call_id, psap_id, uncert, routed),
-f AS (SELECT *, parity OR d <= 0.000001 AS ins, (parity OR d <= 0.000001) AND d >= uncert AS cov, (parity OR d <= 0.000001) OR d < uncert AS met, psap_id = routed AS own FROM m),
+e3 AS (SELECT *, sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay))) AS d FROM e2),
+near AS (SELECT call_id, psap_id, bool_or(crosses) OR bool_or(starts_in) AS touched FROM (SELECT e.call_id, psap_id, x1, y1, x2, y2,
+    bool_or((ex * (y1 - vy) - ey * (x1 - vx) < 0) <> (ex * (y2 - vy) - ey * (x2 - vx) < 0) AND ((x2 - x1) * (vy - y1) - (y2 - y1) * (vx - x1) < 0) <> ((x2 - x1) * (vy + ey - y1) - (y2 - y1) * (vx + ex - x1) < 0)) AS crosses,
+    bool_and(ex * (y1 - vy) - ey * (x1 - vx) < 0) AS starts_in FROM e3 e JOIN side ON side.call_id = e.call_id WHERE d < 1.1 * uncert GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT e3.call_id, e3.psap_id, uncert, routed, sum(CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) % 2 = 1 AS parity,
+    min(d) AS d, coalesce(bool_or(touched), false) AS touched FROM e3 LEFT JOIN near ON near.call_id = e3.call_id AND near.psap_id = e3.psap_id GROUP BY e3.call_id, e3.psap_id, uncert, routed),
+f AS (SELECT *, parity OR d <= 0.000001 AS ins, (parity OR d <= 0.000001) AND NOT touched AS cov, parity OR d <= 0.000001 OR touched AS met, psap_id = routed AS own FROM m),
 a AS (SELECT call_id, count(*) FILTER (own) AS has, count(*) FILTER (own AND cov) AS own_cov, count(*) FILTER (own AND met) AS own_met, count(*) FILTER (met) AS met, count(*) FILTER (cov) AS cov, count(*) FILTER (ins) AS ins,
     count(*) FILTER (NOT own AND cov) AS alt_cov, count(*) FILTER (NOT own AND met) AS alt_met, count(*) FILTER (NOT own AND ins) AS alt_in, count(*) FILTER (own AND ins) AS own_in,
     max(psap_id) FILTER (NOT own AND cov) AS cov_id, max(psap_id) FILTER (NOT own AND ins) AS in_id, max(d) FILTER (own) AS d_routed, max(d) FILTER (NOT own AND cov) AS cov_d, max(d) FILTER (NOT own AND ins) AS in_d
@@ -120,7 +128,7 @@ def f20_uncertainty_ring(spark, d):
 
 def j10_ring_in_polygons(spark, d):
     c = calls(spark, d).where("lon IS NOT NULL AND uncert > 0")
-    return tidy(geo.ring_in_polygons(c, edges(spark, d)).where("inside > 0"))
+    return tidy(geo.ring_in_polygons(c, edge_index.build(edges(spark, d))))
 
 
 def c2_route_labels_v1(spark, d):
@@ -238,8 +246,7 @@ def _q(select: str, ctes: str = LABELS) -> str:
     return f"WITH {ctes} {select}"
 
 
-_RING_SQL = """, w AS (SELECT call_id, uncert, vertex, radians(lon) AS l, radians(lat) AS p, uncert / 6371008.8 AS r, radians(vertex * 15.0::DOUBLE) AS b FROM (SELECT *, unnest(range(0, 24)) AS vertex FROM calls WHERE lon IS NOT NULL AND uncert > 0)),
-    w2 AS (SELECT *, asin(sin(p) * cos(r) + cos(p) * sin(r) * cos(b)) AS q FROM w), v AS (SELECT call_id, uncert, vertex, degrees(q) AS y, degrees(l + atan2(sin(b) * sin(r) * cos(p), cos(r) - sin(p) * sin(q))) AS x FROM w2)"""
+_RING_SQL = f", {RING}"
 
 QUERIES = {
     "c1_route_labels": (c1_route_labels, _q("SELECT call_id, status, expected, label, round(d_routed, 2) AS d_routed, round(d_expected, 2) AS d_expected FROM l")),

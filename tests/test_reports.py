@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from routelens.operators import assoc, geo, kpi, report, screen
+from routelens.operators import assoc, edge_index, geo, kpi, report, screen
 from routelens.sources import contracts
 
 
@@ -42,7 +42,7 @@ def test_disk_of_any_size_meets_each_polygon_once(spark):
     edges = [(1, *a, *b) for a, b in zip(ring, ring[1:] + ring[:1])] + [(2, a[0] + 5, a[1], b[0] + 5, b[1]) for a, b in zip(ring, ring[1:] + ring[:1])]
     edges = spark.createDataFrame(edges, "psap_id long, x1 double, y1 double, x2 double, y2 double")
     calls = spark.createDataFrame([(1, 0.5, 0.5, 1.0, 9), (2, 3.0, 0.5, 300_000.0, None), (3, 0.5, 0.5, 30_000_000.0, 1)], "call_id long, lon double, lat double, uncert double, routed long")
-    got = sorted((r.call_id, r.psap_id) for r in geo.measure(calls, edges).collect())
+    got = sorted((r.call_id, r.psap_id) for r in geo.measure(calls, edge_index.build(edges)).collect())
     assert got == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
 
 
@@ -50,7 +50,7 @@ def test_parts_of_a_boundary(spark):
     square = lambda psap, part, x: [(psap, part, *a, *b) for a, b in zip(*(lambda r: (r, r[1:] + r[:1]))([(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]))]
     edges = spark.createDataFrame(square(1, 1, 0.0) + square(1, 2, 1.0), "psap_id long, part long, x1 double, y1 double, x2 double, y2 double")
     calls = spark.createDataFrame([(1, 1.5, 1.0, 1.0, 1), (2, 9.0, 1.0, 1.0, 1)], "call_id long, lon double, lat double, uncert double, routed long")
-    assert {r.call_id: r.inside for r in geo.measure(calls, edges).collect()} == {1: True, 2: False}
+    assert {r.call_id: r.inside for r in geo.measure(calls, edge_index.build(edges)).collect()} == {1: True, 2: False}
 
 
 def test_replay_refuses_rows_before_the_cutoff(spark):
