@@ -31,6 +31,7 @@ class EdgeIndex(NamedTuple):
     edges: DataFrame  #: level, cx, cy, psap_id, part, x1, y1, x2, y2
     cells: DataFrame  #: level, cx, cy, psap_id, part, odd: whether the south-east corner is inside
     ids: DataFrame  #: psap_id of each polygon
+    levels: list[int]  #: those that have cells
     start: int  #: level on which no border has more than FEW cells, where the search for near edges begins
 
 
@@ -62,7 +63,9 @@ def build(edges: DataFrame, cell: float | None = None) -> EdgeIndex:
     indexed = _kept(_edge_cells(edges, cell), f"{at}/edges")
     counts = indexed.groupBy("level", "psap_id").agg(F.count_distinct("cx", "cy").alias("n")).groupBy("level").agg(F.max("n").alias("n")).where(F.col("n") <= FEW)
     start = counts.agg(F.min("level")).first()[0]
-    return EdgeIndex(cell, indexed, _kept(_cells(edges, indexed, cell), f"{at}/cells"), _kept(edges.select("psap_id").distinct(), f"{at}/ids"), LEVELS - 1 if start is None else start)
+    cells = _kept(_cells(edges, indexed, cell), f"{at}/cells")
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # LEVELS at most
+    return EdgeIndex(cell, indexed, cells, _kept(edges.select("psap_id").distinct(), f"{at}/ids"), levels, LEVELS - 1 if start is None else start)
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -115,7 +118,7 @@ def _cells(edges: DataFrame, indexed: DataFrame, cell: float) -> DataFrame:
 def containing(points: DataFrame, index: EdgeIndex, key: list[str]) -> DataFrame:
     """key and psap_id of every polygon that holds a point (columns of key, lon, lat). A polygon with parts holds what any of them does."""
     cell, level = index.cell, F.col("level")
-    at = _levels(points.select(*key, "lon", "lat")).withColumns({"cx": _cell_of(cell, level, F.col("lon")), "cy": _cell_of(cell, level, F.col("lat"))})
+    at = points.select(*key, "lon", "lat", F.explode(F.array(*map(F.lit, index.levels)).cast("array<int>")).alias("level")).withColumns({"cx": _cell_of(cell, level, F.col("lon")), "cy": _cell_of(cell, level, F.col("lat"))})
     place = ["level", "cx", "cy"]
     hits = at.join(index.cells, place).join(index.edges, [*place, "psap_id", "part"], "left")  # cells without edges meet none
     east, south = _line(cell, level, F.col("cx") + 1), _line(cell, level, F.col("cy"))

@@ -34,8 +34,11 @@ def measure(calls: DataFrame, index: EdgeIndex) -> DataFrame:
     """call_id, psap_id, inside, touched (an edge runs through the call's area) and own (its routed polygon) for each call (call_id, lon, lat, uncert, routed) and each polygon that its area meets, and its routed polygon."""
     lon, lat = F.col("lon"), F.col("lat")
     spread = F.when(F.col("uncert") <= LARGEST_RING, F.col("uncert") / EARTH_RADIUS * (1 + F.tan(F.radians(F.least(F.abs(lat), F.lit(85.0)))))).otherwise(0.0)
-    near = near_edges(calls.withColumn("reach", F.col("uncert") * (SURELY_OUT + spread)), index).withColumn("d", segment_distance(lon, lat)).where("d <= reach")
-    sides = F.when(F.col("uncert") > LARGEST_RING, F.col("d") < F.col("uncert")).when(F.col("d") < F.col("uncert") * (SURELY_IN - spread), True)
+    near = near_edges(calls.withColumn("reach", F.col("uncert") * (SURELY_OUT + spread)), index)
+    dy, dx = F.col("reach") / M_PER_LAT, F.col("reach") / (F.lit(M_PER_LON) * F.cos(F.radians(lat)))
+    boxed = [(F.least(f"{a}1", f"{a}2") <= at + by) & (F.greatest(f"{a}1", f"{a}2") >= at - by) for a, at, by in (("x", lon, dx), ("y", lat, dy))]
+    near = near.where(boxed[0] & boxed[1]).withColumn("d", segment_distance(lon, lat))
+    sides = F.when(F.col("uncert") > LARGEST_RING, F.col("d") < F.col("uncert")).when(F.col("d") < F.col("uncert") * (SURELY_IN - spread), True).when(F.col("d") > F.col("reach"), False)
     # the ring is made for edges in the band between the bounds alone, and once for each of them
     near = near.withColumn("sure", sides).withColumn("ring", F.when(F.col("sure").isNull(), ring(lon, lat, F.col("uncert"))))
     no = F.lit(False)
@@ -60,7 +63,7 @@ def runs_through(polygon: Column) -> Column:
         ex, ey = w["x"] - v["x"], w["y"] - v["y"]
         a = ex * (F.col("y1") - v["y"]) - ey * (F.col("x1") - v["x"])
         b = ex * (F.col("y2") - F.col("y1")) - ey * (F.col("x2") - F.col("x1"))
-        cut = F.try_divide(-a, b)
+        cut = -a / F.when(b != 0, b)
         lo = F.when(b < 0, F.greatest(left["lo"], cut)).otherwise(left["lo"])
         hi = F.when(b > 0, F.least(left["hi"], cut)).when((b == 0) & (a >= 0), F.lit(-1.0)).otherwise(left["hi"])
         return F.struct(lo.alias("lo"), hi.alias("hi"))

@@ -24,13 +24,18 @@ def s3_selected_columns(spark, d):
 
 
 def s4_junk_before_header(spark, d):
+    """Suppliers in files of two shapes: other junk, another order of columns, a repeated name, rows without values, line breaks and quotes within fields."""
     at = files.scratch(spark, "junk")
-    n = table(spark, d, "nation").orderBy("n_nationkey")
-    lines = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
-    body = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", lines.alias("l")))), lambda x: x["l"]), "\n").alias("b"))  # 25 nations
-    body.select(F.concat(F.lit("SQL> select\nConnected.\n\nNation Key,N Name,N_REGIONKEY\n"), "b", F.lit("\n,,\n")).alias("value")).coalesce(1).write.text(at)
-    got = tables.read_delimited(spark, at, ["NATIONKEY", "NNAME", "N_REGIONKEY"])
-    return tidy(got.select(F.col("NATION KEY").cast("bigint").alias("k"), F.col("N NAME").alias("name"), F.col("N_REGIONKEY").cast("bigint").alias("region")))
+    n = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.pmod(F.xxhash64("s_suppkey"), F.lit(4)).alias("file"))
+    said = F.concat(F.lit('"'), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('a ""quoted""\n'), "s_name")).otherwise(F.concat("s_name", F.lit(", x"))), F.lit('"'))
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    even = F.col("file") % 2 == 0
+    line = F.when(even, F.concat_ws(",", key, said, nation, F.lit("again"))).otherwise(F.concat_ws(",", nation, F.lit("-"), key, said))
+    head = F.when(even, "SQL> select\nConnected.\n\nSupp Key,S_NAME,nation-key,SUPPKEY").otherwise("# run 1, 2\nNATION_KEY,NOTE,\"SuppKey\",s name")
+    lines = n.select("file", line.alias("value"), F.lit(1).alias("no")).unionByName(n.select("file", head.alias("value"), F.lit(0).alias("no")).distinct()).unionByName(n.select("file", F.lit(",,").alias("value"), F.lit(2).alias("no")).distinct())
+    lines.repartition("file").sortWithinPartitions("file", "no").drop("no").write.partitionBy("file").text(at)
+    got = tables.read_delimited(spark, at, ["SUPP KEY", "S NAME", "NATION KEY"])
+    return tidy(got.select(F.col("SUPP KEY").cast("bigint").alias("k"), F.col("S NAME").alias("name"), F.col("NATION KEY").cast("bigint").alias("nation")))
 
 
 def s5_csv_rows(spark, d):
@@ -41,7 +46,7 @@ def s5_csv_rows(spark, d):
 
 
 def s6_schema_report(spark, d):
-    return tables.schema_report(table(spark, d, "nation"), "nation", ["n_name", "n_absent"])
+    return tidy(K.column_profile(table(spark, d, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment")), ["c_custkey", "c_absent"]))
 
 
 def s7_file_report(spark, d):
@@ -90,8 +95,10 @@ def s12_collected_source(spark, d):
 
 
 def s14_next_columns(spark, d):
-    catalog = K.inventory({n: table(spark, d, n) for n in ("orders", "lineitem", "customer")})
-    return tidy(K.next_columns(catalog, ["o_orderkey", "L_PARTKEY"], "KEY|DATE").drop("type"))
+    sources = {n: table(spark, d, n) for n in ("orders", "lineitem", "customer")}
+    found = K.next_columns(K.inventory(sources), ["o_orderkey", "L_PARTKEY"], "KEY|DATE").drop("type")
+    filled = [K.column_profile(df, []).select(F.lit(n).alias("table"), "column", "filled", "distinct_values") for n, df in sources.items()]
+    return tidy(found.join(filled[0].unionByName(filled[1]).unionByName(filled[2]), ["table", "column"]))
 
 
 def s15_data_dictionary(spark, d):
@@ -172,9 +179,8 @@ _ROLES = ["LABEL_OR_GEOMETRY_LEAKAGE", "LABEL_OR_GEOMETRY_LEAKAGE", "TECHNICAL_J
 
 
 def p12_feature_roles(spark, d):
-    roles = F.create_map(*(F.lit(x) for n in _NAMES for x in (n, K.role_of(n))))
-    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("o_orderkey") % len(_NAMES) + 1).cast("int"))
-    return tidy(table(spark, d, "orders").groupBy(name.alias("feature")).agg(F.count("*").alias("n")).withColumn("role", roles[F.col("feature")]))
+    named = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("o_orderkey") % len(_NAMES) + 1).cast("int")).alias("feature"), "o_totalprice")
+    return tidy(named.groupBy("feature").agg(F.count("*").alias("n"), F.max("o_totalprice").cast("double").alias("most")).withColumn("role", K.role(F.col("feature"))))
 
 
 def p14_feature_types(spark, d):
@@ -242,16 +248,19 @@ _P = lambda values, key="o_orderkey": f"list_extract([{', '.join('NULL' if v is
 QUERIES = {
     "s1_time_window": (s1_time_window, "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1995-07-01'"),
     "s3_selected_columns": (s3_selected_columns, "SELECT c_custkey, c_mktsegment, c_nationkey::BIGINT AS c_nationkey FROM customer"),
-    "s4_junk_before_header": (s4_junk_before_header, "SELECT n_nationkey::BIGINT AS k, n_name AS name, n_regionkey::BIGINT AS region FROM nation"),
+    "s4_junk_before_header": (s4_junk_before_header, """SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'a "quoted"' || chr(10) || s_name ELSE s_name || ', x' END AS name, s_nationkey::BIGINT AS nation FROM supplier"""),
     "s5_csv_rows": (s5_csv_rows, "SELECT s_name, s_suppkey::VARCHAR AS s_suppkey FROM supplier"),
-    "s6_schema_report": (s6_schema_report, "SELECT 'nation' AS source, * FROM (VALUES ('n_nationkey', true, false), ('n_name', true, true), ('n_regionkey', true, false), ('n_absent', false, true)) t(\"column\", present, required)"),
+    "s6_schema_report": (s6_schema_report, """SELECT 'c_custkey' AS "column", true AS present, true AS required, count(c_custkey) AS filled, count(DISTINCT c_custkey) AS distinct_values FROM customer UNION ALL SELECT 'c_nationkey', true, false, count(c_nationkey), count(DISTINCT c_nationkey) FROM customer
+        UNION ALL SELECT 'c_mktsegment', true, false, count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'c_absent', false, true, 0, 0"""),
     "s7_file_report": (s7_file_report, "SELECT * FROM (VALUES ('nation', true, true), ('region', true, true), ('absent', false, NULL)) t(name, found, filled)"),
     "s8_chunks": (s8_chunks, "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n, md5(coalesce(text, '')) AS md5 FROM documents"),
     "s9_export": (s9_export, "SELECT 'full' AS part, count(*) AS written, count(*) AS read_back, 'c_custkey,c_mktsegment' AS header FROM customer UNION ALL SELECT 'none', 0, 0, 'c_custkey,c_mktsegment'"),
     "s10_manifest": (s10_manifest, "SELECT 'nation' AS name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE nation)) AS n_columns FROM nation UNION ALL SELECT 'customer', count(*), (SELECT count(*) FROM (DESCRIBE customer)) FROM customer UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders"),
     "s11_bundle": (s11_bundle, "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "s12_collected_source": (s12_collected_source, f"WITH {M.H} SELECT psap_id, hour_start_utc, call_volume, round(asr_sr, 6) AS asr_sr, NULL::DOUBLE AS bid_sr FROM h WHERE hour_start_utc >= TIMESTAMP '2024-01-05' AND hour_start_utc < TIMESTAMP '2024-01-20'"),
-    "s14_next_columns": (s14_next_columns, "SELECT DISTINCT table_name AS \"table\", column_name AS \"column\", ordinal_position::BIGINT AS position FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'customer') AND regexp_matches(upper(column_name), 'KEY|DATE') AND upper(column_name) NOT IN ('O_ORDERKEY', 'L_PARTKEY')"),
+    "s14_next_columns": (s14_next_columns, """WITH v AS (SELECT 'orders' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM orders) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c UNION ALL SELECT 'lineitem' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM lineitem) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c UNION ALL SELECT 'customer' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c)
+        SELECT DISTINCT table_name AS "table", column_name AS "column", ordinal_position::BIGINT AS position, filled, distinct_values FROM information_schema.columns JOIN v ON t = table_name AND c = column_name
+        WHERE regexp_matches(upper(column_name), 'KEY|DATE') AND upper(column_name) NOT IN ('O_ORDERKEY', 'L_PARTKEY')"""),
     "s15_data_dictionary": (s15_data_dictionary, "SELECT 'o_orderkey' AS \"column\", 'call' AS meaning, 'orders' AS source, 'unique' AS caution, count(o_orderkey) AS filled FROM orders UNION ALL SELECT 'o_totalprice', 'price', 'orders', 'skewed', count(o_totalprice) FROM orders"),
     "p1_coalesce_existing": (p1_coalesce_existing, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 5 <> 0 THEN 'b' END AS value FROM orders"),
     "p2_first_time": (p2_first_time, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN o_orderdate::TIMESTAMP END AS call_time FROM orders"),
@@ -265,7 +274,7 @@ QUERIES = {
     "p9_clean_calls": (p9_clean_calls, "SELECT o_orderkey AS call_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 <> 0 AND NOT (o_orderkey % 3 <> 0 AND o_orderkey % 40 = 1)"),
     "p10_last_days": (p10_last_days, "SELECT event_id, ts::TIMESTAMP AS ts FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) + INTERVAL 1 DAY - INTERVAL 7 DAY FROM events)"),
     "p11_case_target": (p11_case_target, f"WITH {L.LABELS} SELECT call_id, CASE WHEN d_routed > 20000 AND expected <> routed THEN 1 ELSE 0 END::BIGINT AS target FROM l WHERE d_routed >= 0 AND (d_routed <= 20000 OR expected IS NOT NULL)"),
-    "p12_feature_roles": (p12_feature_roles, f"SELECT {_P(_NAMES)} AS feature, count(*) AS n, min({_P(_ROLES)}) AS role FROM orders GROUP BY 1"),
+    "p12_feature_roles": (p12_feature_roles, f"SELECT {_P(_NAMES)} AS feature, count(*) AS n, max(o_totalprice)::DOUBLE AS most, min({_P(_ROLES)}) AS role FROM orders GROUP BY 1"),
     "p14_feature_types": (p14_feature_types, """SELECT 'UNCERT_X' AS feature, 'PREDICTOR_CANDIDATE' AS role, round(avg(CASE WHEN o_orderkey % 3 <> 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS numeric_share, count(DISTINCT o_custkey) FILTER (o_orderkey % 3 <> 0) AS "values", CASE WHEN avg(CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) >= 0.5 THEN 'numeric' ELSE 'categorical' END AS type FROM orders
         UNION ALL SELECT 'RANGE_Y', 'PREDICTOR_CANDIDATE', round(avg(CASE WHEN o_orderkey % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END), 6), 2, CASE WHEN avg(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) >= 0.5 THEN 'numeric' ELSE 'categorical' END FROM orders
         UNION ALL SELECT 'STATUS', 'PREDICTOR_CANDIDATE', 0, count(DISTINCT o_orderstatus), 'categorical' FROM orders UNION ALL SELECT 'CONSTANT', 'PREDICTOR_CANDIDATE', 0, 1, NULL"""),

@@ -66,27 +66,46 @@ def last_days(df: DataFrame, ts: str, days: int) -> DataFrame:
     return df.crossJoin(F.broadcast(end)).where((F.col(ts) >= F.col("__end") - F.make_dt_interval(F.lit(days))) & (F.col(ts) < F.col("__end"))).drop("__end")  # one row
 
 
-def role_of(name: str) -> str:
-    """What a feature may be used for, by its name."""
-    base = name.removeprefix("GMLC_").removeprefix("LSR_")
-    if base in LEAKAGE or name in LEAKAGE or any(p in base for p in LEAKAGE_PARTS):
-        return "LABEL_OR_GEOMETRY_LEAKAGE"
-    if base in JOIN_KEYS or "FEATURE_ROW_ID" in base:
-        return "TECHNICAL_JOIN_KEY"
-    groups = ((DUPLICATES, "DERIVED_DUPLICATE"), (TIME_KEYS, "RAW_TIME_KEY"), (CONSEQUENCES, "POST_ROUTING_CONSEQUENCE"))
-    return next((role for names, role in groups if base in names), "PREDICTOR_CANDIDATE")
+#: Roles by what a name is or holds, the first rule that fits; a prefix of the source doesn't count. The rest may predict.
+SOURCE_PREFIX = "^(GMLC_)?(LSR_)?"
+ROLES = (
+    ("LABEL_OR_GEOMETRY_LEAKAGE", "is", LEAKAGE),
+    ("LABEL_OR_GEOMETRY_LEAKAGE", "holds", LEAKAGE_PARTS),
+    ("TECHNICAL_JOIN_KEY", "is", JOIN_KEYS),
+    ("TECHNICAL_JOIN_KEY", "holds", ("FEATURE_ROW_ID",)),
+    ("DERIVED_DUPLICATE", "is", DUPLICATES),
+    ("RAW_TIME_KEY", "is", TIME_KEYS),
+    ("POST_ROUTING_CONSEQUENCE", "is", CONSEQUENCES),
+)
+CANDIDATE = "PREDICTOR_CANDIDATE"
+
+
+def role(name: Column) -> Column:
+    """What a feature may be used for, by its name (P12). A null name has no role."""
+    base = F.regexp_replace(name, SOURCE_PREFIX, "")
+    fits = {"is": lambda values: base.isin(*sorted(values)), "holds": lambda parts: base.rlike("|".join(parts))}
+    return F.when(name.isNotNull(), F.coalesce(*(F.when(fits[how](values), F.lit(what)) for what, how, values in ROLES), F.lit(CANDIDATE)))
 
 
 def feature_types(df: DataFrame) -> DataFrame:
     """feature, role, share of numbers, distinct values and type (numeric, categorical, or null) of each usable column, in one pass."""
-    usable = [c for c in df.columns if role_of(c) in ("PREDICTOR_CANDIDATE", "POST_ROUTING_CONSEQUENCE")]
-    profile = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(role_of(c)).alias("role"), F.lit(any(p in c for p in NUMERIC_PARTS)).alias("named"), F.col(f"`{c}`").cast("string").alias("v")) for c in usable)))
-    counts = df.select(profile.alias("x")).select("x.*").groupBy("feature", "role", "named", "v").agg(F.count("*").alias("n"))  # values first: combined before the shuffle
-    g = counts.groupBy("feature", "role", "named").agg((F.sum(F.when(number_in(F.col("v")).isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("numeric_share"), F.count("v").alias("values"))
-    kind = F.when(F.col("named") & (F.col("numeric_share") >= 0.5), "numeric").when(F.col("values") >= 2, "categorical")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns)))
+    counts = df.select(cells.alias("x")).select("x.*").groupBy("feature", "v").agg(F.count("*").alias("n"))  # values first: combined before the shuffle
+    g = counts.groupBy("feature").agg((F.sum(F.when(number_in(F.col("v")).isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("numeric_share"), F.count("v").alias("values"))
+    g = g.withColumn("role", role(F.col("feature"))).where(F.col("role").isin(CANDIDATE, "POST_ROUTING_CONSEQUENCE"))
+    kind = F.when(F.col("feature").rlike("|".join(NUMERIC_PARTS)) & (F.col("numeric_share") >= 0.5), "numeric").when(F.col("values") >= 2, "categorical")
     return g.select("feature", "role", "numeric_share", "values", kind.alias("type"))
 
 
+def column_profile(df: DataFrame, required: list[str]) -> DataFrame:
+    """column, present, required, filled and distinct_values of the columns that df has or should have, from its rows."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns)))
+    values = df.select(cells.alias("x")).select("x.*").groupBy("column", "v").agg(F.count("*").alias("n"))
+    found = values.groupBy("column").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("filled"), F.count("v").alias("distinct_values"))
+    names = df.sparkSession.createDataFrame([(c, c in df.columns, c in required) for c in dict.fromkeys([*df.columns, *required])], "column string, present boolean, required boolean")
+    return F.broadcast(names).join(found, "column", "left").select("column", "present", "required", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
+
+
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """table, column, position and type of every column, from the schemas."""
     spark = next(iter(tables.values())).sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,25 +34,65 @@ def coalesce_existing(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*found) if found else F.lit(None)
 
 
-def schema_report(df: DataFrame, source: str, required: list[str]) -> DataFrame:
-    """source, column, present and required."""
-    names = list(dict.fromkeys([*df.columns, *required]))
-    return df.sparkSession.createDataFrame([(source, c, c in df.columns, c in required) for c in names], "source string, column string, present boolean, required boolean")
-
-
-def read_delimited(spark: SparkSession, path: str, expected: list[str], sep: str = ",") -> DataFrame:
-    """Delimited text, all strings, with lines before a header that has two or more expected names (S4). One line per record."""
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("no", F.monotonically_increasing_id())
-    upper = F.upper(F.regexp_replace("value", '[" ]', ""))
-    hits = sum(F.array_contains(F.split(upper, f"\\{sep}"), e.upper()).cast("int") for e in expected)
-    heads = lines.where(hits >= 2).groupBy("file").agg(F.min(F.struct("no", "value")).alias("h"))
-    first = heads.orderBy("file").first()
-    if first is None:
-        raise ValueError("no header line found")
-    names = list(dict.fromkeys(n.strip().strip('"').upper() for n in first.h.value.split(sep)))
-    body = lines.join(F.broadcast(heads.select("file", F.col("h.no").alias("head_no"))), "file").where("no > head_no")
-    parsed = body.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": sep}).alias("r")).select("r.*")
-    return parsed.na.drop("all")
+class DelimitedFiles(DataSource):
+    """Delimited text of many files, each with its own lines before its own header.
+
+    Options: columns (the names to give back, by commas; a file's others are left out), least (how many of them a header line must hold at least, 2), sep,
+    and the files' paths in path-1, path-2 and so on. A file is a partition, read as a stream of records in the shape that csv has: quoted fields may hold
+    separators, quotes and line breaks. Names compare without case, spaces and punctuation; of names that repeat in a header the first counts, and a
+    column that a file lacks is null. Rows without any value are left out. A file without a header is an error.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "delimited_files"
+
+    def schema(self) -> str:
+        return ", ".join(f"`{c}` string" for c in self.options["columns"].split(","))
+
+    def reader(self, schema):
+        return DelimitedReader(self.options)
+
+
+class DelimitedReader(DataSourceReader):
+    def __init__(self, options):
+        self.columns, self.sep, self.least = options["columns"].split(","), options.get("sep", ","), int(options.get("least", "2"))
+        self.paths = [options[f"path-{k}"] for k in range(1, int(options["files"]) + 1)]
+
+    def partitions(self):
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition):
+        import csv
+        import io
+
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(partition.value)
+        with store.open_input_stream(path) as raw, io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline="") as text:
+            wanted, place = [plain_name(c) for c in self.columns], None
+            for line in text:  # what stands before the header needn't be csv
+                names = [plain_name(c) for c in next(csv.reader([line], delimiter=self.sep), [])]
+                if len(set(names) & set(wanted)) >= self.least:
+                    place = [names.index(c) if c in names else None for c in wanted]
+                    break
+            if place is None:
+                raise ValueError(f"{partition.value}: no header line with {self.least} of {self.columns}")
+            for row in csv.reader(text, delimiter=self.sep):
+                values = tuple(row[k] if k is not None and k < len(row) and row[k] != "" else None for k in place)
+                if any(v is not None for v in values):
+                    yield values
+
+
+def plain_name(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isalnum())
+
+
+def read_delimited(spark: SparkSession, path: str, expected: list[str], sep: str = ",", least: int = 2) -> DataFrame:
+    """The expected columns, all strings, of every file below path, whatever stands before each file's header and in which order that has them."""
+    spark.dataSource.register(DelimitedFiles)
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").orderBy("path").collect()]  # names only
+    return spark.read.format("delimited_files").options(columns=",".join(expected), sep=sep, least=least, files=len(files), **{f"path-{k}": f for k, f in enumerate(files, 1)}).load()
 
 
 def split_chunks(df: DataFrame, key: str, text: str, size: int = 4000) -> DataFrame:
