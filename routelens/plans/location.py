@@ -43,6 +43,8 @@ def boundary_texts(spark: SparkSession, sf_dir: str, broken: bool = False) -> Da
         text('{"type":"Polygon","coordinates":[[', "]]}"), text('{"type":"MultiPolygon","coordinates":[[[', "]]]}"), text('{"type":"Feature","properties":{"a":1},"geometry":{"type":"Polygon","coordinates":[[', "]]}}"),
         text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[[0,0],[9,9],[3,3],[4,4]]}},{"type":"Feature","geometry":{"coordinates":[[', ']],"type":"Polygon"}}]}'),
         text('{"geometry":{"coordinates":[[', "]]}}"), text('{"payload":"{\\"type\\":\\"Polygon\\",\\"coordinates\\":[[', ']]}"}'), F.concat(F.lit("POLYGON (("), ring(" ", "", ""), F.lit("))")), F.concat(F.lit("MULTIPOLYGON ((("), ring(" ", "", ""), F.lit(")))")),
+        text('{"type":"Feature","geometry":{"type":"Polygon","crs":{"type":"name","properties":{"name":"EPSG:4326"}},"coordinates":[[', ']]},"properties":{"geometry":{"type":"Polygon","coordinates":[[[8,8],[9,8],[9,9],[8,8]]]}}}'),
+        text('{"other":[{"deep":[[{"geojson":"{\\"geom\\":{\\"bbox\\":[0,0],\\"coordinates\\":[[[', ']]],\\"type\\":\\"MultiPolygon\\"}}"}]]}]}'), text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":null},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,1]]]}},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[', "]]}}]}"),
         text('[{"type":"Polygon","coordinates":[[', "]]}]"), text('{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[ [ ', ' ] ]},{"type":"Point","coordinates":[1,2]}]}'),
     ]
     faults = [text('{"type":"Polygon","coordinates":[[', "]}"), F.lit(""), F.lit('{"type":"Point","coordinates":[1,2]}'), F.lit("POLYGON ((0 0, 1 1))"), text('{"type":"LineString","coordinates":[', "]}"), F.lit("rubbish")]
