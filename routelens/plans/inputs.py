@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import canonical as C
+from ..operators import source_rows
 from ..sources import contracts as K
 from ..sources import files, tables
 from ..sources.tables import table
@@ -86,12 +87,29 @@ def s11_bundle(spark, d):
 def s12_collected_source(spark, d):
     at = files.scratch(spark, "source")
     h = M.hourly(spark, d)
-    renamed = h.select(F.col("psap_id").alias("Psap-Id"), F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss").alias("HOUR START UTC"), F.col("call_volume").alias("Call_Volume_List"), F.col("asr_sr").alias("ASR_SR"))
+    renamed = h.select(F.col("psap_id").alias("Psap-Id"), F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss").alias("RUN TS UTC"), F.col("call_volume").alias("Call_Volume_List"), *(F.col(r).alias(r.upper()) for r in source_rows.RATES))
     files.write_csv(renamed, at)
-    raw = files.read_csv(spark, at, ["Psap-Id", "HOUR START UTC", "Call_Volume_List", "ASR_SR"])
-    rows = K.resolve(raw, {"psap_id": ("psap_id",), "hour_start_utc": ("hour_start_utc", "timestamp"), "call_volume": ("call_volume", "call_volume_list"), "asr_sr": ("asr_sr",), "bid_sr": ("bid_sr",)})
-    typed = rows.select(F.col("psap_id").cast("bigint").alias("psap_id"), N.parse_utc(F.col("hour_start_utc")).alias("hour_start_utc"), N.number(F.col("call_volume")).alias("call_volume"), N.number(F.col("asr_sr")).alias("asr_sr"), N.number(F.col("bid_sr")).alias("bid_sr"))
-    return tidy(tables.time_window(typed, "2024-01-05", "2024-01-20", ("hour_start_utc",)))
+    raw = files.read_csv(spark, at, renamed.columns)
+    return tidy(source_rows.normalize(raw, "2024-01-05", "2024-01-20"))
+
+
+def _flawed_source(spark, d):
+    """Hourly rows as texts under other names, with times, figures and ids that can't be used, half hours, and rates beyond 100."""
+    h = M.hourly(spark, d).withColumn("k", F.floor(F.unix_seconds(F.col("hour_start_utc").cast("timestamp")) / 3600) + F.col("psap_id"))
+    p, k, at = F.col("psap_id"), F.col("k"), F.date_format("hour_start_utc", "yyyy-MM-dd HH:mm:ss")
+    return h.select(
+        F.when((k + p) % 31 == 0, "-1").when((k + p) % 37 != 0, p.cast("string")).alias("psap id"), F.when(k % 29 == 0, "rubbish").when(k % 17 == 0, F.regexp_replace(at, ":00:00$", ":30:00")).otherwise(at).alias("EVAL_TS_UTC"),
+        F.when(k % 19 == 0, "n/a").when(k % 23 == 0, "-1").otherwise(F.col("call_volume").cast("string")).alias("CALL_VOLUME"), F.col("lsr_sr").alias("LSR_SR_LIST"), (F.col("asr_sr") + F.when(k % 5 == 0, 50).otherwise(0)).alias("ASR_SR"),
+        "bid_sr", "csr_sr", F.col("call_volume").alias("ASR_CALLS"), (k % 6).alias("ASR_SUCCESS"),
+    )
+
+
+def c20_source_rows(spark, d):
+    return tidy(source_rows.normalize(_flawed_source(spark, d), "2024-01-05", "2024-01-20"))
+
+
+def c20_source_quality(spark, d):
+    return tidy(source_rows.quality(_flawed_source(spark, d), "2024-01-05", "2024-01-20"))
 
 
 def s14_next_columns(spark, d):
@@ -245,6 +263,10 @@ def j4_semi_prefilter(spark, d):
 
 _P = lambda values, key="o_orderkey": f"list_extract([{', '.join('NULL' if v is None else repr(v) for v in values)}], ({key} % {len(values)} + 1)::INTEGER)"
 
+_FLAWED = """q AS (SELECT *, (epoch(hour_start_utc) // 3600 + psap_id)::BIGINT AS k FROM h),
+  w AS (SELECT *, CASE WHEN (k + psap_id) % 31 = 0 THEN -1 WHEN (k + psap_id) % 37 <> 0 THEN psap_id END AS p, k % 29 <> 0 AS timed, CASE WHEN k % 19 = 0 THEN NULL WHEN k % 23 = 0 THEN -1 ELSE call_volume END AS v, asr_sr + CASE WHEN k % 5 = 0 THEN 50 ELSE 0 END AS a FROM q),
+  x AS (SELECT *, timed AND hour_start_utc >= TIMESTAMP '2024-01-05' AND hour_start_utc < TIMESTAMP '2024-01-20' AS inside FROM w), r AS (SELECT *, inside AND p >= 0 AND v >= 0 AS usable FROM x)"""
+
 QUERIES = {
     "s1_time_window": (s1_time_window, "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1995-07-01'"),
     "s3_selected_columns": (s3_selected_columns, "SELECT c_custkey, c_mktsegment, c_nationkey::BIGINT AS c_nationkey FROM customer"),
@@ -257,7 +279,12 @@ QUERIES = {
     "s9_export": (s9_export, "SELECT 'full' AS part, count(*) AS written, count(*) AS read_back, 'c_custkey,c_mktsegment' AS header FROM customer UNION ALL SELECT 'none', 0, 0, 'c_custkey,c_mktsegment'"),
     "s10_manifest": (s10_manifest, "SELECT 'nation' AS name, count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE nation)) AS n_columns FROM nation UNION ALL SELECT 'customer', count(*), (SELECT count(*) FROM (DESCRIBE customer)) FROM customer UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders"),
     "s11_bundle": (s11_bundle, "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
-    "s12_collected_source": (s12_collected_source, f"WITH {M.H} SELECT psap_id, hour_start_utc, call_volume, round(asr_sr, 6) AS asr_sr, NULL::DOUBLE AS bid_sr FROM h WHERE hour_start_utc >= TIMESTAMP '2024-01-05' AND hour_start_utc < TIMESTAMP '2024-01-20'"),
+    "s12_collected_source": (s12_collected_source, f"WITH {M.H} SELECT 'BASE-' || lpad((row_number() OVER (ORDER BY hour_start_utc, psap_id) - 1)::VARCHAR, 10, '0') AS evaluation_row_id, psap_id, hour_start_utc, call_volume, round(lsr_sr, 6) AS lsr_sr, round(asr_sr, 6) AS asr_sr, round(bid_sr, 6) AS bid_sr, round(csr_sr, 6) AS csr_sr FROM h WHERE hour_start_utc >= TIMESTAMP '2024-01-05' AND hour_start_utc < TIMESTAMP '2024-01-20'"),
+    "c20_source_rows": (c20_source_rows, f"""WITH {M.H}, {_FLAWED} SELECT 'BASE-' || lpad((row_number() OVER (ORDER BY hour_start_utc, p) - 1)::VARCHAR, 10, '0') AS evaluation_row_id, p AS psap_id, hour_start_utc, v AS call_volume, round(lsr_sr, 6) AS lsr_sr, round(least(a, 100.0::DOUBLE), 6) AS asr_sr, round(bid_sr, 6) AS bid_sr, round(csr_sr, 6) AS csr_sr FROM r WHERE usable"""),
+    "c20_source_quality": (c20_source_quality, f"""WITH {M.H}, {_FLAWED}, c AS (SELECT count(*) AS source_rows, count(*) FILTER (inside) AS window_rows, count(*) FILTER (usable) AS valid_rows, count(*) FILTER (NOT timed) AS invalid_timestamp_rows, count(*) FILTER (timed AND k % 17 = 0) AS off_hour_rows,
+        count(*) FILTER (inside AND v IS NULL) AS nonfinite_kpi_rows, count(*) FILTER (inside AND (p IS NULL OR p = -1)) AS invalid_psap_rows, count(*) FILTER (inside AND v < 0) AS negative_volume_rows, count(*) FILTER (inside AND a > 100) AS clipped_rate_rows,
+        count(DISTINCT p) FILTER (usable) AS distinct_psaps, count(DISTINCT hour_start_utc) FILTER (usable) AS observed_hours, 360 AS expected_hours, 0 AS lsr_success_over_calls, count(*) FILTER (usable AND k % 6 > call_volume) AS asr_success_over_calls, 0 AS bid_success_over_calls, 0 AS csr_success_over_calls FROM r)
+        SELECT *, expected_hours - observed_hours AS missing_hours, distinct_psaps * expected_hours AS planned_psap_hours, greatest(0, distinct_psaps * expected_hours - valid_rows) AS absent_psap_hours FROM c"""),
     "s14_next_columns": (s14_next_columns, """WITH v AS (SELECT 'orders' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM orders) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c UNION ALL SELECT 'lineitem' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM lineitem) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c UNION ALL SELECT 'customer' AS t, c, count(v) AS filled, count(DISTINCT v) AS distinct_values FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM customer) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c)
         SELECT DISTINCT table_name AS "table", column_name AS "column", ordinal_position::BIGINT AS position, filled, distinct_values FROM information_schema.columns JOIN v ON t = table_name AND c = column_name
         WHERE regexp_matches(upper(column_name), 'KEY|DATE') AND upper(column_name) NOT IN ('O_ORDERKEY', 'L_PARTKEY')"""),
