@@ -32,7 +32,7 @@ from .common import broadcast_if_small, saved
 from .words import LOWER, chunks, mix, prefix_hashes, text_buffer
 
 #: Bytes of text in a block, pairs that a task sorts together, and rows that it sends at a time.
-BLOCK, SORTED, SENT = 1 << 20, 1 << 21, 1 << 16
+BLOCK, SORTED, SENT = 1 << 20, 1 << 20, 1 << 16
 #: Bits of a bitmap of hashes, and of one row of it (as Spark's bitmap functions have it).
 BITS, ROW = 25, 1 << 15
 SCALE = 2_000_000
@@ -197,9 +197,12 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
             yield from summed(held)
 
     def summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, times = np.unique(np.concatenate(held), return_counts=True)
-        for k in range(0, len(h), SENT):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + SENT].view(np.int64)), pa.array(times[k : k + SENT])], names=["h", "f"])
+        h = np.concatenate(held)
+        h.sort()
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        times = np.diff(first, append=len(h))
+        for k in range(0, len(first), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(h[first[k : k + SENT]].view(np.int64)), pa.array(times[k : k + SENT])], names=["h", "f"])
 
     # tasks have summed what they could; repartition() keeps Spark from trying again before the shuffle, which would take a large table in each task
     maybe = bitmap(texts.mapInArrow(by_hash, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
