@@ -32,7 +32,7 @@ from .common import broadcast_if_small, saved
 from .words import LOWER, chunks, mix, prefix_hashes, text_buffer
 
 #: Bytes of text in a block, pairs that a task sorts together, and rows that it sends at a time.
-BLOCK, SORTED, SENT = 1 << 20, 1 << 20, 1 << 16
+BLOCK, SORTED, SENT = 1 << 18, 1 << 20, 1 << 16
 #: Bits of a bitmap of hashes, and of one row of it (as Spark's bitmap functions have it).
 BITS, ROW = 25, 1 << 15
 SCALE = 2_000_000
