@@ -1,17 +1,18 @@
-"""Exact top-k inner products without random access.
+"""Exact top-k inner products by aggregation of sorted lists.
 
 The grid of query blocks and candidate blocks is dealt out by cell. Within a cell each dimension is a sorted list of the
-candidates' components. For a query the lists are read from the end that its component favours, in blocks, all to the same depth.
-What has been read gives each candidate a partial score. Its unread components lie beyond the frontier of the reading; and as the
-entries of a list carry the norm of their candidate, that of the unread rest is known, which bounds its product with the query's
-(Cauchy and Schwarz). So each candidate has a lower and an upper bound. After each block, outsiders, whose upper bound is below the k-th best lower
-bound, are dropped: they cannot qualify, and what later blocks hold of them is passed over. Reading goes on for the rest until their
-bounds meet, which resolves their scores. No component is looked up out of its list's order. Every score is an exact integer.
+candidates' components. A query reads the lists one after the other, those first that weigh most in its scores, each in order from
+the end that its component favours. What it has read of a candidate is its partial score. The rest is bounded from both sides by
+the norms of what is unread (Cauchy and Schwarz), and from above by the unread lists' first entries. After every few lists outsiders
+are dropped: those whose upper bound is below the k-th best lower bound. A list is read until everyone who is left has been met in
+it. When outsiders cannot qualify against a short list of SHORT_LIST x k candidates, reading stops and the short list's scores are
+resolved from its members' own remaining components, the only entries taken out of order; where ties keep more than that, reading
+goes on to the end. Every score is an exact integer.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors of different lengths: missing components count
 as 0. Ties go to the smaller vec_id; of repeated rows each is a candidate, and a query's own vec_id never is. A query with fewer than
 k candidates gets them all; an empty table gives no rows; extra columns are ignored. Components beyond 64 bits are clipped to them
-when quantised, and so are scores; cells whose scores could pass 2^53 are computed with Python's integers, exact but slow.
+when quantised, and so are scores; long components are summed digit by digit, in the same way.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-CANDIDATES, QUERIES, GROUP, BATCH = 8192, 2048, 256, 32
-#: Eighths of the lists' length after which bounds are compared.
-DEPTHS = (2, 4, 5, 6, 7, 8)
+CANDIDATES, QUERIES = 8192, 2048
+#: Bounds are compared after so many lists; reading stops when at most so many times k candidates are left.
+LISTS_A_LOOK, SHORT_LIST = 4, 8
 SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -39,81 +40,118 @@ def quantised(vectors: DataFrame, scale: int = 1024, vec_id: str = "vec_id", emb
     return vectors.where(fits).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
 
+def limbs(x: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Whole numbers as digits of so many bits, the lowest first; the last one has the sign."""
+    out = []
+    while x.size and (x.max() >= 1 << bits or x.min() < -(1 << bits)):
+        out.append((x & ((1 << bits) - 1)).astype(np.float64))
+        x = x >> bits
+    return [*out, x.astype(np.float64)]
+
+
 class Lists:
-    """The sorted lists of a cell's candidates, one for each dimension."""
+    """The sorted lists of a cell's candidates, one for each dimension, to be read from either end.
+
+    Components are held in digits of so few bits that sums of products of two digits are exact in floating point; common components
+    have one digit. Norms are of components over their dimension's root mean square, which makes bounds tighter.
+    """
 
     def __init__(self, c: np.ndarray):
         self.n, self.dims = c.shape
-        self.values = c.astype(np.float64)
-        order = np.argsort(self.values, axis=0, kind="stable")
-        self.lists = np.take_along_axis(self.values, order, axis=0)
-        self.rank = np.empty((self.n, self.dims), np.int32)
-        np.put_along_axis(self.rank, order, np.arange(self.n, dtype=np.int32)[:, None], axis=0)
-
-    def block(self, before: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each candidate: the components that stand between two depths, from the top and from the bottom of their lists (0
-        where not); whether they are still unread from either end; and the squares of those that are."""
-        up, down = self.n - 1 - self.rank, self.rank
-        new = [self.values * ((end >= before) & (end < depth)) for end in (up, down)]
-        unread = np.concatenate([up >= depth, down >= depth], axis=1).astype(np.float64)
-        return np.concatenate(new, axis=1), unread, unread * np.tile(self.values * self.values, 2)
+        self.bits = (51 - 2 * self.dims.bit_length()) // 2
+        self.rows, self.ids = c, np.ascontiguousarray(np.argsort(c, axis=0, kind="stable").T)
+        values = np.ascontiguousarray(np.take_along_axis(c.T, self.ids, axis=1))
+        self.digits = limbs(values, self.bits)
+        real = values.astype(np.float64)
+        self.scale = np.sqrt((real * real).mean(axis=1))
+        self.scale[self.scale == 0] = 1
+        self.ends = real[:, [0, -1]].T
+        self.squares = (real / self.scale[:, None]) ** 2
+        self.norms = ((c / self.scale) ** 2).sum(axis=1)
 
 
 class Reading:
-    """A few queries' way through the lists: the candidates that are left to any of them, and what has been read of those."""
-
-    def __init__(self, q: np.ndarray, lists: Lists, k: int):
-        self.w, self.up, self.lists, self.k = q.astype(np.float64), q > 0, lists, k
-        self.rows, self.partial = np.arange(lists.n), np.zeros((len(q), lists.n))
-        self.alive, self.reads = np.ones((len(q), lists.n), bool), 0
-
-    def _by_end(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x * self.up, x * ~self.up], axis=1)
-
-    def read(self, before: int, depth: int, block: np.ndarray, unread: np.ndarray, squares: np.ndarray) -> None:
-        if len(self.rows) < self.lists.n:
-            block, unread, squares = block[self.rows], unread[self.rows], squares[self.rows]
-        self.reads += int(self.alive.sum()) * self.lists.dims * (depth - before) // self.lists.n
-        self.partial += self._by_end(self.w) @ block.T
-        if depth == self.lists.n:
+    """One query's way through the lists: what it has read of each candidate, the bounds, and who can still qualify."""
+
+    def __init__(self, w: np.ndarray, lists: Lists, k: int):
+        self.lists, self.k, self.w, self.digits = lists, k, w.astype(np.float64), limbs(w, lists.bits)
+        self.weight = (self.w * lists.scale) ** 2
+        used = np.flatnonzero(w)  # a component of 0 adds nothing, so its list is not read
+        self.order = used[np.argsort(-self.weight[used], kind="stable")]
+        self.sums = np.zeros((len(self.digits) + len(lists.digits) - 1, lists.n))
+        self.rest = lists.norms.copy()
+        self.alive, self.left, self.reads = np.ones(lists.n, bool), lists.n, 0
+
+    def run(self) -> np.ndarray:
+        """The candidates that are left when outsiders cannot qualify, their scores resolved."""
+        for at, d in enumerate(self.order):
+            self.read(d)
+            if at % LISTS_A_LOOK == LISTS_A_LOOK - 1:
+                self.look(self.order[at + 1 :])
+                if self.left <= SHORT_LIST * self.k:
+                    return self.resolve(self.order[at + 1 :])
+        return np.flatnonzero(self.alive)
+
+    def resolve(self, unread: np.ndarray) -> np.ndarray:
+        """Adds what the few that are left have in the unread lists."""
+        here = np.flatnonzero(self.alive)
+        rows = self.lists.rows[np.ix_(here, unread)]
+        self.reads += rows.size
+        for i, digit in enumerate(self.digits):
+            for j, limb in enumerate(limbs(rows, self.lists.bits)):
+                self.sums[i + j, here] += limb @ digit[unread]
+        return here
+
+    def read(self, d: int) -> None:
+        """Reads list d from the end that the query favours until each candidate that is left has been met."""
+        n, met, at = self.lists.n, 0, 0
+        size = n if self.left * 8 > n else -(-n // 8)
+        while at < n and met < self.left:  # whoever is left is met once in each list
+            part = slice(at, at + size) if self.w[d] < 0 else slice(max(n - at - size, 0), n - at)
+            ids, inside = self.lists.ids[d, part], slice(None)
+            self.reads += len(ids)
+            if self.left * 2 < n:
+                inside = np.flatnonzero(self.alive[ids])
+                ids = ids[inside]
+            for i, digit in enumerate(self.digits):
+                for j, limb in enumerate(self.lists.digits):
+                    np.add.at(self.sums[i + j], ids, digit[d] * limb[d, part][inside])
+            np.subtract.at(self.rest, ids, self.lists.squares[d, part][inside])
+            met, at = met + len(ids), at + size
+
+    def look(self, unread: np.ndarray) -> None:
+        """Drops outsiders: those whose upper bound is below the k-th best lower bound."""
+        here = np.flatnonzero(self.alive)
+        if len(here) <= self.k:
             return
-        frontier = np.where(self.up, self.w * self.lists.lists[self.lists.n - depth], self.w * self.lists.lists[depth - 1])
-        rest = np.concatenate([self._by_end(frontier), self._by_end(self.w * self.w)]) @ unread.T
-        norm = np.sqrt(rest[len(self.w) :] * (self._by_end(np.ones_like(self.w)) @ squares.T)) * (1 + 1e-9) + 1
-        lower, upper = self.partial - norm, self.partial + np.minimum(norm, rest[: len(self.w)])
-        if len(self.rows) > self.k:
-            at = len(self.rows) - self.k
-            self.alive &= upper >= np.partition(np.where(self.alive, lower, -np.inf), at, axis=1)[:, at : at + 1]
-        left = self.alive.any(axis=0)
-        self.rows, self.partial, self.alive = self.rows[left], self.partial[:, left], self.alive[:, left]
+        score = sum(s[here] * 2.0 ** (self.lists.bits * i) for i, s in enumerate(self.sums))
+        error = 1e-12 * np.sqrt(self.weight.sum() * self.lists.norms[here])
+        norm = np.sqrt(self.weight[unread].sum() * np.maximum(self.rest[here] + 1e-12 * self.lists.norms[here], 0))
+        frontier = (self.w * self.lists.ends[(self.w > 0).astype(int), np.arange(self.lists.dims)])[unread].sum()
+        most = 2.0**63  # where scores are clipped
+        lower, upper = (np.clip(x, -most, most) for x in (score - norm - error, score + np.minimum(norm, frontier) + error))
+        cut = np.partition(lower, len(here) - self.k)[len(here) - self.k]
+        out = here[upper < cut]
+        self.alive[out] = False
+        self.left -= len(out)
+
+    def scores(self, here: np.ndarray) -> np.ndarray:
+        """The whole scores of candidates, clipped to 64 bits."""
+        if len(self.sums) == 1:
+            return self.sums[0, here].astype(np.int64)
+        whole = sum(s[here].astype(np.int64).astype(object) << (self.lists.bits * i) for i, s in enumerate(self.sums))
+        return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def search_cell(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, count: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, and the ids and scores of its k best candidates of this cell.
-
-    count: gets the components read for the queries. All numbers are whole and below 2^53, so sums in floating point are exact.
-    """
-    largest = [np.abs(x.astype(object)).max(axis=0) if x.size else np.zeros(x.shape[1], object) for x in (q, c)]
-    if sum(a * b for a, b in zip(*largest, strict=True)) >= 1 << 53:
-        for query_id, w in zip(q_ids, q, strict=True):
-            score = np.clip(c.astype(object) @ w.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
-            yield query_id, *_best(score, c_ids, query_id, k)
-        return
+    """For each query: its id, and the ids and scores of its k best candidates of this cell. count: gets the entries read for each query."""
     lists = Lists(c)
-    depths = sorted({min(lists.n, max(k + 1, -(-lists.n * part // 8))) for part in DEPTHS})
-    for lo in range(0, len(q), GROUP):
-        group = [Reading(q[at : at + BATCH], lists, k) for at in range(lo, min(lo + GROUP, len(q)), BATCH)]
-        for before, depth in zip([0, *depths], depths):
-            parts = lists.block(before, depth)
-            for reading in group:
-                reading.read(before, depth, *parts)
-        for number, reading in enumerate(group):
-            if count is not None:
-                count.append(reading.reads)
-            for i in range(len(reading.w)):
-                query_id = q_ids[lo + number * BATCH + i]
-                left = reading.alive[i]
-                yield query_id, *_best(reading.partial[i, left].astype(np.int64), c_ids[reading.rows[left]], query_id, k)
+    for query_id, w in zip(q_ids, q, strict=True):
+        reading = Reading(w, lists, k)
+        left = reading.run()
+        if count is not None:
+            count.append(reading.reads)
+        yield query_id, *_best(reading.scores(left), c_ids[left], query_id, k)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:

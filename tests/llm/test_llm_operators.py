@@ -291,6 +291,17 @@ def test_top_k_reads_less_than_all():
     assert sum(count) < 0.8 * len(queries) * c.size
 
 
+def test_top_k_of_long_components_and_ties():
+    rng = np.random.default_rng(9)
+    for c in (rng.integers(-(1 << 63), (1 << 63) - 1, (300, 20)), rng.integers(-(1 << 40), 1 << 40, (500, 5)), np.repeat(rng.integers(-3, 4, (4, 6)), 90, axis=0), np.zeros((50, 3), np.int64)):
+        ids = rng.permutation(len(c))
+        for i, found, score in topk.search_cell(ids[:8], c[:8], ids, c, 7):
+            w = c[list(ids).index(i)].astype(object)
+            s = np.clip(c.astype(object) @ w, -(1 << 63), (1 << 63) - 1)
+            want = sorted((-x, j) for x, j in zip(s.tolist(), ids.tolist(), strict=True) if j != i)[:7]
+            assert [(-x, j) for x, j in zip(score.tolist(), found.tolist(), strict=True)] == want
+
+
 def test_top_k_of_uneven_and_huge_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, [1.0]), (1, [3.0, 1.0, 5.0]), (2, []), (3, [1e300, 0.0]), (4, [float("inf")])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).collect()
