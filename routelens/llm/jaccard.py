@@ -143,21 +143,21 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
 
 
 def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, cls, keys and bits of every document."""
+    """doc_id, n, cls, keys and bits of every document, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc_id, s in zip(b.column(0).to_pylist(), document_sets(b.column(1), size), strict=True):
+                for doc_id, h, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), document_sets(b.column(1), size), strict=True):
                     keys = class_keys(s, bands) if len(s) else s
                     bits = bitmap(s, max(LEAST_BITS, 1 << (2 * len(s)).bit_length())).tobytes() if (keys & np.uint64(1)).any() else b""
-                    yield doc_id, len(s), _set_hash(s), keys.tobytes(), bits
+                    yield doc_id, len(s), _set_hash(s), keys.tobytes(), bits, h
 
-        yield from _batches(rows(), ["doc_id", "n", "cls", "keys", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        yield from _batches(rows(), ["doc_id", "n", "cls", "keys", "bits", "hash"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, keys binary, bits binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, cls long, keys binary, bits binary, hash long")
 
 
 def _tile_rows(classes: DataFrame) -> DataFrame:
@@ -320,13 +320,17 @@ def _compare_units(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between classes: a spanning forest of each component at least. members: cls, doc_id, n and unit of each candidate class."""
+    """Links between classes: a spanning forest of each component at least. members: cls, n and unit of each candidate class, and
+    doc_id and hash of the text that stands for it, and how many rows have both."""
     w = W.partitionBy("unit")
     sized = members.groupBy("unit").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("cls").alias("hub"))
     sized = saved(sized.withColumn("blocks", F.greatest(F.ceil(F.col("m") / UNIT_CLASSES), F.ceil(F.col("total") / UNIT_SHINGLES)).cast("int")), "jaccard-units")
     members = saved(members.join(sized.select("unit", "blocks", "hub"), "unit"), "jaccard-members")
-    texts = docs.select(F.col("doc_id").alias("__d"), "text")
-    rows = texts.join(broadcast_if_small(members), F.col("doc_id").eqNullSafe(F.col("__d"))).select("cls", "unit", "blocks", "hub", "text")
+    texts = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"), "text")
+    met = texts.join(broadcast_if_small(members), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h")))
+    rows = met.select("cls", "unit", "blocks", "hub", "text")
+    if not members.where("copies > 1").isEmpty():  # one text stands for a class
+        rows = met.where("copies = 1").select(*rows.columns).unionByName(met.where("copies > 1").select(*rows.columns).dropDuplicates(["unit", "cls"]))
     zero = F.lit(0)
     found = _compare_units(rows.where("blocks = 1").select("unit", "cls", zero.alias("role"), "text"), size, percent)
     if sized.where("blocks > 1").isEmpty():
@@ -353,15 +357,23 @@ def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs."""
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of docs.
+
+    Rows that share a doc_id, or have none, are told apart by their texts; a component without any doc_id has a null component_id.
+    """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     every = saved(classes_of(docs, shingle, percent), "jaccard-sets")
-    classes = saved(every.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n")), "jaccard-classes")
-    first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"))
-    with_keys = every.join(broadcast_if_small(first), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # rows may share an id or have none: a class is stood for by its least id and, among that id's rows, its least hash of a text
+    texts = every.where("n > 0").groupBy("cls", "doc_id", "hash").agg(F.count("*").alias("copies"), F.any_value("n").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies", "n")).alias("least")
+    classes = saved(texts.groupBy("cls").agg(least).select("cls", *(f"least.{c}" for c in ("doc_id", "hash", "copies", "n"))), "jaccard-classes")
+    first = classes.select(F.col("cls").alias("c"), F.col("doc_id").alias("d"), F.col("hash").alias("h"))
+    with_keys = every.join(broadcast_if_small(first), (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left_semi")
+    if not classes.where("copies > 1").isEmpty():
+        with_keys = with_keys.dropDuplicates(["cls"])
     stars = saved(_stars(_tile_rows(with_keys)).where(F.expr("cls <> hub OR key % 2 <> 0")), "jaccard-tiles")
     units = _units_of(stars, with_keys, percent)
-    members = classes.select("cls", "doc_id", "n").join(units, "cls")
+    members = classes.join(units, "cls")
     linked = components(_links(docs, members, shingle, percent))
     ids = saved(classes.select("cls", "doc_id").join(linked, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")), "jaccard-labels")
     least = saved(ids.groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least")

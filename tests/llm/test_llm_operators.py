@@ -70,6 +70,18 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 80)
 
 
+def test_jaccard_of_shared_and_missing_ids(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(40)]
+    rows = [(None, t) for t in texts] + [(5, t + " end") for t in texts] + [(5, texts[0] + " end")] * 30 + [(None, "a b c d e")] * 3 + [(9, "a b c d e f")]
+    seen = []
+    compare = jaccard._compare_units
+    monkeypatch.setattr(jaccard, "_compare_units", lambda rows, *a: seen.append(rows.count()) or compare(rows, *a))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 3, 80).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows, 3, 80)
+    assert sum(seen) <= 82  # one text a class, however many rows have its id
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(none(spark)).count() == 0
 
