@@ -176,13 +176,13 @@ def fan_out(rows: DataFrame, head_map: DataFrame) -> DataFrame:
     return joined.select(rows["*"], F.coalesce("cluster_head_psap_id", "psap_id").alias("head_id"), F.coalesce("cluster_head_rank", F.lit(1)).alias("head_rank"))
 
 
-def aggregate_heads(per_head: DataFrame) -> DataFrame:
-    """One scored row per (psap_id, hour): mean of score over threshold, votes, spread, status (A30). per_head: raw_score and raw_threshold;
+def aggregate_heads(per_head: DataFrame, keys: tuple[str, ...] = ("psap_id", "hour_start_utc")) -> DataFrame:
+    """One scored row for each of the keys (psap_id among them): mean of score over threshold, votes, spread, status (A30). per_head: raw_score and raw_threshold;
     input_valid and has_detector, where there are such columns, tell what could not be scored."""
     flag = lambda c: F.coalesce(F.col(c), F.lit(True)) if c in per_head.columns else F.lit(True)
     good = flag("input_valid") & flag("has_detector") & F.col("raw_score").isNotNull() & (F.col("raw_threshold") > 0) & ~F.isnan("raw_score")
     ratio = F.when(good, F.col("raw_score") / F.col("raw_threshold"))
-    out = per_head.withColumn("r", ratio).groupBy("psap_id", "hour_start_utc").agg(
+    out = per_head.withColumn("r", ratio).groupBy(*keys).agg(
         F.count("*").alias("heads"), F.count("r").alias("scored_heads"), F.avg("r").alias("anomaly_score"), F.count(F.when(F.col("r") > 1, 1)).alias("votes"), F.stddev_pop("r").alias("head_ratio_std"), F.min(flag("input_valid")).alias("__valid"), F.max(flag("has_detector")).alias("__detector")
     )
     status = F.when(F.col("psap_id") == -1, "SKIPPED_SPECIAL_PSAP").when(~F.col("__valid"), "SKIPPED_INVALID_INPUT").when((F.col("scored_heads") == 0) & ~F.col("__detector"), "SKIPPED_NO_DETECTOR").when(F.col("scored_heads") == 0, "SCORING_ERROR").when(F.col("scored_heads") < F.col("heads"), "SCORED_PARTIAL_HEADS").otherwise("SCORED")

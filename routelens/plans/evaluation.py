@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import evaluate as E
-from ..operators import health, kpi, report
+from ..operators import health, kpi, replay, report
+from ..sources.files import scratch
 from ..sources.tables import table
 from . import monitoring as M
 from .common import tidy
@@ -188,6 +189,34 @@ def c13_replay(spark, d):
     return tidy(kpi.replay(_campaign(spark, d)[1], t, "2000-01-01 00:00:00"))
 
 
+def volume_and_rates(rows):
+    """A frozen detector: calls, and a tenth of what the rates lack of 100, against the head's limit."""
+    return rows["call_volume"] + 0.0137 + 0.1 * (400 - rows["lsr_sr"] - rows["asr_sr"] - rows["bid_sr"] - rows["csr_sr"]), rows["volume_limit"]
+
+
+def _chain(spark, d):
+    """A replay through three heads an entity; 7 and 11 are their own heads, head 7 has no detector, and some hours of entity 4 are invalid."""
+    h = M.hourly(spark, d).withColumn("asr_sr", F.when((F.col("psap_id") == 4) & (F.hour("hour_start_utc") < 3), 101.0).otherwise(F.col("asr_sr")))
+    reps = kpi.representatives(kpi.volume_strata(h), 2).select("stratum", "psap_id")
+    ids = h.where("psap_id NOT IN (7, 11)").select(F.col("psap_id").alias("member_psap_id")).distinct()
+    p = F.col("member_psap_id")
+    heads = ids.select("member_psap_id", F.posexplode(F.array(p, (p + 1) % 12, (p + 5) % 12)).alias("k", "cluster_head_psap_id")).withColumn("cluster_head_rank", F.col("k") + 1)
+    models = h.where("psap_id <> 7").groupBy(F.col("psap_id").alias("head_id")).agg(F.percentile("call_volume", F.lit(0.9)).alias("volume_limit"))
+    return replay.replay_evaluation(h, E.campaign(*map(list, CELLS), reps), heads, models, volume_and_rates, "2000-01-01 00:00:00", 42, scratch(spark, "replay"))
+
+
+def c13_chain_pairs(spark, d):
+    return tidy(_chain(spark, d)["pairs"].drop("event_id", "is_active", "has_numeric_change"))
+
+
+def c13_chain_scored(spark, d):
+    return tidy(_chain(spark, d)["scored"].drop("event_id", *replay.KPIS))
+
+
+def c13_chain_evidence(spark, d):
+    return tidy(replay.evidence(_chain(spark, d)["pairs"]))
+
+
 def c16_trusted_rows(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     now = e.agg(F.max("ts").alias("now"))
@@ -322,7 +351,29 @@ _CELLS = M.H + """, ce AS (SELECT concat_ws('|', stratum, psap_id, pattern, seve
   cp AS (SELECT cell_id, pattern, h.call_volume / threshold AS was, CASE pattern WHEN 'volume_spike' THEN greatest(ceil(h.call_volume * (1 + severity)), h.call_volume + 1) WHEN 'volume_drop' THEN greatest(0, floor(h.call_volume * (1 - severity))) ELSE h.call_volume END / threshold AS now_
     FROM (SELECT *, unnest(range(0, duration)) AS o FROM cw) c JOIN h ON h.psap_id = c.psap_id AND h.hour_start_utc = c.hour_start_utc + to_hours(o) JOIN (SELECT psap_id, quantile_cont(call_volume, 0.9) AS threshold FROM h GROUP BY 1) t ON t.psap_id = c.psap_id)"""
 
+_INJECT = "CASE WHEN pattern = 'flapping' AND o % 2 = 0 THEN least(100, greatest(0, {0} * (1 - severity))) ELSE {0} END AS {0}"
+_RATES = "lsr_sr, asr_sr, bid_sr, csr_sr"
+_CHAIN = f"""{_CELLS}, hx AS (SELECT * REPLACE (CASE WHEN psap_id = 4 AND hour(hour_start_utc) < 3 THEN 101.0::DOUBLE ELSE asr_sr END AS asr_sr) FROM h),
+  cx AS (SELECT c.* EXCLUDE (hour_start_utc, r), hx.hour_start_utc, call_volume, {_RATES} FROM (SELECT *, unnest(range(0, duration)) AS o FROM cw) c JOIN hx ON hx.psap_id = c.psap_id AND hx.hour_start_utc = c.hour_start_utc + to_hours(o)),
+  rw AS (SELECT 'UNTOUCHED_BASELINE' AS evaluation_set, NULL AS event_id, NULL AS o, psap_id, hour_start_utc, call_volume, {_RATES} FROM hx UNION ALL SELECT 'PAIRED_UNTOUCHED_BASELINE', event_id, o, psap_id, hour_start_utc, call_volume, {_RATES} FROM cx
+    UNION ALL SELECT 'SYNTHETIC_CHALLENGE', event_id, o, psap_id, hour_start_utc, CASE pattern WHEN 'volume_spike' THEN greatest(ceil(call_volume * (1 + severity)), call_volume + 1) WHEN 'volume_drop' THEN greatest(0, floor(call_volume * (1 - severity))) ELSE call_volume END, {", ".join(_INJECT.format(k) for k in _RATES.split(", "))} FROM cx),
+  hl AS (SELECT psap_id AS head_id, quantile_cont(call_volume, 0.9) AS volume_limit FROM h WHERE psap_id <> 7 GROUP BY 1),
+  fa AS (SELECT *, unnest(CASE WHEN psap_id IN (7, 11) THEN [psap_id] ELSE [psap_id, (psap_id + 1) % 12, (psap_id + 5) % 12] END) AS head_id FROM rw),
+  hs AS (SELECT fa.*, asr_sr <= 100 AS valid, volume_limit IS NOT NULL AS known, CASE WHEN asr_sr <= 100 THEN (call_volume + 0.0137::DOUBLE + 0.1::DOUBLE * (400 - lsr_sr - asr_sr - bid_sr - csr_sr)) / volume_limit END AS r FROM fa LEFT JOIN hl USING (head_id)),
+  ag0 AS (SELECT evaluation_set, event_id, o, psap_id, hour_start_utc, call_volume, {_RATES}, count(*) AS heads, count(r) AS scored_heads, avg(r) AS anomaly_score, count(*) FILTER (r > 1) AS votes, stddev_pop(r) AS head_ratio_std, bool_and(valid) AS valid, bool_or(known) AS known FROM hs GROUP BY ALL),
+  ag1 AS (SELECT *, votes::DOUBLE / nullif(scored_heads, 0) AS vote_fraction, coalesce(anomaly_score > 1, false) AS alert, CASE WHEN NOT valid THEN 'SKIPPED_INVALID_INPUT' WHEN NOT known THEN 'SKIPPED_NO_DETECTOR' WHEN scored_heads = 0 THEN 'SCORING_ERROR' WHEN scored_heads < heads THEN 'SCORED_PARTIAL_HEADS' ELSE 'SCORED' END AS scoring_status,
+    CASE WHEN anomaly_score IS NULL THEN 'NON_FINITE' WHEN asr_sr > 100 THEN 'RATE_OUT_OF_RANGE_ASR_SR' WHEN call_volume <= 0 THEN 'NO_VOLUME' WHEN anomaly_score <= 1 THEN 'SCORE_NOT_ABOVE_THRESHOLD' ELSE 'OK' END AS gate FROM ag0),
+  sg AS (SELECT *, alert AND gate = 'OK' AND ({M.TIER}) AS eligible FROM ag1),
+  pp AS (SELECT cx.event_id, cx.o, cell_id, stratum, pattern, severity, duration, cx.psap_id, cx.hour_start_utc, b.anomaly_score AS baseline_score, b.alert AS baseline_alert, b.eligible AS baseline_eligible, b.scoring_status AS baseline_status, i.anomaly_score AS injected_score, i.alert AS injected_alert, i.eligible AS injected_eligible, i.scoring_status AS injected_status
+    FROM cx LEFT JOIN sg b ON b.evaluation_set = 'PAIRED_UNTOUCHED_BASELINE' AND b.event_id = cx.event_id AND b.o = cx.o LEFT JOIN sg i ON i.evaluation_set = 'SYNTHETIC_CHALLENGE' AND i.event_id = cx.event_id AND i.o = cx.o),
+  pe AS (SELECT pattern, event_id, count(*) AS n, count(*) FILTER (injected_score IS NULL OR baseline_score IS NULL) AS unscored, bool_or(injected_alert) AS det, bool_or(injected_eligible) AS pas, bool_or(baseline_alert) AS con, count(*) FILTER (injected_alert AND NOT baseline_alert) AS fresh, count(*) FILTER (baseline_alert AND NOT injected_alert) AS lost FROM pp GROUP BY 1, 2)"""
+
 QUERIES = {
+    "c13_chain_pairs": (c13_chain_pairs, _q("""SELECT o::BIGINT AS offset_hour, cell_id, stratum, pattern, severity, duration::BIGINT AS duration, psap_id, hour_start_utc, round(baseline_score, 6) AS baseline_score, baseline_alert, baseline_eligible, baseline_status, round(injected_score, 6) AS injected_score, injected_alert, injected_eligible, injected_status,
+        round(injected_score - baseline_score, 6) AS lift, injected_alert AND NOT baseline_alert AS new_alert, baseline_alert AND NOT injected_alert AS lost_alert FROM pp""", _CHAIN)),
+    "c13_chain_scored": (c13_chain_scored, _q("SELECT evaluation_set, o::BIGINT AS offset_hour, psap_id, hour_start_utc, heads, scored_heads, round(anomaly_score, 6) AS anomaly_score, votes, round(head_ratio_std, 6) AS head_ratio_std, round(vote_fraction, 6) AS vote_fraction, alert, scoring_status, gate, eligible FROM sg", _CHAIN)),
+    "c13_chain_evidence": (c13_chain_evidence, _q("""SELECT pattern, count(*) AS events, sum(n)::BIGINT AS rows, sum(unscored)::BIGINT AS unscored, count(*) FILTER (det) AS detected, count(*) FILTER (pas) AS passed_on, count(*) FILTER (con) AS contaminated, count(*) FILTER (det AND NOT con) AS attributable, sum(fresh)::BIGINT AS new_alerts, sum(lost)::BIGINT AS lost_alerts,
+        round((count(*) FILTER (det))::DOUBLE / count(*), 6) AS recall, round((count(*) FILTER (det AND NOT con))::DOUBLE / nullif(count(*) FILTER (NOT con), 0), 6) AS attributable_recall, round(max(ml), 6) AS median_lift FROM pe JOIN (SELECT pattern, quantile_cont(injected_score - baseline_score, 0.5) AS ml FROM pp GROUP BY 1) USING (pattern) GROUP BY 1""", _CHAIN)),
     "c12_campaign": (c12_campaign, _q("SELECT ce.cell_id, ce.stratum, ce.psap_id, ce.pattern, ce.severity, ce.duration::BIGINT AS duration, hour_start_utc, event_id, CASE WHEN event_id IS NULL THEN 'SKIPPED_NO_WINDOW' ELSE 'INJECTED' END AS status FROM ce LEFT JOIN cw USING (cell_id)", _CELLS)),
     "c13_replay": (c13_replay, _q("""SELECT pattern, count(*) AS cells, count(*) FILTER (det) AS detected, count(*) FILTER (con) AS contaminated, round((count(*) FILTER (det))::DOUBLE / count(*), 6) AS recall, round((count(*) FILTER (det AND NOT con))::DOUBLE / nullif(count(*) FILTER (NOT con), 0), 6) AS attributable_recall, round(max(ml), 6) AS median_lift
         FROM (SELECT cell_id, pattern, max(now_) > 1 AS det, max(was) > 1 AS con FROM cp GROUP BY 1, 2) JOIN (SELECT pattern, quantile_cont(now_ - was, 0.5) AS ml FROM cp GROUP BY 1) USING (pattern) GROUP BY 1""", _CELLS)),
