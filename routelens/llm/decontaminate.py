@@ -1,12 +1,16 @@
-"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-Every n-gram of a test item is a seed, however many documents hold it. A pass over the documents joins them with items by seeds;
-around the seeds found, the words of document and item are aligned by Smith-Waterman (match 2, mismatch and gap -1). The score is
-the best local alignment divided by that of a perfect copy; a pair with min_score or more is a leak. A place where too few of the
-item's words occur to reach min_score, were they all matched, is not aligned; so frequent seeds cost little and no pair is lost.
+Every n-gram of a test item is a seed. A pass over the documents joins them with items by seeds; around the seeds found, the words of
+document and item are aligned by Smith-Waterman (match 2, mismatch and gap -1). The score is the best local alignment divided by that
+of a perfect copy; a pair with min_score or more that has a seed in common is a leak.
 
-Items are read in blocks of at most ITEM_WORDS words; a block is broadcast, and a larger benchmark takes more passes. Words are
-runs of letters and digits of any script, lower-cased; all other characters part words. An item with fewer words than an n-gram has its whole sequence as seed.
+A rare seed, of at most RARE items, opens its items to a document at once. A frequent one, such as an opening that thousands of items
+share, opens an item only if the document holds as many of the item's words as the score needs, were they all matched; the same is
+then asked of each stretch around seeds before it is aligned. Both are upper bounds of the score, so no pair is lost.
+
+Items are read in blocks of about ITEM_BYTES bytes; a block is broadcast, and a larger benchmark takes more passes. Words are runs of
+letters and digits of any script, lower-cased; all other characters part words. Han, Hiragana and Katakana are written without blanks,
+so each of their characters is a word. An item with fewer words than an n-gram has its whole sequence as seed.
 Null or empty texts and items match nothing. Repeated rows of documents give repeated pairs; repeated items likewise. Empty tables
 give no rows; extra columns are ignored. Of several places in a document the best counts, the first of equals. Very long texts are
 searched whole, by stretches around their seeds; stretches are aligned together only as far as their tables stay small.
@@ -18,22 +22,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, free_name, saved
-from .words import ALNUM, Words, lettered, mix, shingles, words
+from .words import ALNUM, Words, lettered, mix, shingles, text_buffer, words
 
-SEED_WORDS, ITEM_WORDS, PLACES, CELLS = 3, 1_000_000, 1_000_000, 1 << 20
+SEED_WORDS, RARE, ITEM_BYTES, PLACES, CELLS = 3, 16, 6_000_000, 1_000_000, 1 << 20
+#: Stretches that are gathered from several documents before they are aligned.
+STRETCHES = 4096
 _FILTER_BITS = 22
 
 
+def parted(texts: pa.Array) -> pa.Array:
+    """texts as lettered, with blanks around each character of a script that is written without them."""
+    texts = lettered(texts)
+    return pc.replace_substring_regex(texts, r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ") if (text_buffer(texts)[0] >= 0x80).any() else texts
+
+
+def _flat(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1 ... of each range of count rows, end to end."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 class Items:
     """Test items and their seeds."""
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.words, keys, items, places = ids, [], [], [], []
-        for w in words(lettered(pa.array(texts, pa.string())), ALNUM):
+        for w in words(parted(pa.array(texts, pa.string())), ALNUM):
             h, inside = shingles(w, SEED_WORDS)
             for i in range(w.n):
                 lo, hi = w.bounds[i], w.bounds[i + 1]
@@ -52,6 +70,9 @@ class Items:
         self.short = sorted({len(x) for x in self.words if 0 < len(x) < SEED_WORDS})
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.lengths = np.array([len(x) for x in self.words], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.vocabulary, self.word = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of a chunk where a seed starts, and which seed."""
@@ -69,6 +90,13 @@ class Items:
         order = np.argsort(at, kind="stable")
         return at[order], seed[order]
 
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words that items have too, and their numbers in the vocabulary."""
+        where = np.searchsorted(self.vocabulary, hashes)
+        where[where == len(self.vocabulary)] = 0
+        at = np.flatnonzero(self.vocabulary[where] == hashes)
+        return at, where[at]
+
 
 def _short_runs(h: np.ndarray, size: int) -> np.ndarray:
     return mix(h ^ np.uint64(size))
@@ -106,55 +134,99 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _places(at: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """item, first and last (exclusive) word of each stretch around seeds of one item in one document."""
-    order = np.lexsort((at - place, item))
-    item, start = item[order], (at - place)[order]
-    reach = lengths[item]
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > reach[1:])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(item)) - 1
-    for a, b in zip(first, last, strict=True):
-        slack = int(reach[a]) // 2 + 2
-        yield int(item[a]), int(start[a]) - slack, int(start[b]) + int(reach[a]) + slack
-
-
-def _hit_parts(w: Words, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Document, word position, item and place in the item of each seed found: whole documents, about PLACES rows at a time."""
-    at, seed = items.hits(w)
-    if not len(at):
-        return
-    doc = np.searchsorted(w.bounds, at, side="right") - 1
-    count = items.first[seed + 1] - items.first[seed]
-    before = np.cumsum(count) - count
-    new = np.flatnonzero(np.diff(doc, prepend=-1))
-    cuts = new[np.flatnonzero(np.diff(before[new] // PLACES, prepend=-1))]
-    for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
-        n = count[lo:hi]
-        flat = np.repeat(items.first[seed[lo:hi]] - (before[lo:hi] - before[lo]), n) + np.arange(n.sum())
-        yield np.repeat(doc[lo:hi], n), np.repeat(at[lo:hi], n), items.items[flat], items.places[flat]
+class Document:
+    """The words of one document that items have too."""
+
+    def __init__(self, hashes: np.ndarray, items: Items):
+        self.items, self.n = items, len(hashes)
+        self.at, self.word = items.known(hashes)
+        self.keys = np.sort(self.word * (self.n + 1) + self.at)
+
+    def holds(self, item: np.ndarray) -> np.ndarray:
+        """Share of each item's words that occur anywhere in the document."""
+        here = np.zeros(len(self.items.vocabulary), bool)
+        here[self.word] = True
+        return self._shares(item, lambda rows, word: here[word])
+
+    def holds_within(self, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Share of each item's words that occur between two words of the document."""
+
+        def found(rows: np.ndarray, word: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(self.keys, word * (self.n + 1) + first[rows])
+            inside = k < len(self.keys)
+            inside[inside] = self.keys[k[inside]] < (word * (self.n + 1) + last[rows])[inside]
+            return inside
+
+        return self._shares(item, found)
+
+    def _shares(self, item: np.ndarray, found) -> np.ndarray:
+        out, n = np.zeros(len(item)), self.items.lengths[item]
+        for rows in _parts(n):
+            hit = found(np.repeat(rows, n[rows]), self.items.word[_flat(self.items.starts[item[rows]], n[rows])])
+            out[rows] = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[rows]) - n[rows]) / n[rows]
+        return out
+
+
+def _parts(size: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in runs of about PLACES together, by the size of each row."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // PLACES, prepend=-1))
+    return np.split(np.arange(len(size)), cuts[1:]) if len(size) else []
+
+
+def _stretches(at: np.ndarray, seed: np.ndarray, hashes: np.ndarray, items: Items, min_score: float) -> Iterator[tuple[int, int, int]]:
+    """item, first and last (exclusive) word of each stretch of one document that may reach min_score, from its seeds and where they are."""
+    doc = Document(hashes, items)
+    seeds, which, times = np.unique(seed, return_inverse=True, return_counts=True)
+    shared = items.first[seeds + 1] - items.first[seeds]
+    flat = _flat(items.first[seeds], shared)
+    item, place, which_seed = items.items[flat], items.places[flat], np.repeat(np.arange(len(seeds)), shared)
+    opened = np.zeros(len(items.words), bool)
+    opened[item[shared[which_seed] <= RARE]] = True
+    others = np.unique(item[~opened[item]])
+    if len(others):
+        opened[others[doc.holds(others) >= min_score]] = True
+    keep = np.flatnonzero(opened[item])
+    keep = keep[np.argsort(item[keep], kind="stable")]
+    item, place, which_seed = item[keep], place[keep], which_seed[keep]
+    by_seed, before = np.argsort(which, kind="stable"), np.cumsum(times) - times
+    new = np.flatnonzero(np.diff(item, prepend=-1))  # stretches of an item come from all its seeds
+    for part in _parts(np.add.reduceat(times[which_seed], new) if len(new) else new):
+        lo, hi = new[part[0]], new[part[-1] + 1] if part[-1] + 1 < len(new) else len(item)
+        n = times[which_seed[lo:hi]]
+        of, start = np.repeat(item[lo:hi], n), at[by_seed[_flat(before[which_seed[lo:hi]], n)]] - np.repeat(place[lo:hi], n)
+        order = np.lexsort((start, of))
+        of, start = of[order], start[order]
+        cut = np.ones(len(of), bool)
+        cut[1:] = (of[1:] != of[:-1]) | (np.diff(start) > items.lengths[of[1:]])
+        first = np.flatnonzero(cut)
+        last, of = np.append(first[1:], len(cut)) - 1, of[first]
+        slack = items.lengths[of] // 2 + 2
+        a, b = np.maximum(start[first] - slack, 0), np.minimum(start[last] + items.lengths[of] + slack, doc.n)
+        fits = np.flatnonzero(doc.holds_within(of, a, b) >= min_score)
+        yield from zip(of[fits].tolist(), a[fits].tolist(), b[fits].tolist(), strict=True)
 
 
 def find_in_chunk(w: Words, items: Items, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
     """document, item, score, first and last (exclusive) word of each leak in a chunk."""
-    lengths = np.array([len(x) for x in items.words])
-    for doc, at, item, place in _hit_parts(w, items):
-        todo = []
-        for d in np.unique(doc):
-            own = slice(*np.searchsorted(doc, [d, d + 1]))
-            low, high = w.bounds[d], w.bounds[d + 1]
-            todo += [(int(d), i, max(low, a), min(high, b)) for i, a, b in _places(at[own], item[own], place[own], lengths)]
-        yield from _leaks_among([t for t in todo if np.isin(items.words[t[1]], w.hashes[t[2] : t[3]]).mean() >= min_score], w, items, lengths, min_score)
-
-
-def _leaks_among(todo: list[tuple[int, int, int, int]], w: Words, items: Items, lengths: np.ndarray, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
-    todo.sort(key=lambda t: (t[3] - t[2], lengths[t[1]]))
+    at, seed = items.hits(w)
+    todo: list[tuple[int, int, int, int]] = []
+    for d in np.unique(np.searchsorted(w.bounds, at, side="right") - 1).tolist():
+        low, high = int(w.bounds[d]), int(w.bounds[d + 1])
+        own = slice(*np.searchsorted(at, [low, high]))
+        todo += [(d, i, low + a, low + b) for i, a, b in _stretches(at[own] - low, seed[own], w.hashes[low:high], items, min_score)]
+        if len(todo) >= STRETCHES:
+            yield from _leaks_among(todo, w, items, min_score)
+            todo = []
+    yield from _leaks_among(todo, w, items, min_score)
+
+
+def _leaks_among(todo: list[tuple[int, int, int, int]], w: Words, items: Items, min_score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    todo.sort(key=lambda t: (t[3] - t[2], items.lengths[t[1]]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for part in _together(todo, [t[3] - t[2] for t in todo]):
         score, end = align([w.hashes[a:b] for _, _, a, b in part], [items.words[i] for _, i, _, _ in part])
         for (d, i, a, _), s, e in zip(part, score, end, strict=True):
-            share = float(s) / (2 * lengths[i])
+            share = float(s) / (2 * int(items.lengths[i]))
             old = best.get((d, i))
             if share >= min_score and (old is None or (share, -a) > (old[0], -old[1])):
                 best[d, i] = share, int(a), int(a + e)
@@ -177,12 +249,11 @@ def _together(rows: list, rising: list[int]) -> Iterator[list]:
 
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
-    """Items in blocks of a bounded number of words, one at a time on the driver."""
+    """Items in blocks of a bounded number of bytes, one at a time on the driver. An item longer than a block is in one of its own size."""
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    n = int(-(-total // ITEM_WORDS)) or 1
+    n = int(-(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES)) or 1
     for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if n > 1 else rows.orderBy("item_id", "text").collect()
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         yield Items([r.item_id for r in block], [r.text for r in block])
 
 
@@ -201,7 +272,7 @@ def _leaks(docs: DataFrame, items: DataFrame, min_score: float, item_id: str, it
             block = shared.value
             for b in batches:
                 ids, marks = b.column(0).to_pylist(), b.column(2).to_pylist()
-                for w in words(lettered(b.column(1)), ALNUM):
+                for w in words(parted(b.column(1)), ALNUM):
                     rows = [(ids[w.first + d], block.ids[i], round(s, 6), a, e, marks[w.first + d]) for d, i, s, a, e in find_in_chunk(w, block, min_score)]
                     if rows:
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]

@@ -86,7 +86,7 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT payload_digest, max(page_id) AS kept FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
             SELECT d.page_id, d.payload_bytes, d.payload_digest,
                    CASE WHEN k.kept IS NULL OR k.kept = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-                   CASE WHEN k.kept <> d.page_id THEN k.kept END AS refers_to
+                   CASE WHEN k.kept IS DISTINCT FROM d.page_id THEN k.kept END AS refers_to
             FROM d LEFT JOIN k ON d.payload_digest = k.payload_digest AND d.payload_bytes >= 1000""",
         "op8_ngram_jaccard": r"""
             WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

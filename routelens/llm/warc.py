@@ -8,7 +8,8 @@ Tasks write archives straight to a folder that driver and executors share, under
 a manifest; only files in the manifest count, so a lost executor or a repeated task leaves at most unused files.
 
 Null html: empty payload. Null url: empty. Repeated rows: equal payload and page_id, so one of them is the response by page_id
-and rows with that page_id are all responses. Empty table: no archives, no rows. Extra columns are ignored. A payload lies in
+and rows with that page_id are all responses. Rows without a page_id revisit the response of their payload; if none of its rows has
+one, all are responses. Empty table: no archives, no rows. Extra columns are ignored. A payload lies in
 memory whole, once for each task.
 """
 
@@ -82,7 +83,7 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     found = pages.join(heavy, F.col("digest") == F.col("g"), "left").drop("g").withColumnRenamed("kept", "kept_heavy")
     rest = found.where(F.col("kept_heavy").isNull()).join(light, F.col("digest") == F.col("g"), "left").drop("g", "kept_heavy")
     both = rest.unionByName(found.where(F.col("kept_heavy").isNotNull()).withColumnRenamed("kept_heavy", "kept"))
-    own = (F.col("kept") == F.col("page_id")) | F.col("page_id").isNull() | (F.col("bytes") < min_bytes)
+    own = F.col("kept").eqNullSafe(F.col("page_id")) | (F.col("bytes") < min_bytes)
     return both.withColumn("refers_to", F.when(~own, F.col("kept"))).drop("kept")
 
 

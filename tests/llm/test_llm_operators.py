@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from routelens.llm import bpe, decontaminate, html_text, jaccard, langid, quality, sharding, topk, toxicity, warc
@@ -100,6 +101,54 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(odd(spark), items.limit(0)).count() == 0
 
 
+def test_leaks_behind_common_openings(spark, monkeypatch):
+    """Items that share an opening: the pairs are those of a seed in common and a full alignment, whatever counts as rare."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"v{k}" for k in range(60)]
+    draw = lambda n: [str(x) for x in rng.choice(vocabulary, n)]
+    opening = draw(7)
+    items = {k: opening + draw(14) for k in range(40)}
+    docs = {k: draw(10) + (opening + draw(10) if k % 3 else [w for w in items[k] if rng.random() > 0.2]) + draw(5) for k in range(40)}
+    number = {w: i for i, w in enumerate(vocabulary)}
+    code = lambda words: [number[w] for w in words]
+    runs = lambda words: {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if runs(t) & runs(x) and brute_smith_waterman(code(t), code(x)) >= 0.4 * 2 * len(x)}
+    for rare in (0, 16, 1000):
+        monkeypatch.setattr(decontaminate, "RARE", rare)
+        block = decontaminate.Items(list(items), [" ".join(v) for v in items.values()])
+        chunk = list(decontaminate.words(pa.array([" ".join(v) for v in docs.values()]), decontaminate.ALNUM))
+        assert {(d, i) for w in chunk for d, i, *_ in decontaminate.find_in_chunk(w, block, 0.4)} == want
+    assert 13 < len(want) < 1600
+
+
+def test_common_openings_cost_little():
+    rng = np.random.default_rng(4)
+    tail = lambda: " ".join(f"v{k}" for k in rng.integers(0, 5000, 20))
+    opening = "which of the following statements is true"
+    chunk = next(decontaminate.words(pa.array([f"{opening} {tail()}" for _ in range(100)]), decontaminate.ALNUM))
+    took = []
+    for n in (500, 4000):
+        items = decontaminate.Items(list(range(n)), [f"{opening} {tail()}" for _ in range(n)])
+        start = time.perf_counter()
+        assert not list(decontaminate.find_in_chunk(chunk, items, 0.4))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 5, took
+
+
+def test_leaks_in_scripts_without_blanks(spark):
+    item = "下列哪一项是光合作用的主要产物并且能够被植物储存起来"
+    docs = spark.createDataFrame([(1, "今天天气很好我们去公园散步" + item + "然后回家吃饭"), (2, "今天天气很好我们去公园散步然后回家吃饭"), (3, "そして" + item[:20] + "です")], DOCS)
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.score) for r in got) == [(1, 1.0), (3, round(20 / len(item), 6))]
+
+
+def test_blocks_of_a_benchmark(spark, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(30)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), "text")
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 500)
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(docs, items).collect()) == [(k, k, 1.0) for k in range(30)]
+
+
 def brute_smith_waterman(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):
@@ -264,6 +313,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_rows_without_ids(spark):
+    big, other, small = "b" * 1200, "o" * 1200, "s"
+    pages = spark.createDataFrame([(4, "u", big), (None, "u", big), (2, "u", big), (None, "u", big), (None, "u", other), (None, "u", other), (None, "u", small), (9, "u", small)], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in warc.round_trip(pages).collect())
+    assert got == sorted([("4", "response", "None"), ("2", "revisit", "4"), *[("None", "revisit", "4")] * 2, *[("None", "response", "None")] * 3, ("9", "response", "None")])
+
+
 def test_archives_of_long_records_have_a_dictionary(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"<p>{i} word" * 20_000) for i in range(12)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/warc"
