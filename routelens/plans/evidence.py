@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import edge_index, geo, grain, network, rca
+from ..operators import edge_index, enrich, geo, grain, network, rca
+from ..sources.files import scratch
 from ..sources.tables import table
 from . import location as L
 from .common import tidy
@@ -139,6 +140,28 @@ def a54_join_diagnostics(spark, d):
     return tidy(grain.stage_diagnostics(ev, "event_id", {"ICID": "p", "LINE": "s"}, L._bridges(spark, d)))
 
 
+def _enrichment(spark, d):
+    """Urgent orders as calls; returned and accepted lines name their order, the others have part and supplier only."""
+    calls = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("call_id"), F.col("o_custkey").alias("cell"))
+    li = table(spark, d, "lineitem").withColumns({"part": F.col("l_partkey"), "line": F.concat_ws("-", "l_suppkey", "l_partkey"), "event_id": F.concat_ws("-", "l_orderkey", "l_linenumber")})
+    keys = {"ICID": "part", "LINE": "line"}
+    exact = enrich.Source(li.where("l_returnflag <> 'N'"), "l_orderkey", keys, "l_quantity", "l_linestatus")
+    events = enrich.Source(li.where("l_returnflag = 'N'").withColumns({k: F.when(F.col("l_linenumber") < 6, F.col(k)) for k in keys.values()}), "event_id", keys, "l_quantity", "l_linestatus")
+    return enrich.two_stage(calls, "call_id", exact, events, scratch(spark, "enrichment"))
+
+
+def c4_enriched(spark, d):
+    return tidy(_enrichment(spark, d)["enriched"])
+
+
+def c4_quarantine(spark, d):
+    return tidy(_enrichment(spark, d)["quarantine"])
+
+
+def c4_diagnostics(spark, d):
+    return tidy(_enrichment(spark, d)["diagnostics"])
+
+
 def a8_source_counts(spark, d):
     """Rows and distinct keys of orders, and of a key inside JSON."""
     o = table(spark, d, "orders").withColumn("js", F.to_json(F.struct(F.col("o_custkey").alias("k"))))
@@ -195,6 +218,17 @@ _NET = EVID + """, nt AS (SELECT sc.routed, sc.market, sc.score, sc.calls, sc.co
       WHEN 5 THEN 'SIP misroute=' || s1 || '; correct control=' || s0 WHEN 6 THEN 'IMS P-CSCF misroute=' || i1 || '; correct control=' || i0 ELSE 'No single GMLC/IMS/CCDR mode clearly differs from controls' END AS sign,
     CASE WHEN k <= 3 THEN 'STRONG ASSOCIATION' WHEN k = 8 THEN 'GEOMETRY EVIDENCE ONLY' ELSE 'SUPPORTING ASSOCIATION' END AS strength FROM nk)"""
 
+_GRAIN = ", ".join(f"{{1}}.{c} AS {{0}}_{n}" for n, c in (("rows", "n"), ("sum", "s"), ("min", "lo"), ("max", "hi"), ("mode", "v"), ("share", "share")))
+_ENRICH = """w AS (SELECT o_orderkey AS call_id, o_custkey AS cell FROM orders WHERE o_orderpriority = '1-URGENT'), li AS (SELECT *, l_suppkey || '-' || l_partkey AS line, l_orderkey || '-' || l_linenumber AS event_id FROM lineitem),
+    ex AS (SELECT l_orderkey AS call_id, l_partkey::VARCHAR AS part, line, l_quantity AS q, l_linestatus AS v FROM li WHERE l_returnflag <> 'N' AND l_orderkey IN (SELECT call_id FROM w)),
+    br AS (SELECT kind, key, count(DISTINCT call_id) AS c, min(call_id) AS call_id FROM (SELECT call_id, 'ICID' AS kind, part AS key FROM ex UNION ALL SELECT call_id, 'LINE', line FROM ex) GROUP BY 1, 2),
+    en AS (SELECT event_id, l_linenumber < 6 AS keyed, l_partkey::VARCHAR AS part, line, l_quantity AS q, l_linestatus AS v FROM li WHERE l_returnflag = 'N'),
+    hit AS (SELECT event_id, count(DISTINCT b.call_id) FILTER (c = 1) AS n, min(b.call_id) FILTER (c = 1) AS call_id FROM en JOIN br b ON keyed AND (kind = 'ICID' AND key = part OR kind = 'LINE' AND key = line) GROUP BY 1),
+    rs AS (SELECT en.*, CASE WHEN n = 1 THEN call_id END AS call_id, CASE WHEN NOT keyed THEN 'NO_KEY' WHEN n IS NULL THEN 'NO_BRIDGE' WHEN n = 0 THEN 'QUARANTINED_KEYS' WHEN n = 1 THEN 'MATCHED' ELSE 'CALLS_DISAGREE' END AS reason FROM en LEFT JOIN hit USING (event_id))""" + "".join(
+    f""", {k} AS (SELECT call_id, sum(m)::BIGINT AS n, round(sum(sq)::DOUBLE, 6) AS s, round(min(lo)::DOUBLE, 6) AS lo, round(max(hi)::DOUBLE, 6) AS hi, first(v ORDER BY m DESC, v) AS v, round(max(m)::DOUBLE / sum(m), 6) AS share FROM (SELECT call_id, v, count(*) AS m, sum(q) AS sq, min(q) AS lo, max(q) AS hi FROM {t} GROUP BY 1, 2) GROUP BY 1)"""
+    for k, t in (("ka", "ex"), ("kb", "rs WHERE reason = 'MATCHED'"))
+)
+
 QUERIES = {
     "c19_nearest_points": (c19_nearest_points, _q("""SELECT call_id, side, psap_id, round(p.x, 6) AS near_x, round(p.y, 6) AS near_y, p.d AS distance FROM (SELECT c.call_id, side, c.psap_id, min({'d': round(sqrt((ax + t * (bx - ax)) * (ax + t * (bx - ax)) + (ay + t * (by_ - ay)) * (ay + t * (by_ - ay))), 3), 'x': round(x1 + t * (x2 - x1), 9), 'y': round(y1 + t * (y2 - y1), 9)}) AS p
         FROM (SELECT call_id, unnest(['routed', 'expected']) AS side, unnest([routed, expected]) AS psap_id FROM (SELECT *, row_number() OVER (PARTITION BY routed, expected ORDER BY round(d_routed, 2) DESC, call_id) AS r FROM l WHERE label = 1) WHERE r <= 10) c JOIN e2 ON e2.call_id = c.call_id AND e2.psap_id = c.psap_id GROUP BY 1, 2, 3)""", L.LABELS)),
@@ -225,5 +259,9 @@ QUERIES = {
     "j9_representative_rows": (j9_representative_rows, _q("SELECT call_id, count(*) OVER (PARTITION BY call_id) AS n_rows, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM ln QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY l_linenumber, l_linestatus, l_quantity NULLS FIRST, l_tax NULLS FIRST) = 1", _LN)),
     "j5_key_coverage": (j5_key_coverage, _q("SELECT left_key, right_key, round(coverage, 6) AS coverage, coverage >= 0.5 AND row_number() OVER (ORDER BY coverage DESC, left_key DESC, right_key DESC) = 1 AS accepted FROM cv", f"cv AS ({_COV})")),
     "a54_join_diagnostics": (a54_join_diagnostics, _q("SELECT kind AS stage, sum(n)::BIGINT AS eligible, coalesce(sum(n) FILTER (c = 1), 0)::BIGINT AS matched, count(*) FILTER (c = 1) AS safe_keys, count(*) FILTER (c > 1) AS quarantined_keys, coalesce(sum(n) FILTER (c > 1), 0)::BIGINT AS quarantined_events, round((coalesce(sum(n) FILTER (c = 1), 0))::DOUBLE / sum(n), 6) AS coverage FROM bk GROUP BY 1", "bk AS (SELECT kind, key, count(*) AS n, count(DISTINCT call_id) AS c FROM (SELECT 'ICID' AS kind, l_partkey::VARCHAR AS key, l_orderkey AS call_id FROM lineitem UNION ALL SELECT 'LINE', l_suppkey || '-' || l_partkey, l_orderkey FROM lineitem) GROUP BY 1, 2)")),
+    "c4_enriched": (c4_enriched, _q(f"SELECT call_id, cell, {_GRAIN.format('exact', 'a')}, {_GRAIN.format('bridged', 'b')} FROM w LEFT JOIN ka a USING (call_id) LEFT JOIN kb b USING (call_id)", _ENRICH)),
+    "c4_quarantine": (c4_quarantine, _q("SELECT kind, key, c AS n_calls FROM br WHERE c > 1", _ENRICH)),
+    "c4_diagnostics": (c4_diagnostics, _q("""SELECT stage, count(*) AS source_rows, count(*) FILTER (reason <> 'NO_KEY') AS eligible_rows, count(*) FILTER (reason = 'MATCHED') AS matched_rows, count(DISTINCT call_id) FILTER (reason = 'MATCHED') AS calls, count(*) FILTER (reason = 'NO_KEY') AS no_key, count(*) FILTER (reason = 'NO_BRIDGE') AS no_bridge, count(*) FILTER (reason = 'QUARANTINED_KEYS') AS quarantined_keys, count(*) FILTER (reason = 'CALLS_DISAGREE') AS calls_disagree,
+        round((count(*) FILTER (reason = 'MATCHED'))::DOUBLE / nullif(count(*) FILTER (reason <> 'NO_KEY'), 0), 6) AS coverage FROM (SELECT 'BRIDGED' AS stage, reason, call_id FROM rs UNION ALL SELECT 'EXACT', CASE WHEN l_orderkey IN (SELECT call_id FROM w) THEN 'MATCHED' ELSE 'NO_BRIDGE' END, l_orderkey FROM lineitem WHERE l_returnflag <> 'N') GROUP BY 1""", _ENRICH)),
     "a8_source_counts": (a8_source_counts, "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_custkey) AS json_customers FROM orders"),
 }
