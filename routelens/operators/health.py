@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 QUANTILES = ("q05", "q25", "q50", "q75", "q95", "q99")
 
 
@@ -13,8 +15,13 @@ def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean, population deviation, extremes and quantiles of finite values."""
     x = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf")), F.col(value).cast("double"))
     marks = [int(q[1:]) / 100 for q in QUANTILES]
-    out = rows.withColumn("__x", x).groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max"), F.percentile("__x", F.array(*map(F.lit, marks))).alias("__q"))
-    return out.select(*by, "n", "mean", "std", "min", "max", *(F.col("__q")[i].alias(q) for i, q in enumerate(QUANTILES)))
+    rows = rows.withColumn("__x", x)
+    out = rows.groupBy(*by).agg(F.count("__x").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max"))
+    found = quantiles(rows, by, "__x", marks, "__q").withColumnsRenamed({c: f"__{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
+    return out.join(found, same, "left").select(*by, "n", "mean", "std", "min", "max", *(F.col("__q")[i].alias(q) for i, q in enumerate(QUANTILES)))
 
 
 def psi(reference: DataFrame, current: DataFrame, value: str, by: list[str], bins: int = 10, floor: float = 1e-6) -> DataFrame:
@@ -24,13 +31,11 @@ def psi(reference: DataFrame, current: DataFrame, value: str, by: list[str], bin
     """
     key = by or [F.lit(1).alias("__all")]
     names = by or ["__all"]
-    marks = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
     side = lambda df, s: df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*key, F.col(value).cast("double").alias("x"), F.lit(s).alias("s"))
     both = side(reference, 0).unionByName(side(current, 1))
     ref = F.col("s") == 0
-    edges = both.groupBy(*names).agg(
-        F.array_distinct(F.percentile(F.when(ref, F.col("x")), marks)).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.when(ref, 1)).alias("nr"), F.count(F.when(~ref, 1)).alias("nc")
-    )
+    deciles = quantiles(both.where(ref), names, "x", [i / bins for i in range(bins + 1)], "e").withColumn("e", F.array_distinct("e"))
+    edges = both.groupBy(*names).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.when(ref, 1)).alias("nr"), F.count(F.when(~ref, 1)).alias("nc")).join(deciles, names, "left")
     equal = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins)
     edges = edges.withColumn("e", F.when(F.size("e") < 3, equal).otherwise(F.col("e"))).withColumn("inner", F.slice("e", 2, F.size("e") - 2))
     counts = both.join(F.broadcast(edges) if not by else edges, names).withColumn("bin", F.size(F.filter("inner", lambda b: b <= F.col("x"))))
