@@ -3,14 +3,14 @@
 A tree builder reads tags as browsers do: void elements, raw text, and implied tags (a paragraph ends before a block, a list item
 before the next, cells imply rows and rows imply table bodies, text out of place in a table moves before it). Visibility rules drop
 what is not shown: head, script, style, template, noscript, closed details and dialogs, and what hidden attributes, inline styles
-and style sheets hide by display or visibility. Of style sheets the rules that hold on any screen count (not those for print, or
-under conditions such as a width), with selectors of tags, classes and ids, by their usual precedence; selectors with combinators,
-attributes or pseudo-classes are not followed. Visibility is inherited, and a visible element within a hidden one is shown. The
+and style sheets hide by display or visibility. Of style sheets the rules count that hold on a screen SCREEN_WIDTH pixels wide (not
+those for print, or under conditions on anything but widths), with selectors of tags, classes and ids and of descendants and children
+of such, by their usual precedence; selectors with siblings, attributes or pseudo-classes are not followed. Visibility is inherited, and a visible element within a hidden one is shown. The
 rest, values of text fields and texts of math and svg among it, is rendered: blank lines around paragraphs, headings, lists and
 tables, line breaks between other blocks, markers and indents of lists, `> ` before quotations, preformatted text as it is, and
 table cells aligned in columns, spans included.
 
-No text is cut and no hidden text shown, however large or deep the page. Layout alone has limits: cells with others behind them are
+No text is cut and none shown that these rules hide, however large or deep the page. Layout alone has limits: cells with others behind them are
 wrapped between words at WIDEST characters, a cell that reaches into the next column moves what follows to another line, rows of
 tables wider than WIDE_TABLE have a line for each cell, tables within DEEPEST others are rendered as blocks, and indents stop at
 INDENTS levels. Spans count up to the bounds of the HTML standard. So time and output are linear in the page, but for rows under
@@ -68,14 +68,18 @@ _ATTR = re.compile(r"""(=?[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _COMMENT_END = re.compile(r"--!?>")
 _CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+#: Pixels, and pixels of a unit of length, for conditions on the width of the screen.
+SCREEN_WIDTH, PIXELS = 1280, {"px": 1, "em": 16, "rem": 16}
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([0-9]*\.?[0-9]+)(px|em|rem)\s*\)")
 _COMPOUND = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][A-Za-z_-][\w-]*)*)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "rules")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.rules: list[tuple] = []  # of selectors that look at elements around this one
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -270,7 +274,16 @@ def css_rules(sheet: str) -> Iterator[tuple[str, str]]:
 
 
 def _on_screen(queries: str) -> bool:
-    return any(q.strip().lower() in ("", "all", "screen", "only screen", "only all", "not print") for q in queries.split(","))
+    return any(_holds([part.strip() for part in re.split(r"\band\b", q.lower())]) for q in queries.split(","))
+
+
+def _holds(parts: list[str]) -> bool:
+    """Whether all parts of a media query hold on the screen."""
+    if parts[0] == "not print":
+        return True
+    widths = parts[1:] if parts[0] in ("", "all", "screen", "only screen", "only all") else parts
+    found = [_WIDTH.fullmatch(part) for part in widths]
+    return all(m is not None and (float(m[2]) * PIXELS[m[3]] <= SCREEN_WIDTH if m[1] == "min" else float(m[2]) * PIXELS[m[3]] >= SCREEN_WIDTH) for m in found)
 
 
 def _declared(declarations: str) -> dict[str, tuple[bool, str]]:
@@ -286,42 +299,82 @@ def _declared(declarations: str) -> dict[str, tuple[bool, str]]:
     return out
 
 
+def _names(node: Node) -> set[str]:
+    """Classes and id of an element, as selectors name them."""
+    return {"." + c for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if "id" in node.attrs else set())
+
+
 class Styles:
     """Rules of style sheets about display and visibility."""
 
     def __init__(self, sheets: list[str]):
         self.simple: dict[str, dict[str, tuple]] = {}
         self.compound: dict[str, list[tuple]] = {}
+        self.chains: list[tuple] = []
+        self.starts: dict[str, list[int]] = {}
         order = 0
         for selectors, declarations in (r for s in sheets for r in css_rules(s)):
             declared = _declared(declarations)
             for selector in selectors.split(",") if declared else ():
-                m = _COMPOUND.fullmatch(selector.strip())
-                if m is None or not m[0]:
+                steps = re.split(r"\s*(>)\s*|\s+", selector.strip())
+                found = [_COMPOUND.fullmatch(step) for step in steps[::2]]
+                if not all(m is not None and m[0] for m in found):
                     continue
                 order += 1
-                tag, parts = (m[1] or "").lower().replace("*", ""), re.findall(r"[.#][^.#]+", m[2])
-                weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), int(bool(tag)))
-                key = max(parts, key=lambda p: p[0] == "#", default=tag or "*")
-                for name, (important, value) in declared.items():
-                    rule = ((important, *weight, order), value)
+                chain = [((m[1] or "").lower().replace("*", ""), frozenset(re.findall(r"[.#][^.#]+", m[2]))) for m in found]
+                every = [p for _, parts in chain for p in parts]
+                weight = (sum(p[0] == "#" for p in every), sum(p[0] == "." for p in every), sum(bool(tag) for tag, _ in chain))
+                rules = [(name, ((important, *weight, order), value)) for name, (important, value) in declared.items()]
+                tag, parts = chain[0]
+                key = max(sorted(parts), key=lambda p: p[0] == "#", default=tag or "*")
+                if len(chain) > 1:
+                    self.starts.setdefault(key, []).append(len(self.chains))
+                    self.chains.append((chain, [sign == ">" for sign in steps[1::2]], rules))
+                    continue
+                for name, rule in rules:
                     if len(parts) + bool(tag) <= 1:
                         held = self.simple.setdefault(key, {})
                         held[name] = max(held.get(name, rule), rule)
                     else:
-                        self.compound.setdefault(key, []).append((tag, frozenset(parts), name, rule))
+                        self.compound.setdefault(key, []).append((tag, parts, name, rule))
+
+    def follow(self, root: Node) -> None:
+        """Gives each element the rules whose selectors look at the elements that it lies in.
+
+        One walk down the tree carries how far each selector has been met: by any element above, or by the parent for a child. An element
+        is asked about those states and the selectors that may begin with it, however deep it lies.
+        """
+        stack: list[tuple[Node, frozenset, set]] = [(root, frozenset(), set())] if self.chains else []
+        while stack:
+            node, below, of_parent = stack.pop()
+            names, of_node = _names(node), set()
+            begin = {(i, 0) for key in (node.tag, "*", *names) for i in self.starts.get(key, ())}
+            for i, k in begin | below | of_parent:
+                chain, direct, rules = self.chains[i]
+                tag, parts = chain[k]
+                if (tag and tag != node.tag) or not parts <= names:
+                    continue
+                if k + 1 == len(chain):
+                    node.rules.extend(rules)
+                elif direct[k]:
+                    of_node.add((i, k + 1))
+                elif (i, k + 1) not in below:
+                    below = below | {(i, k + 1)}
+            stack += [(child, below, of_node) for child in node.children if not isinstance(child, str)]
 
     def of(self, node: Node) -> tuple[bool, str | None]:
         """Whether the element is displayed, and its own visibility, if it has one."""
         a, best = node.attrs, {}
         if self.simple or self.compound:
-            names = {"." + c for c in a.get("class", "").split()} | ({"#" + a["id"]} if "id" in a else set())
+            names = _names(node)
             for key in (node.tag, "*", *names):
                 for name, rule in self.simple.get(key, {}).items():
                     best[name] = max(best.get(name, rule), rule)
                 for tag, parts, name, rule in self.compound.get(key, ()):
                     if (not tag or tag == node.tag) and parts <= names:
                         best[name] = max(best.get(name, rule), rule)
+        for name, rule in node.rules:
+            best[name] = max(best.get(name, rule), rule)
         if "style" in a:
             for name, (important, value) in _declared(a["style"]).items():
                 rule = ((important, 1 << 30), value)
@@ -577,6 +630,7 @@ def page_text(page: str) -> tuple[str, str | None]:
     """Visible text with its layout, and the title."""
     root, sheets, title = build(page)
     styles = Styles(sheets)
+    styles.follow(root)
     displayed, visibility = styles.of(root)
     renderer = Renderer(styles, shown=visibility not in ("hidden", "collapse"))
     if displayed:

@@ -466,6 +466,13 @@ VISIBLE = {
     "<style>div.h{display:none} .h{color:red} #i.h{visibility:hidden}</style><div class=h>no</div><p class=h>yes<p id=i class=h>no": "yes",
     "<style>.m{display:none} .m.open{display:block}</style><div class=m>no</div><div class='m open'>yes</div>": "yes",
     "<style>p{display:none!important} #x{display:block}</style><p id=x>no</p><p style='display:block'>no": "",
+    "<style>.menu .h{display:none}</style><div class=menu><p><b class=h>no</b>yes</div><b class=h>yes</b>": "yes\n\nyes",
+    "<style>.a>.b{display:none}</style><div class=a><p class=b>no</p><i><b class=b>yes</b></i></div>": "yes",
+    "<style>ul li > #x.k i{display:none} #x i{display:inline}</style><ul><li><p id=x class=k><i>no</i>yes</ul><i>yes</i>": "- yes\n\nyes",
+    "<style>.o .i .h{display:none} .o .s{display:block}</style><div class=o><div class=o><p class=h>yes<div class=i><div><p class='h'>no<p class='h s' style='display:block'>yes": "yes\n\nyes",
+    "<style>p + b{display:none} a[x] b{display:none} > b{display:none}</style><p>1</p><b>2</b>": "1\n\n2",
+    "<style>@media (min-width:1px){.a{display:none}} @media screen and (max-width: 40em){.b{display:none}} @media only screen and (min-width:600px) and (max-width:2000px){.c{display:none}} @media (orientation:landscape){.d{display:none}}</style><p class=a>no<p class=b>yes<p class=c>no<p class=d>yes": "yes\n\nyes",
+    "<style>table.t td.h{display:none}</style><table class=t><tr><td>1<td class=h>no<td>2</table>": "1  2",
     "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>": "yes",
     "a<!-- x --!>b<!-- y -->c": "abc",
     "<input value=v> <input type=password value=no><input type=hidden value=no>": "v",
@@ -500,6 +507,39 @@ def test_rendering_takes_linear_time(page):
     assert seconds(8000) < 0.1 + 3.5 * seconds(4000)
 
 
+def test_selectors_equal_brute_force():
+    """Random trees and selectors of descendants and children against a matcher that tries every path upwards."""
+    rng = np.random.default_rng(8)
+    pick = lambda n: "".join(rng.choice(list("abc"), n))
+
+    def meets(path, steps, direct):
+        node, *above = path[::-1]
+        if not steps[-1] <= node:
+            return False
+        rest = path[:-1]
+        if len(steps) == 1:
+            return True
+        tries = [rest] if direct[-1] else [rest[:k] for k in range(len(rest), 0, -1)]
+        return any(t and meets(t, steps[:-1], direct[:-1]) for t in tries)
+
+    hidden = 0
+    for _ in range(200):
+        selectors = [([set(pick(rng.integers(1, 3))) for _ in range(n)], [bool(x) for x in rng.integers(0, 2, n - 1)]) for n in rng.integers(2, 4, 2)]
+        css = "".join("".join("".join(f".{c}" for c in sorted(s)) + (" > " if k < len(d) and d[k] else " ") for k, s in enumerate(steps)) + "{display:none}" for steps, d in selectors)
+        path, want, page = [], [], f"<style>{css}</style>"
+        for k in range(14):
+            while path and rng.random() < 0.35:
+                path.pop()
+                page += "</div>"
+            path.append(set(pick(rng.integers(1, 3))))
+            page += f"<div class='{' '.join(path[-1])}'>w{k}"
+            if not any(meets(path[:n], *s) for n in range(1, len(path) + 1) for s in selectors):
+                want.append(f"w{k}")
+        hidden += 14 - len(want)
+        assert html_text.page_text(page)[0].split() == want
+    assert 200 < hidden < 2600
+
+
 def test_extract(spark):
     rows = [(1, "u", "<title>T</title><p>a"), (2, None, None), (2, None, None), (3, "v", "")]
     got = html_text.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
