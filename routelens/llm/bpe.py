@@ -22,6 +22,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .words import chunks, prefix_hashes, text_buffer
 
-ARC_BITS, LONG_WORD = 21, 256
+#: The table of known arcs doubles from the first of these sizes to the second, and starts anew beyond.
+LEAST_ARC_BITS, ARC_BITS, LONG_WORD = 16, 21, 256
 #: Characters of a text that are split at a time.
 PIECE = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -154,6 +157,18 @@ class HashedTable:
             keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
 
 
+    def roomy(self, more: int, most_bits: int) -> HashedTable:
+        """A table at most half full with so many keys more: this one, a larger one with its keys, or an empty one if that had over most_bits."""
+        if 2 * (self.used + more) <= len(self.keys):
+            return self
+        bits = (2 * (self.used + more) - 1).bit_length()
+        if bits > most_bits:
+            return HashedTable(max(most_bits, 1 + more.bit_length()), self.values.dtype.type)
+        out, here = HashedTable(bits, self.values.dtype.type), np.flatnonzero(self.keys >= 0)
+        out.put(self.keys[here], self.values[here])
+        return out
+
+
 class Automaton:
     """Compiled from the text of a tokenizer file with a byte-level BPE model."""
 
@@ -165,26 +180,28 @@ class Automaton:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         labels |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.labels = [labels.get(i, b"") for i in range(max(labels, default=-1) + 1)]
-        self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
-        self.label_size = np.array([len(x) for x in self.labels], np.int64)
+        every = [labels.get(i, b"") for i in range(max(labels, default=-1) + 1)]
+        self.label_bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.label_size = np.array([len(x) for x in every], np.int64)
         self.label_start = np.cumsum(self.label_size) - self.label_size
 
-        #: The state table: arcs removed from a state, the state it was copied from, and the rank at which it was.
-        self.removed: dict[tuple[int, int], int] = {}
-        self.copied: dict[int, int] = {}
-        self.born: dict[int, int] = {vocab[c]: 0 for c in letters if c in vocab}
+        #: The state table: arcs removed from a state, the state it was copied from, and the rank at which it was (-1: none).
+        self.removed: dict[int, int] = {}
+        self.copied, self.born = array("i", [-1]) * len(every), array("i", [-1]) * len(every)
         #: The arc along which each arc was added.
-        self.along: dict[int, int] = {}
+        self.along = array("i", [-1]) * len(every)
+        for c in letters:
+            if c in vocab:
+                self.born[vocab[c]] = 0
         for rank, pair in enumerate(model["merges"], 1):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(vocab[a], vocab[b], vocab[a + b], rank)
         self._compile_bytes()
-        self.arcs = HashedTable(ARC_BITS, np.int8)
+        self.arcs = HashedTable(LEAST_ARC_BITS, np.int8)
 
     def _gadget(self, u: int, v: int, uv: int, rank: int) -> None:
-        if u in self.born and v in self.born and uv not in self.born and self._arc(u, v, rank):
-            self.removed[u, v] = rank
+        if self.born[u] >= 0 and self.born[v] >= 0 and self.born[uv] < 0 and self._arc(u, v, rank):
+            self.removed[u << 32 | v] = rank
             self.along[uv], self.copied[uv], self.born[uv] = u, v, rank
 
     def _arc(self, state: int, token: int, now: int) -> bool:
@@ -198,55 +215,49 @@ class Automaton:
         while True:
             at, limit = state, until
             while True:
-                rank = removed.get((at, part))
+                rank = removed.get(at << 32 | part)
                 if rank is not None and rank < limit:
                     return False
                 limit = min(limit, born[at])
-                if at not in self.copied:
+                if self.copied[at] < 0:
                     break
                 at = self.copied[at]
-            if part not in self.along:
+            if self.along[part] < 0:
                 return True
             until = min(until, born[part] + 1)  # a merge (u, u) takes the arc u from the copy before uv is added
             part = self.along[part]
 
     def _compile_bytes(self) -> None:
         """Byte transitions over the labels of all arcs, and the arc whose label ends at each node (-1: none)."""
-        self.step: dict[int, int] = {}
-        token_at = [-1]
-        for token in self.born:
-            node = 0
-            for byte in self.labels[token]:
-                key = node << 8 | byte
-                after = self.step.get(key)
-                if after is None:
-                    after = self.step[key] = len(token_at)
-                    token_at.append(-1)
-                node = after
-            token_at[node] = token
-        self.token_at = np.array(token_at, np.int32)
-        self.steps = HashedTable(2 + len(self.step).bit_length(), np.int32)
-        self.steps.put(np.fromiter(self.step, np.int64, len(self.step)), np.fromiter(self.step.values(), np.int32, len(self.step)))
+        token = np.flatnonzero(np.frombuffer(self.born, np.int32) >= 0)
+        node, n, length = np.zeros(len(token), np.int64), 1, 0
+        keys, ends = [np.zeros(0, np.int64)], []
+        while len(token):
+            over = self.label_size[token] == length
+            ends.append((node[over], token[over]))
+            node, token = node[~over], token[~over]
+            key, which = np.unique(node << 8 | self.label_bytes[self.label_start[token] + length], return_inverse=True)
+            keys.append(key)
+            node, n, length = n + which, n + len(key), length + 1
+        self.token_at = np.full(n, -1, np.int32)
+        for node, token in ends:
+            self.token_at[node] = token
+        self.steps = HashedTable(2 + n.bit_length(), np.int32)
+        self.steps.put(np.concatenate(keys), np.arange(1, n, dtype=np.int32))
 
     def has_arcs(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         key = state.astype(np.int64) << 32 | token
         found = self.arcs.get(key)
         if len(new := np.unique(key[found < 0])):
-            if self.arcs.used + len(new) > 1 << (ARC_BITS - 1):
-                self.arcs = HashedTable(max(ARC_BITS, 1 + len(new).bit_length()), np.int8)
+            self.arcs = self.arcs.roomy(len(new), ARC_BITS)
             self.arcs.put(new, np.array([self._arc(k >> 32, k & 0xFFFFFFFF, 1 << 60) for k in new.tolist()], np.int8))
             missing = np.flatnonzero(found < 0)
             found[missing] = self.arcs.get(key[missing])
         return found > 0
 
-    def encode_words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that lie end to end in data, one word after another, and the number of each word's."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(size), np.int64)
-        first = (np.cumsum(size) - size).astype(np.int32)
-        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        end = (first + size.astype(np.int32))[word]
-        at, node, length = np.arange(len(data), dtype=np.int32), self.steps.get(data.astype(np.int64)), 1
+    def _labels_at(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and token of the labels that start at these places of data and go no farther than the place's end."""
+        node, length = self.steps.get(data[at].astype(np.int64)), 1
         starts, lengths, tokens = [], [], []
         while len(at):
             at, node = at[node >= 0], node[node >= 0]
@@ -259,7 +270,16 @@ class Automaton:
             at = at[more]
             node = self.steps.get(node[more].astype(np.int64) << 8 | data[at + length])
             length += 1
-        start, length, token = np.concatenate(starts), np.concatenate(lengths), np.concatenate(tokens)
+        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(tokens)
+
+    def encode_words(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie end to end in data, one word after another, and the number of each word's."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(size), np.int64)
+        first = (np.cumsum(size) - size).astype(np.int32)
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        end = (first + size.astype(np.int32))[word]
+        start, length, token = self._labels_at(data, np.arange(len(data), dtype=np.int32), end)
         into = (start - first[word[start]]).astype(np.uint16)
         order = np.argsort(into, kind="stable")
         slot = (start + word[start])[order]  # a word of n bytes has n + 1 places
@@ -270,6 +290,8 @@ class Automaton:
         state[begin] = -1  # the first state has every arc
         for lo, hi in zip(borders, borders[1:]):
             before = state[slot[lo:hi]]
+            if (before == -2).any():
+                raise ValueError("the vocabulary lacks a byte")
             ok = before == -1 if lo == 0 else self.has_arcs(before, token[lo:hi])
             to = after[lo:hi][ok]
             state[to], back[to] = token[lo:hi][ok], length[lo:hi][ok]
@@ -285,22 +307,23 @@ class Automaton:
 
     def encode_long(self, word: bytes) -> list[int]:
         """The same for one word of any length."""
-        n, step, token_at = len(word), self.step, self.token_at
+        n, data = len(word), np.frombuffer(word, np.uint8)
         state, back, known = [-2] * (n + 1), [0] * (n + 1), {}
         state[0] = -1
-        for i in range(n):
-            node, before = 0, state[i]
-            for j in range(i, n):
-                node = step.get(node << 8 | word[j])
-                if node is None:
-                    break
-                token = int(token_at[node])
-                if token >= 0:
-                    there = before == -1 or known.get((before, token))
-                    if there is None:
-                        there = known[before, token] = self._arc(before, token, 1 << 60)
-                    if there:
-                        state[j + 1], back[j + 1] = token, j + 1 - i
+        for lo in range(0, n, PIECE):
+            start, length, token = self._labels_at(data, np.arange(lo, min(lo + PIECE, n)), np.broadcast_to(n, n))
+            order = np.argsort(start, kind="stable")
+            for i, size, part in zip(start[order].tolist(), length[order].tolist(), token[order].tolist(), strict=True):
+                before = state[i]
+                if before == -2:
+                    raise ValueError("the vocabulary lacks a byte")
+                there = before == -1 or known.get((before, part))
+                if there is None:
+                    there = known[before, part] = self._arc(before, part, 1 << 60)
+                if there:
+                    state[i + size], back[i + size] = part, size
+        if state[n] == -2:
+            raise ValueError("the vocabulary lacks a byte")
         ids, i = [], n
         while i:
             ids.append(state[i])
@@ -414,7 +437,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", d
                 decoded, at = automaton.decode_ids(ids)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], packed.cast(pa.binary()), _strings(decoded, at[bounds])], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary, decoded string")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digest(encoded: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, saved
+from .common import broadcast_if_small, free_name, map_batches, saved
 from .words import ALNUM, Words, lettered, mix, shingles, text_buffer, words
 
 SEED_WORDS, RARE, ITEM_BYTES, PLACES, CELLS = 3, 16, 6_000_000, 1_000_000, 1 << 20
@@ -278,7 +278,7 @@ def _leaks(docs: DataFrame, items: DataFrame, min_score: float, item_id: str, it
                         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word", "mark"])
 
-        part = docs.mapInArrow(find, "doc_id long, item_id long, score double, first_word long, last_word long, mark long")
+        part = map_batches(docs, find, "doc_id long, item_id long, score double, first_word long, last_word long, mark long")
         out = part if out is None else out.unionByName(part)
     return out
 

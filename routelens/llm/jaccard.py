@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, saved
+from .common import broadcast_if_small, free_name, map_batches, saved
 from .graph import components, thinned
 from .words import mix, shingles, words
 
@@ -157,7 +157,7 @@ def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         yield from _batches(rows(), ["doc_id", "n", "cls", "keys", "bits", "hash"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, cls long, keys binary, bits binary, hash long")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text")), run, "doc_id long, n long, cls long, keys binary, bits binary, hash long")
 
 
 def _tile_rows(classes: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _tile_rows(classes: DataFrame) -> DataFrame:
                 cls = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(cls)], names=["key", "cls"])
 
-    return classes.select("cls", "keys").mapInArrow(run, "key long, cls long")
+    return map_batches(classes.select("cls", "keys"), run, "key long, cls long")
 
 
 def _possible(weak_rows: DataFrame, with_keys: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _possible(weak_rows: DataFrame, with_keys: DataFrame, percent: int) -> DataF
     cut = weak_rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(F.lit(6), "cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("cls", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
     rows = with_keys.select("cls", "n", "bits").join(cut, "cls").select("tile", "cls", "n", "bits")
-    return rows.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(run, "a long, b long")
+    return map_batches(rows.repartition("tile").sortWithinPartitions("tile", "cls"), run, "a long, b long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _compare_units(rows: DataFrame, size: int, percent: int) -> DataFrame:
         if out:
             yield _link_rows(out)
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "cls", "role").select("unit", "cls", "role", "text").mapInArrow(run, "a long, b long")
+    return map_batches(rows.repartition("unit").sortWithinPartitions("unit", "cls", "role").select("unit", "cls", "role", "text"), run, "a long, b long")
 
 
 def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, free_name, held_out
+from .common import bounded_sample, free_name, held_out, map_batches
 from .words import NON_SPACE, chunks, text_buffer, words
 
 SPACE, FACTORS, BINS = 8192, 8, 8
@@ -191,7 +191,7 @@ def score_documents(docs: DataFrame, model: Machine | None, threshold: float = 0
                 score = score_texts(part.column(at), np.stack(more, axis=1) if more else np.zeros((part.num_rows, 0)), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, named])
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
+    scored = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
     return scored.withColumn(held, held_out(F.col(doc_id))).withColumn(predicted, (F.col(named) >= threshold).cast("int"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, free_name, held_out
+from .common import bounded_sample, free_name, held_out, map_batches
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
 
 SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 96, 96, 3
@@ -260,7 +260,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray]
                 score = score_texts(part.column(at), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, named])
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
+    scored = map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(named, T.DoubleType())]))
     return scored.withColumn(held, held_out(F.col(doc_id))).withColumn(predicted, (F.col(named) >= threshold).cast("int"))
 
 
