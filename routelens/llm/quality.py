@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, free_name, held_out, map_batches
+from .common import fitted, free_name, held_out, map_batches, sample_rows
 from .words import NON_SPACE, chunks, text_buffer, words
 
 SPACE, FACTORS, BINS = 8192, 8, 8
@@ -169,11 +169,11 @@ def score_texts(texts: pa.Array, metadata: np.ndarray, machine: Machine | None)
 
 def learn(docs: DataFrame, labelled: DataFrame, metadata: tuple[str, ...] = (), text: str = "text", doc_id: str = "doc_id") -> Machine | None:
     """labelled: doc_id and label (0 or 1) of documents in docs; metadata: numeric columns of docs."""
-    drawn = bounded_sample(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text, metadata)
-    if not drawn:
+    drawn = sample_rows(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text, metadata)
+    if drawn is None:
         return None
     prior = labelled.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg("label")).first()[0]
-    return fit([(t, [np.nan if v is None else float(v) for v in more], int(y)) for t, y, *more in drawn], float(prior))
+    return fitted(drawn, lambda rows: fit([(t, [np.nan if v is None else float(v) for v in more], int(y)) for t, y, *more in rows], float(prior)))
 
 
 def score_documents(docs: DataFrame, model: Machine | None, threshold: float = 0.3, metadata: tuple[str, ...] = (), text: str = "text", doc_id: str = "doc_id") -> DataFrame:

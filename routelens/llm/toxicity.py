@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, free_name, held_out, map_batches
+from .common import fitted, free_name, held_out, map_batches, sample_rows
 from .words import ALNUM, LOWER, NON_SPACE, chunks, text_buffer
 
 SPAN, DECAY, LANDMARKS, PLAIN_LANDMARKS, LEAST_DOCS = 5, 0.5, 96, 96, 3
@@ -127,13 +127,22 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] |
     if len(set(label.tolist())) < 2:
         return None
     data, offsets = text_buffer(pc.utf8_lower(pa.array(texts, pa.string())))
-    chars, starts, doc, place = tokens(LOWER[data], offsets)
-    ends = np.append(starts[1:], len(chars))
-    raw = chars.tobytes()
     vocabulary: dict[bytes, int] = {}
-    word = np.array([vocabulary.setdefault(raw[a:b], len(vocabulary)) for a, b in zip(starts, ends, strict=True)])
-    # sentences end at . ! ? and line ends
-    sentence = np.append(0, np.cumsum(np.isin(data, np.frombuffer(b".!?\n", np.uint8))))[place] + doc
+    parts, numbers, docs, sentences, ended = [], [], [], [], 0
+    for lo, hi in chunks(offsets):  # some texts at a time: tokens takes many times their bytes
+        part = data[offsets[lo] : offsets[hi]]
+        chars, starts, of, place = tokens(LOWER[part], offsets[lo : hi + 1] - offsets[lo])
+        raw, ends = chars.tobytes(), np.append(starts[1:], len(chars))[: len(starts)]
+        numbers.append(np.array([vocabulary.setdefault(raw[a:b], len(vocabulary)) for a, b in zip(starts, ends, strict=True)], np.int64))
+        # sentences end at . ! ? and line ends
+        end = np.append(0, np.cumsum(np.isin(part, np.frombuffer(b".!?\n", np.uint8))))
+        sentences.append(end[place] + ended + of + lo)
+        parts.append((chars, starts))
+        docs.append(of + lo)
+        ended += int(end[-1])
+    if not vocabulary:
+        return None
+    word, doc, sentence = (np.concatenate(x) for x in (numbers, docs, sentences))
     names = list(vocabulary)
     pairs = np.unique(np.stack([doc, word]), axis=1)
     toxic = np.bincount(pairs[1][label[pairs[0]] == 1], minlength=len(names))
@@ -175,7 +184,7 @@ def fit(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float, np.ndarray] |
         guess[near] = z @ w + bias
     weights = np.zeros(1 << 18, np.float32)
     weights[used] = described.T @ (root @ w)
-    features = _document_features(doc, word_scores(chars, starts, weights) + bias, len(texts))
+    features = _document_features(doc, np.concatenate([word_scores(*x, weights) for x in parts]) + bias, len(texts))
     return weights, bias, _logistic(features, label.astype(float))
 
 
@@ -243,7 +252,7 @@ def score_texts(texts: pa.Array, model: tuple[np.ndarray, float, np.ndarray] | N
 
 def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, float, np.ndarray] | None:
     """labelled: doc_id and label (1: toxic) of documents in docs."""
-    return fit(bounded_sample(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text))
+    return fitted(sample_rows(docs, labelled, SAMPLE, SAMPLE_BYTES, doc_id, text), fit)
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray] | None, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -1,9 +1,11 @@
-"""What a Python worker of the pipeline holds: small batches and a compact automaton."""
+"""What the pipeline's processes hold: workers small batches and a compact automaton, the driver models but no sample."""
 
 import gc
 import json
+import os
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -73,3 +75,32 @@ def test_a_vocabulary_without_a_byte(text):
     automaton = bpe.Automaton(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}))
     with pytest.raises(ValueError, match="lacks a byte"):
         automaton.encode(text)
+
+
+@pytest.mark.parametrize("operator", [toxicity, quality])
+def test_models_are_fitted_outside_the_driver(spark, monkeypatch, operator):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CAST(id % 2 AS int) AS label")
+    monkeypatch.setattr(operator, "fit", lambda sample, *_: (os.getpid(), len(sample)))
+    pid, n = operator.learn(docs, docs.select("doc_id", "label"))
+    assert pid != os.getpid() and n == docs.where(~common.held_out(docs.doc_id)).count()
+    assert operator.learn(docs.limit(0), docs.select("doc_id", "label"))[1] == 0
+
+
+def toxicity_sample(n=1500):
+    rng = np.random.default_rng(5)
+    plain = np.array([f"{a}{b}{c}" for a in ("ri", "sto", "gen", "win", "mor") for b in ("ver", "dow", "pa") for c in ("", "ly", "ing", "est")])
+    return [(" ".join([*rng.choice(plain, 300), *["blockhead."] * (i % 2)]), i % 2) for i in range(n)]
+
+
+def test_toxicity_is_fitted_a_few_texts_at_a_time():
+    sample = toxicity_sample()
+    tracemalloc.start()
+    model = toxicity.fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert toxicity.score_texts(pa.array(["a blockhead", "a window"]), model).round().tolist() == [1, 0]
+    assert peak < 120e6
+
+
+def test_a_sample_without_words_teaches_nothing():
+    assert toxicity.fit([("...", 1), ("!", 0)]) is None
