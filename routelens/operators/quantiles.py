@@ -21,7 +21,7 @@ PARTS, ACCURACY, SALTS = 256, 10_000, 64
 def quantiles(rows: DataFrame, by: list[str], value: str, marks: list[float], name: str = "quantiles") -> DataFrame:
     """by and an array with the quantile of each mark, as F.percentile has them: rank q (n - 1), between two ranks in proportion.
 
-    Null values don't count, and NaN is above all others. A group without values has no row. Null is a group of its own.
+    Proportions are rounded as quantile_cont in SQL rounds them, so that an edge that falls on a value falls on the same side of it there. Null values don't count, and NaN is above all others. A group without values has no row. Null is a group of its own.
     """
     spark, group = rows.sparkSession, F.struct(*(F.col(c) for c in by), F.lit(0).alias("__one")).alias("g")
     at = scratch(spark, "quantiles")
@@ -46,8 +46,9 @@ def quantiles(rows: DataFrame, by: list[str], value: str, marks: list[float], na
     ranked = parted.join(wanted, ["g", "part"]).withColumn("through", through)
     mine = F.filter("asked", lambda a: (a["at"] >= F.col("through") - F.col("n")) & (a["at"] < F.col("through")))
     found = ranked.select("g", "x", F.explode(mine).alias("a")).select("g", "x", "a.*")
-    low, high = F.min_by("x", "at"), F.max_by("x", "at")
-    share = F.first("rank") - F.floor(F.first("rank"))
-    each = found.groupBy("g", "i").agg(F.when(share == 0, low).otherwise((1 - share) * low + share * high).alias("v"))
+    ends = found.groupBy("g", "i").agg(F.min_by("x", "at").alias("low"), F.max_by("x", "at").alias("high"), F.first("rank").alias("rank"))
+    share = F.col("rank") - F.floor("rank")
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), F.col("low"), 1 - share, F.col("high") * share).cast("double")  # low (1 - share) isn't rounded by itself
+    each = ends.select("g", "i", F.when(share == 0, F.col("low")).otherwise(between).alias("v"))
     out = each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias(name))
     return out.select(*(F.col(f"g.{c}").alias(c) for c in by), name)

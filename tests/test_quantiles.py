@@ -1,7 +1,9 @@
 """Exact quantiles by selection against F.percentile."""
 
 import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,17 @@ def test_a_large_group_is_not_held_in_one_task(spark):
     assert max(b - a for a, b in zip([0, *cuts], [*cuts, n], strict=True)) < n / quantiles.PARTS + 4 * n / quantiles.ACCURACY
 
 
+def test_bits_are_those_of_sql(spark):
+    """A quantile between two equal values may differ from them by a bit, and then a bin's edge is above or below its values."""
+    draw = random.Random(1)
+    rows = [(g, 100 * draw.randint(0, m) / m) for g in range(40) for m in (draw.randint(1, 12) for _ in range(15 + g))]
+    got = quantiles.quantiles(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", [k / 10 for k in range(11)], "q").collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert {r.g: r.q for r in got} == dict(con.execute("SELECT g, quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FROM t GROUP BY 1").fetchall())
+
+
 @pytest.mark.parametrize("by", [["g"], []])
 def test_distribution_of_groups(spark, by):
     rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", float("inf")), (None, 3.0), ("b", None)], "g string, v double")
