@@ -109,9 +109,10 @@ def terms(docs: DataFrame, text: str, least_docs: int = 20, alpha: float = 0.5)
     grams = t.select("target", F.explode(F.array_distinct(F.concat("t", two))).alias("term"))
     total = docs.agg(F.sum("target").alias("n1"), F.count("*").alias("n"))
     g = grams.groupBy("term").agg(F.sum("target").alias("a"), F.count("*").alias("df")).where(F.col("df") >= least_docs).crossJoin(F.broadcast(total))
-    a, b = F.col("a"), F.col("df") - F.col("a")
-    c, d = F.col("n1") - a, F.col("n") - F.col("n1") - b
-    chi2 = F.col("n") * (a * d - b * c) * (a * d - b * c) / (F.col("df").cast("double") * (F.col("n") - F.col("df")) * F.col("n1") * (F.col("n") - F.col("n1")))
+    a, df, n, n1 = (F.col(x).cast("double") for x in ("a", "df", "n", "n1"))  # chi-square is a product of five counts, beyond 64 bits for some 10 000 documents a class
+    b, c, d = df - a, n1 - a, n - n1 - (df - a)
+    spread = df * (n - df) * n1 * (n - n1)
+    chi2 = F.when(spread == 0, float("nan")).otherwise(n * (a * d - b * c) * (a * d - b * c) / spread)  # a term of all documents, or one class alone
     return g.select("term", F.col("a").alias("case_docs"), "df", chi2.alias("chi2"), (F.log((a + alpha) / (c + alpha)) - F.log((b + alpha) / (d + alpha))).alias("log_odds"))
 
 

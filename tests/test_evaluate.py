@@ -83,6 +83,13 @@ def test_information_of_a_copy_and_of_a_constant(spark):
     assert got["copy"].nmi == pytest.approx(1.0) and got["flat"].mi == pytest.approx(0.0)
 
 
+def test_terms_of_many_documents_and_of_all(spark):
+    """Products of counts beyond 64 bits, and a term without variance, whose chi-square SQL has as NaN."""
+    docs = spark.range(20_000).select((F.col("id") % 2).alias("target"), F.when(F.col("id") % 2 == 1, "all mark").otherwise("all").alias("text"))
+    got = {r.term: (r.case_docs, r.df, r.chi2) for r in assoc.terms(docs, "text").collect()}
+    assert got["mark"] == (10_000, 10_000, 20_000.0) and got["all"][:2] == (10_000, 20_000) and got["all"][2] != got["all"][2]
+
+
 @pytest.mark.parametrize("cases, want", [(5, (2, 6)), (0, (0, 0))])
 def test_sample_is_capped_weighted_and_repeatable(spark, cases, want):
     rows = spark.createDataFrame([(i, 1 if i < cases else 0) for i in range(50)], "key long, target long")
