@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .edge_index import M_PER_LAT, M_PER_LON, EdgeIndex, build, containing, near_edges, nearest_edges
+from .edge_index import M_PER_LAT, M_PER_LON, EdgeIndex, build, containing, containing_bits, near_edges, nearest_edges
 
 #: The distance up to which a point is on a border. Radius of the sphere in metres. Vertices of a call's area.
 ON_BORDER, EARTH_RADIUS, VERTICES = 1e-6, 6_371_008.8, 24
@@ -87,8 +87,11 @@ def ring(lon: Column, lat: Column, radius: Column, vertices: int = VERTICES) ->
 
 def ring_in_polygons(calls: DataFrame, index: EdgeIndex, vertices: int = VERTICES) -> DataFrame:
     """call_id, psap_id and how many of the ring's vertices lie inside, for each polygon that holds any."""
-    points = calls.select("call_id", F.posexplode(ring(F.col("lon"), F.col("lat"), F.col("uncert"), vertices)).alias("vertex", "p")).select("call_id", "vertex", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
-    return containing(points, index, ["call_id", "vertex"]).groupBy("call_id", "psap_id").agg(F.count("*").alias("inside"))
+    calls = calls.select("call_id", "lon", "lat", "uncert").repartition("call_id")  # the one shuffle, before there are rows for vertices
+    points = calls.select("call_id", F.posexplode(ring(F.col("lon"), F.col("lat"), F.col("uncert"), vertices)).alias("vertex", "p"))
+    points = points.select("call_id", F.floor(F.col("vertex") / 64).alias("word"), (F.col("vertex") % 64).alias("bit"), F.col("p.x").alias("lon"), F.col("p.y").alias("lat"))
+    held = containing_bits(points, index, ["call_id", "word"])
+    return held.groupBy("call_id", "psap_id").agg(F.sum(F.bit_count("bits")).alias("inside")).where("inside > 0")
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
