@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved
+from .common import broadcast_if_small, fresh_path, map_batches, saved
 from .words import LOWER, chunks, mix, prefix_hashes, text_buffer
 
 #: Bytes of text in a block, pairs that a task sorts together, and rows that it sends at a time.
 BLOCK, SORTED, SENT = 1 << 18, 1 << 20, 1 << 16
 #: Bits of a bitmap of hashes, and of one row of it (as Spark's bitmap functions have it).
 BITS, ROW = 25, 1 << 15
+#: Bytes of a row group of blocks: what a task holds of them when it writes them, and when it reads them by the batch.
+GROUP = 8 << 20
 SCALE = 2_000_000
 #: Scores are counted in steps of so many to choose thresholds; results don't depend on it.
 STEP = 100
@@ -61,7 +63,14 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                         )
 
     columns = [F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")]
-    return docs.select(*columns).mapInArrow(run, "lang string, vocabulary array<string>, ids binary, words long")
+    return map_batches(docs.select(*columns), run, "lang string, vocabulary array<string>, ids binary, words long")
+
+
+def saved_blocks(texts: DataFrame) -> DataFrame:
+    """texts saved in row groups of GROUP bytes: by default a task would hold up to 128 MB of them, whether it writes or reads them."""
+    path = fresh_path(texts.sparkSession, "phrase-blocks")
+    texts.write.option("parquet.block.size", GROUP).option("parquet.page.size.row.check.min", 8).parquet(path)  # rows are large, so their size is looked at early
+    return texts.sparkSession.read.schema(texts.schema).parquet(path)
 
 
 def _block(data: np.ndarray, firsts: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -119,7 +128,7 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
                 out[more] = _joined(out[more], h[first[more] + k])
             yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
+    return map_batches(phrases.select("lang", "phrase"), run, "h long")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -172,7 +181,7 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
                 times = np.bincount(ids[ids >= 0], minlength=len(vocabulary))
                 yield _phrases(lang, vocabulary, [np.arange(len(vocabulary))], times)
 
-    return _summed(texts.mapInArrow(run, PHRASE), least)
+    return _summed(map_batches(texts, run, PHRASE), least)
 
 
 def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
@@ -205,7 +214,7 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(h[first[k : k + SENT]].view(np.int64)), pa.array(times[k : k + SENT])], names=["h", "f"])
 
     # tasks have summed what they could; repartition() keeps Spark from trying again before the shuffle, which would take a large table in each task
-    maybe = bitmap(texts.mapInArrow(by_hash, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    maybe = bitmap(map_batches(texts, by_hash, "h long, f long").repartition("h").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     often = texts.sparkSession.sparkContext.broadcast(maybe)
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +224,7 @@ def pair_counts(texts: DataFrame, frequent: np.ndarray, least: int) -> DataFrame
                 at = at[_in(often.value, h)]
                 yield _phrases(block[0], block[1], *_counted(ids[at], ids[at + 1]))
 
-    return _summed(texts.mapInArrow(by_text, PHRASE), least)
+    return _summed(map_batches(texts, by_text, PHRASE), least)
 
 
 def continuations(texts: DataFrame, prefixes: DataFrame, pairs: np.ndarray, least: int) -> DataFrame:
@@ -239,7 +248,7 @@ def continuations(texts: DataFrame, prefixes: DataFrame, pairs: np.ndarray, leas
                 hit = at[_in(wanted, _joined(pair[at], h[at + 2]))]
                 yield _phrases(lang, vocabulary, *_counted(ids[hit], ids[hit + 1], ids[hit + 2], ids[hit + 3]))
 
-    got = _summed(texts.mapInArrow(run, PHRASE), least)
+    got = _summed(map_batches(texts, run, PHRASE), least)
     wanted = prefixes.select("lang", F.col("phrase").alias("prefix"))
     return got.withColumn("prefix", _but_last(F.col("phrase"))).join(wanted, ["lang", "prefix"], "left_semi").drop("prefix")
 
@@ -336,7 +345,7 @@ def mine(docs: DataFrame, least: int = 30, best: int = 2000, absorb: int = 80, t
 
     least: smallest count of a phrase. absorb: a phrase is dropped if a longer one holds it and has at least so many hundredths of its count.
     """
-    texts = saved(blocks(docs, text, lang), "phrase-blocks")
+    texts = saved_blocks(blocks(docs, text, lang))
     words = saved(word_counts(texts, least), "phrase-words")
     pairs = saved(_scored_pairs(pair_counts(texts, bitmap(phrase_hashes(words)), least), words), "phrase-pairs")
     often = bitmap(phrase_hashes(pairs))

@@ -8,9 +8,10 @@ import tracemalloc
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from routelens.llm import bpe, common, decontaminate, jaccard, quality, toxicity
+from routelens.llm import bpe, common, decontaminate, jaccard, phrases, quality, toxicity
 
 
 def measure():
@@ -39,6 +40,17 @@ def test_rows_reach_workers_in_small_batches(spark, operator):
     assert sum(r.n for r in got) == 3000 and max(r.size for r in got) <= 2 * common.BATCH_BYTES
 
 
+def test_blocks_of_words_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    session = spark.newSession()
+    monkeypatch.setattr(phrases, "GROUP", 1 << 21)
+    docs = session.range(0, 40_000, 1, 1).selectExpr("array_join(transform(sequence(1, 100), i -> concat('w', pmod(xxhash64(id, i), 5000))), ' ') AS text", "'en' AS lang")
+    texts = phrases.saved_blocks(phrases.blocks(docs))
+    got = texts.mapInArrow(measure(), "n long, size long").collect()
+    assert texts.agg({"words": "sum"}).first()[0] == 4_000_000 and max(r.size for r in got) <= 2 * common.BATCH_BYTES
+    groups = [m.row_group(k).total_byte_size for m in (pq.ParquetFile(f.removeprefix("file://")).metadata for f in texts.inputFiles()) for k in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(groups) <= 2 * phrases.GROUP, groups
+
+
 def test_a_limit_of_the_session_stays(spark):
     session = spark.newSession()
     session.conf.set(common.BATCH_LIMIT, "1m")
