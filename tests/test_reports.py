@@ -1,6 +1,7 @@
 """Grades, thresholds, ranks by parts and large disks on small fixtures."""
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from routelens.operators import assoc, edge_index, geo, kpi, report, screen
@@ -37,6 +38,17 @@ def test_threshold_of_enough_precision_or_best_f1(spark):
     assert (top.rows, top.precision, top.recall) == (2, 1.0, pytest.approx(2 / 3))
 
 
+def test_features_without_columns_that_weigh_zero(spark):
+    rows = [(1, 1.0, float(k), "ab"[k % 2], f"note {k % 3} seldom{k}", "") for k in range(8)]
+    train = screen.filled(spark.createDataFrame(rows, "target int, weight double, x double, c string, note string, blank string"), ["x"], ["c"], ["note", "blank"])
+    prepared = Pipeline(stages=screen.preparation(["x"], ["c"], ["note", "blank"], 64)).fit(train)
+    new = train.where("x < 3").withColumn("note", F.concat_ws(" ", "note", F.lit("never seen before")))
+    for df in (train, new):
+        full, less = ([r.features for r in m.transform(df).orderBy("x").select("features").collect()] for m in (prepared, screen.without_zeros(prepared)))
+        assert len(less[0]) < len(full[0]) // 4
+        assert [[v for v in f.toArray() if v] for f in full] == [[v for v in f.toArray() if v] for f in less]
+
+
 def test_disk_of_any_size_meets_each_polygon_once(spark):
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     edges = [(1, *a, *b) for a, b in zip(ring, ring[1:] + ring[:1])] + [(2, a[0] + 5, a[1], b[0] + 5, b[1]) for a, b in zip(ring, ring[1:] + ring[:1])]
